@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, checkpointed, documents, is_member, member_bits, member_test, mix, salt_of, with_groups, words
@@ -86,17 +86,6 @@ def _full_sets(docs: DataFrame, ids: DataFrame, id: str, text: str, k: int) -> D
     return some.mapInArrow(build, "id long, set array<long>").join(ids, "id", "left_semi")
 
 
-def _differing(a: str, b: str) -> Column:
-    """Symbols in which two signatures differ: each 16-bit lane of the exclusive or is folded into its lowest bit."""
-    total = F.lit(0)
-    for c in range(CHUNKS):
-        x = F.col(f"{a}.s{c}").bitwiseXOR(F.col(f"{b}.s{c}"))
-        for shift, mask in ((8, 0x00FF00FF00FF00FF), (4, 0x000F000F000F000F), (2, 0x0003000300030003), (1, 0x0001000100010001)):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
-        total = total + F.bit_count(x)
-    return total
-
-
 def _keys(c: int, p: int, s: Column) -> Column:
     """The key of a chunk with the symbol at p left open (p = SYMBOLS would be the chunk as it is)."""
     hole = ((1 << SYMBOL_BITS) - 1) << (SYMBOL_BITS * p)
@@ -110,6 +99,36 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return p.where(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b").distinct()
 
 
+def _sharing_rare(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of reps(rep, c) with different c that can be similar enough.
+
+    Shingles are ordered by how few of these sets have them. Of n shingles a similar set has all but (100 - percent) %,
+    so two similar sets share one of their n - ceil(n * percent / 100) + 1 rarest: only these are joined. A copy whose
+    own changes alone exceed the limit has none that another shares, and so costs nothing.
+    """
+    each = reps.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "c", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    each = with_groups(each, ["shingle"], {"df": ("count", "rep")}, salt_of("rep"), F.col("df") > 0, "inner")
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle"))
+    rare = checkpointed(each.withColumn("_r", rank).where((F.col("_r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).select("shingle", "rep", "c", "n"))
+    x, y = (rare.select("shingle", F.col("rep").alias(i), F.col("c").alias(f"c{i}"), F.col("n").alias(f"n{i}")) for i in "ab")
+    fits = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    return x.join(y, "shingle").where((F.col("ca") < F.col("cb")) & fits).select("a", "b").distinct()
+
+
+def _stars(pairs: DataFrame, keep_smaller: bool) -> DataFrame:
+    """Links (u > v) that hang the neighbours v of each u, and u, on their least; the smaller neighbours only stay with keep_smaller.
+
+    Neighbours are dealt by a salt and hung on the least of their share; then the leasts of the shares, at most SALTS for
+    each u, are hung on the least of all. So no u has its neighbours in one task.
+    """
+    share, whole = Window.partitionBy("u", "_salt"), Window.partitionBy("u")
+    part = pairs.withColumn("_salt", salt_of("v")).withColumn("m", F.least("u", F.min("v").over(share)))
+    hung = part if keep_smaller else part.where("v > u")
+    tops = part.where("v = m or m = u").select("u", "m").distinct().withColumn("least", F.min("m").over(whole))
+    links = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(tops.select(F.col("m").alias("u"), F.col("least").alias("v"))).unionByName(tops.select("u", F.col("least").alias("v")))
+    return links.where("u <> v")
+
+
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(id, component): the smallest id reachable over links (a, b), for every id that has a link.
 
@@ -117,20 +136,17 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     checkpointed. No id's neighbours meet in one task, and no link reaches the driver.
     """
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    if edges.isEmpty():
-        return links.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)
-    salt, seen = salt_of("v"), None
+    state = lambda: edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+    seen = state()
+    if not seen[0]:
+        return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_groups(both, ["u"], {"least": ("min", "v")}, salt, how="inner").where("v > u")
-        large = large.select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
-        small = with_groups(large, ["u"], {"least": ("min", "v")}, salt, how="inner")
-        small = small.where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(small.select("u", F.col("least").alias("v")))
-        edges = checkpointed(small.where("u <> v").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == seen:
+        large = _stars(both, keep_smaller=False).distinct()
+        edges = checkpointed(_stars(large, keep_smaller=True).distinct())
+        before, seen = seen, state()
+        if before == seen:
             break
-        seen = now
     else:
         raise RuntimeError("components did not settle")
     down = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
@@ -143,8 +159,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     Rows of one shingle set form a class, represented by its smallest id. Each representative gives 32 keys: each chunk
     with each symbol left open. Signatures within MOST_ERRORS share a key; at similarity 0.8 fewer than 2 pairs in a
     million share none. All representatives of a key are paired with its least one, so a key of n gives n - 1 pairs, and
-    pairs are confirmed on full sets. Keys that still hold several components then have those compared across, for all
-    pairs whose signatures are within MOST_ERRORS: no link is lost that would join two components.
+    pairs are confirmed on full sets. What keys with several components hold is then joined across components on rare
+    shingles and confirmed: no link is lost that would join two components.
 
     Documents without words have the empty set, are linked with nothing and are kept. A null id takes no part in links
     (component null, kept). Rows that repeat an id and its text share class and component; ids with several texts are not
@@ -166,13 +182,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     sets = checkpointed(_full_sets(docs, involved, id, text, k))
     links = checkpointed(_confirm(pairs, sets, percent))
     comp = checkpointed(components(links))
-    # keys that still hold several components: what of these lies within the signature distance is confirmed too
+    # keys that still hold several components: their representatives are compared across components
     placed = among.select("key", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    cross = placed.join(open_keys, "key").join(rep.select("rep", F.struct(*sig).alias("g")), "rep")
-    x, y = (cross.select("key", F.col("rep").alias(n), F.col("c").alias(f"c{n}"), F.col("g").alias(f"g{n}")) for n in "ab")
-    found = x.join(y, "key").where((F.col("ca") < F.col("cb")) & (_differing("ga", "gb") <= MOST_ERRORS)).select("a", "b").distinct()
-    more = checkpointed(_confirm(found, sets, percent))
+    open_keys = with_groups(placed, ["key"], {"lo": ("min", "c"), "hi": ("max", "c")}, salt_of("rep"), F.col("lo") < F.col("hi"), "inner")
+    left_open = checkpointed(open_keys.select("rep", "c").distinct())
+    more = checkpointed(_confirm(_sharing_rare(left_open, sets, percent), sets, percent))
     if not more.isEmpty():
         comp = checkpointed(components(links.unionByName(more)))
     classes = rep.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component"))
