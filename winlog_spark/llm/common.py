@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A hot key is spread over this many tasks before its rows meet their group's values.
 SALTS = 128
 #: Text bytes that an Arrow task works on at once (a longer document is a block of its own).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -183,7 +183,7 @@ def counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray,
 class Tally:
     """Counts by integer key that are merged whenever they exceed a bound; what doesn't fit is handed on early."""
 
-    def __init__(self, most: int = 1 << 21):
+    def __init__(self, most: int = 1 << 20):
         self.most, self.held, self.parts = most, 0, []
 
     def add(self, keys: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
