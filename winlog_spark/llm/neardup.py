@@ -115,18 +115,18 @@ def _sharing_rare(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.join(y, "shingle").where((F.col("ca") < F.col("cb")) & fits).select("a", "b").distinct()
 
 
-def _stars(pairs: DataFrame, keep_smaller: bool) -> DataFrame:
-    """Links (u > v) that hang the neighbours v of each u, and u, on their least; the smaller neighbours only stay with keep_smaller.
+def _stars(pairs: DataFrame, smaller: bool) -> DataFrame:
+    """Links that hang neighbours v of each u on the least of them and u: only those above u, or with smaller (where all are below) all of them and u.
 
-    Neighbours are dealt by a salt and hung on the least of their share; then the leasts of the shares, at most SALTS for
-    each u, are hung on the least of all. So no u has its neighbours in one task.
+    Neighbours are dealt by a salt; the leasts of the shares, at most SALTS for each u, give the least of all, which goes
+    back to the shares. So no u has its neighbours in one task.
     """
-    share, whole = Window.partitionBy("u", "_salt"), Window.partitionBy("u")
-    part = pairs.withColumn("_salt", salt_of("v")).withColumn("m", F.least("u", F.min("v").over(share)))
-    hung = part if keep_smaller else part.where("v > u")
-    tops = part.where("v = m or m = u").select("u", "m").distinct().withColumn("least", F.min("m").over(whole))
-    links = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(tops.select(F.col("m").alias("u"), F.col("least").alias("v"))).unionByName(tops.select("u", F.col("least").alias("v")))
-    return links.where("u <> v")
+    part = pairs.withColumn("_salt", salt_of("v")).withColumn("m", F.min("v").over(Window.partitionBy("u", "_salt")))
+    tops = part.select("u", "_salt", "m").distinct().withColumn("least", F.least("u", F.min("m").over(Window.partitionBy("u")))).select("u", "_salt", "least")
+    known = part.join(tops, ["u", "_salt"])
+    links = known.select(F.col("v").alias("u"), F.col("least").alias("v")) if smaller else known.where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
+    links = links.unionByName(tops.select("u", F.col("least").alias("v"))) if smaller else links
+    return links.where("u <> v").distinct()
 
 
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -142,8 +142,7 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
         return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both, keep_smaller=False).distinct()
-        edges = checkpointed(_stars(large, keep_smaller=True).distinct())
+        edges = checkpointed(_stars(_stars(both, smaller=False), smaller=True))
         before, seen = seen, state()
         if before == seen:
             break
