@@ -42,6 +42,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tasks_for(rows: int, each: int = 50_000) -> int:
+    return max(8, -(-rows // each))
+
+
+def small(df: DataFrame, each: int = 50_000) -> DataFrame:
+    """df checkpointed, and read again by a task for so many rows: what is left after filtering should not stay in as many pieces as the input."""
+    out = checkpointed(df)
+    return out.coalesce(tasks_for(out.count(), each))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, all else as it is; null counts as the empty text."""
     t = F.coalesce(text, F.lit(""))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpointed, documents, is_member, member_bits, member_test, mix, salt_of, with_groups, words
+from .common import blocks, checkpointed, documents, is_member, member_bits, member_test, mix, salt_of, small, tasks_for, with_groups, words
 
 #: A signature has CHUNKS chunks of 4 symbols of 16 bits, a chunk to a long.
 CHUNKS, SYMBOLS, SYMBOL_BITS = 8, 4, 16
@@ -109,13 +109,16 @@ def _sharing_rare(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     each = reps.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "c", F.size("set").alias("n"), F.explode("set").alias("shingle"))
     each = with_groups(each, ["shingle"], {"df": ("count", "rep")}, salt_of("rep"), F.col("df") > 0, "inner")
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle"))
-    rare = checkpointed(each.withColumn("_r", rank).where((F.col("_r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).select("shingle", "rep", "c", "n"))
-    x, y = (rare.select("shingle", F.col("rep").alias(i), F.col("c").alias(f"c{i}"), F.col("n").alias(f"n{i}")) for i in "ab")
-    fits = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-    return x.join(y, "shingle").where((F.col("ca") < F.col("cb")) & fits).select("a", "b").distinct()
+    rare = each.withColumn("r", rank).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1))
+    rare = small(rare.select("shingle", "rep", "c", "n", "r"))
+    x, y = (rare.select("shingle", *[F.col(c).alias(f"{i}{c}") for c in ("rep", "c", "n", "r")]) for i in "ab")
+    # two sets of these sizes must have so many shingles in common; of those the first stands early enough in both
+    common = F.ceil(percent * (F.col("an") + F.col("bn")) / (100 + percent))
+    early = (F.col("ar") <= F.col("an") - common + 1) & (F.col("br") <= F.col("bn") - common + 1)
+    return x.join(y, "shingle").where((F.col("ac") < F.col("bc")) & early).select(F.col("arep").alias("a"), F.col("brep").alias("b")).distinct()
 
 
-def _stars(pairs: DataFrame, smaller: bool) -> DataFrame:
+def _stars(pairs: DataFrame, smaller: bool, tasks: int) -> DataFrame:
     """Links that hang neighbours v of each u on the least of them and u: only those above u, or with smaller (where all are below) all of them and u.
 
     Neighbours are dealt by a salt; the leasts of the shares, at most SALTS for each u, give the least of all, which goes
@@ -123,10 +126,10 @@ def _stars(pairs: DataFrame, smaller: bool) -> DataFrame:
     """
     part = pairs.withColumn("_salt", salt_of("v")).withColumn("m", F.min("v").over(Window.partitionBy("u", "_salt")))
     tops = part.select("u", "_salt", "m").distinct().withColumn("least", F.least("u", F.min("m").over(Window.partitionBy("u")))).select("u", "_salt", "least")
-    known = part.join(tops, ["u", "_salt"])
+    known = part.join(tops.coalesce(tasks), ["u", "_salt"])
     links = known.select(F.col("v").alias("u"), F.col("least").alias("v")) if smaller else known.where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
     links = links.unionByName(tops.select("u", F.col("least").alias("v"))) if smaller else links
-    return links.where("u <> v").distinct()
+    return links.where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
 
 
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -138,11 +141,13 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = lambda: edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     seen = state()
+    tasks = tasks_for(seen[0])
+    edges = edges.coalesce(tasks)
     if not seen[0]:
         return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        edges = checkpointed(_stars(_stars(both, smaller=False), smaller=True))
+        edges = checkpointed(_stars(_stars(both, False, tasks), True, tasks))
         before, seen = seen, state()
         if before == seen:
             break
@@ -168,26 +173,26 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     signed = checkpointed(_signed(docs, id, text, k))
     sig = [f"s{c}" for c in range(CHUNKS)]
     live = signed.where("n > 0 and id is not null")
-    rep = checkpointed(live.groupBy("h1", "h2").agg(F.min("id").alias("rep"), *[F.min(s).alias(s) for s in sig]))
+    rep = small(live.groupBy("h1", "h2").agg(F.min("id").alias("rep"), *[F.min(s).alias(s) for s in sig]))
     entries = rep.select("rep", F.explode(F.array(*[_keys(c, p, F.col(f"s{c}")) for c in range(CHUNKS) for p in range(SYMBOLS)])).alias("key"))
-    shared = checkpointed(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("n > 1"))
+    shared = small(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("n > 1"))
     crowded = shared.where("n > 2")
     inside = member_test(docs.sparkSession, member_bits(crowded, "key", KEY_BITS))
     among = with_groups(entries.where(inside("key")), ["key"], {"n": ("count", "rep"), "least": ("min", "rep")}, salt_of("rep"), F.col("n") > 2, "inner")
-    among = checkpointed(among.select("key", "rep", "least"))
+    among = small(among.select("key", "rep", "least"))
     pairs = shared.where("n = 2").select("a", "b").unionByName(among.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b"))).distinct()
-    pairs = checkpointed(pairs)
+    pairs = small(pairs)
     involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = checkpointed(_full_sets(docs, involved, id, text, k))
-    links = checkpointed(_confirm(pairs, sets, percent))
-    comp = checkpointed(components(links))
+    sets = small(_full_sets(docs, involved, id, text, k), 2_000)
+    links = small(_confirm(pairs, sets, percent))
+    comp = small(components(links))
     # keys that still hold several components: their representatives are compared across components
     placed = among.select("key", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     open_keys = with_groups(placed, ["key"], {"lo": ("min", "c"), "hi": ("max", "c")}, salt_of("rep"), F.col("lo") < F.col("hi"), "inner")
-    left_open = checkpointed(open_keys.select("rep", "c").distinct())
-    more = checkpointed(_confirm(_sharing_rare(left_open, sets, percent), sets, percent))
+    left_open = small(open_keys.select("rep", "c").distinct())
+    more = small(_confirm(_sharing_rare(left_open, sets, percent), sets, percent))
     if not more.isEmpty():
-        comp = checkpointed(components(links.unionByName(more)))
+        comp = small(components(links.unionByName(more)))
     classes = rep.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component"))
     salted = live.select("id", "n", "h1", "h2", salt_of("id").alias("_salt"))
     where = salted.select("h1", "h2", "_salt").distinct().join(classes, ["h1", "h2"])
