@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A hot key is spread over this many tasks before its rows meet their group's values.
 SALTS = 128
 #: Text bytes that an Arrow task works on at once (a longer document is a block of its own).
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
