@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_events import events
 
-from winlog_spark.operators import detect, rules
+from winlog_spark.operators import detect, packed, rules
 from winlog_spark.queries import BROKEN, RULES, SPECS, ev
 from winlog_spark.schema import SECURITY, SYSMON
 from winlog_spark.sources import logs
@@ -80,6 +80,23 @@ def test_gated_equals_direct(spark):
     assert a == b and a
 
 
+def test_packed_equals_direct(spark):
+    e = ev(spark, "/root/testdata/sf0.001").where("g % 3 = 0")
+    some = detect.compile_rules(SPECS)[0]
+    a, b = (sorted(map(tuple, d.collect())) for d in (packed.detect_packed(e, some), detect.detect(e, some)))
+    assert a == b and a
+
+
+def test_packed_conditions(spark):
+    e = events(spark, PROCESS, (1, SYSMON, [("Image", "x")], {"channel": "Microsoft-Windows-Sysmon/Operational"}), (4688, SECURITY, [("NewProcessName", "c:\\cmd.exe"), ("Image", "y"), ("image", "cmd")]))
+    yes, no, both = {"Image|contains": "cmd"}, {"Image|contains": "zzz"}, [{"User": "a\\b"}, {"Image|endswith": ["x", "y"]}]
+    specs = [{"title": f"{c}/{k}", "id": f"{c}/{k}", "logsource": ls, "detection": {"a": yes, "b": no, "x1": both, "n": {"User": None}, "condition": c}} for c in ("a and not b", "not a", "1 of x*", "2 of *", "all of them", "a or b or n", "not (a and x1)", "b") for k, ls in enumerate(({"product": "windows"}, {"category": "process_creation", "product": "windows"}))]
+    some = detect.compile_rules(specs)[0]
+    assert len(some) == len(specs)
+    a, b = (sorted(map(tuple, d.collect())) for d in (packed.detect_packed(e, some), detect.detect(e, some)))
+    assert a == b and a
+
+
 def test_pack_files(spark, tmp_path):
     (tmp_path / "a.yml").write_text("title: one\nid: x\nlogsource: {service: security}\ndetection: {s: {EventID: 1}, condition: s}\n---\ntitle: two\ncorrelation: {}\n")
     (tmp_path / "b.yml").write_text("{broken: [")

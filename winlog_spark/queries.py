@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import decode, describe, fields, names, times
-from .operators import detect, facets, findings, hunts, pivots, sessions, timeline
+from .operators import detect, facets, findings, hunts, packed, pivots, sessions, timeline
 from .plans import search, timewin, tree
 from .schema import as_event_log, event_log_sql
 from .sources import case, export, logs, xml
@@ -258,6 +258,8 @@ _SEC = {"product": "windows", "service": "security"}
 _ANY = {"product": "windows"}
 _P_IMG = f"CASE WHEN event_id = 4688 THEN {fv('NewProcessName')} WHEN event_id = 1 THEN {_IMG} END"
 _IN_PROC = "event_id IN (1, 4688)"
+#: Rules of the load query, as many as a published pack has.
+LOAD = 2395
 #: name -> (log source, detection, the same in SQL)
 RULES = {
     "d03_map_and": (_PROC, {"selection": {"Image|endswith": "\\rundll32.exe", "ParentImage|endswith": "\\winword.exe"}, "condition": "selection"}, f"event_id = 1 AND ends_with(lower({_IMG}), '\\rundll32.exe') AND ends_with(lower({fv('ParentImage')}), '\\winword.exe')"),
@@ -298,6 +300,11 @@ BROKEN = [
 ]
 
 
+@cache
+def load_pack() -> list:
+    return detect.compile_rules(packed.synthetic_pack(LOAD))[0]
+
+
 @cache
 def compiled() -> list:
     return detect.compile_rules(SPECS)[0]
@@ -310,6 +317,12 @@ _LEVELS = {s["id"]: {"odd": "informational"}.get(s["level"], s["level"]) for s i
 _R = "r AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{lv}')" for n, lv in _LEVELS.items()) + ") t(rule_id, level))"
 add("d01_detect", lambda e: detect.detect(e, compiled(), gated=False), "SELECT rule_id, g FROM m", _M)
 add("d01_detect_gated", lambda e: detect.detect(e, compiled(), gated=True), "SELECT rule_id, g FROM m", _M)
+add("d01_detect_packed", lambda e: packed.detect_packed(e, compiled()), "SELECT rule_id, g FROM m", _M)
+_ANY_IMG = f"lower(CASE event_id WHEN 4688 THEN {fv('NewProcessName')} ELSE {_IMG} END)"
+_LOAD = f"""CASE WHEN i % 50 = 0 THEN event_id IN (1, 4688) AND contains({_CMD}, 'net user') AND contains({_CMD}, 'user' || i % 150) AND contains({_CMD}, '/add')
+ WHEN i % 2 = 0 THEN event_id IN (1, 4688) AND (ends_with({_ANY_IMG}, '\\tool' || i % 400 || '.exe') OR ends_with({_ANY_IMG}, '\\alt' || i || '.exe')) AND (contains({_CMD}, ' --opt' || i // 89 % 97 || ' ') OR contains({_CMD}, '-x' || i % 89) OR contains({_CMD}, '/key' || i))
+ ELSE channel = 'Security' AND event_id = [4624, 4625, 4688, 7045][i % 4 + 1] AND {fv('TargetUserName')} IN ('user' || i, 'svc' || i // 89 % 97) AND NOT coalesce(starts_with({fv('IpAddress')}, '172.' || i % 89 || '.'), false) END"""
+add("d01_detect_load", lambda e: packed.detect_packed(e, load_pack()).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")), f"SELECT 'load-' || i AS rule_id, count(*) AS n FROM ev, range(0, {LOAD}) t(i) WHERE coalesce({_LOAD}, false) GROUP BY i")
 add("d24_skipped", lambda e: detect.skipped_table(e.sparkSession, detect.compile_rules(SPECS + BROKEN)[1]).join(e.agg(F.count(F.lit(1)).alias("events"))).select("rule_id", "events"), "SELECT unnest(['b1', 'b2', 'b3', 'b4', 'b5', 'b6', 'd06_exact', 'b7']) AS rule_id, (SELECT count(*) FROM ev) AS events")
 
 
