@@ -97,9 +97,9 @@ def member_bits(ids: DataFrame, col: str, bits: int = 23) -> np.ndarray:
     found = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("b"))
     out = np.zeros(1 << (bits - 3), dtype=np.uint8)
     for r in found.toLocalIterator():
-        # bucket numbers count from 1 for positive values and slot 0 falls in bucket 0
-        at = max(0, r.k - 1) * 4096 if r.k else 0
-        chunk = np.frombuffer(bytes(r.b), dtype=np.uint8)
+        # Spark's buckets count from 1 for values above 0; value 0 is in bucket 0, at the place of value 1
+        at = max(0, r.k - 1) * 4096
+        chunk = np.frombuffer(bytes(r.b), dtype=np.uint8)[: len(out) - at]
         out[at : at + len(chunk)] |= chunk
     return out
 

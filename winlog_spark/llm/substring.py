@@ -15,7 +15,7 @@ from .common import documents, salt_of, with_groups
 
 #: Words of the shortest unit that is compared.
 MIN_WORDS = 25
-_UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"(?:[^\n]|\n(?!\s*\n))+")}
+_UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"[^\n](?:[^\n]|\n(?!\s*\n))*")}
 _GAP = re.compile(r"[ \t-\r]+")
 _FOLD = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
