@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fields import any_value
 from ..plans.search import HEADER_FIELDS, MULTI_FIELDS
 
 # Header facets and the EventData fields that are counted by default.
@@ -93,7 +92,3 @@ def distinct_lists(events: DataFrame, limit: int = 200) -> DataFrame:
     header = events.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("provider", "channel", "computer", "file")])).alias("x")).select("x.*").where("value is not null").distinct()
     names = events.select(F.explode(F.transform("ed", lambda p: p["name"])).alias("value")).distinct().orderBy("value").limit(limit).select(F.lit("name").alias("kind"), "value")
     return header.unionByName(names)
-
-
-def has_value(name: str, test) -> Column:
-    return any_value(name, test)

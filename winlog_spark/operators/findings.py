@@ -57,8 +57,8 @@ def stateless_findings(events: DataFrame) -> DataFrame:
 
 
 def failed_logons(events: DataFrame) -> DataFrame:
-    """(g, ip) of failed logons, '(unknown)' where the address is absent."""
-    return events.where((F.col("event_id") == 4625) & (provider_category() == "security")).select("g", F.coalesce(field("IpAddress"), F.lit("(unknown)")).alias("ip"))
+    """(g, ts, ip) of failed logons, '(unknown)' where the address is absent."""
+    return events.where((F.col("event_id") == 4625) & (provider_category() == "security")).select("g", "ts", F.coalesce(field("IpAddress"), F.lit("(unknown)")).alias("ip"))
 
 
 def burst_sources(events: DataFrame, threshold: int = BURST) -> DataFrame:

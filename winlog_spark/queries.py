@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 from functools import cache
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from .operators import detect, facets, findings, hunts, packed, pivots, sessions
 from .plans import search, timewin, tree
 from .schema import as_event_log, event_log_sql
 from .sources import case, export, logs, xml
+from .streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -350,6 +352,37 @@ add("io10_detection_rows", lambda e: _export(e).select("rule_id", "rule_level",
 add("io11_detection_json", lambda e: export.detection_json(_export(e)).select("rule_id", F.get_json_object("json", "$.count").cast("long").alias("n")), "SELECT rule_id, count(*) AS n FROM m WHERE rule_id IN ('d21_condition', 'd16_hex_number') GROUP BY 1", _M)
 
 
+# --- streams --------------------------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return as_event_log(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
+
+
+def _shared(spark: SparkSession) -> str:
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/stream-{uuid4().hex}"
+
+
+def stream_detect(spark: SparkSession, d: str) -> DataFrame:
+    at = _shared(spark)
+    some = [r for r in compiled() if r.id in ("d04_list_or", "d07_contains", "d21_condition")]
+    stream.write_detections(_stream(spark, d), some, f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("rule_id", "g")
+
+
+def stream_bursts(spark: SparkSession, d: str) -> DataFrame:
+    at = _shared(spark)
+    found = stream.burst_windows(_stream(spark, d), "3 days", threshold=3).select(F.col("window.start").alias("start"), "ip", "n")
+    found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("start timestamp, ip string, n long").parquet(f"{at}/out")
+
+
+QUERIES["st1_stream_detect"] = stream_detect
+SQL["st1_stream_detect"] = f"WITH {event_log_sql()}, {_M} SELECT rule_id, g FROM m WHERE rule_id IN ('d04_list_or', 'd07_contains', 'd21_condition')"
+QUERIES["st2_stream_bursts"] = stream_bursts
+SQL["st2_stream_bursts"] = f"WITH {event_log_sql()}, f AS (SELECT ts, epoch_us(ts) // 259200000000 AS b, coalesce({fv('IpAddress')}, '(unknown)') AS ip FROM ev WHERE event_id = 4625) SELECT make_timestamp(b * 259200000000) AS start, ip, count(*) AS n FROM f GROUP BY b, ip HAVING count(*) >= 3 AND (b + 1) * 259200000000 <= (SELECT epoch_us(max(ts)) FROM f) - 600000000"
+
 # --- the flagship query, and text tables -------------------------------------------------------
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.decode import decode_value, level_label
 from ..functions.describe import describe_event
-from ..functions.fields import field
 from ..functions.times import format_timestamp
 
 MOST_COLUMNS = 256
@@ -88,10 +87,10 @@ def report_sections(events: DataFrame, bookmarks: DataFrame, notes: DataFrame) -
     cell = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
     e = events.join(bookmarks.select("g").distinct(), "g").join(notes, "g", "left")
     label = F.coalesce(describe_event(), F.concat(F.lit("Event "), F.col("event_id").cast("string")))
-    row = F.concat_ws(" | ", F.lit("").substr(1, 0), format_timestamp(F.col("ts")), F.col("computer"), F.col("event_id").cast("string"), cell(label), cell(F.col("note")))
+    row = F.concat_ws(" | ", format_timestamp(F.col("ts")), F.col("computer"), F.col("event_id").cast("string"), cell(label), cell(F.col("note")))
     pairs = F.array_join(F.transform("ed", lambda p: F.concat(F.lit("- **"), p["name"], F.lit("**: "), cell(p["value"]), F.coalesce(F.concat(F.lit(" ("), decode_value(p["name"], p["value"]), F.lit(")")), F.lit("")))), "\n")
     section = F.concat_ws("\n\n", F.concat(F.lit("## "), label), F.concat_ws(" · ", format_timestamp(F.col("ts")), "computer", "provider", "channel"), pairs, F.when(F.col("note") != "", F.concat(F.lit("> "), F.replace("note", F.lit("\n"), F.lit("\n> ")))))
-    return e.select("g", "ts", F.concat(F.ltrim(row), F.lit(" |")).alias("row"), section.alias("section"))
+    return e.select("g", "ts", F.concat(F.lit("| "), row, F.lit(" |")).alias("row"), section.alias("section"))
 
 
 def case_report(events: DataFrame, bookmarks: DataFrame, notes: DataFrame, title: str = "Case report") -> DataFrame:
@@ -100,7 +99,3 @@ def case_report(events: DataFrame, bookmarks: DataFrame, notes: DataFrame, title
     head = s.sparkSession.createDataFrame([("0", f"# {title}\n\n| Time | Computer | Event ID | Description | Note |\n| --- | --- | --- | --- | --- |")], "part string, line string")
     key = lambda n: F.concat(F.lit(n), F.date_format("ts", "yyyyMMddHHmmssSSSSSS"), F.format_string("%020d", "g"))
     return head.unionByName(s.select(key("1").alias("part"), F.col("row").alias("line"))).unionByName(s.select(key("2").alias("part"), F.col("section").alias("line")))
-
-
-def field_of(name: str) -> Column:
-    return field(name)

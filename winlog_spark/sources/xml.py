@@ -28,16 +28,24 @@ def event_data(data: Column) -> Column:
     return F.aggregate(data, start, step, lambda acc: acc["out"])
 
 
+_LEAF = r"(?s)<(?:[\w.-]+:)?{name}(?:\s[^<>]*)?(?:/>|>{text}</)"
+
+
+def _unescaped(text: Column) -> Column:
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return F.trim(text)
+
+
 def user_data(xml: Column) -> Column:
-    """The leaves under UserData, at any depth, as (local name, text). Empty leaves of either form have the value ''."""
-    leaf = "//*[local-name()='UserData']//*[not(*)]"
-    # xpath gives no name() of several nodes, so names come from the text, in the same order of closing
+    """The leaves under UserData, at any depth, as (local name, text). Empty leaves of either form have the value ''.
+
+    from_xml would need the element names beforehand, so leaves are picked from the text; each pattern gives one entry a leaf.
+    """
     inner = F.regexp_extract(xml, r"(?s)<(?:\w+:)?UserData[^>]*>(.*)</(?:\w+:)?UserData>", 1)
-    names = F.regexp_extract_all(inner, F.lit(r"(?s)<(?:[\w.-]+:)?([\w.-]+)(?:\s[^<>]*)?(?:/>|>[^<]*</)"), F.lit(1))
-    texts = F.regexp_extract_all(inner, F.lit(r"(?s)<(?:[\w.-]+:)?[\w.-]+(?:\s[^<>]*)?(?:/>|>([^<]*)</)"), F.lit(1))
-    del leaf
-    unescape = lambda t: F.trim(F.replace(F.replace(F.replace(F.replace(F.replace(t, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'")), F.lit("&amp;"), F.lit("&")))
-    return F.transform(F.arrays_zip(names.alias("n"), texts.alias("t")), lambda z: F.struct(z["n"].alias("name"), unescape(F.coalesce(z["t"], F.lit(""))).alias("value")))
+    names = F.regexp_extract_all(inner, F.lit(_LEAF.format(name=r"([\w.-]+)", text="[^<]*")), F.lit(1))
+    texts = F.regexp_extract_all(inner, F.lit(_LEAF.format(name=r"[\w.-]+", text="([^<]*)")), F.lit(1))
+    return F.transform(F.arrays_zip(names.alias("n"), texts.alias("t")), lambda z: F.struct(z["n"].alias("name"), _unescaped(F.coalesce(z["t"], F.lit(""))).alias("value")))
 
 
 def read_events(rows: DataFrame, xml: str = "xml", file: str | None = None, keep_xml: bool = False) -> DataFrame:

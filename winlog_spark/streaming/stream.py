@@ -22,15 +22,5 @@ def write_detections(events: DataFrame, rules: list[Rule], path: str, checkpoint
 
 def burst_windows(events: DataFrame, width: str = "10 minutes", late: str = "10 minutes", threshold: int = BURST) -> DataFrame:
     """(window, ip, n): sources with at least threshold failed logons in a window; windows close after the watermark."""
-    timed = failed_logons_with_time(events).withWatermark("ts", late)
+    timed = failed_logons(events).withWatermark("ts", late)
     return timed.groupBy(F.window("ts", width), "ip").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold)
-
-
-def failed_logons_with_time(events: DataFrame) -> DataFrame:
-    from ..functions.fields import field
-    from ..functions.names import provider_category
-
-    return events.where((F.col("event_id") == 4625) & (provider_category() == "security")).select("ts", F.coalesce(field("IpAddress"), F.lit("(unknown)")).alias("ip"))
-
-
-__all__ = ["burst_windows", "failed_logons", "write_detections"]
