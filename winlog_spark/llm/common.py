@@ -71,20 +71,22 @@ def salt_of(*cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
 
 
-def with_groups(rows: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[str, str]], salt: Column, having: Column | None = None, how: str = "left") -> DataFrame:
+def with_groups(rows: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[str, str]], salt: Column, having: Column | None = None, how: str = "left", tasks: int | None = None) -> DataFrame:
     """rows with aggregates of their group, without bringing a group's rows into one task.
 
     aggs: name -> (min | max | sum | count, column). Rows are first aggregated by (keys, salt), those by keys; the totals
     go back along (keys, salt), so a key that holds a third of all rows is dealt over SALTS tasks. Keys must not be null.
+    tasks: for a table known to be small, how many tasks its aggregates are worked on by.
     """
     fn = {"min": F.min, "max": F.max, "sum": F.sum, "count": lambda c: F.count(F.lit(1))}
     again = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.sum}
     salted = rows.withColumn("_salt", salt)
-    part = salted.groupBy(*keys, "_salt").agg(*[fn[f](c).alias(n) for n, (f, c) in aggs.items()])
-    total = part.groupBy(*keys).agg(*[again[f](n).alias(n) for n, (f, _) in aggs.items()])
+    few = lambda df: df.coalesce(tasks) if tasks else df
+    part = few(salted.groupBy(*keys, "_salt").agg(*[fn[f](c).alias(n) for n, (f, c) in aggs.items()]))
+    total = few(part.groupBy(*keys).agg(*[again[f](n).alias(n) for n, (f, _) in aggs.items()]))
     if having is not None:
         total = total.where(having)
-    back = part.select(*keys, "_salt").join(total, list(keys))
+    back = few(part.select(*keys, "_salt").join(total, list(keys)))
     return salted.join(back, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -57,6 +57,20 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+#: Bits that a set is summed up in: each shingle flips one of them.
+PARITY_LONGS = 8
+PARITY = [f"p{i}" for i in range(PARITY_LONGS)]
+
+
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Sets x PARITY_LONGS: two sets differ in at least as many shingles as in bits."""
+    bits = 64 * PARITY_LONGS
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    odd = np.bincount(owner * bits + (flat >> np.uint64(40)).astype(np.int64) % bits, minlength=len(sets) * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(sets), bits), axis=1, bitorder="little").view(np.int64)
+
+
 def _signed(docs: DataFrame, id: str, text: str, k: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in blocks(batches):
@@ -80,10 +94,11 @@ def _full_sets(docs: DataFrame, ids: DataFrame, id: str, text: str, k: int) -> D
                 picked = np.concatenate([data[off[i] : off[i + 1]] for i in hit])
                 sets = list(shingle_sets(picked, np.concatenate([[0], np.cumsum(np.diff(off)[hit])]), k))
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([rows.column("id").take(pa.array(hit)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "set"])
+                odd = parities(sets)
+                yield pa.RecordBatch.from_arrays([rows.column("id").take(pa.array(hit)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64))), *[pa.array(np.ascontiguousarray(odd[:, i])) for i in range(PARITY_LONGS)]], names=["id", "set", *PARITY])
 
     some = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(8 * len(bits.value))))
-    return some.mapInArrow(build, "id long, set array<long>").join(ids, "id", "left_semi")
+    return some.mapInArrow(build, "id long, set array<long>, " + ", ".join(f"{p} long" for p in PARITY)).join(ids, "id", "left_semi")
 
 
 def _keys(c: int, p: int, s: Column) -> Column:
@@ -92,30 +107,33 @@ def _keys(c: int, p: int, s: Column) -> Column:
     return F.xxhash64(F.lit(c * SYMBOLS + p), s.bitwiseAND(F.lit(~hole if hole < 1 << 63 else (~hole) & ((1 << 63) - 1)).cast("long")))
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
     """Of the pairs (a, b), those whose full sets are similar enough."""
-    p = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("_x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("_y")), "b")
+    p = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("_x")), "a").coalesce(tasks).join(sets.select(F.col("id").alias("b"), F.col("set").alias("_y")), "b")
     both = F.size(F.array_intersect("_x", "_y"))
-    return p.where(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b").distinct()
+    return p.where(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b").coalesce(tasks).distinct()
 
 
-def _sharing_rare(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _sharing_rare(reps: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
     """Pairs (a, b) of reps(rep, c) with different c that can be similar enough.
 
     Shingles are ordered by how few of these sets have them. Of n shingles a similar set has all but (100 - percent) %,
     so two similar sets share one of their n - ceil(n * percent / 100) + 1 rarest: only these are joined. A copy whose
-    own changes alone exceed the limit has none that another shares, and so costs nothing.
+    own changes alone exceed the limit has none that another shares, and so costs nothing. Of the pairs that meet, those
+    whose parity bits differ in so many places that too little can be common are left out at once.
     """
-    each = reps.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "c", F.size("set").alias("n"), F.explode("set").alias("shingle"))
-    each = with_groups(each, ["shingle"], {"df": ("count", "rep")}, salt_of("rep"), F.col("df") > 0, "inner")
+    each = reps.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "c", *PARITY, F.size("set").alias("n"), F.explode("set").alias("shingle")).coalesce(tasks)
+    each = with_groups(each, ["shingle"], {"df": ("count", "rep")}, salt_of("rep"), F.col("df") > 1, "left", tasks).withColumn("df", F.coalesce("df", F.lit(1)))
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle"))
     rare = each.withColumn("r", rank).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1))
-    rare = small(rare.select("shingle", "rep", "c", "n", "r"))
-    x, y = (rare.select("shingle", *[F.col(c).alias(f"{i}{c}") for c in ("rep", "c", "n", "r")]) for i in "ab")
+    rare = small(rare.select("shingle", "rep", "c", "n", "r", *PARITY))
+    x, y = (rare.select("shingle", *[F.col(c).alias(f"{i}{c}") for c in ("rep", "c", "n", "r", *PARITY)]) for i in "ab")
     # two sets of these sizes must have so many shingles in common; of those the first stands early enough in both
     common = F.ceil(percent * (F.col("an") + F.col("bn")) / (100 + percent))
     early = (F.col("ar") <= F.col("an") - common + 1) & (F.col("br") <= F.col("bn") - common + 1)
-    return x.join(y, "shingle").where((F.col("ac") < F.col("bc")) & early).select(F.col("arep").alias("a"), F.col("brep").alias("b")).distinct()
+    apart = sum((F.bit_count(F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}"))) for p in PARITY[1:]), F.bit_count(F.col("ap0").bitwiseXOR(F.col("bp0"))))
+    near = F.col("an") + F.col("bn") - apart >= 2 * common
+    return x.join(y, "shingle").where((F.col("ac") < F.col("bc")) & early & near).coalesce(tasks).select(F.col("arep").alias("a"), F.col("brep").alias("b")).distinct()
 
 
 def _stars(pairs: DataFrame, smaller: bool, tasks: int) -> DataFrame:
@@ -174,28 +192,30 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     sig = [f"s{c}" for c in range(CHUNKS)]
     live = signed.where("n > 0 and id is not null")
     rep = small(live.groupBy("h1", "h2").agg(F.min("id").alias("rep"), *[F.min(s).alias(s) for s in sig]))
+    tasks = tasks_for(rep.count(), 10_000)
     entries = rep.select("rep", F.explode(F.array(*[_keys(c, p, F.col(f"s{c}")) for c in range(CHUNKS) for p in range(SYMBOLS)])).alias("key"))
     shared = small(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("n > 1"))
     crowded = shared.where("n > 2")
     inside = member_test(docs.sparkSession, member_bits(crowded, "key", KEY_BITS))
-    among = with_groups(entries.where(inside("key")), ["key"], {"n": ("count", "rep"), "least": ("min", "rep")}, salt_of("rep"), F.col("n") > 2, "inner")
+    among = with_groups(entries.where(inside("key")), ["key"], {"n": ("count", "rep"), "least": ("min", "rep")}, salt_of("rep"), F.col("n") > 2, "inner", tasks)
     among = small(among.select("key", "rep", "least"))
     pairs = shared.where("n = 2").select("a", "b").unionByName(among.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b"))).distinct()
     pairs = small(pairs)
     involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    involved = small(involved)
     sets = small(_full_sets(docs, involved, id, text, k), 2_000)
-    links = small(_confirm(pairs, sets, percent))
+    links = small(_confirm(pairs, sets, percent, tasks))
     comp = small(components(links))
     # keys that still hold several components: their representatives are compared across components
-    placed = among.select("key", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    open_keys = with_groups(placed, ["key"], {"lo": ("min", "c"), "hi": ("max", "c")}, salt_of("rep"), F.col("lo") < F.col("hi"), "inner")
+    placed = among.select("key", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c")).coalesce(tasks)
+    open_keys = with_groups(placed, ["key"], {"lo": ("min", "c"), "hi": ("max", "c")}, salt_of("rep"), F.col("lo") < F.col("hi"), "inner", tasks)
     left_open = small(open_keys.select("rep", "c").distinct())
-    more = small(_confirm(_sharing_rare(left_open, sets, percent), sets, percent))
+    more = small(_confirm(_sharing_rare(left_open, sets, percent, tasks), sets, percent, tasks))
     if not more.isEmpty():
         comp = small(components(links.unionByName(more)))
-    classes = rep.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component"))
+    classes = rep.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component")).coalesce(tasks)
     salted = live.select("id", "n", "h1", "h2", salt_of("id").alias("_salt"))
-    where = salted.select("h1", "h2", "_salt").distinct().join(classes, ["h1", "h2"])
+    where = salted.select("h1", "h2", "_salt").distinct().coalesce(tasks).join(classes, ["h1", "h2"]).coalesce(tasks)
     done = salted.join(where, ["h1", "h2", "_salt"]).select("id", "n", "rep", "component")
     rest = signed.where("n = 0 or id is null").select("id", "n", F.col("id").alias("rep"), F.col("id").alias("component"))
     out = done.unionByName(rest)
