@@ -57,6 +57,7 @@ def main() -> None:
         began = time.time()
         make().write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     again = time.time()
     queries["rules_2395"]().write.format("noop").mode("overwrite").save()
     took["rules_2395_warm"] = round(time.time() - again, 3)

@@ -148,12 +148,16 @@ def _in_network(value: pd.Series, network: pd.Series) -> pd.Series:
     return pd.Series([test(v, n) for v, n in zip(value, network, strict=True)])
 
 
-def cidr(value: Column, network: str) -> Column:
-    """Whether an address lies in a network. IPv4 in expressions, mapped addresses, brackets and zones included; IPv6 in batches."""
+def network(text: str) -> ipaddress.IPv4Network | ipaddress.IPv6Network:
     try:
-        net = ipaddress.ip_network(network, strict=False)
+        return ipaddress.ip_network(text, strict=False)
     except ValueError:
-        raise Unsupported(f"not a network: {network}") from None
+        raise Unsupported(f"not a network: {text}") from None
+
+
+def cidr(value: Column, text: str) -> Column:
+    """Whether an address lies in a network. IPv4 in expressions, mapped addresses, brackets and zones included; IPv6 in batches."""
+    net = network(text)
     if net.version == 6:
         return _in_network(value, F.lit(str(net)))
     v = F.regexp_replace(F.lower(F.trim(value)), r"^\[|\](?=$)|%.*$", "")
@@ -185,8 +189,8 @@ def _text_test(v: Column, pattern: str, mods: set[str], wild: bool) -> Column:
     return F.call_function("like", v, F.lit(before + pattern + after), F.lit("!"))
 
 
-def field_test(name: str | None, mods: list[str], value: object, profile: str | None = None) -> Column:
-    """One entry `name|mods: value(s)` of a selection; name None searches the keyword text. Never null."""
+def check_entry(name: str | None, mods: list[str], value: object) -> tuple[set[str], list]:
+    """Modifiers and values of one entry, or Unsupported with the reason; plain Python, so that large packs are checked fast."""
     kinds = {m.lower() for m in mods}
     if "expand" in kinds:
         raise Unsupported("the `expand` modifier needs placeholder values (unsupported)")
@@ -195,12 +199,52 @@ def field_test(name: str | None, mods: list[str], value: object, profile: str |
     items = value if isinstance(value, list) else [value]
     if any(isinstance(x, dict | list) for x in items):
         raise Unsupported("nested objects are not valid values")
+    if name is None and kinds & {"exists", "fieldref"}:
+        raise Unsupported(f"`{min(kinds & {'exists', 'fieldref'})}` needs a field")
+    if "exists" in kinds:
+        return kinds, items
+    for x in items:
+        if x is None:
+            if name is None:
+                raise Unsupported("null is not a valid keyword")
+        elif op := kinds & {"gt", "gte", "lt", "lte"}:
+            try:
+                operand(x)
+            except ValueError:
+                raise Unsupported(f'"{min(op)}" needs a number') from None
+        elif "cidr" in kinds:
+            network(str(x))
+        elif "re" in kinds:
+            java_regex(str(x), kinds)
+        elif kinds & {"utf16le", "wide", "utf16be", "utf16"} and not kinds & {"base64", "base64offset"}:
+            raise Unsupported("utf16 modifiers are only meaningful with base64")
+    return kinds, items
+
+
+def operand(x: object) -> float:
+    return float(int(str(x), 16) if re.match(r"(?i)^\s*-?0x", str(x)) else str(x))
+
+
+def check_selection(spec: object) -> None:
+    if isinstance(spec, dict):
+        if not spec:
+            raise Unsupported("empty selection")
+        for k, v in spec.items():
+            check_entry(k.split("|")[0] or None, k.split("|")[1:], v)
+    elif isinstance(spec, list) and spec and all(isinstance(x, dict) for x in spec):
+        for x in spec:
+            check_selection(x)
+    else:
+        check_entry(None, [], spec)
+
+
+def field_test(name: str | None, mods: list[str], value: object, profile: str | None = None) -> Column:
+    """One entry `name|mods: value(s)` of a selection; name None searches the keyword text. Never null."""
+    kinds, items = check_entry(name, mods, value)
     if not items:
         return F.lit(False)
     v = keyword_text() if name is None else event_field(name, profile)
     if "exists" in kinds:
-        if name is None:
-            raise Unsupported("`exists` needs a field")
         return v.isNotNull() if str(items[0]).lower() == "true" else v.isNull()
     tests = [F.coalesce(_value_test(v, name, kinds, x, profile), F.lit(False)) for x in items]
     plain = not kinds and name is not None and all(isinstance(x, str) and not like_pattern(x)[1] for x in items)
@@ -211,34 +255,23 @@ def field_test(name: str | None, mods: list[str], value: object, profile: str |
 
 def _value_test(v: Column, name: str | None, kinds: set[str], x: object, profile: str | None) -> Column:
     if x is None:
-        if name is None:
-            raise Unsupported("null is not a valid keyword")
         return v.isNull() | (v == "")
     if op := kinds & {"gt", "gte", "lt", "lte"}:
-        try:
-            n = float(int(str(x), 16) if re.match(r"(?i)^\s*-?0x", str(x)) else str(x))
-        except ValueError:
-            raise Unsupported(f'"{min(op)}" needs a number') from None
-        a = signed_number(v)
+        n, a = operand(x), signed_number(v)
         return {"gt": a > n, "gte": a >= n, "lt": a < n, "lte": a <= n}[min(op)]
     if "cidr" in kinds:
         return cidr(v, str(x))
     if "re" in kinds:
         return v.rlike(java_regex(str(x), kinds))
     if "fieldref" in kinds:
-        if name is None:
-            raise Unsupported("`fieldref` needs a field")
         a, b = F.lower(v), F.lower(event_field(str(x), profile))
         return a.contains(b) if "contains" in kinds else a.startswith(b) if "startswith" in kinds else a.endswith(b) if "endswith" in kinds else a == b
     texts = [str(x).lower() if isinstance(x, bool) else str(x)]
     if "windash" in kinds:
         texts = [t for s in texts for t in windash(s)]
-    wide = kinds & {"utf16le", "wide", "utf16be", "utf16"}
     wildcards = not kinds & {"base64", "base64offset"}
     if not wildcards:
         texts = [t for s in texts for t in encoded(s, kinds)]
-    elif wide:
-        raise Unsupported("utf16 modifiers are only meaningful with base64")
     mods = kinds | ({"contains"} if name is None else set())
     read = v if "cased" in kinds else F.lower(v)
     tests = []
@@ -253,8 +286,6 @@ def _value_test(v: Column, name: str | None, kinds: set[str], x: object, profile
 def selection(spec: object, profile: str | None = None) -> Column:
     """A map is the AND of its entries, a list of maps their OR, anything else keywords."""
     if isinstance(spec, dict):
-        if not spec:
-            raise Unsupported("empty selection")
         order = sorted(spec.items(), key=lambda kv: _norm(kv[0].split("|")[0]) not in ("eventid", "channel"))
         return reduce(Column.__and__, [field_test(k.split("|")[0] or None, k.split("|")[1:], v, profile) for k, v in order])
     if isinstance(spec, list) and spec and all(isinstance(x, dict) for x in spec):
@@ -371,7 +402,10 @@ def compile_rule(spec: dict) -> Rule:
     ids = [_condition_ids(c, selections) for c in conditions]
     fields = [k.split("|")[0] for s in selections.values() for m in (s if isinstance(s, list) else [s]) if isinstance(m, dict) for k in m]
     rule = Rule(str(spec.get("id") or spec["title"]), spec["title"], normal_level(spec.get("level")), spec, found, None if None in ids else frozenset().union(*ids), list(dict.fromkeys(f for f in fields if f)))
-    rule_columns(rule, None)
+    for s in selections.values():
+        check_selection(s)
+    for c in conditions:
+        rewritten(c, list(selections))
     return rule
 
 
