@@ -13,7 +13,7 @@ from .rules import LEVELS, Rule, Unsupported, compile_rule, event_field, like_pa
 
 #: Rules whose predicates share one projection; more in one make code that Spark no longer compiles well.
 GROUP = 50
-#: From this many rules on one kind of event, literals are looked up by joins before predicates are tried.
+#: From this many rules on, a pack is run as rows of a table instead of expressions.
 GATED_FROM = 200
 
 
@@ -133,15 +133,20 @@ def _candidates(rows: DataFrame, rules: list[Rule], gates: dict[str, list], prof
 def detect(events: DataFrame, rules: list[Rule], gated: bool | None = None) -> DataFrame:
     """(rule_id, g), one row per rule and event that it matches.
 
-    Rules are dealt to the kinds of event they can match, and each kind is filtered before any predicate. Few rules on a
-    kind are tried directly, in projections of GROUP rules. With many, each row first gets the list of rules whose
-    literals it has, and only these are tried on it. Both ways give the same rows; gated forces one of them.
+    Rules are dealt to the kinds of event they can match, and each kind is filtered before any predicate. Rules on a kind
+    are tried directly, in projections of GROUP rules; with gated, each row first gets the list of rules whose literals
+    it has, and only these are tried on it. Large packs go to detect_packed, unless gated says which way. All ways give
+    the same rows.
     """
+    if gated is None and len(rules) >= GATED_FROM:
+        from .packed import detect_packed
+
+        return detect_packed(events, rules)
     parts = []
     for (channel, ids, profile), some in buckets(rules).items():
         rows = events.where(_in_bucket(channel, ids))
         gates = {r.id: g for r in some if (g := gate(r))}
-        if gates and (len(some) >= GATED_FROM if gated is None else gated):
+        if gates and gated:
             held = [r for r in some if r.id in gates]
             lists = _candidates(rows, held, gates, profile).groupBy("g").agg(F.collect_set("rule_id").alias("_c"))
             opened = rows.join(lists, "g")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.search import clauses, groups_column, haystack
+from ..plans.search import clauses, decoded_pairs, groups_column, haystack
 
 
 @dataclass(frozen=True)
@@ -50,20 +50,25 @@ PACK = [
 
 
 def hunt_flags(hunts: list[Hunt]) -> list:
-    return [(h, groups_column(clauses(h.query), F.col("_hay"))) for h in hunts]
+    return [(h, groups_column(clauses(h.query), F.col("_hay"), F.col("_pairs"))) for h in hunts]
+
+
+def _prepared(events: DataFrame, hunts: list[Hunt]) -> DataFrame:
+    """events with what the predicates share: the decoded pairs, and the haystack if any of them has free text."""
+    free = any(c.field is None for h in hunts for g in clauses(h.query) for c in g)
+    return events.withColumns({"_pairs": decoded_pairs(), "_hay": haystack() if free else F.lit("")})
 
 
 def hunt_hits(events: DataFrame, hunts: list[Hunt] = PACK) -> DataFrame:
-    """(hunt_id, g): one projection of all predicates, no shuffle; the haystack is made once for all of them."""
+    """(hunt_id, g): one projection of all predicates, no shuffle."""
     flags = hunt_flags(hunts)
-    rows = events.withColumn("_hay", haystack()) if any(c.field is None for h in hunts for g in clauses(h.query) for c in g) else events.withColumn("_hay", F.lit(""))
-    return rows.select("g", F.explode(F.array_compact(F.array(*[F.when(p, h.id) for h, p in flags]))).alias("hunt_id")).select("hunt_id", "g")
+    return _prepared(events, hunts).select("g", F.explode(F.array_compact(F.array(*[F.when(p, h.id) for h, p in flags]))).alias("hunt_id")).select("hunt_id", "g")
 
 
 def hunt_counts(events: DataFrame, hunts: list[Hunt] = PACK) -> DataFrame:
     """(hunt_id, n) for every hunt, those without a hit too."""
     flags = hunt_flags(hunts)
-    one = events.withColumn("_hay", haystack()).agg(*[F.count_if(p).alias(h.id) for h, p in flags])
+    one = _prepared(events, hunts).agg(*[F.count_if(p).alias(h.id) for h, p in flags])
     return one.select(F.explode(F.array(*[F.struct(F.lit(h.id).alias("hunt_id"), F.col(f"`{h.id}`").alias("n")) for h, _ in flags])).alias("x")).select("x.*")
 
 

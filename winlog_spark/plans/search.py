@@ -73,7 +73,12 @@ def _value_test(c: Clause):
     return lambda v: F.lower(v) == c.value.lower()
 
 
-def clause_column(c: Clause, hay: Column | None = None) -> Column:
+def decoded_pairs(ed: str | Column = "ed") -> Column:
+    """Pairs with what they mean: (name in lower case, value, meaning); made once where many clauses look at them."""
+    return F.transform(as_column(ed), lambda p: F.struct(F.lower(p["name"]).alias("name"), p["value"].alias("value"), decode_value(p["name"], p["value"]).alias("meaning")))
+
+
+def clause_column(c: Clause, hay: Column | None = None, pairs: Column | None = None) -> Column:
     """True or false for every event, never null: an absent field doesn't match, so a negated clause on it does."""
     if c.field is None:
         hit = (haystack() if hay is None else hay).contains(c.value.lower())
@@ -82,18 +87,19 @@ def clause_column(c: Clause, hay: Column | None = None) -> Column:
         if name in HEADER_FIELDS:
             hit = test(_header(HEADER_FIELDS[name]))
         else:
-            named = F.filter(F.col("ed"), lambda p: F.lower(p["name"]).isin(MULTI_FIELDS.get(name, [name])))
-            hit = F.exists(named, lambda p: F.coalesce(test(p["value"]), F.lit(False)) | F.coalesce(test(decode_value(p["name"], p["value"])), F.lit(False)))
+            keys = MULTI_FIELDS.get(name, [name])
+            named = F.filter(decoded_pairs() if pairs is None else pairs, lambda p: p["name"].isin(keys))
+            hit = F.exists(named, lambda p: F.coalesce(test(p["value"]), F.lit(False)) | F.coalesce(test(p["meaning"]), F.lit(False)))
     hit = F.coalesce(hit, F.lit(False))
     return ~hit if c.negate else hit
 
 
-def groups_column(groups: list[list[Clause]], hay: Column | None = None) -> Column:
+def groups_column(groups: list[list[Clause]], hay: Column | None = None, pairs: Column | None = None) -> Column:
     """OR of ANDs; no groups select everything. Clauses on header fields come first in a group, as they are cheap and reach the scan."""
     if not groups:
         return F.lit(True)
     cheap = lambda c: c.field is None or c.field.lower() not in HEADER_FIELDS
-    return reduce(Column.__or__, [reduce(Column.__and__, [clause_column(c, hay) for c in sorted(g, key=cheap)], F.lit(True)) for g in groups])
+    return reduce(Column.__or__, [reduce(Column.__and__, [clause_column(c, hay, pairs) for c in sorted(g, key=cheap)], F.lit(True)) for g in groups])
 
 
 _TERM = re.compile(r'(?P<neg>-)?(?:(?P<field>[A-Za-z_][\w.]*):)?(?P<cmp>>=|<=|>|<)?(?:"(?P<quoted>(?:[^"\\]|\\.)*)"|(?P<bare>\S+))')
