@@ -9,8 +9,8 @@ from .common import documents, lower_ascii, member_bits, member_test, salt_of, w
 
 #: Characters whose hash is the second step.
 PREFIX = 64
-#: The bitmap of surviving groups has 2**GROUP_BITS bits (8 MB).
-GROUP_BITS = 26
+#: The bitmap of surviving groups has 2**GROUP_BITS bits (1 MB).
+GROUP_BITS = 23
 
 
 def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", digest_all: bool = False) -> DataFrame:

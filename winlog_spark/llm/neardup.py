@@ -16,8 +16,8 @@ CHUNKS, SYMBOLS, SYMBOL_BITS = 8, 4, 16
 #: By pigeonhole, signatures that differ in at most this many of the 32 symbols have a chunk with at most one error.
 MOST_ERRORS = 2 * CHUNKS - 1
 SIMILARITY = 80
-#: The bitmap that narrows keys before their exact join has 2**KEY_BITS bits (8 MB).
-KEY_BITS = 26
+#: The bitmap that narrows keys before their exact join has 2**KEY_BITS bits (2 MB).
+KEY_BITS = 24
 _PARTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
