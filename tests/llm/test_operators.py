@@ -427,6 +427,40 @@ def test_repeated_lines(spark, clash):
     assert as_rows(substring.repeated_units(para, unit="paragraph", min_words=2).select("doc_id", "start", "n_words")) == [(2, 3, 4)]
 
 
+def plain_passages(rows, k):
+    seen, out = set(), []
+    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        found = list(WORD.finditer((text or "").translate(FOLD)))
+        last = None
+        for x in range(len(found) - k + 1):
+            window = tuple(m[0] for m in found[x : x + k])
+            if window in seen:
+                if last is None or x > last[1] + k:
+                    last = [x, x]
+                    out.append((i, last, found))
+                last[1] = x
+            seen.add(window)
+    return sorted(((i, f[a].start(), f[b + k - 1].end() - f[a].start(), b + k - a) for i, (a, b), f in out), key=repr)
+
+
+def test_repeated_passages(spark, clash):
+    rng = random.Random(8)
+    fill = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randrange(10**6)) for _ in range(n))
+    inner, broken = fill(60), "\n".join(fill(9) for _ in range(6))
+    rows = [(1, f"Öl {fill(30)} {inner} {fill(20)}"), (2, f"{fill(7)} {inner.upper()} {fill(80)}"), (3, f"é\t{broken}\n{fill(3)}"), (4, f"{fill(2)}\n\n{broken.replace(' ', '  ')} x"), (5, None), (6, ""), (7, fill(200)), (8, "a " * 70), (None, inner)]
+    rows += [(10 + i, " ".join(rng.choice("ab") for _ in range(300))) for i in range(4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = as_rows(substring.repeated_passages(d))
+    assert got == plain_passages(rows, substring.MIN_WORDS) and {2, 4, None} <= {r[0] for r in got} and not {1, 3, 7} & {r[0] for r in got}
+    assert substring.repeated_units(d).where("doc_id in (2, 4)").count() == 0  # lines alone do not find them
+    for k in (1, 2, 6, 7):
+        assert as_rows(substring.repeated_passages(d, min_words=k)) == plain_passages(rows, k)
+    assert substring.repeated_passages(clash, min_words=1).count() > 0
+    assert substring.repeated_passages(d.limit(0)).count() == 0
+    tied = spark.createDataFrame([(1, inner), (1, inner), (2, inner)], "doc_id long, text string")
+    assert as_rows(substring.repeated_passages(tied)) == [(2, 0, len(inner), 60)]
+
+
 # --- 10 near duplicates --------------------------------------------------------------------------------------
 
 

@@ -153,7 +153,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _powers: list[np.ndarray] = []
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, kept by the worker."""
     if not _powers or len(_powers[0]) < n:
         n = max(n, BLOCK_BYTES + 1)
@@ -166,8 +166,13 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, and for each document where its words begin (one entry more at the end)."""
+    return word_spans(data, off)[:2]
+
+
+def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As words, and the first byte of each word and the byte after its last."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     ink = _INK[data]
     first = ink.copy()
     first[1:] &= ~ink[:-1]
@@ -178,10 +183,10 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = off[1:][off[1:] > 0] - 1
     last[edge] = ink[edge]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _pow(len(data) + 1)
+    up, down = powers(len(data) + 1)
     run = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=run[1:])
-    return mix((run[e] - run[s]) * down[s]), np.searchsorted(s, off)
+    return mix((run[e] - run[s]) * down[s]), np.searchsorted(s, off), s, e
 
 
 def counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -12,6 +12,7 @@ QUERIES = {
     "op5_lm": ctw.op5_lm,
     "op6_topk": kdtree.op6_topk,
     "op7_sharding": sharding.op7_sharding,
+    "op8_passages": substring.op8_passages,
     "op8_substring": substring.op8_substring,
     "op9_langid": langid.op9_langid,
     "op10_neardup": neardup.op10_neardup,
@@ -23,6 +24,7 @@ SQL = {
     "op4_mix": mixing.OP4_SQL,
     "op6_topk": kdtree.OP6_SQL,
     "op7_sharding": sharding.OP7_SQL,
+    "op8_passages": substring.OP8_PASSAGES_SQL,
     "op8_substring": substring.OP8_SQL,
     "op10_neardup": neardup.OP10_SQL,
 }

@@ -1,4 +1,4 @@
-"""Repeated lines across documents: hashed units, of which the earliest occurrence stays."""
+"""Repeated lines and passages across documents: hashed units or word windows, of which the earliest occurrence stays."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, salt_of, with_groups
+from .common import blocks, documents, mix, powers, salt_of, with_groups, word_spans
 
 #: Words of the shortest unit that is compared.
 MIN_WORDS = 25
@@ -83,6 +84,119 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", **o
     return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("__spans")))).select(docs.columns)
 
 
+def _window_hashes(w: np.ndarray, k: int) -> np.ndarray:
+    """63-bit hashes of all runs of k words, given the hashes of the words."""
+    if len(w) < k:
+        return np.zeros(0, np.int64)
+    up, down = powers(len(w) + 1)
+    run = np.zeros(len(w) + 1, np.uint64)
+    np.cumsum((w | np.uint64(1)) * up[: len(w)], out=run[1:])
+    return (mix((run[k:] - run[:-k]) * down[: len(w) - k + 1]) >> np.uint64(1)).view(np.int64)
+
+
+def _windows(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Of texts in one block: word starts and ends in bytes, where each text's words begin; the first word of each window of k words, its text, its hash and its anchor.
+
+    The anchor is the place of the least hash among the window's runs of (k + 1) // 2 words. It depends on the words of
+    the window only, so equal windows have equal anchors at the same place.
+    """
+    w, at, s, e = word_spans(data, off)
+    short = (k + 1) // 2
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(at))
+    key = _window_hashes(w, k)
+    x = np.flatnonzero(doc[: len(key)] == doc[k - 1 :]) if len(key) else np.zeros(0, np.int64)
+    if not len(x):
+        return s, e, at, x, x, x, x
+    least = np.lib.stride_tricks.sliding_window_view(_window_hashes(w, short), k - short + 1).argmin(axis=1)
+    return s, e, at, x, doc[x], key[x], x + least[x]
+
+
+def _marked(rows: pa.RecordBatch, name: str, at: np.ndarray) -> np.ndarray:
+    """Whether each word of the block is listed by its place within its text in the list column."""
+    out = np.zeros(at[-1] + 1, bool)
+    lists = rows.column(name)
+    doc = pa.compute.list_parent_indices(lists).to_numpy()
+    out[at[doc] + pa.compute.list_flatten(lists).to_numpy()] = True
+    return out
+
+
+def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """The passages to remove, wherever in a text they stand: id, start and length in characters, n_words.
+
+    A window of min_words words (A-Z lower-cased, whatever blanks between them) is repeated if it occurs earlier, by
+    (id, place). Overlapping and adjacent repeated windows make one passage, so a passage ends where the next word is not
+    part of a repeated window. A text that repeats itself with an overlap keeps the part before its second window.
+
+    First an anchor of each window is counted; a window can only be repeated if its anchor is. The places of anchors
+    that occur once go back to their rows, and all windows of the other anchors are grouped by hash; the places of first
+    occurrences go back likewise, and what is left is repeated. Groups are only counted or reduced to their least place,
+    before they are shuffled too, so no hot key meets in one task. Null texts have no windows; a null id ranks last.
+    Repeated rows of the same id and text tie, and the passage stays in each of them. Windows are told apart by 63 bits.
+    """
+    kind = docs.select(id).schema[0].dataType.simpleString()
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.xxhash64(id, text).alias("row"), F.col(text).alias("text"))
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, data, off in blocks(batches):
+            w, at, _, _ = word_spans(data, off)
+            _, _, at, x, doc, _, anchor = _windows(data, off, min_words)
+            new = np.flatnonzero(np.diff(anchor, prepend=-1))
+            key = _window_hashes(w, (min_words + 1) // 2)[anchor[new]]
+            yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(doc[new])), pa.array((anchor - at[doc])[new].astype(np.int32)), pa.array(key)], names=["row", "pos", "key"])
+
+    def candidates(b: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+        s, e, at, x, doc, key, anchor = _windows(data, off, min_words)
+        some = np.flatnonzero(~_marked(b, "single", at)[anchor])
+        return s, e, at, x[some], doc[some], key[some]
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, data, off in blocks(batches):
+            _, _, at, x, doc, key = candidates(b, data, off)
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("row").take(take), pa.array((x - at[doc]).astype(np.int32)), pa.array(key)], names=["id", "row", "pos", "key"])
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, data, off in blocks(batches):
+            s, e, at, x, doc, _ = candidates(b, data, off)
+            later = ~_marked(b, "first", at)[x]
+            x, doc = x[later], doc[later]
+            begin = np.flatnonzero((np.diff(x, prepend=-min_words - 1) > min_words) | (np.diff(doc, prepend=-1) != 0))
+            end = np.append(begin[1:], len(x))[: len(begin)] - 1
+            char = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+            doc, a, z = doc[begin], x[begin], x[end] + min_words - 1
+            start = char[s[a]] - char[off[doc]]
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(doc)), pa.array(start), pa.array(char[e[z]] - char[off[doc]] - start), pa.array((z - a + 1).astype(np.int32))], names=["id", "start", "length", "n_words"])
+
+    found = rows.select("row", "text").mapInArrow(anchors, "row long, pos int, key long")
+    # where an anchor occurs once, the least row and place are its own
+    once = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.min("pos").alias("pos")).where("n = 1")
+    single = once.groupBy("row").agg(F.collect_list("pos").alias("single"))
+    narrowed = rows.join(single.hint("merge"), "row", "left")
+    of = narrowed.select("id", "row", "text", "single").mapInArrow(windows, f"id {kind}, row long, pos int, key long")
+    place = F.struct(F.col("id").isNull().alias("n"), "id", "row", "pos")
+    least = of.groupBy("key").agg(F.min(place).alias("p")).select("p.row", "p.pos")
+    first = least.groupBy("row").agg(F.collect_list("pos").alias("first"))
+    out = narrowed.join(first.hint("merge"), "row", "left").select("id", "text", "single", "first").mapInArrow(passages, f"id {kind}, start long, length long, n_words int")
+    return out.withColumnRenamed("id", id)
+
+
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
+OP8_PASSAGES_SQL = f"""
+WITH c AS (SELECT doc_id, translate(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ') AS t FROM documents),
+p AS (SELECT doc_id, unnest(string_split(t, ' ')) AS w, generate_subscripts(string_split(t, ' '), 1) AS j FROM c),
+o AS (SELECT doc_id, w, (sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY j) - length(w) - 1)::BIGINT AS start, j FROM p),
+w AS (SELECT doc_id, start, start + length(w) AS stop, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i FROM o WHERE w <> ''),
+g AS (SELECT doc_id, i, start, string_agg(w, ' ') OVER f AS win, max(stop) OVER f AS stop, count(*) OVER f AS n FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING)),
+r AS (SELECT doc_id, i, start, stop, row_number() OVER (PARTITION BY win ORDER BY doc_id NULLS LAST, i) AS nth FROM g WHERE n = {MIN_WORDS}),
+q AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {MIN_WORDS}, true)::INT AS new FROM r WHERE nth > 1),
+k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM q)
+SELECT doc_id, min(start) AS start, max(stop) - min(start) AS length, (max(i) - min(i) + {MIN_WORDS})::INT AS n_words FROM k GROUP BY doc_id, run
+"""
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units(documents(spark, sf_dir)).withColumnRenamed("first_id", "first_doc_id")
 
