@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,6 +358,24 @@ def test_lm_joins_rare_words(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("share", [0, 1e-2, 1.0])
+def test_lm_counts_rare_contexts(spark, share):
+    train = [f"common start {i % 3} and rare{i * 7919 % 101}" for i in range(40)]
+    texts = ["common start 1 and rare55", "rare7 alone", "q", None]
+    tr = spark.createDataFrame([(i, t) for i, t in enumerate(train)], "doc_id long, text string")
+    te = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: r.score for r in ctw.lm_scores(te, tr, node_share=share).collect()}
+    for i, t in enumerate(texts):
+        assert out[i] == pytest.approx(plain_ctw(train, t or "", ctw.DEPTH), rel=1e-4)
+
+
+def test_whole_groups_part_no_group(monkeypatch):
+    monkeypatch.setattr(ctw, "CHUNK", 4)
+    x = np.repeat(np.arange(9), [1, 2, 9, 1, 1, 3, 2, 5, 1])
+    got = [t.column("x").to_pylist() for t in ctw.whole_groups(iter([pa.record_batch([pa.array(x[i : i + 3])], ["x"]) for i in range(0, len(x), 3)]), "x")]
+    assert sum(got, []) == x.tolist() and all(a[-1] < b[0] for a, b in zip(got, got[1:]))
+
+
 def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(3)
     code = rng.integers(0, 4, 3000)

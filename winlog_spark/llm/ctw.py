@@ -13,9 +13,13 @@ from .common import Tally, blocks, checkpointed, counted, crc_bucket, documents,
 
 #: Bytes of context.
 DEPTH = 5
-#: A node (context, bits of the next byte so far) is kept if it holds this share of all training bytes, so there are at
-#: most 8 / NODE_SHARE nodes a depth; bytes in rarer contexts count at the node above.
-NODE_SHARE = 4e-6
+#: Nodes of contexts of this many bytes and more are weighted apart for each context of so many bytes; those above, at
+#: most 65,791, are sent to all tasks.
+TOP = 2
+#: Scores of grams that hold this share of the texts' bytes are sent to all tasks, at most 1 / GRAM_SHARE of them; others are joined.
+GRAM_SHARE = 2.5e-7
+#: Grams that a task works on at once (those of one context of TOP bytes stay together).
+CHUNK = 1 << 17
 #: Words that hold this share of the training tokens are sent to all tasks, at most 1 / WORD_SHARE of them; others are joined.
 WORD_SHARE = 5e-7
 WORD, GRAM, DOCS = 0, 1, 2
@@ -60,23 +64,40 @@ def node_key(depth: int, context: np.ndarray, prefix: np.ndarray) -> np.ndarray:
     return np.int64(depth) << 56 | context << 8 | prefix
 
 
-def node_counts(counts: DataFrame) -> DataFrame:
-    """(key, zeros, ones) of every node: a context of 0 to DEPTH bytes and the bits of the next byte so far."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            code, n = b.column("key").to_numpy(), b.column("n").to_numpy()
-            for d in range(DEPTH, -1, -1):
-                code, n = counted(code & ((1 << 8 * (d + 1)) - 1), n)
-                context, byte = code >> 8, code & 255
-                for k in range(8):
-                    key = node_key(d, context, 1 << k | byte >> (8 - k))
-                    u, inv = np.unique(key, return_inverse=True)
-                    bit = byte >> (7 - k) & 1
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.bincount(inv, n * (1 - bit), len(u)).astype(np.int64)), pa.array(np.bincount(inv, n * bit, len(u)).astype(np.int64))], names=["key", "zeros", "ones"])
-
-    some = counts.where(F.col("kind") == GRAM).select("key", "n").mapInArrow(spread, "key long, zeros long, ones long")
-    return some.groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+def node_counts(code: np.ndarray, n: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, zeros and ones of every node of top to DEPTH bytes of context: a context and the bits of the next byte so far."""
+    keys, zeros, ones = [], [], []
+    for d in range(DEPTH, top - 1, -1):
+        code, n = counted(code & ((1 << 8 * (d + 1)) - 1), n)
+        context, byte = code >> 8, code & 255
+        for k in range(8):
+            u, inv = np.unique(node_key(d, context, 1 << k | byte >> (8 - k)), return_inverse=True)
+            bit = byte >> (7 - k) & 1
+            keys.append(u)
+            zeros.append(np.bincount(inv, n * (1 - bit), len(u)))
+            ones.append(np.bincount(inv, n * bit, len(u)))
+    return np.concatenate(keys), np.concatenate(zeros), np.concatenate(ones)
+
+
+def parents(key: np.ndarray) -> np.ndarray:
+    """The nodes with a context shorter by its first byte, of nodes of one depth."""
+    d = key >> 56
+    return node_key(d - 1, (key >> 8) & ((np.int64(1) << 8 * (d - 1)) - 1), key & 255)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
+    """Rows that come in order of a column, in tables of at least CHUNK rows (but the last) that part no group."""
+    held = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= CHUNK:
+            t = pa.Table.from_batches(held)
+            cut = int(np.searchsorted(t.column(by).to_numpy(), t.column(by)[-1].as_py()))
+            if cut:
+                yield t.slice(0, cut)
+            held = t.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -99,42 +120,42 @@ class ContextTrees:
     P(s) = KT(s) / 2 + KT(rest of s) * product of P(child) / 2, where the children are the contexts one byte longer that
     are kept and the rest is what the node has seen beyond them. Predicting, each node mixes its own estimate with what
     the longer context says by the share of KT(s) / 2 in P(s).
+
+    Nodes may be those of a range of depths only: top to bottom, where total is the logarithm of P at the bottom, if that
+    has contexts below it.
     """
 
-    def __init__(self, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
+    def __init__(self, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, top: int = 0, bottom: int = DEPTH, total: np.ndarray | None = None):
         order = np.argsort(key)
+        given = None if total is None else total[order]
         self.key, zeros, ones = key[order], zeros[order].astype(np.float64), ones[order].astype(np.float64)
         size = len(key)
         depth = self.key >> 56
         inner_zeros, inner_ones, inner = np.zeros(size), np.zeros(size), np.zeros(size)
         weight, rest = np.ones(size), np.full(size, 0.5)
         log_kt = _log_kt(zeros, ones) if size else zeros
-        for d in range(DEPTH, -1, -1):
+        for d in range(bottom, top - 1, -1):
             at = np.flatnonzero(depth == d)
             rz, ro = zeros[at] - inner_zeros[at], ones[at] - inner_ones[at]
             split = np.where(inner_zeros[at] + inner_ones[at] > 0, _log_kt(rz, ro) + inner[at], log_kt[at])
-            total = np.logaddexp(log_kt[at], split) - np.log(2)
+            total = given[at] if d == bottom and given is not None else np.logaddexp(log_kt[at], split) - np.log(2)
             weight[at] = np.where(inner_zeros[at] + inner_ones[at] > 0, np.exp(log_kt[at] - np.log(2) - total), 1)
             rest[at] = (ro + 0.5) / (rz + ro + 1)
-            if d:
-                up = node_key(d - 1, (self.key[at] >> 8) & ((1 << 8 * (d - 1)) - 1), self.key[at] & 255)
-                to = np.searchsorted(self.key, up)
+            if d == top:
+                self.tops = self.key[at], zeros[at], ones[at], total
+            else:
+                to = np.searchsorted(self.key, parents(self.key[at]))
                 for sums, x in ((inner_zeros, zeros[at]), (inner_ones, ones[at]), (inner, total)):
                     sums += np.bincount(to, x, size)
         self.one = ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
         self.weight, self.rest = weight.astype(np.float32), rest.astype(np.float32)
-        self.met = (np.zeros(0, np.int64), np.zeros(0))
-
-    def known(self, codes: np.ndarray) -> np.ndarray:
-        """log10 of sorted distinct codes; those that this worker has met before are looked up."""
-        held, values = self.met if len(self.met[0]) < 1_000_000 else (np.zeros(0, np.int64), np.zeros(0))
-        new = codes[held[np.minimum(np.searchsorted(held, codes), len(held) - 1)] != codes] if len(held) else codes
-        if len(new):
-            merged = np.concatenate([held, new])
-            order = np.argsort(merged, kind="stable")
-            held, values = merged[order], np.concatenate([values, self.log10(new)])[order]
-            self.met = held, values
-        return values[np.searchsorted(held, codes)]
+
+    def above(self, lower: ContextTrees) -> ContextTrees:
+        """The nodes of less than TOP bytes of context of this, and those of lower."""
+        out, n = object.__new__(ContextTrees), np.searchsorted(self.key, TOP << 56)
+        for name in ("key", "one", "weight", "rest"):
+            setattr(out, name, np.concatenate([getattr(self, name)[:n], getattr(lower, name)]))
+        return out
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """Of the last byte of each gram code, given those before it."""
@@ -159,39 +180,88 @@ class ContextTrees:
         return out
 
 
-def lm_scores(docs: DataFrame, train: DataFrame, id: str = "doc_id", text: str = "text", node_share: float = NODE_SHARE, word_share: float = WORD_SHARE) -> DataFrame:
+def gram_scores(counts: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """(key, times, value): each different gram of docs, how often it occurs there, and log10 of its last byte given those before it, by the train_counts of the training texts."""
+    of_train = counts.where(F.col("kind") == GRAM).select("key", "n", F.lit(0).cast("long").alias("times"))
+    of_docs = train_counts(docs, text).where(F.col("kind") == GRAM).select("key", F.lit(0).cast("long").alias("n"), F.col("n").alias("times"))
+    both = of_train.unionByName(of_docs).groupBy("key").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
+    ends = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1)).alias("ends")
+    grouped = checkpointed(both.select("key", "n", "times", ends).repartition("ends").sortWithinPartitions("ends"))
+
+    def lower(t: pa.Table) -> ContextTrees:
+        code, n = t.column("key").to_numpy(), t.column("n").to_numpy()
+        return ContextTrees(*node_counts(code[n > 0], n[n > 0], TOP), top=TOP)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "ends"):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in lower(t).tops], names=["key", "zeros", "ones", "total"])
+
+    # what the nodes above need of those of TOP bytes: sums over their last bits, of which there are few
+    tops = grouped.mapInArrow(weigh, "key long, zeros double, ones double, total double").toArrow()
+    key, zeros, ones, total = (tops.column(c).to_numpy() for c in ("key", "zeros", "ones", "total"))
+    keys, z, o, p = [key], [zeros], [ones], [total]
+    for _ in range(TOP):
+        key, inv = np.unique(parents(keys[-1]), return_inverse=True)
+        keys.append(key)
+        z.append(np.bincount(inv, z[-1], len(key)))
+        o.append(np.bincount(inv, o[-1], len(key)))
+        p.append(np.zeros(len(key)))
+    upper = docs.sparkSession.sparkContext.broadcast(ContextTrees(*map(np.concatenate, (keys, z, o)), bottom=TOP, total=np.concatenate(p)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "ends"):
+            times = t.column("times").to_numpy()
+            code = t.column("key").to_numpy()[times > 0]
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(times[times > 0]), pa.array(upper.value.above(lower(t)).log10(code))], names=["key", "times", "value"])
+
+    return checkpointed(grouped.mapInArrow(score, "key long, times long, value double"))
+
+
+def lm_scores(docs: DataFrame, train: DataFrame, id: str = "doc_id", text: str = "text", node_share: float = GRAM_SHARE, word_share: float = WORD_SHARE) -> DataFrame:
     """Per row: id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    Tasks count words and grams of the training texts, Spark adds them up; this table grows with the corpus and stays
-    distributed. From it come the nodes of the context trees that hold node_share of the training bytes and the words
-    that hold word_share of the training tokens; by these shares both have a size bound whatever the corpus, and only
-    they are sent to all tasks. Rarer words are joined by their hash. Null text counts as empty: one end token, one end
-    byte. With no training rows every bit has probability 1/2 and every count is 0. Words are told apart by 63 bits of
-    hash. Repeated rows are scored each for itself.
+    Tasks count words and grams of the training texts and of docs, Spark adds them up; these tables grow with the corpus
+    and stay distributed. Every node of the context trees counts. Nodes whose contexts end in the same TOP bytes are
+    weighted by one task, which returns those of TOP bytes; from these come the few nodes above, and with them each
+    distinct gram of docs gets its score. Only scores of grams that hold node_share of the bytes of docs and counts of
+    words that hold word_share of the training tokens are sent to all tasks; rarer ones are joined, with the same result.
+    Null text counts as empty: one end token, one end byte. With no training rows every bit has probability 1/2 and every
+    count is 0. Words are told apart by 63 bits of hash. Repeated rows are scored each for itself.
     """
     counts = checkpointed(train_counts(train, text))
     size = {r.kind: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different")).collect()}
     n_docs = size[DOCS].n if DOCS in size else 0
     n_train = (size[WORD].n if WORD in size else 0) + n_docs
     vocabulary = (size[WORD].different if WORD in size else 0) + (n_docs > 0)
-    n_bytes = size[GRAM].n if GRAM in size else 0
-    nodes = node_counts(counts).where(F.col("zeros") + F.col("ones") >= node_share * n_bytes).toArrow()
-    trees = ContextTrees(*(nodes.column(c).to_numpy() for c in ("key", "zeros", "ones")))
+    grams_of = gram_scores(counts, docs, text)
+    n_bytes = grams_of.agg(F.sum("times")).first()[0] or 0
+    often = grams_of.where(F.col("times") >= node_share * n_bytes).select("key", "value").toArrow().sort_by("key")
     floor = max(1, word_share * n_train)
     frequent = counts.where((F.col("kind") == WORD) & (F.col("n") >= floor)).select("key", "n").toArrow().sort_by("key")
-    shared = docs.sparkSession.sparkContext.broadcast((trees, frequent.column("key").to_numpy(), frequent.column("n").to_numpy()))
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(t.column(c).to_numpy() for t, c in ((often, "key"), (often, "value"), (frequent, "key"), (frequent, "n"))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, keys, n = shared.value
+        codes_known, values_known, keys, n = shared.value
+
+        def rows_out(row, ids, kind, size, key, times, tokens, known, base, value):
+            kinds = np.full(len(row), kind, np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(row), ids, *[pa.array(x) for x in (kinds, size, key, times, tokens, known, base, value)]], names=["row", "id", "kind", "bytes", "key", "times", "tokens", "known", "base", "score"])
 
-        def rows_out(row, ids, size, key, times, tokens, known, base, value):
-            return pa.RecordBatch.from_arrays([pa.array(row), ids, *[pa.array(x) for x in (size, key, times, tokens, known, base, value)]], names=["row", "id", "bytes", "key", "times", "tokens", "known", "base", "score"])
+        def joined_later(kind, rows, row, doc, key, rare):
+            """A row for each text and rare key."""
+            pair, times = np.unique(doc[rare] * len(key[0]) + key[1][rare], return_counts=True) if rare.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            d, k = np.divmod(pair, max(1, len(key[0])))
+            zero = np.zeros(len(pair), np.int64)
+            return rows_out(row[d], pa.nulls(len(zero), rows.column("id").type), kind, zero, key[0][k], times.astype(np.int64), zero, zero, zero.astype(np.float64), zero.astype(np.float64))
 
         for rows, data, off in blocks(batches):
             row = rows.column("row").to_numpy()
             codes, begin = grams(data, off)
             u, inv = np.unique(codes, return_inverse=True)
-            value = np.add.reduceat(tree.known(u)[inv], begin)
+            place = np.minimum(np.searchsorted(codes_known, u), max(0, len(codes_known) - 1))
+            met = codes_known[place] == u if len(codes_known) else np.zeros(len(u), bool)
+            value = np.add.reduceat((np.where(met, values_known[place], 0.0) if len(codes_known) else np.zeros(len(u)))[inv], begin)
+            yield joined_later(GRAM, rows, row, np.repeat(np.arange(len(row)), np.diff(off) + 1), (u, inv), ~met[inv])
             w, at = words(data, off)
             w = (w & _BITS).view(np.int64)
             doc = np.repeat(np.arange(len(row)), np.diff(at))
@@ -202,22 +272,20 @@ def lm_scores(docs: DataFrame, train: DataFrame, id: str = "doc_id", text: str =
             base = np.bincount(doc, np.log10(c + 1.0), len(row)) + np.log10(n_docs + 1.0)
             known = np.bincount(doc, c > 0, len(row)).astype(np.int64) + (n_docs > 0)
             # a row's own sums go along under a negative key, which no word has
-            yield rows_out(row, rows.column("id"), np.diff(off), ~row, np.ones(len(row), np.int64), np.diff(at) + 1, known, base, value)
-            rare = ~hit[iw]
-            pair, times = np.unique(np.stack([doc[rare], iw[rare]]), axis=1, return_counts=True) if rare.any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-            zero = np.zeros(pair.shape[1], np.int64)
-            yield rows_out(row[pair[0]], pa.nulls(len(zero), rows.column("id").type), zero, uw[pair[1]], times.astype(np.int64), zero, zero, zero.astype(np.float64), zero.astype(np.float64))
+            yield rows_out(row, rows.column("id"), DOCS, np.diff(off), ~row, np.ones(len(row), np.int64), np.diff(at) + 1, known, base, value)
+            yield joined_later(WORD, rows, row, doc, (uw, iw), ~hit[iw])
 
     kind = docs.select(id).schema[0].dataType.simpleString()
     numbered = docs.select(F.col(id).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    parts = numbered.mapInArrow(score, f"row long, id {kind}, bytes long, key long, times long, tokens long, known long, base double, score double")
-    rare = counts.where((F.col("kind") == WORD) & (F.col("n") < floor)).select("key", F.col("n").alias("c"))
-    joined = parts.join(rare, "key", "left")
+    parts = numbered.mapInArrow(score, f"row long, id {kind}, kind int, bytes long, key long, times long, tokens long, known long, base double, score double")
+    rare = counts.where((F.col("kind") == WORD) & (F.col("n") < floor)).select("kind", "key", F.col("n").alias("c"), F.lit(0.0).alias("v"))
+    rare = rare.unionByName(grams_of.where(F.col("times") < node_share * n_bytes).select(F.lit(GRAM).alias("kind"), "key", F.lit(None).cast("long").alias("c"), F.col("value").alias("v")))
+    joined = parts.join(rare, ["kind", "key"], "left")
     found = F.col("c").isNotNull()
     out = joined.groupBy("row").agg(
         F.max("id").alias("id"), F.max("bytes").alias("bytes"),
         F.sum("tokens").alias("n_tokens"), F.sum(F.col("known") + F.when(found, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(found, F.col("times") * F.log10(F.col("c") + 1)).otherwise(0.0)).alias("base"), F.sum("score").alias("score"))
+        F.sum(F.col("base") + F.when(found, F.col("times") * F.log10(F.col("c") + 1)).otherwise(0.0)).alias("base"), F.sum(F.col("score") + F.coalesce(F.col("times") * F.col("v"), F.lit(0.0))).alias("score"))
     base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(n_train + vocabulary + 1)))
     bits = -F.col("score") / F.lit(float(np.log10(2))) / (F.col("bytes") + 1)
     return out.select(F.col("id").alias(id), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
