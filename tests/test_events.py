@@ -183,6 +183,16 @@ def test_pivots(spark):
     assert pivots.same_key(e, e, "logonid").count() == 0
 
 
+def test_every_process_access_is_a_centre(spark):
+    from conftest import DATA
+
+    from winlog_spark.queries import QUERIES, ev
+
+    e = ev(spark, str(DATA))
+    wanted = {r.g for r in e.where("event_id = 10").where(F.size(pivots.keys_of("processguid")) > 0).select("g").collect()}
+    assert {r.centre for r in QUERIES["j6_same_process_all"](spark, str(DATA)).select("centre").distinct().collect()} == wanted
+
+
 def test_order_ties_and_nulls(spark):
     e = events(spark, (1, SYSMON, [], {"level": 2}), (1, SYSMON, [], {"level": None}), (1, SYSMON, [], {"level": 2}))
     assert [r.g for r in pivots.ordered(e, "level").collect()] == [0, 2, 1]

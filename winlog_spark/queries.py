@@ -250,6 +250,7 @@ add("j2_bookmarked", lambda e: case.bookmarked(e, _case(e)[0]).select("g"), "SEL
 add("j5_near_in_time", lambda e: pivots.near_in_time(e.where("event_id = 1102"), e.where("event_id = 4624"), 600, ("computer",)), "SELECT c.g AS centre, e.g FROM ev c JOIN ev e ON c.event_id = 1102 AND e.event_id = 4624 AND c.computer = e.computer AND abs(epoch_us(c.ts) - epoch_us(e.ts)) <= 600000000")
 _GUID = "x AS (SELECT g, event_id, lower(p.value) AS key FROM (SELECT g, event_id, unnest(ed) AS p FROM ev) WHERE lower(p.name) IN ('processguid', 'parentprocessguid', 'sourceprocessguid', 'targetprocessguid'))"
 add("j6_same_process", lambda e: pivots.same_key(e.where("event_id = 10 and g % 5 = 0"), e, "processguid"), "SELECT DISTINCT c.g AS centre, x.g FROM x c JOIN x USING (key) WHERE c.event_id = 10 AND c.g % 5 = 0", _GUID)
+add("j6_same_process_all", lambda e: pivots.same_key(e.where("event_id = 10"), e, "processguid"), "SELECT DISTINCT c.g AS centre, x.g FROM x c JOIN x USING (key) WHERE c.event_id = 10", _GUID)
 add("j9_unknown_types", lambda e: pivots.unknown_types(e, _reference(e)), "SELECT lower(channel) AS channel, event_id, count(*) AS n FROM ev WHERE (lower(channel), event_id) NOT IN (('security', 4624), ('security', 4625), ('system', 7045)) GROUP BY ALL")
 
 # --- detection ---------------------------------------------------------------------------
