@@ -1,5 +1,6 @@
 """Operators on single events: fields, decoding, predicates, times, XML, exports, cases."""
 
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -242,6 +243,29 @@ def test_merge_and_remove(spark):
     assert logs.without_file(m, "b").count() == 2
 
 
+def test_dense_order_spreads_each_log(spark):
+    one = events(spark, *[LOGON] * 60)
+    m = logs.merge_logs(one, one.where("g < 20"), one)
+    dense = logs.dense_order(m, buckets=8)
+    assert [r.record_id for r in dense.orderBy("g").collect()] == [*range(60), *range(20), *range(60)] and dense.agg(F.max("g"), F.countDistinct("g")).first()[:] == (139, 140)
+    # no task numbers a whole log: rows by the window's groups
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = logs.dense_order(m, buckets=64).rdd.glom().map(len).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 60
+
+
+def test_detection_json_has_one_row_an_event(spark):
+    row = lambda i: ("r", "t", "high", "", "T1", i, f"2024-01-{30 - i:02d}", "H", "Security", 4624, "f", "k", "by us", "")
+    names = "rule_id string, rule_title string, rule_level string, rule_status string, attack_techniques string, event_record_id long, event_time string, computer string, channel string, event_id long, file string, key_fields string, attribution string, rule_url string"
+    out = export.detection_json(spark.createDataFrame([row(i) for i in range(20)], names)).orderBy("rule_id", "part", "event_time", "event_record_id").collect()
+    first, *rest = [json.loads(r.json) for r in out]
+    assert first["count"] == 20 and first["rule_title"] == "t" and "events" not in first
+    assert [r["event_record_id"] for r in rest] == list(range(19, -1, -1)) and all(r["key_fields"] == "k" for r in rest)
+
+
 def test_streams(spark, tmp_path):
     e = events(spark, *[(4625, SECURITY, [("IpAddress", "9.9.9.9")], {"ts": T0 + timedelta(seconds=i)}) for i in range(12)], (4625, SECURITY, [], {"ts": T0 + timedelta(hours=2)}))
     e.write.parquet(str(tmp_path / "in"))

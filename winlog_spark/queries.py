@@ -350,7 +350,7 @@ def _export(e: DataFrame) -> DataFrame:
 
 
 add("io10_detection_rows", lambda e: _export(e).select("rule_id", "rule_level", "attack_techniques", "event_record_id", "event_id", "file", "attribution"), f"SELECT rule_id, r.level AS rule_level, CASE rule_id WHEN 'd21_condition' THEN 'T{1000 + list(RULES).index('d21_condition')}' ELSE 'T{1000 + list(RULES).index('d16_hex_number')}' END AS attack_techniques, record_id AS event_record_id, event_id, file, 'Rule by us' AS attribution FROM m JOIN ev USING (g) JOIN r USING (rule_id) WHERE rule_id IN ('d21_condition', 'd16_hex_number')", f"{_M}, {_R}")
-add("io11_detection_json", lambda e: export.detection_json(_export(e)).select("rule_id", F.get_json_object("json", "$.count").cast("long").alias("n")), "SELECT rule_id, count(*) AS n FROM m WHERE rule_id IN ('d21_condition', 'd16_hex_number') GROUP BY 1", _M)
+add("io11_detection_json", lambda e: export.detection_json(_export(e)).groupBy("rule_id").agg(F.max(F.get_json_object("json", "$.count").cast("long")).alias("n")), "SELECT rule_id, count(*) AS n FROM m WHERE rule_id IN ('d21_condition', 'd16_hex_number') GROUP BY 1", _M)
 
 
 # --- streams --------------------------------------------------------------------------------------

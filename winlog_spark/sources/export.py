@@ -67,7 +67,7 @@ def detection_rows(matches: DataFrame, events: DataFrame, rules: DataFrame, keys
     url = F.coalesce("url", F.lit("")) if "url" in rules.columns else F.lit("")
     e = events.select("g", F.col("record_id").alias("event_record_id"), format_timestamp(F.col("ts")).alias("event_time"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("computer", "channel")], "event_id", F.coalesce("file", F.lit("")).alias("file"))
     r = rules.select("rule_id", F.col("title").alias("rule_title"), F.col("level").alias("rule_level"), F.coalesce("status", F.lit("")).alias("rule_status"), F.array_join("techniques", " ").alias("attack_techniques"), "attribution", url.alias("rule_url"))
-    out = matches.join(e, "g").join(keys, ["rule_id", "g"]).join(r, "rule_id")
+    out = matches.join(e, "g").join(keys, ["rule_id", "g"]).join(F.broadcast(r), "rule_id")
     return out.select("rule_id", "rule_title", "rule_level", "rule_status", "attack_techniques", "event_record_id", "event_time", "computer", "channel", "event_id", "file", "key_fields", "attribution", "rule_url")
 
 
@@ -75,11 +75,17 @@ def write_detection_csv(rows: DataFrame, path: str) -> None:
     rows.write.csv(path, header=True, quote='"', escape='"', lineSep="\r\n", emptyValue="")
 
 
-def detection_json(rows: DataFrame, most: int | None = None) -> DataFrame:
-    """(rule_id, json): each rule with its count and its events in time order."""
-    event = F.struct("event_time", "event_record_id", "computer", "channel", "event_id", "file", "key_fields")
-    g = rows.groupBy("rule_id", "rule_title", "rule_level", "rule_status", "attack_techniques", "attribution", "rule_url").agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_list(event)).alias("events"))
-    return g.select("rule_id", F.to_json(F.struct("*")).alias("json"))
+def detection_json(rows: DataFrame) -> DataFrame:
+    """(rule_id, part, event_time, event_record_id, json): a row with each rule and its count (part 0), and one with each of its events (part 1).
+
+    No row holds more than an event, however many a rule has; write it with orderBy of the first four columns for each
+    rule's events in time order.
+    """
+    of_rule = ["rule_id", "rule_title", "rule_level", "rule_status", "attack_techniques", "attribution", "rule_url"]
+    of_event = ["event_time", "event_record_id", "computer", "channel", "event_id", "file", "key_fields"]
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in of_event[:2]]
+    heads = rows.groupBy(*of_rule).agg(F.count(F.lit(1)).alias("count")).select("rule_id", F.lit(0).alias("part"), *none, F.to_json(F.struct(*of_rule, "count")).alias("json"))
+    return heads.unionByName(rows.select("rule_id", F.lit(1).alias("part"), *of_event[:2], F.to_json(F.struct("rule_id", *of_event)).alias("json")))
 
 
 def report_sections(events: DataFrame, bookmarks: DataFrame, notes: DataFrame) -> DataFrame:

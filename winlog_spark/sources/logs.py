@@ -20,13 +20,17 @@ def merge_logs(*logs: DataFrame) -> DataFrame:
 
 
 def dense_order(events: DataFrame, buckets: int = 256) -> DataFrame:
-    """events with g counted from 0 without gaps, in the order they have: ranges are counted first, then numbered each for itself."""
-    span = events.agg(F.min("g").alias("_lo"), F.max("g").alias("_hi"))
-    b = events.join(F.broadcast(span)).withColumn("_b", F.floor((F.col("g") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * buckets))
-    size = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = size.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    n = F.row_number().over(Window.partitionBy("_b").orderBy("g")) - 1
-    return b.join(F.broadcast(before), "_b").withColumn("g", F.col("_before") + n).drop("_b", "_lo", "_hi", "_before")
+    """events with g counted from 0 without gaps, in the order they have: ranges are counted first, then numbered each for itself.
+
+    The ranges are equal parts of each log's own span of g, since merge_logs puts logs 2**40 apart.
+    """
+    placed = events.withColumn("_log", F.shiftright("g", 40))
+    span = placed.groupBy("_log").agg(F.min("g").alias("_lo"), F.max("g").alias("_hi"))
+    b = placed.join(F.broadcast(span), "_log").withColumn("_b", F.floor((F.col("g") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * buckets))
+    size = b.groupBy("_log", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = size.select("_log", "_b", F.coalesce(F.sum("_n").over(Window.orderBy("_log", "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    n = F.row_number().over(Window.partitionBy("_log", "_b").orderBy("g")) - 1
+    return b.join(F.broadcast(before), ["_log", "_b"]).withColumn("g", F.col("_before") + n).drop("_log", "_b", "_lo", "_hi", "_before")
 
 
 def without_file(events: DataFrame, file: str) -> DataFrame:
