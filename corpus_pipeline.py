@@ -12,26 +12,50 @@ from winlog_spark.llm.common import documents, word_count
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any language (no text, or no letter) go; all others stay."""
-    found = langid.identify(docs, langid.learned(docs)).where("lang_pred = 'und'").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Documents go of which no language makes up half: no text, no letter, or a mixture without a main language.
+
+    Null and empty texts go, whatever their id. Each row is judged by its own text, repeats alike, so an id that occurs
+    with several texts loses only those that are rejected. Ties go to the first language by code point. Very long texts
+    are judged whole. No rows in, no rows out; further columns go along, whatever their names.
+    """
+    return langid.keep_languages(docs, langid.learned(docs))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (after lower-casing A-Z) the row of the greatest id stays.
+
+    Null and empty texts are equal to each other. Rows that repeat the id and text that stay are all kept (a tie that
+    nothing breaks); rows without an id stay. Of an id with several texts only the duplicate text goes. Very long texts are hashed whole. No rows in, no rows out; further columns go along.
+    """
     return dedup.drop_exact_duplicates(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 or more on five-word shingles, over any number of links, that of the smallest id stays.
+
+    Null, empty and blank texts and rows without an id are linked with nothing and stay. Rows that repeat an id and text
+    stay or go together; of an id with several texts each goes by its own links. Very long texts count whole. No rows
+    in, no rows out; further columns go along.
+    """
     return neardup.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes: a document may go, be cut at a block's end, or come again, up to three times."""
+    """The words that the mix takes: a document may go, be cut at a block's end, or come again, up to three times.
+
+    Documents without words are not taken. A null source is a source like others, the last. Rows that repeat an id and
+    size are taken alike. Equal quotients go to the smaller source or shard. Very long texts are sources of blocks like
+    others. No rows in, no rows out; further columns go along.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row in pieces of at most the greatest length, each with its bin."""
+    """Every row in pieces of at most the greatest length, each with its bin.
+
+    Documents without words have one row with bin null. Equal sizes go by id; repeated rows are packed once each, a null
+    id like others. Very long texts give full pieces and a remainder. No rows in, no rows out; of further columns none.
+    """
     return packing.best_fit_pack(docs.select("doc_id", word_count(F.col("text")).alias("n_words")), "n_words", ["doc_id"])
 
 

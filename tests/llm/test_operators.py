@@ -136,6 +136,19 @@ def test_exact_dedup(spark, docs, clash):
     assert left.columns == clash.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 2, 4, 5, 6, 6, 7, 9, 10]
 
 
+def test_rows_of_one_id_go_by_their_own_text(spark):
+    """An id with two texts: only the duplicate goes, in each filtering stage."""
+    d = spark.createDataFrame([(5, "same text"), (5, "quite another"), (9, "SAME text"), (7, "12 34"), (7, "und so weiter"), (None, "same text"), (None, "alone")], "doc_id long, text string")
+    want = [(None, "alone"), (None, "same text"), (5, "quite another"), (7, "12 34"), (7, "und so weiter"), (9, "SAME text")]
+    assert as_rows(dedup.drop_exact_duplicates(d)) == sorted(want, key=repr)
+    known = spark.createDataFrame([("und so weiter", "de"), ("quite another same text alone", "en")], "text string, lang string")
+    left = langid.keep_languages(d, langid.fit_languages(known))
+    assert left.columns == d.columns and as_rows(left) == sorted([tuple(r) for r in d.collect() if r.text != "12 34"], key=repr)
+    base = " ".join(f"w{i}" for i in range(60))
+    near = spark.createDataFrame([(9, base + " x"), (9, "nothing like it at all"), (2, base), (2, "two words"), (30, base + " x"), (None, base)], "doc_id long, text string")
+    assert as_rows(neardup.drop_near_duplicates(near)) == sorted([(9, "nothing like it at all"), (2, base), (2, "two words"), (None, base)], key=repr)
+
+
 def test_equal_length_and_prefix_are_not_enough(spark):
     d = spark.createDataFrame([(1, "p" * 100 + "a"), (2, "p" * 100 + "b"), (3, "P" * 100 + "A")], "doc_id long, text string")
     assert as_rows(dedup.exact_dedup(d).select("doc_id", "keep_id")) == [(1, 3), (2, 2), (3, 3)]
@@ -529,6 +542,24 @@ def test_near_duplicates(spark, k):
     assert left == {i for i, _, c in got if i == c}
 
 
+def test_near_copies_around_the_limit(spark):
+    """A large group whose members are mostly just under the similarity, with and without the text they stem from."""
+    rng = random.Random(3)
+    texts = []
+    for keep in (True, False):
+        base = [f"w{rng.randrange(400)}" for _ in range(90)]
+        texts += [" ".join(base)] * keep
+        for _ in range(150):
+            copy = base[:]
+            for _ in range(rng.randrange(1, 6)):
+                copy[rng.randrange(len(copy))] = f"z{rng.randrange(6)}"
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    want = brute_components(rows, 4, 80)
+    assert got == want and len({c for _, _, c in want}) > 20
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_components(spark, seed):
     rng = random.Random(seed)

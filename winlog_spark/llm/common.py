@@ -46,12 +46,6 @@ def tasks_for(rows: int, each: int = 50_000) -> int:
     return max(8, -(-rows // each))
 
 
-def small(df: DataFrame, each: int = 50_000) -> DataFrame:
-    """df checkpointed, and read again by a task for so many rows: what is left after filtering should not stay in as many pieces as the input."""
-    out = checkpointed(df)
-    return out.coalesce(tasks_for(out.count(), each))
-
-
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, all else as it is; null counts as the empty text."""
     t = F.coalesce(text, F.lit(""))
@@ -62,6 +56,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_hash(text: Column) -> Column:
+    """Tells rows of one id with different texts apart; null and empty texts are alike."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def crc_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
@@ -98,7 +97,7 @@ def member_bits(ids: DataFrame, col: str, bits: int = 23) -> np.ndarray:
     slot = F.pmod(F.xxhash64(col), F.lit(1 << bits))
     found = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("b"))
     out = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    for r in found.toLocalIterator():
+    for r in found.collect():
         # Spark's buckets count from 1 for values above 0; value 0 is in bucket 0, at the place of value 1
         at = max(0, r.k - 1) * 4096
         chunk = np.frombuffer(bytes(r.b), dtype=np.uint8)[: len(out) - at]
@@ -122,7 +121,7 @@ def is_member(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7)) & 1 == 1
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def blocks(batches: Iterator[pa.RecordBatch], text: str | int = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, their texts' bytes with A-Z lower-cased, offsets) for slices of at most BLOCK_BYTES, a null text being empty."""
     for batch in batches:
         arr = batch.column(text).fill_null("").cast(pa.large_string())

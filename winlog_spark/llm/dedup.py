@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, lower_ascii, member_bits, member_test, salt_of, with_groups
+from .common import documents, lower_ascii, member_bits, member_test, salt_of, text_hash, with_groups
 
 #: Characters whose hash is the second step.
 PREFIX = 64
@@ -14,7 +14,7 @@ GROUP_BITS = 23
 
 
 def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", digest_all: bool = False) -> DataFrame:
-    """Per row: id, n_bytes, digest, keep_id (the id of the row that stays), group_size, kept.
+    """Per row: id, text_hash, n_bytes, digest, keep_id (the id of the row that stays), group_size, kept.
 
     1. Rows are counted by length and prefix hash, which moves 16 bytes a row; groups of one are done.
     2. The groups that survive set bits in a bitmap of bounded size. Only rows whose bit is set have their full
@@ -24,25 +24,31 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", digest_
 
     Null text counts as empty, and equal texts are those that agree after lower-casing A-Z. Rows that repeat the id that
     stays are all kept: nothing tells them apart. Where a group has no id but null, keep_id is null and its rows stay.
+    Rows of one id with different texts belong to different groups; text_hash tells them apart. An empty table gives no
+    rows; other columns of docs, whatever their names, are not read. A very long text is hashed where it is read.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    head = docs.select(F.col(id).alias("id"), t.alias("_t"), F.octet_length(t).cast("long").alias("n_bytes"))
+    head = docs.select(F.col(id).alias("id"), text_hash(t).alias("text_hash"), t.alias("_t"), F.octet_length(t).cast("long").alias("n_bytes"))
     head = head.withColumn("_group", F.xxhash64("n_bytes", lower_ascii(F.substring("_t", 1, PREFIX))))
     survivors = head.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     surviving = member_test(docs.sparkSession, member_bits(survivors, "_group", GROUP_BITS))
     head = head.withColumn("_in", surviving("_group"))
     full = F.sha2(lower_ascii(F.col("_t")).cast("binary"), 256)
-    hashed = head.select("id", "n_bytes", "_in", (full if digest_all else F.when(F.col("_in"), full)).alias("digest"))
-    alone = hashed.where(~F.col("_in")).select("id", "n_bytes", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    hashed = head.select("id", "text_hash", "n_bytes", "_in", (full if digest_all else F.when(F.col("_in"), full)).alias("digest"))
+    alone = hashed.where(~F.col("_in")).select("id", "text_hash", "n_bytes", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     among = with_groups(hashed.where("_in"), ["n_bytes", "digest"], {"keep_id": ("max", "id"), "group_size": ("count", "id")}, salt_of("id"))
-    out = among.select("id", "n_bytes", "digest", "keep_id", "group_size").unionByName(alone)
-    return out.select(F.col("id").alias(id), "n_bytes", "digest", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"))
+    out = among.select("id", "text_hash", "n_bytes", "digest", "keep_id", "group_size").unionByName(alone)
+    return out.select(F.col("id").alias(id), "text_hash", "n_bytes", "digest", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows of equal text that have a smaller id than another; columns as they are."""
-    gone = exact_dedup(docs, id, text).where("not kept").select(id).distinct()
-    return docs.join(gone, id, "left_anti").select(docs.columns)
+    """docs without the rows of equal text that have a smaller id than another; columns as they are.
+
+    Rows go by their own verdict, so of one id with different texts only the copy of another text goes. Repeats of the
+    row that stays all stay, and so do rows without an id.
+    """
+    gone = exact_dedup(docs, id, text).where("not kept").select(F.col(id).alias("__id"), "text_hash").distinct()
+    return docs.join(gone, (docs[id] == gone["__id"]) & (text_hash(docs[text]) == gone["text_hash"]), "left_anti")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from .common import blocks, crc_bucket, documents
 
@@ -16,7 +17,8 @@ BUCKETS = 4096
 EM_ROUNDS = 12
 #: Gain in log-likelihood that each further language of a set must bring, in units of log(trigrams) / 2.
 PENALTY = 4.0
-MOST_LANGUAGES = 1000
+#: A document is kept if one language makes up this much of it.
+LEAST_SHARE = 0.5
 ROWS = 512
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -40,7 +42,7 @@ def trigram_counts(data: np.ndarray, off: np.ndarray, buckets: int = BUCKETS) ->
     return np.bincount(owner[:-2][ok] * buckets + slot, minlength=n * buckets).reshape(n, buckets).astype(np.float32)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str | int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for rows, data, off in blocks(batches, text):
         for i in range(0, rows.num_rows, ROWS):
             j = min(i + ROWS, rows.num_rows)
@@ -51,7 +53,7 @@ def fit_languages(docs: DataFrame, lang: str = "lang", text: str = "text", bucke
     """Languages, and the log-probability of each bucket in each, from all rows whose lang is not null.
 
     Tasks add up trigram counts by language; what reaches the driver is one number per language and bucket, whatever the
-    corpus. More than MOST_LANGUAGES different values are an error.
+    corpus. Null texts count as empty, repeated rows each for themselves; from an empty table no language is learned.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,10 +69,8 @@ def fit_languages(docs: DataFrame, lang: str = "lang", text: str = "text", bucke
 
     known = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null")
     counted = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = counted.limit(MOST_LANGUAGES * buckets + 1).toPandas()
+    found = counted.toPandas()
     names = sorted(found["lang"].unique())
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} different languages")
     table = np.full((len(names), buckets), 0.5)
     table[[names.index(x) for x in found["lang"]] if len(names) else [], found["bucket"].to_numpy(dtype=int)] += found["n"].to_numpy(dtype=float)
     return names, np.log(table / table.sum(axis=1, keepdims=True)) if len(names) else table
@@ -117,27 +117,46 @@ def infer(counts: np.ndarray, logp: np.ndarray, rounds: int = EM_ROUNDS, penalty
     return best.argmax(axis=1), best.max(axis=1), size
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, lang_pred, score (the language's share of the document), n_langs (size of the selected set).
+def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", prefix: str = "") -> DataFrame:
+    """docs with lang_pred, score (the language's share of the document) and n_langs (size of the selected set), each name after `prefix`.
 
-    A text that is null or has no letter is `und` with score 0; so is every text if the model knows no language.
+    A text that is null or has no letter is `und` with score 0; so is every text if the model knows no language. Equal
+    likelihoods go to the language first by code point. Every row is judged by its own text, so repeated ids, repeated
+    rows and null ids are rows like others; the columns of docs go along as they are, and prefix keeps clear of their
+    names. A very long text is a block of its own, of which only counts are held. An empty table gives no rows.
     """
     names, logp = model
     shared = docs.sparkSession.sparkContext.broadcast(logp.astype(np.float32))
+    added = [f"{prefix}{c}" for c in ("lang_pred", "score", "n_langs")]
+    at, letters_at = docs.columns.index(text), f"{prefix}letters"
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for rows, data, off in pieces(batches, "text"):
-            letters = np.asarray(rows.column("letters").to_pylist(), dtype=bool)
+        for rows, data, off in pieces(batches, at):
+            letters = np.asarray(rows.column(rows.num_columns - 1).to_pylist(), dtype=bool)
             lang, score, size = np.full(len(letters), "und", dtype=object), np.zeros(len(letters)), np.zeros(len(letters), np.int32)
             if len(names) and letters.any():
                 got, share, many = infer(trigram_counts(data, off)[letters], table)
                 lang[letters], score[letters], size[letters] = np.asarray(names, dtype=object)[got], np.clip(share, 0, 1), many
-            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(lang, pa.string()), pa.array(score), pa.array(size)], names=["id", "lang_pred", "score", "n_langs"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(size)], names=[*rows.schema.names[:-1], *added])
+
+    schema = StructType([*docs.schema.fields, *(StructField(c, kind) for c, kind in zip(added, (StringType(), DoubleType(), IntegerType()), strict=True))])
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], _has_letter(F.col(text)).alias(letters_at)).mapInArrow(predict, schema)
 
-    kind = docs.select(id).schema[0].dataType.simpleString()
-    some = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), _has_letter(F.col(text)).alias("letters"))
-    return some.mapInArrow(predict, f"id {kind}, lang_pred string, score double, n_langs int").withColumnRenamed("id", id)
+
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: id, lang_pred, score, n_langs, as with_language gives them."""
+    return with_language(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), model).select(F.col("id").alias(id), "lang_pred", "score", "n_langs")
+
+
+def keep_languages(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
+    """The rows of docs of which one language that the model knows makes up at least least_share; columns as they are.
+
+    What goes: texts that are null or empty or have no letter, and mixtures in which no language reaches the share. Each
+    row is kept or goes by its own text, whatever its id. No row is shuffled.
+    """
+    judged = with_language(docs, model, text, "__")
+    return judged.where((F.col("__lang_pred") != "und") & (F.col("__score") >= least_share)).drop("__lang_pred", "__score", "__n_langs")
 
 
 def _has_letter(text: Column) -> Column:

@@ -9,12 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpointed, documents, is_member, member_bits, member_test, mix, salt_of, small, tasks_for, with_groups, words
+from .common import blocks, checkpointed, documents, is_member, member_bits, member_test, mix, salt_of, tasks_for, text_hash, with_groups, words
 
 #: A signature has CHUNKS chunks of 4 symbols of 16 bits, a chunk to a long.
 CHUNKS, SYMBOLS, SYMBOL_BITS = 8, 4, 16
 #: By pigeonhole, signatures that differ in at most this many of the 32 symbols have a chunk with at most one error.
 MOST_ERRORS = 2 * CHUNKS - 1
+#: Pairs that share a key by chance go if their signatures differ in more symbols; at similarity 0.8 that is one pair in 5 million.
+LOOSE_ERRORS = MOST_ERRORS + 4
+#: Sets whose sizes are within this ratio are one level in the join on rare shingles.
+LEVEL = 1.05
 SIMILARITY = 80
 #: The bitmap that narrows keys before their exact join has 2**KEY_BITS bits (2 MB).
 KEY_BITS = 24
@@ -57,35 +61,27 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-#: Bits that a set is summed up in: each shingle flips one of them.
-PARITY_LONGS = 8
-PARITY = [f"p{i}" for i in range(PARITY_LONGS)]
-
-
-def parities(sets: list[np.ndarray]) -> np.ndarray:
-    """Sets x PARITY_LONGS: two sets differ in at least as many shingles as in bits."""
-    bits = 64 * PARITY_LONGS
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    odd = np.bincount(owner * bits + (flat >> np.uint64(40)).astype(np.int64) % bits, minlength=len(sets) * bits) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(len(sets), bits), axis=1, bitorder="little").view(np.int64)
-
-
 def _signed(docs: DataFrame, id: str, text: str, k: int) -> DataFrame:
+    """Per row: id, text_hash, n (size of the shingle set), h1 and h2 (hashes of the set), sig (array of CHUNKS longs)."""
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in blocks(batches):
             sets = list(shingle_sets(data, off, k))
-            sig = signatures(sets).view(np.int64)
-            h1 = np.array([np.add.reduce(mix(s)) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
+            sig = pa.FixedSizeListArray.from_arrays(pa.array(signatures(sets).view(np.int64).ravel()), CHUNKS).cast(pa.list_(pa.int64()))
             h2 = np.array([np.bitwise_xor.reduce(mix(s + _PARTS[1])) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2), *[pa.array(np.ascontiguousarray(sig[:, c])) for c in range(CHUNKS)]], names=["id", "n", "h1", "h2", *[f"s{c}" for c in range(CHUNKS)]])
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(_set_hash(sets)), pa.array(h2), sig], names=["id", "text_hash", "n", "h1", "h2", "sig"])
+
+    kind = docs.select(id).schema[0].dataType.simpleString()
+    return docs.select(F.col(id).alias("id"), text_hash(F.col(text)).alias("text_hash"), F.col(text).alias("text")).mapInArrow(sign, f"id {kind}, text_hash long, n long, h1 long, h2 long, sig array<long>")
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(sign, "id long, n long, h1 long, h2 long, " + ", ".join(f"s{c} long" for c in range(CHUNKS)))
 
+def _set_hash(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([np.add.reduce(mix(s)) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
 
-def _full_sets(docs: DataFrame, ids: DataFrame, id: str, text: str, k: int) -> DataFrame:
-    """(id, set as sorted longs) of the rows in ids. A bounded bitmap sorts out most others before their set leaves the task."""
-    bits = docs.sparkSession.sparkContext.broadcast(member_bits(ids, "id"))
+
+def _full_sets(docs: DataFrame, nodes: DataFrame, id: str, text: str, k: int) -> DataFrame:
+    """(node, set as sorted longs) of the classes in nodes. A bounded bitmap sorts out most other rows before their set leaves the task."""
+    bits = docs.sparkSession.sparkContext.broadcast(member_bits(nodes.select("node.id"), "id"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in blocks(batches):
@@ -94,46 +90,57 @@ def _full_sets(docs: DataFrame, ids: DataFrame, id: str, text: str, k: int) -> D
                 picked = np.concatenate([data[off[i] : off[i + 1]] for i in hit])
                 sets = list(shingle_sets(picked, np.concatenate([[0], np.cumsum(np.diff(off)[hit])]), k))
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                odd = parities(sets)
-                yield pa.RecordBatch.from_arrays([rows.column("id").take(pa.array(hit)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64))), *[pa.array(np.ascontiguousarray(odd[:, i])) for i in range(PARITY_LONGS)]], names=["id", "set", *PARITY])
+                yield pa.RecordBatch.from_arrays([rows.column("id").take(pa.array(hit)), pa.array(_set_hash(sets)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "h", "set"])
 
-    some = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(8 * len(bits.value))))
-    return some.mapInArrow(build, "id long, set array<long>, " + ", ".join(f"{p} long" for p in PARITY)).join(ids, "id", "left_semi")
+    kind = docs.select(id).schema[0].dataType.simpleString()
+    some = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text")).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(8 * len(bits.value))))
+    return some.mapInArrow(build, f"id {kind}, h long, set array<long>").select(F.struct("id", "h").alias("node"), "set").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def _keys(c: int, p: int, s: Column) -> Column:
-    """The key of a chunk with the symbol at p left open (p = SYMBOLS would be the chunk as it is)."""
+    """The key of a chunk with the symbol at p left open."""
     hole = ((1 << SYMBOL_BITS) - 1) << (SYMBOL_BITS * p)
     return F.xxhash64(F.lit(c * SYMBOLS + p), s.bitwiseAND(F.lit(~hole if hole < 1 << 63 else (~hole) & ((1 << 63) - 1)).cast("long")))
 
 
+def _errors(x: Column, y: Column) -> Column:
+    """In how many of their symbols two signatures differ."""
+    symbol = lambda d, p: (F.shiftrightunsigned(d, SYMBOL_BITS * p).bitwiseAND(F.lit((1 << SYMBOL_BITS) - 1)) != 0).cast("int")
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a.bitwiseXOR(b)), F.lit(0), lambda n, d: n + sum((symbol(d, p) for p in range(1, SYMBOLS)), symbol(d, 0)))
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full sets are similar enough."""
-    p = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("_x")), "a").coalesce(tasks).join(sets.select(F.col("id").alias("b"), F.col("set").alias("_y")), "b")
+    """Of the pairs (a, b, ...), those whose full sets are similar enough."""
+    p = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("_x")), "a").coalesce(tasks).join(sets.select(F.col("node").alias("b"), F.col("set").alias("_y")), "b")
     both = F.size(F.array_intersect("_x", "_y"))
-    return p.where(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b").coalesce(tasks).distinct()
+    return p.where(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select(pairs.columns).coalesce(tasks)
 
 
-def _sharing_rare(reps: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """Pairs (a, b) of reps(rep, c) with different c that can be similar enough.
+def _sharing_rare(open_nodes: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Pairs (a, b, ca, cb) of open_nodes(node, c) with different c that can be similar enough.
 
-    Shingles are ordered by how few of these sets have them. Of n shingles a similar set has all but (100 - percent) %,
-    so two similar sets share one of their n - ceil(n * percent / 100) + 1 rarest: only these are joined. A copy whose
-    own changes alone exceed the limit has none that another shares, and so costs nothing. Of the pairs that meet, those
-    whose parity bits differ in so many places that too little can be common are left out at once.
+    Shingles are ordered by how few of these sets have them. Two sets of n and m shingles need t of them in common, so
+    they share one among the n - t + 1 rarest of one and the m - t + 1 rarest of the other. As t depends on both sizes,
+    a set stands as the smaller one of a pair under its own size level, and as the larger one under each level that it
+    can be similar to, with the prefix that this level allows: joined on (shingle, level), few pairs meet that do not
+    pass the exact test of both places. A copy whose own changes alone exceed the limit shares none of its prefix.
     """
-    each = reps.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "c", *PARITY, F.size("set").alias("n"), F.explode("set").alias("shingle")).coalesce(tasks)
-    each = with_groups(each, ["shingle"], {"df": ("count", "rep")}, salt_of("rep"), F.col("df") > 1, "left", tasks).withColumn("df", F.coalesce("df", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle"))
-    rare = each.withColumn("r", rank).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1))
-    rare = small(rare.select("shingle", "rep", "c", "n", "r", *PARITY))
-    x, y = (rare.select("shingle", *[F.col(c).alias(f"{i}{c}") for c in ("rep", "c", "n", "r", *PARITY)]) for i in "ab")
-    # two sets of these sizes must have so many shingles in common; of those the first stands early enough in both
-    common = F.ceil(percent * (F.col("an") + F.col("bn")) / (100 + percent))
-    early = (F.col("ar") <= F.col("an") - common + 1) & (F.col("br") <= F.col("bn") - common + 1)
-    apart = sum((F.bit_count(F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}"))) for p in PARITY[1:]), F.bit_count(F.col("ap0").bitwiseXOR(F.col("bp0"))))
-    near = F.col("an") + F.col("bn") - apart >= 2 * common
-    return x.join(y, "shingle").where((F.col("ac") < F.col("bc")) & early & near).coalesce(tasks).select(F.col("arep").alias("a"), F.col("brep").alias("b")).distinct()
+    each = open_nodes.join(sets, "node").select("node", "c", F.size("set").alias("n"), F.explode("set").alias("shingle")).coalesce(tasks)
+    each = with_groups(each, ["shingle"], {"df": ("count", "node")}, salt_of("node"), F.col("df") > 1, "left", tasks).withColumn("df", F.coalesce("df", F.lit(1)))
+    each = each.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")))
+    common = lambda n, m: F.ceil(percent * (n + m) / F.lit(100.0 + percent) - 1e-9)
+    level = lambda n: F.floor(F.log(n) / F.log(F.lit(LEVEL)))
+    n, r = F.col("n"), F.col("r")
+    rare = checkpointed(each.where((F.col("df") > 1) & (r <= n - F.ceil(n * percent / 100.0 - 1e-9) + 1)).select("shingle", "node", "c", "n", "r")).coalesce(tasks)
+    lower = rare.where(r <= n - common(n, n) + 1).select("shingle", level(n).alias("level"), *[F.col(c).alias(f"a{c}") for c in ("node", "c", "n", "r")])
+    upper = rare.withColumn("level", F.explode(F.sequence(level(F.ceil(n * percent / 100.0 - 1e-9)), level(n))))
+    least = F.greatest(F.lit(1), F.floor(F.pow(F.lit(LEVEL), F.col("level")) * (1 - 1e-9)))
+    upper = upper.where(r <= n - common(n, least) + 1).select("shingle", "level", *[F.col(c).alias(f"b{c}") for c in ("node", "c", "n", "r")])
+    an, bn = F.col("an"), F.col("bn")
+    ordered = (an < bn) | ((an == bn) & (F.col("anode") < F.col("bnode")))
+    early = (F.col("ar") <= an - common(an, bn) + 1) & (F.col("br") <= bn - common(an, bn) + 1)
+    met = lower.join(upper, ["shingle", "level"]).where((F.col("ac") != F.col("bc")) & ordered & early)
+    return met.select(F.col("anode").alias("a"), F.col("bnode").alias("b"), F.col("ac").alias("ca"), F.col("bc").alias("cb")).coalesce(tasks).distinct()
 
 
 def _stars(pairs: DataFrame, smaller: bool, tasks: int) -> DataFrame:
@@ -150,82 +157,86 @@ def _stars(pairs: DataFrame, smaller: bool, tasks: int) -> DataFrame:
     return links.where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
 
 
-def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame, tasks: int = 8, most_rounds: int = 50) -> DataFrame:
     """(id, component): the smallest id reachable over links (a, b), for every id that has a link.
 
     Alternates hooking the larger neighbours and then the smaller ones of each id to its least neighbour; each round is
-    checkpointed. No id's neighbours meet in one task, and no link reaches the driver.
+    checkpointed, until each id hangs on one other that hangs on none. No id's neighbours meet in one task, and no link
+    reaches the driver.
     """
-    edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = lambda: edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    seen = state()
-    tasks = tasks_for(seen[0])
-    edges = edges.coalesce(tasks)
-    if not seen[0]:
-        return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()).coalesce(tasks)
     for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        edges = checkpointed(_stars(_stars(both, False, tasks), True, tasks))
-        before, seen = seen, state()
-        if before == seen:
+        roles = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if roles.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty():
             break
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        edges = checkpointed(_stars(_stars(both, False, tasks), True, tasks)).coalesce(tasks)
     else:
         raise RuntimeError("components did not settle")
-    down = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
-    return down.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = SIMILARITY) -> DataFrame:
-    """Per row: id, n_shingles, class_id, component_id, kept.
-
-    Rows of one shingle set form a class, represented by its smallest id. Each representative gives 32 keys: each chunk
-    with each symbol left open. Signatures within MOST_ERRORS share a key; at similarity 0.8 fewer than 2 pairs in a
-    million share none. All representatives of a key are paired with its least one, so a key of n gives n - 1 pairs, and
-    pairs are confirmed on full sets. What keys with several components hold is then joined across components on rare
-    shingles and confirmed: no link is lost that would join two components.
-
-    Documents without words have the empty set, are linked with nothing and are kept. A null id takes no part in links
-    (component null, kept). Rows that repeat an id and its text share class and component; ids with several texts are not
-    told apart in links.
+    """Per row: id, text_hash, n_shingles, class_id, component_id, kept.
+
+    1. Rows of one shingle set form a class, a node, named by its smallest id and the set's hash.
+    2. Each node gives 32 keys: each chunk of its signature with each symbol left open. By pigeonhole, signatures within
+       MOST_ERRORS share a key. Members of a key are paired with its hub, the member whose keys have the most members;
+       in a group of copies that is the text they stem from or one close to it. Pairs beyond LOOSE_ERRORS go, all others
+       are confirmed on full sets, and components follow.
+    3. Of keys that still hold several components, all members of different components are joined on rare shingles by
+       their sizes and confirmed too: no link is lost that would join two components.
+    So a key of n members gives n - 1 pairs, and the last join only what shares a rare shingle early enough.
+
+    At similarity 0.8 a pair has no key in common, or more than LOOSE_ERRORS, with a probability of about one in a
+    million. Documents without words have the empty set, are linked with nothing and are kept; so are very short ones,
+    whose whole word sequence is one shingle, unless it is equal. A null id takes no part in links (component null,
+    kept). Rows that repeat an id and its text share class and component; rows of one id with different texts are told
+    apart by text_hash. An empty table gives no rows; other columns of docs, whatever their names, are not read.
     """
     signed = checkpointed(_signed(docs, id, text, k))
-    sig = [f"s{c}" for c in range(CHUNKS)]
     live = signed.where("n > 0 and id is not null")
-    rep = small(live.groupBy("h1", "h2").agg(F.min("id").alias("rep"), *[F.min(s).alias(s) for s in sig]))
-    tasks = tasks_for(rep.count(), 10_000)
-    entries = rep.select("rep", F.explode(F.array(*[_keys(c, p, F.col(f"s{c}")) for c in range(CHUNKS) for p in range(SYMBOLS)])).alias("key"))
-    shared = small(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("n > 1"))
-    crowded = shared.where("n > 2")
-    inside = member_test(docs.sparkSession, member_bits(crowded, "key", KEY_BITS))
-    among = with_groups(entries.where(inside("key")), ["key"], {"n": ("count", "rep"), "least": ("min", "rep")}, salt_of("rep"), F.col("n") > 2, "inner", tasks)
-    among = small(among.select("key", "rep", "least"))
-    pairs = shared.where("n = 2").select("a", "b").unionByName(among.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b"))).distinct()
-    pairs = small(pairs)
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    involved = small(involved)
-    sets = small(_full_sets(docs, involved, id, text, k), 2_000)
-    links = small(_confirm(pairs, sets, percent, tasks))
-    comp = small(components(links))
-    # keys that still hold several components: their representatives are compared across components
-    placed = among.select("key", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c")).coalesce(tasks)
-    open_keys = with_groups(placed, ["key"], {"lo": ("min", "c"), "hi": ("max", "c")}, salt_of("rep"), F.col("lo") < F.col("hi"), "inner", tasks)
-    left_open = small(open_keys.select("rep", "c").distinct())
-    more = small(_confirm(_sharing_rare(left_open, sets, percent, tasks), sets, percent, tasks))
-    if not more.isEmpty():
-        comp = small(components(links.unionByName(more)))
-    classes = rep.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component")).coalesce(tasks)
-    salted = live.select("id", "n", "h1", "h2", salt_of("id").alias("_salt"))
-    where = salted.select("h1", "h2", "_salt").distinct().coalesce(tasks).join(classes, ["h1", "h2"]).coalesce(tasks)
-    done = salted.join(where, ["h1", "h2", "_salt"]).select("id", "n", "rep", "component")
-    rest = signed.where("n = 0 or id is null").select("id", "n", F.col("id").alias("rep"), F.col("id").alias("component"))
-    out = done.unionByName(rest)
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+    rep = live.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+    rep = checkpointed(rep.select(F.struct("id", F.col("h1").alias("h")).alias("node"), "h1", "h2", "n", "sig"))
+    keys = F.explode(F.array(*[_keys(c, p, F.col("sig")[c]) for c in range(CHUNKS) for p in range(SYMBOLS)])).alias("key")
+    shared = rep.select(keys).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    inside = member_test(docs.sparkSession, member_bits(shared, "key", KEY_BITS))
+    entries = rep.select("node", "n", "sig", keys).where(inside("key"))
+    among = checkpointed(with_groups(entries, ["key"], {"size": ("count", "node")}, salt_of("node"), F.col("size") > 1, "inner"))
+    # nodes met, their shingles: what the rest of the work grows with
+    met = among.groupBy("node").agg(F.sum("size").alias("w"), F.first("n").alias("n"))
+    met = checkpointed(met)
+    size = met.agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles")).first()
+    tasks = max(tasks_for(size.nodes, 10_000), tasks_for(size.shingles or 0, 2_000_000))
+    sets = checkpointed(_full_sets(docs, met.select("node"), id, text, k)).coalesce(tasks)
+    ranked = among.coalesce(tasks).join(met.select("node", "w"), "node").withColumn("_first", F.struct(-F.col("w"), "node", "sig"))
+    paired = with_groups(ranked, ["key"], {"hub": ("min", "_first")}, salt_of("node"), None, "inner", tasks)
+    paired = paired.where((F.col("hub.node") != F.col("node")) & (_errors(F.col("hub.sig"), F.col("sig")) <= LOOSE_ERRORS))
+    pairs = paired.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).coalesce(tasks).distinct()
+    comp = checkpointed(components(_confirm(pairs, sets, percent, tasks), tasks)).coalesce(tasks)
+    # keys that still hold several components: their members are compared across components
+    placed = among.select("key", "node").coalesce(tasks).join(comp.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    open_keys = with_groups(placed, ["key"], {"lo": ("min", "c"), "hi": ("max", "c")}, salt_of("node"), F.col("lo") < F.col("hi"), "inner", tasks)
+    open_nodes = checkpointed(open_keys.select("node", "c").distinct()).coalesce(tasks)
+    more = _confirm(_sharing_rare(open_nodes, sets, percent, tasks), sets, percent, tasks)
+    merged = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")), tasks).select(F.col("id").alias("c"), F.col("component").alias("to"))
+    nodes = rep.select("h1", "h2", "node").join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("component", "node"))
+    classes = nodes.join(merged, "c", "left").select("h1", "h2", "node", F.coalesce("to", "c").alias("component"))
+    salted = live.select("id", "text_hash", "n", "h1", "h2", salt_of("id", "text_hash").alias("_salt"))
+    where = salted.select("h1", "h2", "_salt").distinct().join(classes, ["h1", "h2"])
+    done = salted.join(where, ["h1", "h2", "_salt"]).select("id", "text_hash", "n", F.col("node.id").alias("class_id"), F.col("component.id").alias("component_id"))
+    rest = signed.where("n = 0 or id is null").select("id", "text_hash", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
+    return done.unionByName(rest).select(F.col("id").alias(id), "text_hash", F.col("n").alias("n_shingles"), "class_id", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = SIMILARITY) -> DataFrame:
-    """docs with one document, that of the smallest id, of each group of linked documents; columns as they are."""
-    gone = near_duplicates(docs, id, text, k, percent).where("not kept").select(id).distinct()
-    return docs.join(gone, id, "left_anti").select(docs.columns)
+    """docs with one document, that of the smallest id, of each group of linked documents; columns as they are.
+
+    Rows go by their own verdict: those of one id with different texts are told apart, and repeats of the row that stays
+    all stay. Null ids, null and empty texts stay.
+    """
+    gone = near_duplicates(docs, id, text, k, percent).where("not kept").select(F.col(id).alias("__id"), "text_hash").distinct()
+    return docs.join(gone, (docs[id] == gone["__id"]) & (text_hash(docs[text]) == gone["text_hash"]), "left_anti")
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
