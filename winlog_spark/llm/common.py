@@ -121,6 +121,19 @@ def is_member(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7)) & 1 == 1
 
 
+def without_rows(docs: DataFrame, gone: DataFrame, id: str, text: str) -> DataFrame:
+    """docs without the rows whose id and text are in gone(id, text_hash); a null id is never in it.
+
+    Rows that a bounded bitmap shows not to be in gone stay where they are, so that few texts are shuffled.
+    """
+    gone = checkpointed(gone.select(F.col(id).alias("__id"), "text_hash").distinct())
+    maybe = member_test(docs.sparkSession, member_bits(gone.select(F.xxhash64("__id", "text_hash").alias("k")), "k"))
+    marked = docs.withColumn("__in", maybe(F.xxhash64(docs[id], text_hash(docs[text]))))
+    some = marked.where("__in").drop("__in")
+    left = some.join(gone, (some[id] == gone["__id"]) & (text_hash(some[text]) == gone["text_hash"]), "left_anti")
+    return marked.where("not __in").drop("__in").unionByName(left)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str | int = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, their texts' bytes with A-Z lower-cased, offsets) for slices of at most BLOCK_BYTES, a null text being empty."""
     for batch in batches:

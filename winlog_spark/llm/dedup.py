@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, lower_ascii, member_bits, member_test, salt_of, text_hash, with_groups
+from .common import documents, lower_ascii, member_bits, member_test, salt_of, text_hash, with_groups, without_rows
 
 #: Characters whose hash is the second step.
 PREFIX = 64
@@ -47,8 +47,7 @@ def drop_exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text
     Rows go by their own verdict, so of one id with different texts only the copy of another text goes. Repeats of the
     row that stays all stay, and so do rows without an id.
     """
-    gone = exact_dedup(docs, id, text).where("not kept").select(F.col(id).alias("__id"), "text_hash").distinct()
-    return docs.join(gone, (docs[id] == gone["__id"]) & (text_hash(docs[text]) == gone["text_hash"]), "left_anti")
+    return without_rows(docs, exact_dedup(docs, id, text).where("not kept"), id, text)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpointed, documents, is_member, member_bits, member_test, mix, salt_of, tasks_for, text_hash, with_groups, words
+from .common import blocks, checkpointed, documents, is_member, member_bits, member_test, mix, salt_of, tasks_for, text_hash, with_groups, without_rows, words
 
 #: A signature has CHUNKS chunks of 4 symbols of 16 bits, a chunk to a long.
 CHUNKS, SYMBOLS, SYMBOL_BITS = 8, 4, 16
@@ -80,8 +80,8 @@ def _set_hash(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, id: str, text: str, k: int) -> DataFrame:
-    """(node, set as sorted longs) of the classes in nodes. A bounded bitmap sorts out most other rows before their set leaves the task."""
-    bits = docs.sparkSession.sparkContext.broadcast(member_bits(nodes.select("node.id"), "id"))
+    """(node, set as sorted longs) of the classes in nodes(node, id). A bounded bitmap sorts out most other rows before their set leaves the task."""
+    bits = docs.sparkSession.sparkContext.broadcast(member_bits(nodes, "id"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in blocks(batches):
@@ -90,11 +90,10 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, id: str, text: str, k: int) ->
                 picked = np.concatenate([data[off[i] : off[i + 1]] for i in hit])
                 sets = list(shingle_sets(picked, np.concatenate([[0], np.cumsum(np.diff(off)[hit])]), k))
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([rows.column("id").take(pa.array(hit)), pa.array(_set_hash(sets)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "h", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(_set_hash(sets)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "set"])
 
-    kind = docs.select(id).schema[0].dataType.simpleString()
-    some = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text")).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(8 * len(bits.value))))
-    return some.mapInArrow(build, f"id {kind}, h long, set array<long>").select(F.struct("id", "h").alias("node"), "set").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    some = docs.where(F.col(id).isNotNull()).select(F.pmod(F.xxhash64(id), F.lit(8 * len(bits.value))).alias("slot"), F.col(text).alias("text"))
+    return some.mapInArrow(build, "node long, set array<long>").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _keys(c: int, p: int, s: Column) -> Column:
@@ -179,7 +178,7 @@ def components(links: DataFrame, tasks: int = 8, most_rounds: int = 50) -> DataF
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = SIMILARITY) -> DataFrame:
     """Per row: id, text_hash, n_shingles, class_id, component_id, kept.
 
-    1. Rows of one shingle set form a class, a node, named by its smallest id and the set's hash.
+    1. Rows of one shingle set form a class, a node, named by the set's hash.
     2. Each node gives 32 keys: each chunk of its signature with each symbol left open. By pigeonhole, signatures within
        MOST_ERRORS share a key. Members of a key are paired with its hub, the member whose keys have the most members;
        in a group of copies that is the text they stem from or one close to it. Pairs beyond LOOSE_ERRORS go, all others
@@ -192,39 +191,42 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     million. Documents without words have the empty set, are linked with nothing and are kept; so are very short ones,
     whose whole word sequence is one shingle, unless it is equal. A null id takes no part in links (component null,
     kept). Rows that repeat an id and its text share class and component; rows of one id with different texts are told
-    apart by text_hash. An empty table gives no rows; other columns of docs, whatever their names, are not read.
+    apart by text_hash. An empty table gives no rows; other columns of docs, whatever their names, are not read. Nodes
+    are told apart by 64 bits.
     """
     signed = checkpointed(_signed(docs, id, text, k))
     live = signed.where("n > 0 and id is not null")
-    rep = live.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sig").alias("sig"))
-    rep = checkpointed(rep.select(F.struct("id", F.col("h1").alias("h")).alias("node"), "h1", "h2", "n", "sig"))
+    rep = checkpointed(live.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sig").alias("sig")).withColumn("node", F.col("h1")))
     keys = F.explode(F.array(*[_keys(c, p, F.col("sig")[c]) for c in range(CHUNKS) for p in range(SYMBOLS)])).alias("key")
     shared = rep.select(keys).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     inside = member_test(docs.sparkSession, member_bits(shared, "key", KEY_BITS))
-    entries = rep.select("node", "n", "sig", keys).where(inside("key"))
+    entries = rep.select("node", keys).where(inside("key"))
     among = checkpointed(with_groups(entries, ["key"], {"size": ("count", "node")}, salt_of("node"), F.col("size") > 1, "inner"))
-    # nodes met, their shingles: what the rest of the work grows with
-    met = among.groupBy("node").agg(F.sum("size").alias("w"), F.first("n").alias("n"))
-    met = checkpointed(met)
+    # the nodes met and their shingles are what the rest of the work grows with
+    met = checkpointed(among.groupBy("node").agg(F.sum("size").alias("w")).join(rep.select("node", "id", "n"), "node"))
     size = met.agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles")).first()
     tasks = max(tasks_for(size.nodes, 10_000), tasks_for(size.shingles or 0, 2_000_000))
-    sets = checkpointed(_full_sets(docs, met.select("node"), id, text, k)).coalesce(tasks)
-    ranked = among.coalesce(tasks).join(met.select("node", "w"), "node").withColumn("_first", F.struct(-F.col("w"), "node", "sig"))
+    sets = checkpointed(_full_sets(docs, met.select("node", "id"), id, text, k)).coalesce(tasks)
+    ranked = among.coalesce(tasks).join(met.select("node", "w"), "node").select("key", "node", F.struct(-F.col("w"), "node").alias("_first"))
     paired = with_groups(ranked, ["key"], {"hub": ("min", "_first")}, salt_of("node"), None, "inner", tasks)
-    paired = paired.where((F.col("hub.node") != F.col("node")) & (_errors(F.col("hub.sig"), F.col("sig")) <= LOOSE_ERRORS))
-    pairs = paired.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).coalesce(tasks).distinct()
+    pairs = paired.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).where("a <> b").coalesce(tasks).distinct()
+    x, y = (met.select("node").join(rep, "node").select(F.col("node").alias(i), F.col("sig").alias(f"{i}sig")).coalesce(tasks) for i in "ab")
+    pairs = pairs.join(x, "a").join(y, "b").where(_errors(F.col("asig"), F.col("bsig")) <= LOOSE_ERRORS).select("a", "b")
     comp = checkpointed(components(_confirm(pairs, sets, percent, tasks), tasks)).coalesce(tasks)
     # keys that still hold several components: their members are compared across components
     placed = among.select("key", "node").coalesce(tasks).join(comp.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     open_keys = with_groups(placed, ["key"], {"lo": ("min", "c"), "hi": ("max", "c")}, salt_of("node"), F.col("lo") < F.col("hi"), "inner", tasks)
     open_nodes = checkpointed(open_keys.select("node", "c").distinct()).coalesce(tasks)
     more = _confirm(_sharing_rare(open_nodes, sets, percent, tasks), sets, percent, tasks)
-    merged = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")), tasks).select(F.col("id").alias("c"), F.col("component").alias("to"))
-    nodes = rep.select("h1", "h2", "node").join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("component", "node"))
-    classes = nodes.join(merged, "c", "left").select("h1", "h2", "node", F.coalesce("to", "c").alias("component"))
+    merged = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")), tasks)
+    # (node, component) of all linked nodes, old components renamed, and those that only the last join has linked
+    linked = comp.withColumnRenamed("component", "c").join(merged.withColumnRenamed("id", "c"), "c", "left").select(F.col("id").alias("node"), F.coalesce("component", "c").alias("c"))
+    linked = linked.unionByName(merged.select(F.col("id").alias("node"), F.col("component").alias("c"))).distinct()
+    named = with_groups(linked.join(met.select("node", "id"), "node"), ["c"], {"component_id": ("min", "id")}, salt_of("node"), None, "inner", tasks)
+    classes = rep.select("h1", "h2", "node", F.col("id").alias("class_id")).join(named.select("node", "component_id"), "node", "left").select("h1", "h2", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
     salted = live.select("id", "text_hash", "n", "h1", "h2", salt_of("id", "text_hash").alias("_salt"))
     where = salted.select("h1", "h2", "_salt").distinct().join(classes, ["h1", "h2"])
-    done = salted.join(where, ["h1", "h2", "_salt"]).select("id", "text_hash", "n", F.col("node.id").alias("class_id"), F.col("component.id").alias("component_id"))
+    done = salted.join(where, ["h1", "h2", "_salt"]).select("id", "text_hash", "n", "class_id", "component_id")
     rest = signed.where("n = 0 or id is null").select("id", "text_hash", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
     return done.unionByName(rest).select(F.col("id").alias(id), "text_hash", F.col("n").alias("n_shingles"), "class_id", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -235,8 +237,7 @@ def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text"
     Rows go by their own verdict: those of one id with different texts are told apart, and repeats of the row that stays
     all stay. Null ids, null and empty texts stay.
     """
-    gone = near_duplicates(docs, id, text, k, percent).where("not kept").select(F.col(id).alias("__id"), "text_hash").distinct()
-    return docs.join(gone, (docs[id] == gone["__id"]) & (text_hash(docs[text]) == gone["text_hash"]), "left_anti")
+    return without_rows(docs, near_duplicates(docs, id, text, k, percent).where("not kept"), id, text)
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
