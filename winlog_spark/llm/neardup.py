@@ -124,13 +124,16 @@ def _sharing_rare(open_nodes: DataFrame, sets: DataFrame, percent: int, tasks: i
     can be similar to, with the prefix that this level allows: joined on (shingle, level), few pairs meet that do not
     pass the exact test of both places. A copy whose own changes alone exceed the limit shares none of its prefix.
     """
-    each = open_nodes.join(sets, "node").select("node", "c", F.size("set").alias("n"), F.explode("set").alias("shingle")).coalesce(tasks)
-    each = with_groups(each, ["shingle"], {"df": ("count", "node")}, salt_of("node"), F.col("df") > 1, "left", tasks).withColumn("df", F.coalesce("df", F.lit(1)))
-    each = each.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")))
+    each = open_nodes.join(sets, "node").select("node", F.explode("set").alias("shingle")).coalesce(tasks)
+    # shingles of one set only come first in its order, but meet no other: their number is enough
+    df = checkpointed(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    own = Window.partitionBy("node")
+    some = each.join(df, "shingle").select("node", "shingle", F.row_number().over(own.orderBy("df", "shingle")).alias("_r"), F.count(F.lit(1)).over(own).alias("_n"))
+    some = some.join(open_nodes.join(sets, "node").select("node", "c", F.size("set").alias("n")), "node").withColumn("r", F.col("n") - F.col("_n") + F.col("_r"))
     common = lambda n, m: F.ceil(percent * (n + m) / F.lit(100.0 + percent) - 1e-9)
     level = lambda n: F.floor(F.log(n) / F.log(F.lit(LEVEL)))
     n, r = F.col("n"), F.col("r")
-    rare = checkpointed(each.where((F.col("df") > 1) & (r <= n - F.ceil(n * percent / 100.0 - 1e-9) + 1)).select("shingle", "node", "c", "n", "r")).coalesce(tasks)
+    rare = checkpointed(some.where(r <= n - F.ceil(n * percent / 100.0 - 1e-9) + 1).select("shingle", "node", "c", "n", "r")).coalesce(tasks)
     lower = rare.where(r <= n - common(n, n) + 1).select("shingle", level(n).alias("level"), *[F.col(c).alias(f"a{c}") for c in ("node", "c", "n", "r")])
     upper = rare.withColumn("level", F.explode(F.sequence(level(F.ceil(n * percent / 100.0 - 1e-9)), level(n))))
     least = F.greatest(F.lit(1), F.floor(F.pow(F.lit(LEVEL), F.col("level")) * (1 - 1e-9)))
@@ -180,8 +183,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
 
     1. Rows of one shingle set form a class, a node, named by the set's hash.
     2. Each node gives 32 keys: each chunk of its signature with each symbol left open. By pigeonhole, signatures within
-       MOST_ERRORS share a key. Members of a key are paired with its hub, the member whose keys have the most members;
-       in a group of copies that is the text they stem from or one close to it. Pairs beyond LOOSE_ERRORS go, all others
+       MOST_ERRORS share a key. Members of a key are paired with its hub, the member whose keys have the most members
+       (of the smallest id, if several); in a group of copies that is the text they stem from or one close to it. Pairs beyond LOOSE_ERRORS go, all others
        are confirmed on full sets, and components follow.
     3. Of keys that still hold several components, all members of different components are joined on rare shingles by
        their sizes and confirmed too: no link is lost that would join two components.
@@ -207,7 +210,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     size = met.agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles")).first()
     tasks = max(tasks_for(size.nodes, 10_000), tasks_for(size.shingles or 0, 2_000_000))
     sets = checkpointed(_full_sets(docs, met.select("node", "id"), id, text, k)).coalesce(tasks)
-    ranked = among.coalesce(tasks).join(met.select("node", "w"), "node").select("key", "node", F.struct(-F.col("w"), "node").alias("_first"))
+    ranked = among.coalesce(tasks).join(met.select("node", "id", "w"), "node").select("key", "node", F.struct(-F.col("w"), "id", "node").alias("_first"))
     paired = with_groups(ranked, ["key"], {"hub": ("min", "_first")}, salt_of("node"), None, "inner", tasks)
     pairs = paired.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).where("a <> b").coalesce(tasks).distinct()
     x, y = (met.select("node").join(rep, "node").select(F.col("node").alias(i), F.col("sig").alias(f"{i}sig")).coalesce(tasks) for i in "ab")
