@@ -57,9 +57,11 @@ def test_words_agree_with_the_pattern(spark):
 
 def test_bitmap_has_all_members(spark):
     ids = spark.range(500).select((F.col("id") * 7919 - 5).alias("x"))
-    test = common.member_test(spark, common.member_bits(ids, "x", 12))
-    assert ids.where(~test("x")).count() == 0
-    assert 0 < spark.range(10_000, 11_000).withColumnRenamed("id", "x").where(test("x")).count() < 400
+    for bits in (12, 17):
+        marked = lambda df, bits=bits: common.with_member(df, F.col("x"), common.member_bits(ids, "x", bits), "in", bits)
+        assert marked(ids).where("not in").count() == 0
+        assert 0 < marked(spark.range(10_000, 20_000).withColumnRenamed("id", "x")).where("in").count() < (2000 if bits == 12 else 80)
+        assert common.with_member(ids, F.col("x"), common.member_bits(ids.limit(0), "x", bits), "in", bits).where("in").count() == 0
 
 
 def test_groups_come_back_whole(spark):

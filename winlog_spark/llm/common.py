@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,36 +88,24 @@ def with_groups(rows: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[str,
     return salted.join(back, [*keys, "_salt"], how).drop("_salt")
 
 
-def member_bits(ids: DataFrame, col: str, bits: int = 23) -> np.ndarray:
-    """A bitmap of 2**bits slots in which the slot of each value's hash is set (at most 2**(bits-3) bytes, whatever the input).
+def member_bits(ids: DataFrame, col: str, bits: int = 23) -> DataFrame:
+    """(bucket, bitmap): 2**bits slots in which the slot of each value's hash is set, at most 2**(bits-3) bytes whatever the input.
 
     It only narrows what is read further: a value that shares a slot by chance is sorted out later by an exact join.
     """
     slot = F.pmod(F.xxhash64(col), F.lit(1 << bits))
-    found = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("b"))
-    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    for r in found.collect():
-        # Spark's buckets count from 1 for values above 0; value 0 is in bucket 0, at the place of value 1
-        at = max(0, r.k - 1) * 4096
-        chunk = np.frombuffer(bytes(r.b), dtype=np.uint8)[: len(out) - at]
-        out[at : at + len(chunk)] |= chunk
-    return out
+    found = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bitmap"))
+    return checkpointed(found)
 
 
-def member_test(spark: SparkSession, bits: np.ndarray):
-    """column name -> whether the value's slot is set in a bitmap of member_bits."""
-    shared, slots = spark.sparkContext.broadcast(bits), 8 * len(bits)
-
-    @F.pandas_udf("boolean")
-    def test(slot: pd.Series) -> pd.Series:
-        return pd.Series(is_member(shared.value, slot.to_numpy()))
-
-    return lambda col: test(F.pmod(F.xxhash64(col), F.lit(slots)))
-
-
-def is_member(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    at = np.maximum(slot.astype(np.int64) - 1, 0)
-    return (bits[at >> 3] >> (at & 7)) & 1 == 1
+def with_member(rows: DataFrame, key: Column, bitmap: DataFrame, name: str, bits: int = 23) -> DataFrame:
+    """rows with a boolean column: whether the slot of the key is set in a bitmap of member_bits, which is bounded and broadcast."""
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    of = bitmap.select(F.col("bucket").alias("__bucket"), F.col("bitmap").alias("__bitmap"))
+    found = rows.withColumn("__slot", slot).join(F.broadcast(of), F.bitmap_bucket_number("__slot") == F.col("__bucket"), "left")
+    byte = F.conv(F.hex(F.expr("substring(__bitmap, CAST(bitmap_bit_position(__slot) DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    bit = F.expr("shiftleft(1, CAST(bitmap_bit_position(__slot) % 8 AS INT))")
+    return found.withColumn(name, F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))).drop("__slot", "__bucket", "__bitmap")
 
 
 def without_rows(docs: DataFrame, gone: DataFrame, id: str, text: str) -> DataFrame:
@@ -127,8 +114,8 @@ def without_rows(docs: DataFrame, gone: DataFrame, id: str, text: str) -> DataFr
     Rows that a bounded bitmap shows not to be in gone stay where they are, so that few texts are shuffled.
     """
     gone = checkpointed(gone.select(F.col(id).alias("__id"), "text_hash").distinct())
-    maybe = member_test(docs.sparkSession, member_bits(gone.select(F.xxhash64("__id", "text_hash").alias("k")), "k"))
-    marked = docs.withColumn("__in", maybe(F.xxhash64(docs[id], text_hash(docs[text]))))
+    bitmap = member_bits(gone.select(F.xxhash64("__id", "text_hash").alias("k")), "k")
+    marked = with_member(docs, F.xxhash64(docs[id], text_hash(docs[text])), bitmap, "__in")
     some = marked.where("__in").drop("__in")
     left = some.join(gone, (some[id] == gone["__id"]) & (text_hash(some[text]) == gone["text_hash"]), "left_anti")
     return marked.where("not __in").drop("__in").unionByName(left)

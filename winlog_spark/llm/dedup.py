@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, lower_ascii, member_bits, member_test, salt_of, text_hash, with_groups, without_rows
+from .common import documents, lower_ascii, member_bits, salt_of, text_hash, with_groups, with_member, without_rows
 
 #: Characters whose hash is the second step.
 PREFIX = 64
@@ -31,8 +31,7 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", digest_
     head = docs.select(F.col(id).alias("id"), text_hash(t).alias("text_hash"), t.alias("_t"), F.octet_length(t).cast("long").alias("n_bytes"))
     head = head.withColumn("_group", F.xxhash64("n_bytes", lower_ascii(F.substring("_t", 1, PREFIX))))
     survivors = head.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    surviving = member_test(docs.sparkSession, member_bits(survivors, "_group", GROUP_BITS))
-    head = head.withColumn("_in", surviving("_group"))
+    head = with_member(head, F.col("_group"), member_bits(survivors, "_group", GROUP_BITS), "_in", GROUP_BITS)
     full = F.sha2(lower_ascii(F.col("_t")).cast("binary"), 256)
     hashed = head.select("id", "text_hash", "n_bytes", "_in", (full if digest_all else F.when(F.col("_in"), full)).alias("digest"))
     alone = hashed.where(~F.col("_in")).select("id", "text_hash", "n_bytes", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpointed, documents, is_member, member_bits, member_test, mix, salt_of, tasks_for, text_hash, with_groups, without_rows, words
+from .common import blocks, checkpointed, documents, member_bits, mix, salt_of, tasks_for, text_hash, with_groups, with_member, without_rows, words
 
 #: A signature has CHUNKS chunks of 4 symbols of 16 bits, a chunk to a long.
 CHUNKS, SYMBOLS, SYMBOL_BITS = 8, 4, 16
@@ -81,18 +81,14 @@ def _set_hash(sets: list[np.ndarray]) -> np.ndarray:
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, id: str, text: str, k: int) -> DataFrame:
     """(node, set as sorted longs) of the classes in nodes(node, id). A bounded bitmap sorts out most other rows before their set leaves the task."""
-    bits = docs.sparkSession.sparkContext.broadcast(member_bits(nodes, "id"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in blocks(batches):
-            hit = np.flatnonzero(is_member(bits.value, rows.column("slot").to_numpy(zero_copy_only=False)))
-            if len(hit):
-                picked = np.concatenate([data[off[i] : off[i + 1]] for i in hit])
-                sets = list(shingle_sets(picked, np.concatenate([[0], np.cumsum(np.diff(off)[hit])]), k))
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(_set_hash(sets)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "set"])
-
-    some = docs.where(F.col(id).isNotNull()).select(F.pmod(F.xxhash64(id), F.lit(8 * len(bits.value))).alias("slot"), F.col(text).alias("text"))
+            sets = list(shingle_sets(data, off, k))
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(_set_hash(sets)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "set"])
+
+    some = with_member(docs.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text")), F.col("id"), member_bits(nodes, "id"), "in").where("in").select("text")
     return some.mapInArrow(build, "node long, set array<long>").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -116,7 +112,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, tasks: int) -> Dat
 
 
 def _sharing_rare(open_nodes: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """Pairs (a, b, ca, cb) of open_nodes(node, c) with different c that can be similar enough.
+    """Pairs (a, b, ca, cb) of open_nodes(node, c, n) with different c that can be similar enough; n is the size of a node's set.
 
     Shingles are ordered by how few of these sets have them. Two sets of n and m shingles need t of them in common, so
     they share one among the n - t + 1 rarest of one and the m - t + 1 rarest of the other. As t depends on both sizes,
@@ -129,7 +125,7 @@ def _sharing_rare(open_nodes: DataFrame, sets: DataFrame, percent: int, tasks: i
     df = checkpointed(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     own = Window.partitionBy("node")
     some = each.join(df, "shingle").select("node", "shingle", F.row_number().over(own.orderBy("df", "shingle")).alias("_r"), F.count(F.lit(1)).over(own).alias("_n"))
-    some = some.join(open_nodes.join(sets, "node").select("node", "c", F.size("set").alias("n")), "node").withColumn("r", F.col("n") - F.col("_n") + F.col("_r"))
+    some = some.join(open_nodes, "node").withColumn("r", F.col("n") - F.col("_n") + F.col("_r"))
     common = lambda n, m: F.ceil(percent * (n + m) / F.lit(100.0 + percent) - 1e-9)
     level = lambda n: F.floor(F.log(n) / F.log(F.lit(LEVEL)))
     n, r = F.col("n"), F.col("r")
@@ -202,8 +198,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     rep = checkpointed(live.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sig").alias("sig")).withColumn("node", F.col("h1")))
     keys = F.explode(F.array(*[_keys(c, p, F.col("sig")[c]) for c in range(CHUNKS) for p in range(SYMBOLS)])).alias("key")
     shared = rep.select(keys).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    inside = member_test(docs.sparkSession, member_bits(shared, "key", KEY_BITS))
-    entries = rep.select("node", keys).where(inside("key"))
+    entries = with_member(rep.select("node", keys), F.col("key"), member_bits(shared, "key", KEY_BITS), "in", KEY_BITS).where("in").select("node", "key")
     among = checkpointed(with_groups(entries, ["key"], {"size": ("count", "node")}, salt_of("node"), F.col("size") > 1, "inner"))
     # the nodes met and their shingles are what the rest of the work grows with
     met = checkpointed(among.groupBy("node").agg(F.sum("size").alias("w")).join(rep.select("node", "id", "n"), "node"))
@@ -213,13 +208,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     ranked = among.coalesce(tasks).join(met.select("node", "id", "w"), "node").select("key", "node", F.struct(-F.col("w"), "id", "node").alias("_first"))
     paired = with_groups(ranked, ["key"], {"hub": ("min", "_first")}, salt_of("node"), None, "inner", tasks)
     pairs = paired.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).where("a <> b").coalesce(tasks).distinct()
-    x, y = (met.select("node").join(rep, "node").select(F.col("node").alias(i), F.col("sig").alias(f"{i}sig")).coalesce(tasks) for i in "ab")
-    pairs = pairs.join(x, "a").join(y, "b").where(_errors(F.col("asig"), F.col("bsig")) <= LOOSE_ERRORS).select("a", "b")
+    x, y = (met.select("node").join(rep, "node").select(F.col("node").alias(i), F.col("n").alias(f"{i}n"), F.col("sig").alias(f"{i}sig")).coalesce(tasks) for i in "ab")
+    sized = 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
+    pairs = pairs.join(x, "a").join(y, "b").where(sized & (_errors(F.col("asig"), F.col("bsig")) <= LOOSE_ERRORS)).select("a", "b")
     comp = checkpointed(components(_confirm(pairs, sets, percent, tasks), tasks)).coalesce(tasks)
     # keys that still hold several components: their members are compared across components
     placed = among.select("key", "node").coalesce(tasks).join(comp.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     open_keys = with_groups(placed, ["key"], {"lo": ("min", "c"), "hi": ("max", "c")}, salt_of("node"), F.col("lo") < F.col("hi"), "inner", tasks)
-    open_nodes = checkpointed(open_keys.select("node", "c").distinct()).coalesce(tasks)
+    open_nodes = checkpointed(open_keys.select("node", "c").distinct().join(met.select("node", "n"), "node")).coalesce(tasks)
     more = _confirm(_sharing_rare(open_nodes, sets, percent, tasks), sets, percent, tasks)
     merged = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")), tasks)
     # (node, component) of all linked nodes, old components renamed, and those that only the last join has linked
