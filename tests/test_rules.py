@@ -109,3 +109,33 @@ def test_tags_and_levels(spark):
     assert (t.x, t.y) == (["T1059.001"], ["privilege-escalation"])
     assert rules.normal_level("HIGH") == "high" and rules.normal_level("odd") == rules.normal_level(None) == "informational"
     assert len(RULES) > 20
+
+
+@pytest.mark.parametrize("condition", ["a and (b", "a b", "a and", "and a", "not", "a and and b", "(a or b))", "()", "a not b", "1 of c*", ""])
+def test_malformed_conditions_are_skipped(condition):
+    spec = {"title": "t", "logsource": {"product": "windows"}, "detection": {"a": {"x": 1}, "b": {"y": 1}, "condition": condition}}
+    with pytest.raises(rules.Unsupported):
+        rules.compile_rule(spec)
+
+
+@pytest.mark.parametrize(
+    ("address", "network", "expected"),
+    [("fe80::1%3", "fe80::/10", True), ("[2001:db8::5]", "2001:db8::/32", True), ("2001:db9::5", "2001:db8::/32", False), ("2001:db8:0:0:0:0:0:1", "2001:db8::/127", True), ("2001:db8::2", "2001:db8::/127", False), ("::ffff:10.1.2.3", "::ffff:0:0/96", True), ("10.1.2.3", "::/0", False), ("1::2::3", "::/0", False), (":1::2", "::/0", False), ("::", "::/128", True), ("g::", "::/0", False), ("1:2:3:4:5:6:7", "::/0", False), ("::1.2.3.4", "::102:304/128", True)],
+)
+def test_v6_networks(spark, address, network, expected):
+    assert spark.range(1).select(rules.cidr(F.lit(address), network).alias("x")).first().x == expected
+
+
+def test_packed_wildcards(spark):
+    e = events(spark, *[(1, SYSMON, [("CommandLine", c), ("Image", "C:\\a\\tool.exe")], {"channel": "Microsoft-Windows-Sysmon/Operational"}) for c in ("copy a*b 100%_x", "copy ab", "net user bob /add", "x!y%z", "")])
+    values = ["*copy*", "c?py a*", "*100%_x", "*!y%*", "net * /add", "*", "??py ab", "copy a\\*b*"]
+    specs = [{"title": f"{k}{v}", "id": f"{k}{v}", "logsource": {"product": "windows"}, "detection": {"s": {f"CommandLine{k}": v}, "condition": "s"}} for v in values for k in ("", "|contains", "|startswith", "|endswith")]
+    some = detect.compile_rules(specs)[0]
+    a, b = (sorted(map(tuple, d.collect())) for d in (packed.detect_packed(e, some), detect.detect(e, some)))
+    assert a == b and len({r for r, _ in a}) > 20
+
+
+def test_classic_lines_in_both_ways(spark):
+    e = events(spark, (400, "PowerShell", [("Data1", "HostName=ConsoleHost\nEngine Version=2.0")], {"channel": "Windows PowerShell"}), (400, "PowerShell", [("Data1", "EngineVersion=5.1")], {"channel": "Windows PowerShell"}))
+    some = [rules.compile_rule({"title": "t", "id": "t", "logsource": {"product": "windows", "category": "ps_classic_start"}, "detection": {"s": {"EngineVersion|startswith": "2."}, "condition": "s"}})]
+    assert [list(map(tuple, d.collect())) for d in (packed.detect_packed(e, some), detect.detect(e, some))] == [[("t", 0)]] * 2

@@ -167,6 +167,9 @@ PREAUTH_TYPES = {
 IP_PROTOCOLS = {"1": "ICMP", "6": "TCP", "17": "UDP", "58": "ICMPv6"}
 LEVELS = {"1": "Critical", "2": "Error", "3": "Warning", "4": "Information", "5": "Verbose"}
 
+#: All that decode_value can say, but for unknown codes, which are in the value too.
+LABELS = [x for t in (MESSAGES, LOGON_TYPES, NTSTATUS, KERBEROS_STATUS, TICKET_ENCRYPTION, PREAUTH_TYPES, IP_PROTOCOLS) for x in t.values()]
+
 STATUS_FIELDS = ("status", "substatus", "failurecode", "resultcode")
 
 

@@ -113,9 +113,8 @@ def literal_map(table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
 
 
-def process_field(name: str, ed: str | Column = "ed") -> Column | None:
-    """A Sysmon field name resolved on a native process-creation event (4688), or None where both agree."""
-    get = lambda n: field(n, ed=ed, compact=True)
+def process_field(name: str, get=lambda n: field(n, compact=True)) -> Column | None:
+    """A Sysmon field name resolved on a native process-creation event (4688), or None where both agree; get gives a pair's value by its name."""
     plain = {"image": "newprocessname", "parentimage": "parentprocessname", "logonid": "subjectlogonid"}
     if name in plain:
         return get(plain[name])

@@ -8,13 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.fields import canonical_channel
-from .rules import LEVELS, Rule, Unsupported, compile_rule, event_field, like_pattern, rule_columns
+from .rules import LEVELS, MAPPED, SPECIAL, Rule, Unsupported, _norm, compile_rule, event_field, like_pattern, prepared, rule_columns
 
 #: Rules whose predicates share one projection; more in one make code that Spark no longer compiles well.
 GROUP = 50
-#: From this many rules on, a pack is run as rows of a table instead of expressions.
-GATED_FROM = 200
+#: A pack of more rules is run as rows of a table instead of expressions; both ways give the same rows.
+PACKED_FROM = 200
 
 
 def compile_rules(specs: list[dict]) -> tuple[list[Rule], list[tuple[str, str]]]:
@@ -50,21 +49,30 @@ def buckets(rules: list[Rule]) -> dict[tuple, list[Rule]]:
     return dict(out)
 
 
-def _in_bucket(channel: str | None, ids: tuple[int, ...] | None) -> Column:
+def _of_kind(channel: str | None, ids: tuple[int, ...] | None) -> Column:
     test = F.col("event_id").isin(*ids) if ids else F.lit(True)
-    return test & (canonical_channel() == channel) if channel else test
+    return test & (F.col("_channel") == channel) if channel else test
 
 
-def _matches(rows: DataFrame, rules: list[Rule], profile: str | None, only: Column | None = None) -> DataFrame:
-    """(rule_id, g) of the rows that each rule's predicate holds on; only: a set of rule ids that is looked into for each row."""
-    selections, flags = [], []
+def _matches(rows: DataFrame, rules: list[Rule], only: Column | None = None) -> DataFrame:
+    """(rule_id, g) of the prepared rows that each rule's predicate holds on; only: a set of rule ids that is looked into for each row.
+
+    A selection is tried on the kinds of event that its rule is for, and on no other row.
+    """
+    selections, flags = {}, []
     for j, r in enumerate(rules):
-        columns, text = rule_columns(r, profile, f"r{j}_")
-        selections += columns
-        held = F.expr(text) if only is None else F.array_contains("_only", r.id) & F.expr(text)
-        flags.append(F.when(held, r.id))
+        kinds = defaultdict(list)
+        for channel, ids, profile in buckets([r]):
+            kinds[profile].append(_of_kind(channel, ids))
+        held = F.lit(False)
+        for k, (profile, tests) in enumerate(kinds.items()):
+            kind = reduce(Column.__or__, tests)
+            columns, text = rule_columns(r, profile, f"r{j}_{k}_")
+            selections |= {n: F.when(kind, c).otherwise(F.lit(False)) for n, c in columns.items()} | {f"r{j}_{k}": kind}
+            held = held | (F.col(f"r{j}_{k}") & F.expr(text))
+        flags.append(F.when(held if only is None else F.array_contains("_only", r.id) & held, r.id))
     base = [F.col("g")] if only is None else [F.col("g"), only.alias("_only")]
-    return rows.select(*base, *selections).select("g", F.explode(F.array_compact(F.array(*flags))).alias("rule_id")).select("rule_id", "g")
+    return rows.select(*base, *[c.alias(n) for n, c in selections.items()]).select("g", F.explode(F.array_compact(F.array(*flags))).alias("rule_id")).select("rule_id", "g")
 
 
 # --- literal gates -------------------------------------------------------------
@@ -133,29 +141,33 @@ def _candidates(rows: DataFrame, rules: list[Rule], gates: dict[str, list], prof
 def detect(events: DataFrame, rules: list[Rule], gated: bool | None = None) -> DataFrame:
     """(rule_id, g), one row per rule and event that it matches.
 
-    Rules are dealt to the kinds of event they can match, and each kind is filtered before any predicate. Rules on a kind
-    are tried directly, in projections of GROUP rules; with gated, each row first gets the list of rules whose literals
-    it has, and only these are tried on it. Large packs go to detect_packed, unless gated says which way. All ways give
-    the same rows.
+    What rules look at is made once for each event, and events of kinds that no rule is for go first. Rules are tried in
+    projections of GROUP rules, each on its own kinds of event; up to that many need one pass over the input and no
+    shuffle. With gated, each row first gets the list of rules whose literals it has, and only these are tried on it.
+    Large packs go to detect_packed, unless gated says which way. All ways give the same rows.
     """
-    if gated is None and len(rules) >= GATED_FROM:
+    if gated is None and len(rules) > PACKED_FROM:
         from .packed import detect_packed
 
         return detect_packed(events, rules)
-    parts = []
-    for (channel, ids, profile), some in buckets(rules).items():
-        rows = events.where(_in_bucket(channel, ids))
-        gates = {r.id: g for r in some if (g := gate(r))}
-        if gates and gated:
-            held = [r for r in some if r.id in gates]
-            lists = _candidates(rows, held, gates, profile).groupBy("g").agg(F.collect_set("rule_id").alias("_c"))
-            opened = rows.join(lists, "g")
-            parts += [_matches(opened, held[i : i + GROUP], profile, F.col("_c")) for i in range(0, len(held), GROUP)]
-            some = [r for r in some if r.id not in gates]
-        parts += [_matches(rows, some[i : i + GROUP], profile) for i in range(0, len(some), GROUP)]
-    if not parts:
+    kinds = buckets(rules)
+    if not kinds:
         return events.select(F.lit("").alias("rule_id"), "g").where(F.lit(False))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    rows = prepared(events).where(reduce(Column.__or__, [_of_kind(c, i) for c, i in dict.fromkeys((c, i) for c, i, _ in kinds)]))
+    if not gated:
+        return reduce(DataFrame.unionByName, [_matches(rows, rules[i : i + GROUP]) for i in range(0, len(rules), GROUP)])
+    parts, opened = [], []
+    gates = {r.id: g for r in rules if (g := gate(r))}
+    for (channel, ids, profile), some in kinds.items():
+        if held := [r for r in some if r.id in gates]:
+            opened.append(_candidates(rows.where(_of_kind(channel, ids)), held, gates, profile))
+    if opened:
+        lists = reduce(DataFrame.unionByName, opened).groupBy("g").agg(F.collect_set("rule_id").alias("_c"))
+        held = [r for r in rules if r.id in gates]
+        parts += [_matches(rows.join(lists, "g"), held[i : i + GROUP], F.col("_c")) for i in range(0, len(held), GROUP)]
+    rest = [r for r in rules if r.id not in gates]
+    parts += [_matches(rows, rest[i : i + GROUP]) for i in range(0, len(rest), GROUP)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- what matches are shown with --------------------------------------------------
@@ -219,18 +231,25 @@ def first_events(matches: DataFrame, events: DataFrame, n: int = 200) -> DataFra
 
 
 def key_fields(matches: DataFrame, events: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(rule_id, g, key_fields): name=value of the fields that the rule tests and the event has, joined by ` | `."""
-    joined = matches.join(events, "g")
-    parts = []
-    for r in rules:
-        native = any(p for _, _, p in r.targets)
+    """(rule_id, g, key_fields): name=value of the fields that the rule tests and the event has, joined by ` | `.
 
-        def text(profile: str | None, fields=r.fields) -> Column:
-            return F.concat_ws(" | ", *[F.when(F.coalesce(event_field(f, profile), F.lit("")) != "", F.concat(F.lit(f"{f}="), event_field(f, profile))) for f in fields])
-
-        value = F.when(F.col("event_id") == 4688, text("security4688")).otherwise(text(None)) if native else text(None)
-        parts.append(joined.where(F.col("rule_id") == r.id).select("rule_id", "g", value.alias("key_fields")))
-    return reduce(DataFrame.unionByName, parts)
+    A rule's fields are a list in its row, looked up in the event, so the plan is one join whatever the pack.
+    """
+    rows = [(r.id, [(f, _norm(f)) for f in r.fields], any(p for _, _, p in r.targets)) for r in rules]
+    table = matches.sparkSession.createDataFrame(rows, "rule_id string, _fields array<struct<name:string,key:string>>, _native boolean")
+    used = sorted({k for _, fs, _ in rows for _, k in fs})
+    own = {k: event_field(k) for k in used if k in SPECIAL}
+    mapped = {k: F.when(F.col("event_id") == 4688, event_field(k, "security4688")) for k in used if k in MAPPED}
+    as_map = lambda m: F.create_map(*[x for k, v in m.items() for x in (F.lit(k), v)]) if m else F.lit(None).cast("map<string,string>")
+    seen = prepared(events.join(matches.select("g").distinct(), "g", "left_semi")).withColumns({"_own": as_map(own), "_mapped": as_map(mapped)})
+    joined = matches.join(seen.select("g", "ed", "_names", "_own", "_mapped"), "g").join(table, "rule_id")
+
+    def text(f: Column) -> Column:
+        pair = F.get("ed", F.array_position("_names", f["key"]).cast("int") - 1)["value"]
+        value = F.coalesce(F.when(F.col("_native"), F.try_element_at("_mapped", f["key"])), F.try_element_at("_own", f["key"]), pair)
+        return F.when(F.coalesce(value, F.lit("")) != "", F.concat(f["name"], F.lit("="), value))
+
+    return joined.select("rule_id", "g", F.array_join(F.filter(F.transform("_fields", text), lambda x: x.isNotNull()), " | ").alias("key_fields"))
 
 
 def rule_targets(spark: SparkSession, rules: list[Rule]) -> DataFrame:

@@ -100,7 +100,7 @@ _OTHER_SERVICES = {
     "hyper-v-worker": ("microsoft-windows-hyper-v-worker-admin",),
     "bitlocker": ("microsoft-windows-bitlocker/bitlocker management",),
 }
-SERVICES = {k: ("microsoft-windows-windows defender/operational",) if k == "windefend" else (f"microsoft-windows-{v}/operational",) for k, v in _OPERATIONAL.items()} | _OTHER_SERVICES
+SERVICES = {k: (f"microsoft-windows-{v}/operational",) for k, v in _OPERATIONAL.items()} | _OTHER_SERVICES
 
 #: (channel, event ids, profile): None means any; the profile names how fields are mapped.
 Target = tuple[str | None, tuple[int, ...] | None, str | None]
@@ -110,9 +110,9 @@ def targets(logsource: dict) -> tuple[list[Target], str | None]:
     """The targets of a log source, or none and the reason."""
     product, category, service = (str(logsource[k]).lower() if logsource.get(k) else None for k in ("product", "category", "service"))
     if product and product != "windows":
-        return [], f'logsource product "{logsource["product"]}" is not Windows'
+        return [], f"made for {logsource['product']}, not for Windows"
     if category and service:
-        return [], "logsource with both category and service is not mapped"
+        return [], "names a category and a service at once"
     if category in SYSMON_CATEGORIES:
         native = [("security", (4688,), "security4688")] if category == "process_creation" else []
         return [(_SYSMON, SYSMON_CATEGORIES[category], None), *native], None
@@ -120,7 +120,7 @@ def targets(logsource: dict) -> tuple[list[Target], str | None]:
         channels, event_id = POWERSHELL_CATEGORIES[category]
         return [(c, (event_id,), None) for c in channels], None
     if category:
-        return [], f'category "{category}" has no event-log source'
+        return [], f"no events are known for the category {category}"
     if service:
-        return ([(c, None, None) for c in SERVICES[service]], None) if service in SERVICES else ([], f'service "{service}" is not mapped to a channel')
+        return ([(c, None, None) for c in SERVICES[service]], None) if service in SERVICES else ([], f"no channel is known for the service {service}")
     return [(None, None, None)], None

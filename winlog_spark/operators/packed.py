@@ -15,16 +15,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fields import canonical_channel, compact_name, keyword_text, process_field
-from .rules import Rule, event_field, field_test, like_pattern, rewritten
+from ..functions.fields import keyword_text
+from .rules import DERIVED, HEADER, MAPPED, Rule, _norm, event_field, field_test, like_pattern, prepared, rewritten
 
 #: Rules with more selections than this are left to the expression path.
 MOST_SELECTIONS = 10
-HEADER = ("eventid", "channel", "provider_name", "eventrecordid", "computer", "computername", "level")
-DERIVED = ("md5", "sha1", "sha256", "imphash", "data")
-MAPPED = ("image", "parentimage", "processid", "parentprocessid", "logonid", "integritylevel", "user")
 KINDS = {(): "exact", ("contains",): "contains", ("startswith",): "prefix", ("endswith",): "suffix"}
+#: Kinds of atoms that are looked for inside a value.
+INSIDE = ("contains", "like")
 NATIVE = "4688:"
+CLASSIC = "windows powershell"
 
 
 class _Pack:
@@ -61,11 +61,11 @@ class _Pack:
         kind = KINDS.get(tuple(kinds))
         if key is None or not name:
             kind = "contains" if not kinds else None
-        texts = [x for x in items if isinstance(x, str) and x and not like_pattern(x)[1]]
-        if kind and items and len(texts) == len(items):
-            plain = [re.sub(r"!([!%_])", r"\1", like_pattern(x)[0]).lower() for x in items]
-            ids = [self._atom(self._field(name, profile) if name else "", kind, x) for x in plain]
-            return ([[i] for i in ids] if "all" in [m.lower() for m in mods] else [ids]), True
+        if kind and items and all(isinstance(x, str) and x for x in items):
+            plain = [_plain(x, kind) for x in items]
+            if all(_chunk(k, lit) for k, lit in plain):
+                ids = [self._atom(self._field(name, profile) if name else "", k, lit) for k, lit in plain]
+                return ([[i] for i in ids] if "all" in [m.lower() for m in mods] else [ids]), True
         field = self._field(name, profile)
         if kind == "exact" and field == "eventid" and items and all(isinstance(x, int) or str(x).isdigit() for x in items):
             return [[self._atom(field, kind, str(int(x))) for x in items]], True
@@ -98,7 +98,7 @@ class _Pack:
         def cost(group: list[int]) -> float:
             if any(i not in kind_of for i in group):
                 return float("inf")
-            return sum((1000 if kind_of[i][0] in ("eventid", "channel", "provider_name", "level") else 1) / len(kind_of[i][2]) for i in group)
+            return sum((1000 if kind_of[i][0] in ("eventid", "channel", "provider_name", "level") else 1) / len(_chunk(*kind_of[i][1:])) for i in group)
 
         for row in self.rows:
             options = []
@@ -113,6 +113,23 @@ class _Unfit(Exception):
     pass
 
 
+def _plain(text: str, kind: str) -> tuple[str, str]:
+    """Kind and literal of a value: itself, or if it has wildcards `like` and a LIKE pattern with escape !; in lower case."""
+    pattern, wild = like_pattern(text)
+    if not wild:
+        return kind, re.sub(r"!([!%_])", r"\1", pattern).lower()
+    before, after = kind in ("contains", "suffix"), kind in ("contains", "prefix")
+    return "like", ("%" if before and not pattern.startswith("%") else "") + pattern.lower() + ("%" if after and not pattern.endswith("%") else "")
+
+
+def _chunk(kind: str, literal: str) -> str:
+    """What a value must contain for an atom to hold: the literal, or the longest piece of a pattern between its wildcards."""
+    if kind != "like":
+        return literal
+    pieces = re.findall(r"(?:!.|[^%_!])+", literal)
+    return max((re.sub(r"!(.)", r"\1", x) for x in pieces), key=len, default="")
+
+
 def _truth(conditions: list[str], names: list[str]):
     """A function from selections' truth values to the condition's: the SQL text, with its operators in lower case, is Python too.
 
@@ -127,39 +144,43 @@ def _truth(conditions: list[str], names: list[str]):
     return lambda v: bool(eval(code, {"__builtins__": {}, "int": int}, {f"x_{i}": x for i, x in enumerate(v)}))  # noqa: S307
 
 
-def _values(rows: DataFrame, used: set[str]) -> DataFrame:
-    """(g, field, v): the lower-case values of the used fields, of a repeated name the first."""
+def _values(rows: DataFrame, used: set[str], classic: set[str]) -> DataFrame:
+    """(g, field, v): the lower-case values of the used fields of prepared events, of a repeated name the first."""
     plain = [f for f in used if f and not f.startswith(NATIVE)]
-    names = F.transform("ed", lambda p: compact_name(p["name"]))
     first = F.filter(F.transform("ed", lambda p, i: F.when(F.array_position(F.col("_names"), F.get("_names", i)) == i + 1, F.struct(F.get("_names", i).alias("field"), F.lower(p["value"]).alias("v")))), lambda x: x.isNotNull() & x["field"].isin(plain))
     extra = [(f, event_field(f)) for f in plain if f in HEADER or f in DERIVED]
-    extra += [(f, F.when((F.col("event_id") == 4688) & (F.col("_channel") == "security"), process_field(f.removeprefix(NATIVE)))) for f in used if f.startswith(NATIVE)]
+    extra += [(f, F.when((F.col("event_id") == 4688) & (F.col("_channel") == "security"), event_field(f.removeprefix(NATIVE), "security4688"))) for f in used if f.startswith(NATIVE)]
     extra += [("", keyword_text())] if "" in used else []
+    # lines of classic PowerShell events are fields too
+    extra += [(f, F.when(F.col("_channel") == CLASSIC, event_field(f))) for f in plain if f in classic and f not in HEADER and f not in DERIVED]
     fixed = F.array(*[F.struct(F.lit(f).alias("field"), F.lower(c).alias("v")) for f, c in extra]) if extra else F.array().cast("array<struct<field:string,v:string>>")
     header = [f for f, _ in extra if f in HEADER]
     own = F.filter(first, lambda x: ~x["field"].isin(header)) if header else first
-    return rows.withColumn("_names", names).select("g", F.explode(F.concat(own, fixed)).alias("x")).select("g", "x.field", "x.v").where("v is not null")
+    return rows.select("g", F.explode(F.concat(own, fixed)).alias("x")).select("g", "x.field", "x.v").where("v is not null")
 
 
-def _atom_hits(rows: DataFrame, pack: _Pack) -> DataFrame:
-    """(g, atom): the plain atoms that an event has."""
+def _atom_hits(rows: DataFrame, pack: _Pack, classic: set[str]) -> DataFrame:
+    """(g, atom): the plain atoms that an event has; classic: fields that rules on classic PowerShell events test."""
     spark = rows.sparkSession
     table = spark.createDataFrame([(f, k, lit, i) for (f, k, lit), i in pack.atoms.items()], "field string, kind string, lit string, atom int")
-    values = _values(rows, {f for f, _, _ in pack.atoms})
+    values = _values(rows, {f for f, _, _ in pack.atoms}, classic)
     # ends and whole values meet their atoms by a hash join on the text itself
     lengths = defaultdict(lambda: {"prefix": set(), "suffix": set(), "exact": set()})
     for f, k, lit in pack.atoms:
-        if k != "contains":
+        if k not in INSIDE:
             lengths[f][k].add(len(lit))
     parts = []
     if lengths:
         cuts = F.broadcast(spark.createDataFrame([(f, k, n) for f, by in lengths.items() for k, ns in by.items() for n in (ns if k != "exact" else ns and {0})], "field string, kind string, n int"))
         cut = F.when(F.col("kind") == "exact", F.col("v")).when(F.col("kind") == "prefix", F.substring(F.col("v"), F.lit(1), F.col("n"))).otherwise(F.expr("right(v, n)"))
         keyed = values.join(cuts, "field").where("kind = 'exact' OR length(v) >= n").select("g", "field", "kind", cut.alias("lit"))
-        parts.append(keyed.join(F.broadcast(table.where("kind <> 'contains'")), ["field", "kind", "lit"]).select("g", "atom"))
-    if any(k == "contains" for _, k, _ in pack.atoms):
-        inside = F.broadcast(table.where("kind = 'contains'").select(F.col("field").alias("_f"), "lit", "atom"))
-        parts.append(values.join(inside, (F.col("field") == F.col("_f")) & F.col("v").contains(F.col("lit"))).select("g", "atom"))
+        # by hash on both sides, whatever the size of the pack
+        parts.append(keyed.join(table.where("kind not in ('contains', 'like')"), ["field", "kind", "lit"]).select("g", "atom"))
+    if any(k in INSIDE for _, k, _ in pack.atoms):
+        rows_in = [(f, _chunk(k, lit), lit if k == "like" else None, i) for (f, k, lit), i in pack.atoms.items() if k in INSIDE]
+        inside = F.broadcast(spark.createDataFrame(rows_in, "_f string, chunk string, pattern string, atom int"))
+        fits = F.col("pattern").isNull() | F.call_function("like", F.col("v"), F.col("pattern"), F.lit("!"))
+        parts.append(values.join(inside, (F.col("field") == F.col("_f")) & F.col("v").contains(F.col("chunk")) & fits).select("g", "atom"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -193,10 +214,10 @@ def detect_packed(events: DataFrame, rules: list[Rule]) -> DataFrame:
 
     spark, pack = events.sparkSession, _Pack(rules)
     channels = {c for r in rules for c, _, _ in r.targets}
-    rows = events.withColumn("_channel", canonical_channel())
+    rows = prepared(events)
     if None not in channels:
         rows = rows.where(F.col("_channel").isin(sorted(channels)))
-    hits = _atom_hits(rows, pack)
+    hits = _atom_hits(rows, pack, {_norm(f) for r in rules if any(c in (None, CLASSIC) for c, _, _ in r.targets) for f in r.fields})
     tests = _tests(rows, pack)
     hits = hits if tests is None else hits.unionByName(tests)
     have = hits.groupBy("g").agg(F.collect_set("atom").alias("have"))
@@ -221,9 +242,16 @@ def detect_packed(events: DataFrame, rules: list[Rule]) -> DataFrame:
         gate = F.broadcast(spark.createDataFrame(gates, "atom int, n int, c string, i int"))
         parts.append(known.withColumn("atom", F.explode("have")).join(gate, "atom").where(fits).select("g", "n", "have"))
     if open_rules:
-        # rules without a gate are met by the kind of event alone
-        free = F.broadcast(spark.createDataFrame(open_rules, "n int, c string, i int"))
-        parts.append(known.join(free, fits).select("g", "n", "have"))
+        # rules without a gate are met by the kind of event alone: by channel and id, by either, or by none
+        for channel, event_id in ((True, True), (True, False), (False, True), (False, False)):
+            some = [x for x in open_rules if (x[1] is not None) == channel and (x[2] is not None) == event_id]
+            if some:
+                free = spark.createDataFrame(some, "n int, c string, i int")
+                same = [F.col("c") == F.col("_channel")] * channel + [F.col("i") == F.col("event_id")] * event_id
+                if same:
+                    parts.append(known.join(F.broadcast(free), reduce(Column.__and__, same)).select("g", "n", "have"))
+                else:
+                    parts.append(known.withColumn("n", F.explode(F.array(*[F.lit(n) for n, _, _ in some]))).select("g", "n", "have"))
     found = []
     if parts:
         tried = reduce(DataFrame.unionByName, parts).join(spec, "n")
@@ -236,14 +264,24 @@ def detect_packed(events: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def synthetic_pack(n: int) -> list[dict]:
-    """n rules of the usual shapes over made-up values, for load tests: most of them on process creation."""
+    """n rules of the shapes that published packs have, over made-up values, for load tests: half of them on process creation.
+
+    Of fifty, one asks for all of several texts, one has wildcards, one a regular expression, one a number, and one has
+    nothing that a gate could be made of.
+    """
     out = []
     tools = [f"tool{i}" for i in range(400)]
     for i, (a, b) in zip(range(n), itertools.cycle(itertools.product(range(97), range(89))), strict=False):
         process = i % 2 == 0
         selection = {"Image|endswith": [f"\\{tools[i % 400]}.exe", f"\\alt{i}.exe"], "CommandLine|contains": [f" --opt{a} ", f"-x{b}", f"/key{i}"]} if process else {"EventID": [4624, 4625, 4688, 7045][i % 4], "TargetUserName": [f"user{i}", f"svc{a}"]}
         detection = {"selection": selection, "filter": {"ParentImage|startswith" if process else "IpAddress|startswith": f"C:\\ok{b}" if process else f"172.{b}."}, "condition": "selection and not filter"}
-        if i % 50 == 0 and process:
-            detection = {"selection": {"CommandLine|contains|all": ["net user", f"user{i % 150}", "/add"]}, "condition": "selection"}
+        special = {
+            0: {"CommandLine|contains|all": ["net user", f"user{i % 150}", "/add"]},
+            10: {"CommandLine": f"*tool.exe --n ?{i // 50 % 10}"},
+            20: {"CommandLine|re": rf"--n {i // 50 % 10}\d$"},
+            31: {"EventID": 4624, "LogonType|gte": 3 + i // 50 % 9, "TargetUserName|endswith": f"{i // 50 % 10}"},
+            41: {"IpAddress|exists": False, "WorkstationName|exists": True},
+        }.get(i % 50)
+        detection = {"selection": special, "condition": "selection"} if special else detection
         out.append({"id": f"load-{i}", "title": f"load {i}", "level": "low", "logsource": {"product": "windows", "category": "process_creation"} if process else {"product": "windows", "service": "security"}, "detection": detection})
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import field, values
@@ -44,11 +44,31 @@ def near_in_time(centres: DataFrame, events: DataFrame, seconds: int = 300, by:
 SORT_KEYS = {"record": "record_id", "time": "ts", "eventId": "event_id", "provider": "provider", "channel": "channel", "computer": "computer", "file": "file"}
 
 
-def ordered(events: DataFrame, by: str = "time", descending: bool = False) -> DataFrame:
-    """Sorted by one of nine fields. An event without a level sorts as 99, other missing values as the least; ties go by g, falling when the sort does."""
+def sort_keys(by: str = "time", descending: bool = False) -> list[Column]:
+    """One of nine fields, then g. An event without a level sorts as 99, other missing values as the least; ties go by g, falling when the sort does."""
     key = {"level": F.coalesce(F.col("level").cast("int"), F.lit(99)), "name": F.coalesce(event_name(F.col("event_id"), F.col("provider")), F.lit(""))}.get(by)
     key = F.col(SORT_KEYS[by]) if key is None else key
-    return events.orderBy(key.desc_nulls_last(), F.desc("g")) if descending else events.orderBy(key.asc_nulls_first(), F.asc("g"))
+    return [key.desc_nulls_last(), F.desc("g")] if descending else [key.asc_nulls_first(), F.asc("g")]
+
+
+def ordered(events: DataFrame, by: str = "time", descending: bool = False) -> DataFrame:
+    return events.orderBy(*sort_keys(by, descending))
+
+
+def in_order(rows: DataFrame, keys: list[Column], name: str = "place", tasks: int | None = None) -> DataFrame:
+    """rows with their place in an order, from 0.
+
+    Rows are sorted in ranges of about equal counts, which are then numbered each for itself, so no task sees more than a
+    range. The sorted table is checkpointed, since the numbers depend on its partitions.
+    """
+    spark = rows.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    done = rows.repartitionByRange(*([tasks] if tasks else []), *keys).sortWithinPartitions(*keys).checkpoint()
+    placed = done.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_i"))
+    size = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = size.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(before), "_p").select((F.col("_before") + F.col("_i")).alias(name), *[c for c in rows.columns if c != name])
 
 
 def promoted(events: DataFrame, names: list[str]) -> DataFrame:

@@ -13,16 +13,19 @@ import re
 from dataclasses import dataclass, field as dc_field
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from ..functions.fields import canonical_channel, classic_field, data_blob, field, hash_of, keyword_text, process_field, signed_number
+from ..functions.fields import canonical_channel, classic_field, compact_name, data_blob, hash_of, keyword_text, process_field, signed_number
 from .logsource import Target, targets
 
 LEVELS = ("critical", "high", "medium", "low", "informational")
 MODIFIERS = {"contains", "startswith", "endswith", "all", "cased", "re", "i", "m", "s", "exists", "gt", "gte", "lt", "lte", "cidr", "fieldref", "base64", "base64offset", "utf16le", "wide", "utf16be", "utf16", "windash"}
+#: Fields that are more than a pair of the event: header columns, parts of others, and names that 4688 has its own fields for.
+HEADER = ("eventid", "channel", "provider_name", "eventrecordid", "computer", "computername", "level")
+DERIVED = ("md5", "sha1", "sha256", "imphash", "data")
+SPECIAL = HEADER + DERIVED
+MAPPED = ("image", "parentimage", "processid", "parentprocessid", "logonid", "integritylevel", "user")
 DASHES = ("-", "/", "–", "—", "―")
 
 
@@ -50,15 +53,25 @@ def _norm(name: str) -> str:
     return re.sub(r"\s+", "", name.lower())
 
 
+def prepared(events: DataFrame) -> DataFrame:
+    """events with what all rules look at, made once: `_names` (of the pairs, normalised) and `_channel`."""
+    return events.withColumns({"_names": F.transform("ed", lambda p: compact_name(p["name"])), "_channel": canonical_channel()})
+
+
+def _pair(name: str) -> Column:
+    """The value of the first pair of a name, on prepared events."""
+    return F.get("ed", F.array_position("_names", name).cast("int") - 1)["value"]
+
+
 def event_field(name: str, profile: str | None = None) -> Column:
-    """The value of a rule's field on an event, null if absent."""
+    """The value of a rule's field on a prepared event, null if absent."""
     n = _norm(name)
-    if profile == "security4688" and (mapped := process_field(n)) is not None:
+    if profile == "security4688" and (mapped := process_field(n, _pair)) is not None:
         return mapped
     header = {"eventid": F.col("event_id").cast("string"), "channel": F.col("channel"), "provider_name": F.col("provider"), "eventrecordid": F.col("record_id").cast("string")}
     if n in header:
         return header[n]
-    options = [field(n, compact=True)]
+    options = [_pair(n)]
     if n == "data":
         options.append(data_blob())
     if n in ("computer", "computername"):
@@ -66,8 +79,8 @@ def event_field(name: str, profile: str | None = None) -> Column:
     if n == "level":
         options.append(F.col("level").cast("string"))
     if n in ("md5", "sha1", "sha256", "imphash"):
-        options.append(hash_of(n, field("hashes", compact=True)))
-    options.append(F.when(canonical_channel() == "windows powershell", classic_field(n)))
+        options.append(hash_of(n, _pair("hashes")))
+    options.append(F.when(F.col("_channel") == "windows powershell", classic_field(n)))
     return F.coalesce(*options)
 
 
@@ -126,41 +139,47 @@ def java_regex(pattern: str, mods: set[str]) -> str:
         flags |= set(inline[1]) - {"x"}
         pattern = pattern[inline.end() :]
     pattern = re.sub(r"\(\?P<([A-Za-z_]\w*)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
+    pattern = re.sub(r"\(\?P=([A-Za-z_]\w*)\)", lambda m: f"\\k<{m[1].replace('_', '')}>", pattern)
     try:
-        re.compile(re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", pattern))
+        re.compile(re.sub(r"\\k<(\w+)>", r"(?P=\1)", re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", pattern)))
     except re.error as e:
-        raise Unsupported(f"unsupported regular expression /{pattern}/: {e}") from None
+        raise Unsupported(f"regular expression {pattern!r} does not compile: {e}") from None
     return (f"(?{''.join(sorted(flags))})" if flags else "") + pattern
 
 
-@F.pandas_udf(BooleanType())
-def _in_network(value: pd.Series, network: pd.Series) -> pd.Series:
-    nets = {n: ipaddress.ip_network(n, strict=False) for n in network.unique()}
-
-    def test(v: str | None, n: str) -> bool:
-        try:
-            ip = ipaddress.ip_address((v or "").strip().strip("[]").split("%")[0])
-        except ValueError:
-            return False
-        ip = getattr(ip, "ipv4_mapped", None) or ip if nets[n].version == 4 else ip
-        return ip.version == nets[n].version and ip in nets[n]
-
-    return pd.Series([test(v, n) for v, n in zip(value, network, strict=True)])
-
-
 def network(text: str) -> ipaddress.IPv4Network | ipaddress.IPv6Network:
     try:
         return ipaddress.ip_network(text, strict=False)
     except ValueError:
-        raise Unsupported(f"not a network: {text}") from None
+        raise Unsupported(f"{text} is no network") from None
+
+
+def _v6_digits(v: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address in lower case, null if it is none; the last two groups may be an IPv4 address."""
+    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    tail = rf"^(.*:){octet}\.{octet}\.{octet}\.{octet}$"
+    part = lambda i: F.regexp_extract(v, tail, i)
+    pair = lambda i: F.lower(F.hex(part(i).try_cast("int") * 256 + part(i + 1).try_cast("int")))
+    v = F.when(v.rlike(tail), F.concat(part(1), pair(2), F.lit(":"), pair(4))).otherwise(v)
+    halves = F.split(v, "::")
+    groups = lambda i: F.filter(F.split(F.get(halves, F.lit(i)), ":"), lambda x: x != "")
+    gap = 8 - F.size(groups(0)) - F.size(F.coalesce(groups(1), F.array().cast("array<string>")))
+    whole = F.when(F.size(halves) == 2, F.when(gap > 0, F.concat(groups(0), F.array_repeat(F.lit("0"), gap), groups(1)))).when(F.size(halves) == 1, groups(0))
+    fine = ~v.rlike("^:[^:]|[^:]:$|:::") & (F.size(whole) == 8) & F.forall(whole, lambda x: x.rlike("^[0-9a-f]{1,4}$"))
+    return F.when(fine, F.array_join(F.transform(whole, lambda x: F.lpad(x, 4, "0")), ""))
 
 
 def cidr(value: Column, text: str) -> Column:
-    """Whether an address lies in a network. IPv4 in expressions, mapped addresses, brackets and zones included; IPv6 in batches."""
+    """Whether an address lies in a network, in expressions; mapped addresses, brackets and zones included."""
     net = network(text)
-    if net.version == 6:
-        return _in_network(value, F.lit(str(net)))
     v = F.regexp_replace(F.lower(F.trim(value)), r"^\[|\](?=$)|%.*$", "")
+    if net.version == 6:
+        digits, want, n = _v6_digits(v), f"{int(net.network_address):032x}", net.prefixlen
+        nibble = F.conv(F.substring(digits, n // 4 + 1, 1), 16, 10).cast("int")
+        test = digits.startswith(want[: n // 4])
+        if n % 4:
+            test &= F.shiftright(nibble, 4 - n % 4) == int(want[n // 4], 16) >> (4 - n % 4)
+        return F.coalesce(test, F.lit(False))
     v = F.regexp_replace(v, "^::ffff:(?=[0-9.]+$)", "")
     parts = F.split(v, r"\.")
     n = reduce(lambda a, i: a * 256 + F.get(parts, F.lit(i)).try_cast("long"), range(4), F.lit(0).cast("long"))
@@ -193,31 +212,31 @@ def check_entry(name: str | None, mods: list[str], value: object) -> tuple[set[s
     """Modifiers and values of one entry, or Unsupported with the reason; plain Python, so that large packs are checked fast."""
     kinds = {m.lower() for m in mods}
     if "expand" in kinds:
-        raise Unsupported("the `expand` modifier needs placeholder values (unsupported)")
+        raise Unsupported("values of `expand` come from placeholders, which a spec does not hold")
     if unknown := kinds - MODIFIERS:
-        raise Unsupported(f'unknown modifier "{sorted(unknown)[0]}"')
+        raise Unsupported(f"unknown modifier {sorted(unknown)[0]} of {name or 'keywords'}")
     items = value if isinstance(value, list) else [value]
     if any(isinstance(x, dict | list) for x in items):
-        raise Unsupported("nested objects are not valid values")
+        raise Unsupported("a value is nested; only single values and flat lists are tested")
     if name is None and kinds & {"exists", "fieldref"}:
-        raise Unsupported(f"`{min(kinds & {'exists', 'fieldref'})}` needs a field")
+        raise Unsupported(f"keywords cannot take {min(kinds & {'exists', 'fieldref'})}")
     if "exists" in kinds:
         return kinds, items
     for x in items:
         if x is None:
             if name is None:
-                raise Unsupported("null is not a valid keyword")
+                raise Unsupported("a keyword is null")
         elif op := kinds & {"gt", "gte", "lt", "lte"}:
             try:
                 operand(x)
             except ValueError:
-                raise Unsupported(f'"{min(op)}" needs a number') from None
+                raise Unsupported(f"{min(op)} needs a number, {x!r} is none") from None
         elif "cidr" in kinds:
             network(str(x))
         elif "re" in kinds:
             java_regex(str(x), kinds)
         elif kinds & {"utf16le", "wide", "utf16be", "utf16"} and not kinds & {"base64", "base64offset"}:
-            raise Unsupported("utf16 modifiers are only meaningful with base64")
+            raise Unsupported("utf16 text is looked for inside base64 only")
     return kinds, items
 
 
@@ -228,7 +247,7 @@ def operand(x: object) -> float:
 def check_selection(spec: object) -> None:
     if isinstance(spec, dict):
         if not spec:
-            raise Unsupported("empty selection")
+            raise Unsupported("a selection has no entries")
         for k, v in spec.items():
             check_entry(k.split("|")[0] or None, k.split("|")[1:], v)
     elif isinstance(spec, list) and spec and all(isinstance(x, dict) for x in spec):
@@ -299,25 +318,36 @@ _WORD = re.compile(r"\(|\)|[^\s()|]+|\|")
 
 
 def _names(pattern: str, selections: list[str]) -> list[str]:
-    if pattern == "them":
+    if pattern.lower() == "them":
         return [s for s in selections if not s.startswith("_")]
-    return [s for s in selections if re.fullmatch(pattern.replace("*", ".*"), s)]
+    return [s for s in selections if re.fullmatch(re.escape(pattern).replace(r"\*", ".*"), s)]
 
 
 def rewritten(condition: str, selections: list[str], prefix: str = "s") -> str:
-    """The condition as SQL text over columns prefix0, prefix1 ... of the selections, `n of` expanded; Spark parses the rest."""
-    if re.search(r"\|", condition):
-        raise Unsupported("aggregation conditions are not supported")
-    words, out, i = _WORD.findall(condition), [], 0
+    """The condition as SQL text over columns prefix0, prefix1 ... of the selections, `n of` expanded; Spark parses the rest.
+
+    What is no well-formed condition is Unsupported: operands and operators must take turns, parentheses must pair up.
+    """
+    if "|" in condition:
+        raise Unsupported("aggregation: the condition counts or groups events, a rule is about one")
+    words, out, i, depth, open_ = _WORD.findall(condition), [], 0, 0, True
     ref = {s: f"{prefix}{k}" for k, s in enumerate(selections)}
     while i < len(words):
         w = words[i].lower()
         if w == "near":
-            raise Unsupported("near conditions are not supported")
+            raise Unsupported("near: the condition relates events in time, a rule is about one")
+        if w in ("and", "or", ")") and open_:
+            raise Unsupported(f"{words[i]} at place {i + 1} of the condition follows no selection")
+        if w not in ("and", "or", ")") and not open_:
+            raise Unsupported(f"{words[i]} at place {i + 1} of the condition follows a selection without and, or")
+        depth += (w == "(") - (w == ")")
+        if depth < 0:
+            raise Unsupported("a parenthesis of the condition is closed but not opened")
+        step = 1
         if i + 2 < len(words) and words[i + 1].lower() == "of" and (w in ("all", "any") or w.isdigit()):
             names = _names(words[i + 2], selections)
             if not names:
-                raise Unsupported(f"no selection matches {words[i + 2]}")
+                raise Unsupported(f"{words[i + 2]} stands for no selection")
             cols = [ref[n] for n in names]
             if w == "all":
                 out.append("(" + " AND ".join(cols) + ")")
@@ -325,17 +355,19 @@ def rewritten(condition: str, selections: list[str], prefix: str = "s") -> str:
                 out.append("(" + " OR ".join(cols) + ")")
             else:
                 out.append("(" + " + ".join(f"CAST({c} AS INT)" for c in cols) + f" >= {int(w)})")
-            i += 3
-            continue
-        if w in ("and", "or", "not", "(", ")"):
+            step = 3
+        elif w in ("and", "or", "not", "(", ")"):
             out.append(w.upper())
         elif words[i] in ref:
             out.append(ref[words[i]])
         else:
             raise Unsupported(f"unknown selection {words[i]}")
-        i += 1
+        open_ = w in ("and", "or", "not", "(")
+        i += step
     if not out:
-        raise Unsupported("empty condition")
+        raise Unsupported("the condition is empty")
+    if depth or open_:
+        raise Unsupported("a parenthesis of the condition is not closed" if depth else "the condition ends before its last selection")
     return " ".join(out)
 
 
@@ -380,11 +412,11 @@ def _condition_ids(condition: str, selections: dict[str, object]) -> frozenset[i
 
 def compile_rule(spec: dict) -> Rule:
     """A checked rule, or Unsupported with the reason."""
-    for key, why in (("correlation", "correlation rules are not supported"), ("action", "rule collections (`action:`) are not supported")):
+    for key, why in (("correlation", "a correlation of other rules"), ("action", "one part of a collection of rules")):
         if spec.get(key):
             raise Unsupported(why)
     if spec.get("filter") and not spec.get("detection"):
-        raise Unsupported("filter rules are not supported")
+        raise Unsupported("a filter for other rules")
     for key in ("title", "detection", "logsource"):
         if not spec.get(key):
             raise Unsupported(f"missing {key}")
@@ -393,7 +425,7 @@ def compile_rule(spec: dict) -> Rule:
         raise Unsupported(why)
     detection = spec["detection"]
     if "timeframe" in detection:
-        raise Unsupported("timeframe conditions are not supported")
+        raise Unsupported("a timeframe spans several events")
     selections = {k: v for k, v in detection.items() if k != "condition"}
     conditions = detection.get("condition")
     if not conditions:
@@ -405,14 +437,14 @@ def compile_rule(spec: dict) -> Rule:
     for s in selections.values():
         check_selection(s)
     for c in conditions:
-        rewritten(c, list(selections))
+        rewritten(str(c), list(selections))
     return rule
 
 
-def rule_columns(rule: Rule, profile: str | None, prefix: str = "s") -> tuple[list[Column], str]:
-    """The selections as boolean columns named prefix0, prefix1 ..., and the condition over them as SQL text."""
+def rule_columns(rule: Rule, profile: str | None, prefix: str = "s") -> tuple[dict[str, Column], str]:
+    """The selections as boolean columns, by their names prefix0, prefix1 ..., and the condition over them as SQL text."""
     detection = rule.spec["detection"]
     names = [k for k in detection if k != "condition"]
     conditions = detection["condition"] if isinstance(detection["condition"], list) else [detection["condition"]]
     text = " OR ".join(f"({rewritten(c, names, prefix)})" for c in conditions)
-    return [selection(detection[n], profile).alias(f"{prefix}{i}") for i, n in enumerate(names)], text
+    return {f"{prefix}{i}": selection(detection[n], profile) for i, n in enumerate(names)}, text

@@ -9,9 +9,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.decode import decode_value, decoded_text
+from ..functions.decode import LABELS, decode_value, decoded_text
 from ..functions.fields import as_column, glob, number
-from ..functions.names import event_name
+from ..functions.names import EVENT_NAMES, event_name
+from ..operators.rules import Unsupported, java_regex
 
 # Names of header fields, and names that stand for several EventData fields.
 HEADER_FIELDS = {
@@ -57,6 +58,25 @@ def haystack(ed: str | Column = "ed") -> Column:
     return F.lower(F.array_join(F.concat(head, values, F.array(decoded_text(ed))), "\u0001"))
 
 
+def free_text(value: str, ed: str | Column = "ed") -> Column:
+    """Whether the haystack holds a text, told from its parts.
+
+    Names and labels come from tables, so most texts can be seen to be in none of them; then nothing is decoded.
+    """
+    needle = value.lower()
+    if not needle:
+        return F.lit(True)
+    if "\u0001" in needle or "," in needle:
+        # it may reach from one part into the next
+        return haystack(ed).contains(needle)
+    has = lambda c: F.coalesce(F.lower(c.cast("string")).contains(needle), F.lit(False))
+    hit = reduce(Column.__or__, [has(F.col(c)) for c in ("event_id", "provider", "channel", "computer", "file")])
+    hit = hit | F.exists(as_column(ed), lambda p: has(p["value"]))
+    if any(needle in n.lower() for t in EVENT_NAMES.values() for n in t.values()):
+        hit = hit | has(event_name(F.col("event_id"), F.col("provider")))
+    return hit | has(decoded_text(ed)) if any(needle in label.lower() for label in LABELS) else hit
+
+
 def _header(kind: str) -> Column:
     c = {"eventid": F.col("event_id"), "level": F.col("level"), "record": F.col("record_id")}.get(kind)
     if kind == "name":
@@ -73,15 +93,16 @@ def _value_test(c: Clause):
     return lambda v: F.lower(v) == c.value.lower()
 
 
-def decoded_pairs(ed: str | Column = "ed") -> Column:
-    """Pairs with what they mean: (name in lower case, value, meaning); made once where many clauses look at them."""
-    return F.transform(as_column(ed), lambda p: F.struct(F.lower(p["name"]).alias("name"), p["value"].alias("value"), decode_value(p["name"], p["value"]).alias("meaning")))
+def decoded_pairs(ed: str | Column = "ed", names: list[str] | None = None) -> Column:
+    """Pairs, or those of some names, with what they mean: (name in lower case, value, meaning); made once where many clauses look at them."""
+    some = as_column(ed) if names is None else F.filter(as_column(ed), lambda p: F.lower(p["name"]).isin(names))
+    return F.transform(some, lambda p: F.struct(F.lower(p["name"]).alias("name"), p["value"].alias("value"), decode_value(p["name"], p["value"]).alias("meaning")))
 
 
 def clause_column(c: Clause, hay: Column | None = None, pairs: Column | None = None) -> Column:
     """True or false for every event, never null: an absent field doesn't match, so a negated clause on it does."""
     if c.field is None:
-        hit = (haystack() if hay is None else hay).contains(c.value.lower())
+        hit = free_text(c.value) if hay is None else hay.contains(c.value.lower())
     else:
         name, test = c.field.lower(), _value_test(c)
         if name in HEADER_FIELDS:
@@ -118,14 +139,34 @@ def clauses(text: str) -> list[list[Clause]]:
     return [g for g in groups if g]
 
 
+def _pair_names(groups: list[list[Clause]]) -> list[str]:
+    """The names of pairs that clauses look at, in lower case."""
+    fields = {c.field.lower() for g in groups for c in g if c.field and c.field.lower() not in HEADER_FIELDS}
+    return sorted({n for f in fields for n in MULTI_FIELDS.get(f, [f])})
+
+
 def search(events: DataFrame, groups: list[list[Clause]] | str) -> DataFrame:
-    return events.where(groups_column(clauses(groups) if isinstance(groups, str) else groups))
+    """The events that a search selects.
+
+    What the clauses on header fields leave is filtered first, at the scan where it can be. The other clauses look at the
+    pairs that they name, which are decoded once for all of them.
+    """
+    groups = clauses(groups) if isinstance(groups, str) else groups
+    head = [[c for c in g if c.field and c.field.lower() in HEADER_FIELDS] for g in groups]
+    out = events.where(groups_column(head)) if all(head) else events
+    if head == groups:
+        return out
+    names = _pair_names(groups)
+    with_pairs = out.withColumn("_pairs", decoded_pairs(names=names)) if names else out
+    # as a generator, which keeps the pairs from being put into the predicate once for each clause
+    kept = F.explode(F.filter(F.array(F.lit(True)), lambda _: groups_column(groups, pairs=F.col("_pairs"))))
+    return with_pairs.withColumn("_kept", kept).select(events.columns)
 
 
 def regex_search(events: DataFrame, pattern: str) -> DataFrame:
     """Events whose haystack a pattern hits, in any case; a pattern that does not compile hits none."""
     try:
-        re.compile(pattern)
-    except re.error:
+        read = java_regex(pattern, {"i"})
+    except Unsupported:
         return events.where(F.lit(False))
-    return events.where(haystack().rlike("(?i)" + pattern))
+    return events.where(haystack().rlike(read))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.fields import field
 from ..functions.names import event_name, provider_category
 from ..functions.times import event_time
+from ..operators.rules import Unsupported, java_regex
 
 FIELDS = {"level": "enum", "category": "enum", "eventId": "number", "timestamp": "date", "provider": "text", "channel": "text", "computer": "text", "file": "text", "eventName": "text", "eventData": "text"}
 NUMBER_OPS = {"eq": Column.__eq__, "neq": Column.__ne__, "lt": Column.__lt__, "lte": Column.__le__, "gt": Column.__gt__, "gte": Column.__ge__}
@@ -37,10 +37,9 @@ def _text(op: str, actual: Column, value: str) -> Column:
         return F.lit(True)
     if op == "regex":
         try:
-            re.compile(value)
-        except re.error:
+            return a.rlike(java_regex(value, {"i"}))
+        except Unsupported:
             return F.lit(True)
-        return a.rlike("(?i)" + value)
     a, v = F.lower(a), value.lower()
     return {"contains": lambda: a.contains(v), "notContains": lambda: ~a.contains(v), "equals": lambda: a == v, "notEquals": lambda: a != v, "startsWith": lambda: a.startswith(v)}[op]()
 

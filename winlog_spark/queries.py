@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import datetime
 from functools import cache
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import decode, describe, fields, names, times
-from .operators import detect, facets, findings, hunts, packed, pivots, sessions, timeline
+from .operators import detect, facets, findings, hunts, logsource, packed, pivots, sessions, timeline
 from .plans import search, timewin, tree
 from .schema import as_event_log, event_log_sql
 from .sources import case, export, logs, xml
@@ -96,6 +97,7 @@ def _user_data(e: DataFrame) -> DataFrame:
 add("io4_user_data", _user_data, "SELECT record_id, unnest([0, 1, 2, 3]) AS pos, unnest(['A', 'B', 'C', 'D']) AS name, unnest([computer, '', '', file]) AS value FROM ev")
 add("io5_merge_logs", lambda e: logs.merge_logs(*[e.where(F.col("file") == f"log{i}.evtx") for i in (2, 0, 1)]).select("g", "record_id", "file"), "SELECT record_id + CASE file WHEN 'log2.evtx' THEN 0 WHEN 'log0.evtx' THEN 1099511627776 ELSE 2199023255552 END AS g, record_id, file FROM ev")
 add("io5_dense_order", lambda e: logs.dense_order(logs.merge_logs(*[e.where(F.col("file") == f"log{i}.evtx") for i in (2, 0, 1)])).select("g", "record_id"), "SELECT row_number() OVER (ORDER BY CASE file WHEN 'log2.evtx' THEN 0 WHEN 'log0.evtx' THEN 1 ELSE 2 END, record_id) - 1 AS g, record_id FROM ev")
+add("io5_numbered", lambda e: logs.numbered(e.withColumn("record_id", F.when(F.col("g") % 5 != 0, F.col("g") % 1000)).withColumn("note", F.col("g"))).select("file", "g", F.col("record_id").isNull().alias("no_id")), "SELECT file, row_number() OVER (ORDER BY file, no_id, r) - 1 AS g, no_id FROM (SELECT file, g % 5 = 0 AS no_id, CASE WHEN g % 5 <> 0 THEN g % 1000 END AS r FROM ev)")
 add("io6_without_file", lambda e: logs.without_file(e, "log1.evtx").groupBy("file").agg(F.count(F.lit(1)).alias("n")), "SELECT file, count(*) AS n FROM ev WHERE file <> 'log1.evtx' GROUP BY file")
 WIDE = ["CommandLine", "IpAddress", "TargetUserName"]
 add("io7_wide", lambda e: export.to_wide(e, WIDE).select(F.col("Record").alias("record"), F.col("Level").alias("level"), *WIDE), f"SELECT record_id AS record, coalesce({sql_map(decode.LEVELS)}[level::VARCHAR], 'Unknown') AS level, " + ", ".join(f"coalesce({fv(w)}, '') AS \"{w}\"" for w in WIDE) + " FROM ev")
@@ -120,7 +122,45 @@ add("p4_decode", lambda e: e.select("g", F.explode("ed").alias("p")).select("g",
 add("p5_norm_hex", lambda e: e.select("g", fields.norm_hex(fields.field("SubStatus")).alias("h")).where("h is not null"), f"SELECT g, regexp_replace(lower({fv('SubStatus')}), '^0x0+', '0x') AS h FROM ev WHERE {fv('SubStatus')} IS NOT NULL")
 add("p6_decoded_text", lambda e: e.select("g", decode.decoded_text().alias("t")), f"SELECT g, coalesce(array_to_string(list_filter(list_transform(ed, lambda p: {DECODED}), lambda x: x IS NOT NULL), chr(1)), '') AS t FROM ev")
 _ACC = f"CASE WHEN {fv('TargetDomainName')} = '-' THEN {fv('TargetUserName')} ELSE {fv('TargetDomainName')} || '\\' || {fv('TargetUserName')} END"
-add("p7_describe", lambda e: e.where("event_id = 4634").select("g", describe.describe_event().alias("d")), f"SELECT g, ({_ACC}) || ' logged off: ' || {sql_map(decode.LOGON_TYPES)}[{fv('LogonType')}] AS d FROM ev WHERE event_id = 4634")
+add("p7_describe", lambda e: e.where("event_id = 4634").select("g", describe.describe_event().alias("d")), f"SELECT g, 'Sign-in of ' || ({_ACC}) || ' ended (' || {sql_map(decode.LOGON_TYPES)}[{fv('LogonType')}] || ')' AS d FROM ev WHERE event_id = 4634")
+
+
+def template_sql(template: str) -> str:
+    """A template of describe as SQL over ed."""
+
+    def get(n: str) -> str:
+        return f"coalesce(list_transform(list_filter(ed, lambda p: lower(p.name) = '{n.lower()}'), lambda p: CASE WHEN trim(p.value) = '-' THEN '' ELSE coalesce({DECODED}, trim(p.value)) END)[-1], '')"
+
+    def value(spec: str) -> str:
+        pair = lambda d, u: f"CASE WHEN {get(u)} = '' THEN '' WHEN {get(d)} = '' THEN {get(u)} ELSE {get(d)} || '\\' || {get(u)} END"
+        if spec == "!cause":
+            return f"coalesce(nullif(nullif({get('SubStatus')}, 'Success'), ''), nullif({get('Status')}, ''), {get('FailureReason')})"
+        spec, _, default = spec.partition("?")
+        if spec.startswith("@"):
+            return f"coalesce(nullif({pair(spec[1:] + 'DomainName', spec[1:] + 'UserName')}, ''), '{default}')"
+        if "\\" in spec:
+            return pair(*spec.split("\\"))
+        if "/" in spec:
+            return "coalesce(" + ", ".join(f"nullif({get(n)}, '')" for n in spec.split("/")) + ", '')"
+        name, _, most = spec.partition(":")
+        flat = f"trim(regexp_replace({get(name)}, '\\s+', ' ', 'g'))"
+        return f"CASE WHEN length({flat}) > {most} THEN {flat}[1:{int(most) - 1}] || '…' ELSE {flat} END" if most else get(name)
+
+    def rendered(text: str) -> str:
+        parts = re.split(r"\{([^}]*)\}", text)
+        return " || ".join(f"'{p}'" if i % 2 == 0 else f"({value(p)})" for i, p in enumerate(parts) if p)
+
+    out = []
+    for optional, word in re.findall(describe.PARTS, template):
+        tested = value(re.findall(r"\{([^}]*)\}", optional)[0]) if optional else rendered(word)
+        out.append(f"CASE WHEN ({tested}) <> '' THEN {rendered(optional or word)} END")
+    return f"nullif(trim(regexp_replace(regexp_replace(concat_ws(' ', {', '.join(out)}), '\\s+', ' ', 'g'), ' ([:,])', '\\1', 'g')), '')"
+
+
+#: The kinds of events in the driver's table.
+_KINDS = {("security", i) for i in (4624, 4625, 4634, 4672, 4688, 4769, 5140)} | {("system", 7045), ("sysmon", 1), ("sysmon", 10), ("powershell", 4104)}
+_SENTENCE = "CASE " + " ".join(f"WHEN {CATEGORY} = '{c}' AND event_id = {i} THEN {template_sql(describe.TEMPLATES[c][i])}" for c, i in sorted(_KINDS)) + " END"
+add("p7_describe_text", lambda e: e.select("g", describe.describe_event().alias("d")), f"SELECT g, {_SENTENCE} AS d FROM ev")
 add("p7_describe_all", lambda e: e.withColumn("d", describe.describe_event()).groupBy("event_id").agg(F.count("d").alias("described"), F.count(F.lit(1)).alias("n")), "SELECT event_id, CASE WHEN event_id = 1102 THEN 0 ELSE count(*) END AS described, count(*) AS n FROM ev GROUP BY event_id")
 add("p8_account", lambda e: e.select("g", fields.account("Target").alias("a")), f"SELECT g, coalesce({_ACC}, '') AS a FROM ev")
 add("p9_field_modes", lambda e: e.select("g", fields.field("ipaddress").alias("first"), fields.field("IPADDRESS", "last").alias("last"), fields.field("Ip Address".replace(" ", ""), compact=True).alias("compact")), f"SELECT g, {fv('IpAddress')} AS first, {fv('IpAddress', -1)} AS last, {fv('IpAddress')} AS compact FROM ev")
@@ -222,9 +262,21 @@ _SIZE = "(SELECT CASE " + " ".join(f"WHEN (epoch_us(max(ts)) - epoch_us(min(ts))
 _TIER = "CASE level WHEN 1 THEN 'critical' WHEN 2 THEN 'error' WHEN 3 THEN 'warning' WHEN 4 THEN 'info' ELSE 'verbose' END"
 add("a7_timeline", timeline.timeline, "SELECT make_timestamp(b * size * 1000000) AS start, " + ", ".join(f"count(*) FILTER (WHERE t = '{t}') AS {t}" for t in timeline.TIERS) + ", count(t) AS total FROM grid LEFT JOIN x USING (b) GROUP BY b, size", f"z AS (SELECT {_SIZE} AS size), x AS (SELECT floor(epoch_us(ts) / 1000000 / size)::BIGINT AS b, {_TIER} AS t FROM ev, z), grid AS (SELECT unnest(range((SELECT min(b) FROM x), (SELECT max(b) + 1 FROM x))) AS b, size FROM z)")
 add("a8_percentile_span", timeline.percentile_span, "SELECT (SELECT ts FROM r WHERE i = greatest(1, ceil(n * 0.01))) AS lo, (SELECT ts FROM r WHERE i = greatest(1, ceil(n * 0.99))) AS hi", "r AS (SELECT ts, row_number() OVER (ORDER BY ts) AS i, count(*) OVER () AS n FROM ev)")
+
+
+def _strip(e: DataFrame) -> DataFrame:
+    b, r = timeline.bounds(e).first(), timeline.percentile_span(e).first()
+    return e.sparkSession.createDataFrame([timeline.strip_domain((b.first, b.last), (r.lo, r.hi), (START, END))], "lo timestamp, hi timestamp, zoomed boolean")
+
+
+add("a9_strip_domain", _strip, "SELECT least((SELECT ts FROM r WHERE i = greatest(1, ceil(n * 0.01))), TIMESTAMP '2024-01-05') AS lo, greatest((SELECT ts FROM r WHERE i = greatest(1, ceil(n * 0.99))), TIMESTAMP '2024-01-20 12:00:00') AS hi, false AS zoomed", "r AS (SELECT ts, row_number() OVER (ORDER BY ts) AS i, count(*) OVER () AS n FROM ev)")
 add("a10_bounds", timeline.bounds, "SELECT min(ts) AS first, max(ts) AS last FROM ev")
 add("a10_outside", lambda e: timeline.counts_outside(e, START, END), "SELECT count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-05') AS earlier, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-20 12:00:00') AS later FROM ev")
 add("o1_sort_level", lambda e: pivots.ordered(e, "level", True).limit(100).select("g", F.col("level").cast("int").alias("level")), "SELECT g, level FROM ev ORDER BY coalesce(level, 99) DESC, g DESC LIMIT 100")
+_SORTS = {"record": "record_id", "time": "ts", "eventId": "event_id", "provider": "provider", "channel": "channel", "computer": "computer", "file": "file", "level": "coalesce(level, 99)", "name": f"coalesce({EVENT_NAME}, '')"}
+for _i, (_by, _sql) in enumerate(_SORTS.items()):
+    _order = f"{_sql} DESC NULLS LAST, g DESC" if _i % 2 else f"{_sql} NULLS FIRST, g"
+    add(f"o1_places_{_by.lower()}", lambda e, b=_by, d=bool(_i % 2): pivots.in_order(e, pivots.sort_keys(b, d)).select("g", "place"), f"SELECT g, row_number() OVER (ORDER BY {_order}) - 1 AS place FROM ev")
 add("o1_sort_name", lambda e: pivots.ordered(e, "name").limit(100).select("g"), f"SELECT g FROM ev ORDER BY coalesce({EVENT_NAME}, ''), g LIMIT 100")
 
 # --- sessions and pivots ---------------------------------------------------------------
@@ -281,6 +333,7 @@ RULES = {
     "d15_numeric": (_SEC, {"s": {"EventID": 4624, "LogonType|gte": 5}, "condition": "s"}, f"event_id = 4624 AND {fv('LogonType')}::INT >= 5"),
     "d16_hex_number": (_SEC, {"s": {"EventID": 4769, "TicketEncryptionType": 23}, "condition": "s"}, f"event_id = 4769 AND {fv('TicketEncryptionType')} = '0x17'"),
     "d17_cidr": (_SEC, {"s": {"IpAddress|cidr": ["10.0.4.0/22", "192.168.0.0/16"]}, "condition": "s"}, f"channel = 'Security' AND regexp_matches({fv('IpAddress')}, '^10\\.0\\.[4-7]\\.')"),
+    "d17_cidr_v6": (_SEC, {"s": {"IpAddress|cidr": ["::ffff:0:0/96", "fe80::/10"]}, "t": {"TargetUserName|cidr": "::/0"}, "u": {"EventID": 5140}, "condition": "u and not 1 of s* and not t"}, "event_id = 5140"),
     "d18_fieldref": (_ANY, {"s": {"TargetUserName|startswith|fieldref": "SubjectUserName"}, "t": {"ImagePath|exists": True}, "condition": "s or t"}, "event_id = 7045"),
     "d19_base64": (_PROC, {"s": {"CommandLine|base64offset|contains|wide": "IEX"}, "condition": "s"}, f"{_IN_PROC} AND contains(lower({_CMD}), 'sqbfafga')"),
     "d20_windash": (_PROC, {"s": {"CommandLine|windash|contains": " -add"}, "condition": "s"}, f"{_IN_PROC} AND contains({_CMD}, ' /add')"),
@@ -299,6 +352,7 @@ BROKEN = [
     {"id": "b5", "title": "b5", "logsource": _SEC, "detection": {"s": {"a|wat": 1}, "condition": "s"}},
     {"id": "b6", "title": "b6", "logsource": _SEC},
     {"id": "d06_exact", "title": "again", "logsource": _SEC, "detection": {"s": {"a": 1}, "condition": "s"}},
+    *[{"id": f"c{i}", "title": f"c{i}", "logsource": _SEC, "detection": {"a": {"x": 1}, "b": {"y": 1}, "condition": c}} for i, c in enumerate(("a and (b", "a b", "a and", "and a", "not", "a and and b", "(a or b))", "()", "a not b", "1 of c*"))],
     {"id": "b7", "title": "b7", "status": "deprecated", "logsource": _SEC, "detection": {"s": {"a": 1}, "condition": "s"}},
 ]
 
@@ -323,10 +377,54 @@ add("d01_detect_gated", lambda e: detect.detect(e, compiled(), gated=True), "SEL
 add("d01_detect_packed", lambda e: packed.detect_packed(e, compiled()), "SELECT rule_id, g FROM m", _M)
 _ANY_IMG = f"lower(CASE event_id WHEN 4688 THEN {fv('NewProcessName')} ELSE {_IMG} END)"
 _LOAD = f"""CASE WHEN i % 50 = 0 THEN event_id IN (1, 4688) AND contains({_CMD}, 'net user') AND contains({_CMD}, 'user' || i % 150) AND contains({_CMD}, '/add')
+ WHEN i % 50 = 10 THEN event_id IN (1, 4688) AND {_CMD} LIKE '%tool.exe --n _' || i // 50 % 10
+ WHEN i % 50 = 20 THEN event_id IN (1, 4688) AND regexp_matches({_CMD}, '--n ' || i // 50 % 10 || '[0-9]$')
+ WHEN i % 50 = 31 THEN event_id = 4624 AND {fv('LogonType')}::INT >= 3 + i // 50 % 9 AND ends_with({fv('TargetUserName')}, (i // 50 % 10)::VARCHAR)
+ WHEN i % 50 = 41 THEN channel = 'Security' AND {fv('IpAddress')} IS NULL AND {fv('WorkstationName')} IS NOT NULL
  WHEN i % 2 = 0 THEN event_id IN (1, 4688) AND (ends_with({_ANY_IMG}, '\\tool' || i % 400 || '.exe') OR ends_with({_ANY_IMG}, '\\alt' || i || '.exe')) AND (contains({_CMD}, ' --opt' || i // 89 % 97 || ' ') OR contains({_CMD}, '-x' || i % 89) OR contains({_CMD}, '/key' || i))
  ELSE channel = 'Security' AND event_id = [4624, 4625, 4688, 7045][i % 4 + 1] AND {fv('TargetUserName')} IN ('user' || i, 'svc' || i // 89 % 97) AND NOT coalesce(starts_with({fv('IpAddress')}, '172.' || i % 89 || '.'), false) END"""
 add("d01_detect_load", lambda e: packed.detect_packed(e, load_pack()).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")), f"SELECT 'load-' || i AS rule_id, count(*) AS n FROM ev, range(0, {LOAD}) t(i) WHERE coalesce({_LOAD}, false) GROUP BY i")
-add("d24_skipped", lambda e: detect.skipped_table(e.sparkSession, detect.compile_rules(SPECS + BROKEN)[1]).join(e.agg(F.count(F.lit(1)).alias("events"))).select("rule_id", "events"), "SELECT unnest(['b1', 'b2', 'b3', 'b4', 'b5', 'b6', 'd06_exact', 'b7']) AS rule_id, (SELECT count(*) FROM ev) AS events")
+add("d24_skipped", lambda e: detect.skipped_table(e.sparkSession, detect.compile_rules(SPECS + BROKEN)[1]).join(e.agg(F.count(F.lit(1)).alias("events"))).select("rule_id", "events"), f"SELECT unnest([{', '.join(repr(b['id']) for b in BROKEN)}]) AS rule_id, (SELECT count(*) FROM ev) AS events")
+
+
+def _spec_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rule documents made from the events, some of them broken in the ways that packs are: one for each user and kind of event."""
+    kinds = ev(spark, d).where("event_id in (4624, 4625, 4634)").select("event_id", fields.field("TargetUserName").alias("user")).distinct()
+    n = F.xxhash64("event_id", "user") % 7
+    condition = F.when(n == 1, "s and").when(n == 2, "(s").when(n == 3, "s s").when(n == 4, "1 of them").when(n == 5, "1 of THEM").when(n == 6, "t").otherwise("s")
+    document = F.struct(F.concat_ws("/", "event_id", "user").alias("id"), F.lit("x").alias("title"), F.struct(F.lit("windows").alias("product"), F.lit("security").alias("service")).alias("logsource"), F.struct(F.struct(F.col("event_id").alias("EventID"), F.col("user").alias("TargetUserName")).alias("s"), condition.alias("condition")).alias("detection"))
+    return kinds.select("event_id", "user", condition.alias("condition"), F.to_json(document).alias("value"))
+
+
+def rule_pack(spark: SparkSession, d: str) -> DataFrame:
+    """A pack written as files, read and run: per rule its matches, or why it was left out."""
+    at = f"{_shared(spark)}/pack"
+    _spec_rows(spark, d).select("value").write.text(at)
+    good, skipped = detect.compile_rules([s for s in logs.read_rules(spark, at)])
+    found = detect.detect(ev(spark, d), good).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    table = spark.createDataFrame(skipped, "rule_id string, reason string").select("rule_id", F.lit(0).cast("long").alias("n"), "reason")
+    return found.withColumn("reason", F.lit(None).cast("string")).unionByName(table)
+
+
+QUERIES["io14_rule_pack"] = rule_pack
+add("d31_custom_rules", lambda e: detect.detect(e, detect.compile_rules([*SPECS, {"id": "own", "title": "own", "logsource": _SEC, "detection": {"s": {"EventID": 4634, "LogonType": "5"}, "condition": "s"}}])[0]), f"SELECT rule_id, g FROM m UNION ALL SELECT 'own', g FROM ev WHERE event_id = 4634 AND {fv('LogonType')} = '5'", _M)
+
+
+def _sources(e: DataFrame) -> DataFrame:
+    """Every known log source, as rules that only name it: how many events each means."""
+    sources = [{"category": c} for c in (*logsource.SYSMON_CATEGORIES, *logsource.POWERSHELL_CATEGORIES)] + [{"service": s} for s in logsource.SERVICES] + [{}]
+    rows = [("/".join([*x, *x.values()]), c, i) for x in sources for c, ids, _ in logsource.targets({"product": "windows"} | x)[0] for i in (ids or (None,))]
+    targets = e.sparkSession.createDataFrame(rows, "source string, c string, i int")
+    kinds = e.groupBy(fields.canonical_channel().alias("channel"), "event_id").agg(F.count(F.lit(1)).alias("n"))
+    met = kinds.join(targets.where("c is not null and i is not null"), (F.col("c") == F.col("channel")) & (F.col("i") == F.col("event_id"))).select("source", "n")
+    met = met.unionByName(kinds.join(targets.where("c is not null and i is null"), F.col("c") == F.col("channel")).select("source", "n"))
+    met = met.unionByName(kinds.select(F.lit("").alias("source"), "n"))
+    return targets.select("source").distinct().join(met, "source", "left").groupBy("source").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+_TARGETS = "x AS (SELECT * FROM (VALUES " + ", ".join(f"('{'/'.join([*x, *x.values()])}', {repr(c) if c else 'NULL'}, {i or 'NULL'})" for x in [{"category": c} for c in (*logsource.SYSMON_CATEGORIES, *logsource.POWERSHELL_CATEGORIES)] + [{"service": s} for s in logsource.SERVICES] + [{}] for c, ids, _ in logsource.targets({"product": "windows"} | x)[0] for i in (ids or (None,))) + ") t(source, c, i))"
+add("d02_log_sources", _sources, "SELECT source, (SELECT count(*) FROM ev WHERE EXISTS (SELECT 1 FROM x WHERE x.source = s.source AND (c IS NULL OR c = lower(channel)) AND (i IS NULL OR i = event_id))) AS n FROM (SELECT DISTINCT source FROM x) s", _TARGETS)
+add("d23_required_ids", lambda e: e.join(e.sparkSession.createDataFrame([(r.id, i) for r in compiled() for i in sorted(r.event_ids or ())], "rule_id string, i int"), F.col("i") == F.col("event_id")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")), "SELECT rule_id, count(*) AS n FROM ev JOIN (VALUES ('d04_list_or', 1102), ('d04_list_or', 4625), ('d13_exists', 4625), ('d14_null', 4624), ('d15_numeric', 4624), ('d16_hex_number', 4769), ('d17_cidr_v6', 5140), ('d21_condition', 4624), ('d22_all_of_them', 4625)) t(rule_id, i) ON i = event_id GROUP BY 1")
 
 
 def _run(e: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -336,11 +434,15 @@ def _run(e: DataFrame) -> tuple[DataFrame, DataFrame]:
 add("d26_results", lambda e: detect.rule_results(*_run(e)).select("rule_id", "level", "events"), "SELECT rule_id, level, count(*) AS events FROM m JOIN r USING (rule_id) GROUP BY ALL", f"{_M}, {_R}")
 add("d27_totals", lambda e: detect.run_totals(e, _run(e)[0], compiled()), f"SELECT count(DISTINCT rule_id) AS rules_matched, count(DISTINCT g) AS events_matched, (SELECT count(*) FROM ev) AS events, {len(RULES)} AS rules FROM m", _M)
 add("d28_key_fields", lambda e: detect.key_fields(detect.detect(e, [r for r in compiled() if r.id == "d21_condition"]), e, [r for r in compiled() if r.id == "d21_condition"]), f"SELECT rule_id, m.g, 'EventID=' || event_id || ' | LogonType=' || {fv('LogonType')} || ' | TargetUserName=' || {fv('TargetUserName')} AS key_fields FROM m JOIN ev USING (g) WHERE rule_id = 'd21_condition'", _M)
+_KEYS = {"IpAddress": fv("IpAddress"), "TargetUserName": fv("TargetUserName"), "SubStatus": fv("SubStatus"), "LogonType": fv("LogonType"), "EventID": "event_id::VARCHAR", "CommandLine": _CMD, "Image": _P_IMG, "TargetDomainName": fv("TargetDomainName"), "FailureReason": fv("FailureReason"), "ParentImage": f"CASE event_id WHEN 4688 THEN {fv('ParentProcessName')} ELSE {fv('ParentImage')} END", "TargetImage": fv("TargetImage"), "TicketEncryptionType": fv("TicketEncryptionType"), "ImagePath": fv("ImagePath"), "User": f"CASE WHEN event_id = 4688 THEN {fv('SubjectUserName')} END", "ProcessId": "CASE WHEN event_id = 4688 THEN '500' END", "md5": f"nullif(regexp_extract({fv('Hashes')}, 'MD5=([0-9A-F]+)', 1), '')"}
+_KEY_SQL = " ".join(f"WHEN '{n}' THEN concat_ws(' | ', " + ", ".join(f"'{f}=' || nullif({_KEYS[f]}, '')" for f in dict.fromkeys(k.split("|")[0] for s in d.values() for m in (s if isinstance(s, list) else [s]) if isinstance(m, dict) for k in m) if f) + ")" if any(isinstance(m, dict) and any(k.split("|")[0] for k in m) for s in d.values() for m in (s if isinstance(s, list) else [s])) else f"WHEN '{n}' THEN ''" for n, (_, d, _) in RULES.items())
+add("d28_key_fields_all", lambda e: detect.key_fields(detect.detect(e, compiled()), e, compiled()), f"SELECT rule_id, m.g, CASE rule_id {_KEY_SQL} END AS key_fields FROM m JOIN ev USING (g)", _M)
 add("d29_tags", lambda e: detect.detect(e, compiled()).join(detect.rule_table(e.sparkSession, compiled()), "rule_id").select(F.explode("techniques").alias("technique"), F.get("tactics", F.lit(0)).alias("tactic")).groupBy("technique", "tactic").agg(F.count(F.lit(1)).alias("n")), "SELECT 'T' || (1000 + i) AS technique, 'execution' AS tactic, count(*) AS n FROM m JOIN (SELECT unnest(range(0, (SELECT count(*) FROM r))) AS i, unnest((SELECT list(rule_id) FROM r)) AS rule_id) x USING (rule_id) GROUP BY ALL", f"{_M}, {_R}")
 add("d32_narrowed", lambda e: detect.narrowed(*_run(e), levels=["high", "low"], tactic="execution", text="D0"), "SELECT rule_id, g FROM m JOIN r USING (rule_id) WHERE level IN ('high', 'low') AND contains(rule_id, 'd0')", f"{_M}, {_R}")
 add("d32_level_counts", lambda e: detect.level_counts(*_run(e)), "SELECT level, count(DISTINCT rule_id) AS rules, count(DISTINCT g) AS events FROM m JOIN r USING (rule_id) GROUP BY 1", f"{_M}, {_R}")
 add("d33_first_events", lambda e: detect.first_events(_run(e)[0], e, 200).select("rule_id", "g", "rank"), "SELECT rule_id, g, rank FROM (SELECT rule_id, m.g, row_number() OVER (PARTITION BY rule_id ORDER BY ts, m.g)::INT AS rank FROM m JOIN ev USING (g)) WHERE rank <= 200", _M)
-add("j8_rules_per_type", lambda e: detect.rules_per_event_type(e, detect.rule_targets(e.sparkSession, compiled())))
+_TYPES = "tg AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{c}', {i})" for n, (ls, _, _) in RULES.items() for c, ids, _ in logsource.targets(ls)[0] if c for i in (ids or {"d04_list_or": (1102, 4625), "d13_exists": (4625,), "d14_null": (4624,), "d15_numeric": (4624,), "d16_hex_number": (4769,), "d17_cidr_v6": (5140,), "d21_condition": (4624,), "d22_all_of_them": (4625,)}.get(n, ()))) + ") t(rule_id, c, i))"
+add("j8_rules_per_type", lambda e: detect.rules_per_event_type(e, detect.rule_targets(e.sparkSession, compiled())), "SELECT channel, event_id, level, count(DISTINCT rule_id) AS rules FROM (SELECT DISTINCT channel, event_id FROM ev) e JOIN tg ON lower(channel) = c AND event_id = i JOIN r USING (rule_id) GROUP BY ALL", f"{_TYPES}, {_R}")
 
 
 def _export(e: DataFrame) -> DataFrame:

@@ -6,19 +6,29 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.pivots import merged
+from ..operators.pivots import in_order, merged
 
 
 def merge_logs(*logs: DataFrame) -> DataFrame:
     """Logs in the given order as one table, with g from (place of the log, record).
 
     g leaves each log a range of 2**40 and counts up by record id in it, so no sort over all events is needed; records
-    of a log have ids of their own.
+    of a log have ids of their own. Where they have none, or logs come as one table with a file column, use numbered.
     """
     placed = [log.drop("g").withColumn("g", F.lit(i << 40).cast("long") + F.col("record_id")) for i, log in enumerate(logs)]
     return merged(placed)
 
 
+def numbered(events: DataFrame, file: str = "file", tasks: int | None = None) -> DataFrame:
+    """A folder of logs in one table, with g counted from 0 without gaps: by file name, record id (null last), time, and a hash of the event.
+
+    Every event gets a g of its own, also those without a record id, and of two files with equal record ids.
+    """
+    rest = [c for c in events.columns if c not in ("g", file, "record_id", "ts")]
+    keys = [F.col(file).asc_nulls_last(), F.col("record_id").asc_nulls_last(), F.col("ts").asc_nulls_last(), F.xxhash64(*rest).asc()]
+    return in_order(events.drop("g"), keys, "g", tasks)
+
+
 def dense_order(events: DataFrame, buckets: int = 256) -> DataFrame:
     """events with g counted from 0 without gaps, in the order they have: ranges are counted first, then numbered each for itself.
 

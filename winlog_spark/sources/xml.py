@@ -37,12 +37,22 @@ def _unescaped(text: Column) -> Column:
     return F.trim(text)
 
 
+def _plain_markup(xml: Column) -> Column:
+    """XML without comments, its CDATA sections as escaped text and its numeric entities of ASCII as characters."""
+    parts = F.split(F.regexp_replace(xml, r"(?s)<!--.*?-->", ""), r"<!\[CDATA\[")
+    text = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(_text(F.substring_index(p, "]]>", 1)), F.expr("''"), F.substring(p, F.instr(p, "]]>") + 3, F.length(p))))), "")
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,3}|x[0-9a-fA-F]{1,2});"), F.lit(1)))
+    number = lambda c: F.when(c.startswith("x"), F.conv(F.substring(c, 2, 8), 16, 10)).otherwise(c).cast("int")
+    put = lambda t, c: F.replace(t, F.concat(F.lit("&#"), c, F.lit(";")), _text(F.char(number(c))))
+    return F.aggregate(codes, text, put)
+
+
 def user_data(xml: Column) -> Column:
     """The leaves under UserData, at any depth, as (local name, text). Empty leaves of either form have the value ''.
 
     from_xml would need the element names beforehand, so leaves are picked from the text; each pattern gives one entry a leaf.
     """
-    inner = F.regexp_extract(xml, r"(?s)<(?:\w+:)?UserData[^>]*>(.*)</(?:\w+:)?UserData>", 1)
+    inner = F.regexp_extract(_plain_markup(xml), r"(?s)<(?:\w+:)?UserData[^>]*>(.*)</(?:\w+:)?UserData>", 1)
     names = F.regexp_extract_all(inner, F.lit(_LEAF.format(name=r"([\w.-]+)", text="[^<]*")), F.lit(1))
     texts = F.regexp_extract_all(inner, F.lit(_LEAF.format(name=r"[\w.-]+", text="([^<]*)")), F.lit(1))
     return F.transform(F.arrays_zip(names.alias("n"), texts.alias("t")), lambda z: F.struct(z["n"].alias("name"), _unescaped(F.coalesce(z["t"], F.lit(""))).alias("value")))
@@ -51,7 +61,8 @@ def user_data(xml: Column) -> Column:
 def read_events(rows: DataFrame, xml: str = "xml", file: str | None = None, keep_xml: bool = False) -> DataFrame:
     """The event table from a table with one event's XML a row; rows that are no event are left out.
 
-    file names a column with the origin. g is not set here: merge_logs does it where an order over files is asked for.
+    file names a column with the origin. g is not set here: logs.numbered does it for a table of many logs, logs.merge_logs
+    for logs that come one by one.
     """
     e = rows.withColumn("_e", F.from_xml(F.col(xml), SCHEMA, {"mode": "PERMISSIVE"})).where("_e.System is not null")
     s = F.col("_e.System")
