@@ -238,6 +238,17 @@ def test_apportion_takes_highest_quotients(spark, seed):
     assert {r.p: r.quota for r in mixing.apportion(df, [], "p", "w", "s").collect()} == sainte_lague(shares, seats)
 
 
+def test_mix_by_groups_of_shards(spark, monkeypatch):
+    """With many groups the takes stay near the targets, and within three times each text."""
+    monkeypatch.setattr(mixing, "SHARDS_PER_GROUP", 3)
+    monkeypatch.setattr(mixing, "ROWS_PER_SHARD", 20)
+    d = spark.range(600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").otherwise("c").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 23 + 40).cast("int")).alias("text"))
+    out = mixing.mix_sources(d, block=8).toPandas()
+    assert len(out) == 600 and (out["taken"] <= 3 * out["size"]).all()
+    for _, g in out.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 16
+
+
 def test_mix_on_awkward_rows(spark, docs, clash):
     out = mixing.mix_sources(clash, block=2).collect()
     assert len(out) == len(ROWS)
@@ -433,6 +444,13 @@ def brute(vectors, queries, k):
     return out
 
 
+def test_top_k_of_repeated_rows(spark):
+    rows = [(50, [1.0, 1.0])] * 8 + [(60 + i, [1.0, 1.0]) for i in range(9)] + [(3, [0.5, 0.5])] * 7
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r["rank"], r.vec_id) for r in kdtree.top_k(df, F.col("vec_id") == 50).where("query_id = 50").orderBy("rank").collect()]
+    assert got == [(i + 1, 60 + i) for i in range(5)]
+
+
 @pytest.mark.parametrize(("shard_rows", "query_block"), [(10_000, 10_000), (64, 4)])
 def test_top_k(spark, shard_rows, query_block):
     rng = np.random.default_rng(4)

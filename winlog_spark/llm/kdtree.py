@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 K = 5
 SHARD_ROWS = 4096
-QUERY_BLOCK = 1024
+#: Queries of a block; points are copied once for each block.
+QUERY_BLOCK = 8192
 LEAF = 64
 
 
@@ -92,13 +93,15 @@ def usable(embedding: Column) -> Column:
 
 
 def _least_ids(ids: np.ndarray, points: np.ndarray, k: int) -> np.ndarray:
-    """Rows that can be among the best k + 1 for any query: of equal vectors the k + 1 smallest ids."""
+    """Rows that can be among the best for any query: of equal vectors those of the k + 1 smallest ids, and of one id no more than k rows."""
     order = np.lexsort((ids, *points.T)) if points.shape[1] else np.argsort(ids)
-    p = points[order]
+    p, i = points[order], ids[order]
     new = np.ones(len(p), bool)
     new[1:] = (p[1:] != p[:-1]).any(axis=1)
-    place = np.arange(len(p)) - np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))
-    return order[place <= k]
+    other = new.copy()
+    other[1:] |= i[1:] != i[:-1]
+    since = lambda starts, x: x - np.maximum.accumulate(np.where(starts, x, 0))
+    return order[(since(new, np.cumsum(other)) <= k) & (since(other, np.arange(len(p))) < k)]
 
 
 def _own(df: DataFrame) -> DataFrame:
@@ -112,7 +115,9 @@ def top_k(vectors: DataFrame, is_query: Column, id: str = "vec_id", embedding: s
     First each block searches one shard, which gives every query a kth score; all other shards search with it as a
     bound, so that most of them return few rows or none. Vectors that are null or hold null or non-finite components,
     and rows without an id, take no part; vectors of different lengths are not compared. Rows with the query's own id
-    are no candidates for it; of repeated rows each is a candidate. Products are exact while they stay under 2**53.
+    are no candidates for it; of repeated rows each is a candidate. A query id with several vectors has the best of all of
+    them. Ids must be whole numbers. Products are exact while they stay under 2**53. An empty table gives no rows; other
+    columns of vectors, whatever their names, are not read.
     """
     rows = vectors.where(usable(F.col(embedding)) & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("vec_id"), quantised(F.col(embedding)).alias("v"), F.size(embedding).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("q"))
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("q")).first()

@@ -13,7 +13,8 @@ WEIGHTS = (5, 2, 1)
 #: No source or document is taken more often.
 MOST_REPEATS = 3
 ROWS_PER_SHARD = 512
-MOST_SHARDS = 4096
+#: A source's blocks go to groups of so many shards first, then to the shards of each, so that no window grows with the table.
+SHARDS_PER_GROUP = 4096
 SEED = "mix-1"
 
 
@@ -68,22 +69,26 @@ def mix_sources(docs: DataFrame, id: str = "doc_id", source: str = "source", tex
     """Per row: id, source, size, source_size, target, taken (words the mix takes, repeats counted).
 
     The words of all documents make up blocks of `block` tokens. Sources get whole blocks by highest quotients of their
-    targets; a source's blocks are dealt by the same rule to its shards (hash of the id), by their sizes. In a shard the
+    targets; a source's blocks are dealt by the same rule to groups of its shards and to the shards (hash of the id), by their sizes. In a shard the
     documents stand in an order drawn by the seed; all are taken as often as the quota goes over the whole shard, and the
     blocks that remain are the first in this order, so at most one document a shard is taken in part.
 
     A shard holds a source's rows of one hash, so that a source with a third of all rows is spread like any other, and no
     text moves. Null text has size 0, and such rows are taken 0 times; null is a source like others. Repeated rows stand
-    side by side, each with its own words.
+    side by side, each with its own words. Equal quotients go to the smaller source, group or shard. A very long text
+    is counted, not moved. An empty table gives no rows; other columns of docs, whatever their names, are not read.
     """
     size = docs.select(F.col(id), F.col(source), word_count(F.col(text)).alias("size"))
-    k = max(1, min(MOST_SHARDS, -(-docs.count() // ROWS_PER_SHARD)))
+    k = max(1, -(-docs.count() // ROWS_PER_SHARD))
     slim = size.withColumn("_src", F.concat(F.when(F.col(source).isNull(), "1").otherwise("0"), F.coalesce(F.col(source), F.lit("")))).withColumn("_shard", F.pmod(_hash("shard", F.col(id)), F.lit(k)))
     shards = slim.groupBy("_src", "_shard").agg(F.sum("size").alias("shard_size"))
     sources = targets(shards.groupBy("_src").agg(F.sum("shard_size").alias("source_size")), "_src", "source_size", weights)
     sources = sources.withColumn("_seats", F.floor(F.sum("source_size").over(Window.partitionBy(F.lit(0))) / block))
     sources = apportion(sources, [], "_src", "target", "_seats").withColumn("_quota", F.least(F.col("quota"), F.ceil(F.col("source_size") * MOST_REPEATS / block))).drop("quota", "_seats")
-    quotas = apportion(shards.join(sources, "_src"), ["_src"], "_shard", "shard_size", "_quota")
+    shards = shards.withColumn("_group", F.floor(F.col("_shard") / SHARDS_PER_GROUP))
+    groups = shards.groupBy("_src", "_group").agg(F.sum("shard_size").alias("_size")).join(sources, "_src")
+    groups = apportion(groups, ["_src"], "_group", "_size", "_quota").select("_src", "_group", "source_size", "target", F.col("quota").alias("_quota"))
+    quotas = apportion(shards.join(groups, ["_src", "_group"]), ["_src", "_group"], "_shard", "shard_size", "_quota")
     quotas = quotas.withColumn("_take", F.least(F.col("quota") * block, F.col("shard_size") * MOST_REPEATS)).withColumn("_times", F.when(F.col("shard_size") > 0, F.floor(F.col("_take") / F.col("shard_size"))).otherwise(0))
     quotas = quotas.withColumn("_over", F.col("_take") - F.col("_times") * F.col("shard_size")).select("_src", "_shard", "source_size", "target", "_times", "_over")
     drawn = Window.partitionBy("_src", "_shard").orderBy(_hash(seed, F.col(id)), id, "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -110,12 +115,12 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_sql(table: str = "documents") -> str:
-    """The same in DuckDB's SQL, quotients taken one by one."""
+    """The same in DuckDB's SQL, quotients taken one by one; for tables of one group of shards, at most SHARDS_PER_GROUP * ROWS_PER_SHARD rows."""
     h = "CAST(('0x' || substr(md5('{}' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)) AS BIGINT)"
     return f"""
 WITH RECURSIVE d AS MATERIALIZED (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         {h.format('shard')} % (SELECT greatest(1, least({MOST_SHARDS}, (count(*) + {ROWS_PER_SHARD - 1}) // {ROWS_PER_SHARD})) FROM {table}) AS shard,
+         {h.format('shard')} % (SELECT greatest(1, (count(*) + {ROWS_PER_SHARD - 1}) // {ROWS_PER_SHARD}) FROM {table}) AS shard,
          {h.format(SEED)} AS draw
   FROM {table}),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS r FROM d GROUP BY source),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, log2
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import checkpointed, documents
 
 #: Bytes a shard may hold.
 LIMIT = 1 << 20
@@ -18,16 +19,24 @@ BITS, STEP = 60, 6
 def _leaves(cells: DataFrame, top: int, depth: int, limit: int) -> DataFrame:
     """Of cells(cell at depth bits, bytes, n, lo, hi): the directory (cell, depth, prefix, shard_bytes, shard_docs), open ones at depth included.
 
-    A bucket stands if it fits, or if no further bit can split it (one row, or equal hashes), and all above it were split.
+    A bucket is done if it fits, or if no further bit can split it (one row, or equal hashes); then so are all below it,
+    and the shards are the done buckets whose parent is not. Sums go upwards STEP levels at a time, each from the level
+    below, and cells look for their shard on the levels only that have one, so no prefix gathers all cells.
     """
-    up = cells.withColumn("d", F.explode(F.sequence(F.lit(top), F.lit(depth)))).withColumn("p", F.expr(f"shiftright(cell, {depth} - d)"))
-    buckets = up.groupBy("d", "p").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    done = (F.col("bytes") <= limit) | (F.col("lo") == F.col("hi"))
-    buckets = buckets.withColumn("done", done)
-    least = up.join(buckets.where("done").select("d", "p"), ["d", "p"]).groupBy("cell").agg(F.min("d").alias("depth"))
-    leaf = cells.select("cell").join(least, "cell", "left").withColumn("open", F.col("depth").isNull()).withColumn("depth", F.coalesce("depth", F.lit(depth)))
-    leaf = leaf.withColumn("prefix", F.expr(f"shiftright(cell, {depth} - depth)"))
-    return leaf.join(buckets.select(F.col("d").alias("depth"), F.col("p").alias("prefix"), F.col("bytes").alias("shard_bytes"), F.col("n").alias("shard_docs")), ["depth", "prefix"])
+    level, tables, at, low = cells.withColumnRenamed("cell", "p"), [], depth, depth + 1
+    sums = [F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    while low > top:
+        high, low = low - 1, max(top, at - STEP)
+        up = level.withColumn("d", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("p", F.expr(f"shiftright(p, {at} - d)"))
+        tables.append(checkpointed(up.groupBy("d", "p").agg(*sums)))
+        level, at = tables[-1].where(F.col("d") == low).drop("d"), low
+    buckets = reduce(DataFrame.unionByName, tables).withColumn("done", (F.col("bytes") <= limit) | (F.col("lo") == F.col("hi")))
+    parents = buckets.where("done").select((F.col("d") + 1).alias("d"), F.col("p").alias("up"))
+    shards = buckets.where(F.col("done") | (F.col("d") == depth)).withColumn("up", F.expr("shiftright(p, 1)")).join(parents, ["d", "up"], "left_anti")
+    shards = checkpointed(shards.select("d", "p", F.col("bytes").alias("shard_bytes"), F.col("n").alias("shard_docs"), (~F.col("done")).alias("open")))
+    found = sorted(r.d for r in shards.select("d").distinct().collect())
+    of = cells.select("cell", F.explode(F.array(*[F.lit(d) for d in found]) if found else F.array().cast("array<int>")).alias("d")).withColumn("p", F.expr(f"shiftright(cell, {depth} - d)"))
+    return of.join(shards, ["d", "p"]).withColumnsRenamed({"d": "depth", "p": "prefix"})
 
 
 def extendible_shards(docs: DataFrame, id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -37,7 +46,8 @@ def extendible_shards(docs: DataFrame, id: str = "doc_id", text: str = "text", l
     cells, and a row's bucket is the first on its way down that fits the limit. Cells that are still too large get
     further bits, read for their rows alone, until all fit. A row larger than the limit ends alone in its shard, and rows
     of one id, which no bit tells apart, stay together; fits is false for such shards. Null text has 0 bytes; a null id
-    hashes as the empty text.
+    hashes as the empty text. Repeated rows share their id's shard; a very long text counts by its bytes and is not
+    moved. An empty table gives no rows; other columns of docs, whatever their names, are not read.
     """
     h = F.conv(F.substring(F.md5(F.coalesce(F.col(id).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
     rows = docs.select(F.col(id), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), h.alias("_h"))
@@ -45,7 +55,7 @@ def extendible_shards(docs: DataFrame, id: str = "doc_id", text: str = "text", l
     depth, top, todo, done = min(BITS, STEP + max(0, ceil(log2(max(1, total / limit))))), 0, rows, None
     while True:
         keyed = todo.withColumn("cell", F.shiftright("_h", BITS - depth))
-        cells = keyed.groupBy("cell").agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("_h").alias("lo"), F.max("_h").alias("hi"))
+        cells = checkpointed(keyed.groupBy("cell").agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("_h").alias("lo"), F.max("_h").alias("hi")))
         directory = _leaves(cells, top, depth, limit)
         placed = keyed.join(directory, "cell").drop("cell")
         part = placed.where("not open").drop("open")
