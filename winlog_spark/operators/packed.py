@@ -21,6 +21,8 @@ from .rules import DERIVED, HEADER, MAPPED, Rule, _norm, event_field, field_test
 #: Rules with more selections than this are left to the expression path.
 MOST_SELECTIONS = 10
 KINDS = {(): "exact", ("contains",): "contains", ("startswith",): "prefix", ("endswith",): "suffix"}
+#: Tables made of a pack are broadcast up to so many rows.
+BROADCAST_ROWS = 200_000
 #: Kinds of atoms that are looked for inside a value.
 INSIDE = ("contains", "like")
 NATIVE = "4688:"
@@ -92,20 +94,22 @@ class _Pack:
         return {"rule": r, "profile": profile, "accepted": accepted, "selections": selections, "needed": needed}
 
     def _choose_gates(self) -> None:
-        """A gate is a list of atoms of which a match has at least one: of a needed selection, the groups that seem rarest."""
+        """A gate is a list of atoms of which a match has at least one: the groups that seem rarest, of a needed selection, or of all where one of them must hold."""
         kind_of = {i: (f, k, lit) for (f, k, lit), i in self.atoms.items()}
 
         def cost(group: list[int]) -> float:
-            if any(i not in kind_of for i in group):
-                return float("inf")
-            return sum((1000 if kind_of[i][0] in ("eventid", "channel", "provider_name", "level") else 1) / len(_chunk(*kind_of[i][1:])) for i in group)
+            """The smaller the rarer; a test that is no plain text stands for one short text."""
+            weight = lambda i: (1000 if kind_of[i][0] in ("eventid", "channel", "provider_name", "level") else 1) / len(_chunk(*kind_of[i][1:])) if i in kind_of else 1
+            return sum(map(weight, group))
 
         for row in self.rows:
-            options = []
-            for s in row["needed"]:
-                best = [min(a, key=cost, default=None) for a in row["selections"][s]]
-                if best and all(g is not None and cost(g) < float("inf") for g in best):
-                    options.append(sorted({i for g in best for i in g}))
+            best = [[min(a, key=cost, default=None) for a in s] for s in row["selections"]]
+            open_to = lambda s, best=best: sorted({i for g in best[s] for i in g}) if best[s] and None not in best[s] else None
+            options = [g for g in map(open_to, row["needed"]) if g]
+            if not options and 0 not in row["accepted"]:
+                # no selection is needed, but one of several must hold
+                each = [open_to(s) for s in range(len(best)) if any(m >> s & 1 for m in row["accepted"])]
+                options = [sorted({i for g in each for i in g})] if each and None not in each else []
             row["gate"] = min(options, key=cost) if options else None
 
 
@@ -113,6 +117,11 @@ class _Unfit(Exception):
     pass
 
 
+def _bounded(table: DataFrame, rows: int) -> DataFrame:
+    """A table made of the pack: broadcast if its number of rows, which is known, is small enough; else Spark decides."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def _plain(text: str, kind: str) -> tuple[str, str]:
     """Kind and literal of a value: itself, or if it has wildcards `like` and a LIKE pattern with escape !; in lower case."""
     pattern, wild = like_pattern(text)
@@ -174,11 +183,10 @@ def _atom_hits(rows: DataFrame, pack: _Pack, classic: set[str]) -> DataFrame:
         cuts = F.broadcast(spark.createDataFrame([(f, k, n) for f, by in lengths.items() for k, ns in by.items() for n in (ns if k != "exact" else ns and {0})], "field string, kind string, n int"))
         cut = F.when(F.col("kind") == "exact", F.col("v")).when(F.col("kind") == "prefix", F.substring(F.col("v"), F.lit(1), F.col("n"))).otherwise(F.expr("right(v, n)"))
         keyed = values.join(cuts, "field").where("kind = 'exact' OR length(v) >= n").select("g", "field", "kind", cut.alias("lit"))
-        # by hash on both sides, whatever the size of the pack
-        parts.append(keyed.join(table.where("kind not in ('contains', 'like')"), ["field", "kind", "lit"]).select("g", "atom"))
+        parts.append(keyed.join(_bounded(table.where("kind not in ('contains', 'like')"), len(pack.atoms)), ["field", "kind", "lit"]).select("g", "atom"))
     if any(k in INSIDE for _, k, _ in pack.atoms):
         rows_in = [(f, _chunk(k, lit), lit if k == "like" else None, i) for (f, k, lit), i in pack.atoms.items() if k in INSIDE]
-        inside = F.broadcast(spark.createDataFrame(rows_in, "_f string, chunk string, pattern string, atom int"))
+        inside = _bounded(spark.createDataFrame(rows_in, "_f string, chunk string, pattern string, atom int"), len(rows_in))
         fits = F.col("pattern").isNull() | F.call_function("like", F.col("v"), F.col("pattern"), F.lit("!"))
         parts.append(values.join(inside, (F.col("field") == F.col("_f")) & F.col("v").contains(F.col("chunk")) & fits).select("g", "atom"))
     return reduce(DataFrame.unionByName, parts)
@@ -234,12 +242,12 @@ def detect_packed(events: DataFrame, rules: list[Rule]) -> DataFrame:
             for event_id in wanted if wanted is not None else (None,):
                 gates += [(a, n, channel, event_id) for a in row["gate"] or ()]
                 open_rules += [] if row["gate"] else [(n, channel, event_id)]
-    spec = F.broadcast(spark.createDataFrame(specs, "n int, rule_id string, selections array<array<array<array<int>>>>, accepted array<int>"))
+    spec = _bounded(spark.createDataFrame(specs, "n int, rule_id string, selections array<array<array<array<int>>>>, accepted array<int>"), len(specs))
     fits = (F.col("c").isNull() | (F.col("c") == F.col("_channel"))) & (F.col("i").isNull() | (F.col("i") == F.col("event_id")))
     known = kinds.join(have, "g", "left").withColumn("have", F.coalesce("have", F.array().cast("array<int>")))
     parts = []
     if gates:
-        gate = F.broadcast(spark.createDataFrame(gates, "atom int, n int, c string, i int"))
+        gate = _bounded(spark.createDataFrame(gates, "atom int, n int, c string, i int"), len(gates))
         parts.append(known.withColumn("atom", F.explode("have")).join(gate, "atom").where(fits).select("g", "n", "have"))
     if open_rules:
         # rules without a gate are met by the kind of event alone: by channel and id, by either, or by none
@@ -249,7 +257,7 @@ def detect_packed(events: DataFrame, rules: list[Rule]) -> DataFrame:
                 free = spark.createDataFrame(some, "n int, c string, i int")
                 same = [F.col("c") == F.col("_channel")] * channel + [F.col("i") == F.col("event_id")] * event_id
                 if same:
-                    parts.append(known.join(F.broadcast(free), reduce(Column.__and__, same)).select("g", "n", "have"))
+                    parts.append(known.join(_bounded(free, len(some)), reduce(Column.__and__, same)).select("g", "n", "have"))
                 else:
                     parts.append(known.withColumn("n", F.explode(F.array(*[F.lit(n) for n, _, _ in some]))).select("g", "n", "have"))
     found = []
@@ -266,8 +274,8 @@ def detect_packed(events: DataFrame, rules: list[Rule]) -> DataFrame:
 def synthetic_pack(n: int) -> list[dict]:
     """n rules of the shapes that published packs have, over made-up values, for load tests: half of them on process creation.
 
-    Of fifty, one asks for all of several texts, one has wildcards, one a regular expression, one a number, and one has
-    nothing that a gate could be made of.
+    Of fifty, one asks for all of several texts, one has wildcards, one a regular expression and one a number; of 250, one
+    has nothing that a gate could be made of.
     """
     out = []
     tools = [f"tool{i}" for i in range(400)]
@@ -280,8 +288,8 @@ def synthetic_pack(n: int) -> list[dict]:
             10: {"CommandLine": f"*tool.exe --n ?{i // 50 % 10}"},
             20: {"CommandLine|re": rf"--n {i // 50 % 10}\d$"},
             31: {"EventID": 4624, "LogonType|gte": 3 + i // 50 % 9, "TargetUserName|endswith": f"{i // 50 % 10}"},
-            41: {"IpAddress|exists": False, "WorkstationName|exists": True},
         }.get(i % 50)
+        special = {"IpAddress|exists": False, "LogonType|gte": i // 250} if i % 250 == 41 else special
         detection = {"selection": special, "condition": "selection"} if special else detection
         out.append({"id": f"load-{i}", "title": f"load {i}", "level": "low", "logsource": {"product": "windows", "category": "process_creation"} if process else {"product": "windows", "service": "security"}, "detection": detection})
     return out

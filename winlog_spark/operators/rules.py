@@ -154,19 +154,30 @@ def network(text: str) -> ipaddress.IPv4Network | ipaddress.IPv6Network:
         raise Unsupported(f"{text} is no network") from None
 
 
+def _let(x: Column, use) -> Column:
+    """use(x), with x made once however often it is used."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def _v6_digits(v: Column) -> Column:
     """The 32 hexadecimal digits of an IPv6 address in lower case, null if it is none; the last two groups may be an IPv4 address."""
     octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
     tail = rf"^(.*:){octet}\.{octet}\.{octet}\.{octet}$"
     part = lambda i: F.regexp_extract(v, tail, i)
     pair = lambda i: F.lower(F.hex(part(i).try_cast("int") * 256 + part(i + 1).try_cast("int")))
-    v = F.when(v.rlike(tail), F.concat(part(1), pair(2), F.lit(":"), pair(4))).otherwise(v)
-    halves = F.split(v, "::")
-    groups = lambda i: F.filter(F.split(F.get(halves, F.lit(i)), ":"), lambda x: x != "")
-    gap = 8 - F.size(groups(0)) - F.size(F.coalesce(groups(1), F.array().cast("array<string>")))
-    whole = F.when(F.size(halves) == 2, F.when(gap > 0, F.concat(groups(0), F.array_repeat(F.lit("0"), gap), groups(1)))).when(F.size(halves) == 1, groups(0))
-    fine = ~v.rlike("^:[^:]|[^:]:$|:::") & (F.size(whole) == 8) & F.forall(whole, lambda x: x.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(fine, F.array_join(F.transform(whole, lambda x: F.lpad(x, 4, "0")), ""))
+    groups = lambda half: F.filter(F.split(F.coalesce(half, F.lit("")), ":"), lambda x: x != "")
+
+    def whole(halves: Column) -> Column:
+        first, second = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
+        gap = 8 - F.size(first) - F.size(second)
+        return F.when(F.size(halves) == 2, F.when(gap > 0, F.concat(first, F.array_repeat(F.lit("0"), gap), second))).when(F.size(halves) == 1, first)
+
+    def digits(w: Column) -> Column:
+        fine = lambda x: (F.size(x) == 8) & F.forall(x, lambda y: y.rlike("^[0-9a-f]{1,4}$"))
+        joined = lambda x: F.when(fine(x), F.array_join(F.transform(x, lambda y: F.lpad(y, 4, "0")), ""))
+        return F.when(~w.rlike("^:[^:]|[^:]:$|:::"), _let(whole(F.split(w, "::")), joined))
+
+    return _let(F.when(v.rlike(tail), F.concat(part(1), pair(2), F.lit(":"), pair(4))).otherwise(v), digits)
 
 
 def cidr(value: Column, text: str) -> Column:
@@ -174,12 +185,14 @@ def cidr(value: Column, text: str) -> Column:
     net = network(text)
     v = F.regexp_replace(F.lower(F.trim(value)), r"^\[|\](?=$)|%.*$", "")
     if net.version == 6:
-        digits, want, n = _v6_digits(v), f"{int(net.network_address):032x}", net.prefixlen
-        nibble = F.conv(F.substring(digits, n // 4 + 1, 1), 16, 10).cast("int")
-        test = digits.startswith(want[: n // 4])
-        if n % 4:
-            test &= F.shiftright(nibble, 4 - n % 4) == int(want[n // 4], 16) >> (4 - n % 4)
-        return F.coalesce(test, F.lit(False))
+        want, n = f"{int(net.network_address):032x}", net.prefixlen
+
+        def inside(digits: Column) -> Column:
+            test = digits.startswith(want[: n // 4])
+            nibble = F.conv(F.substring(digits, n // 4 + 1, 1), 16, 10).cast("int")
+            return test & (F.shiftright(nibble, 4 - n % 4) == int(want[n // 4], 16) >> (4 - n % 4)) if n % 4 else test
+
+        return F.coalesce(F.when(value.contains(":"), _let(v, lambda x: _let(_v6_digits(x), inside))), F.lit(False))
     v = F.regexp_replace(v, "^::ffff:(?=[0-9.]+$)", "")
     parts = F.split(v, r"\.")
     n = reduce(lambda a, i: a * 256 + F.get(parts, F.lit(i)).try_cast("long"), range(4), F.lit(0).cast("long"))

@@ -380,7 +380,7 @@ _LOAD = f"""CASE WHEN i % 50 = 0 THEN event_id IN (1, 4688) AND contains({_CMD},
  WHEN i % 50 = 10 THEN event_id IN (1, 4688) AND {_CMD} LIKE '%tool.exe --n _' || i // 50 % 10
  WHEN i % 50 = 20 THEN event_id IN (1, 4688) AND regexp_matches({_CMD}, '--n ' || i // 50 % 10 || '[0-9]$')
  WHEN i % 50 = 31 THEN event_id = 4624 AND {fv('LogonType')}::INT >= 3 + i // 50 % 9 AND ends_with({fv('TargetUserName')}, (i // 50 % 10)::VARCHAR)
- WHEN i % 50 = 41 THEN channel = 'Security' AND {fv('IpAddress')} IS NULL AND {fv('WorkstationName')} IS NOT NULL
+ WHEN i % 250 = 41 THEN channel = 'Security' AND {fv('IpAddress')} IS NULL AND {fv('LogonType')}::INT >= i // 250
  WHEN i % 2 = 0 THEN event_id IN (1, 4688) AND (ends_with({_ANY_IMG}, '\\tool' || i % 400 || '.exe') OR ends_with({_ANY_IMG}, '\\alt' || i || '.exe')) AND (contains({_CMD}, ' --opt' || i // 89 % 97 || ' ') OR contains({_CMD}, '-x' || i % 89) OR contains({_CMD}, '/key' || i))
  ELSE channel = 'Security' AND event_id = [4624, 4625, 4688, 7045][i % 4 + 1] AND {fv('TargetUserName')} IN ('user' || i, 'svc' || i // 89 % 97) AND NOT coalesce(starts_with({fv('IpAddress')}, '172.' || i % 89 || '.'), false) END"""
 add("d01_detect_load", lambda e: packed.detect_packed(e, load_pack()).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")), f"SELECT 'load-' || i AS rule_id, count(*) AS n FROM ev, range(0, {LOAD}) t(i) WHERE coalesce({_LOAD}, false) GROUP BY i")
