@@ -61,7 +61,9 @@ def main() -> None:
     again = time.time()
     queries["rules_2395"]().write.format("noop").mode("overwrite").save()
     took["rules_2395_warm"] = round(time.time() - again, 3)
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf, "cpus": cpus, "rule_load": {"events": n_events, "rules": len(pack), "events_per_sec": round(n_events / took["rules_2395_warm"])}}))
+    total = sum(v for k, v in took.items() if not k.endswith("_warm"))
+    rate = {k: round(n_events / took[q]) for k, q in (("events_per_sec_cold", "rules_2395"), ("events_per_sec_warm", "rules_2395_warm"))}
+    print(json.dumps({"metric": "headline_queries_total", "value": round(total, 3), "unit": "sec", "queries": took, "sf": sf, "cpus": cpus, "rule_load": {"events": n_events, "rules": len(pack)} | rate}))
 
 
 if __name__ == "__main__":

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import keyword_text
-from .rules import DERIVED, HEADER, MAPPED, Rule, _norm, event_field, field_test, like_pattern, prepared, rewritten
+from .rules import CLASSIC, DERIVED, HEADER, MAPPED, Rule, _norm, event_field, field_test, like_pattern, may_be_classic, prepared, rewritten
 
 #: Rules with more selections than this are left to the expression path.
 MOST_SELECTIONS = 10
@@ -26,7 +26,6 @@ BROADCAST_ROWS = 200_000
 #: Kinds of atoms that are looked for inside a value.
 INSIDE = ("contains", "like")
 NATIVE = "4688:"
-CLASSIC = "windows powershell"
 
 
 class _Pack:
@@ -192,7 +191,7 @@ def _atom_hits(rows: DataFrame, pack: _Pack, classic: set[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _tests(rows: DataFrame, pack: _Pack) -> DataFrame | None:
+def _tests(rows: DataFrame, pack: _Pack, classic: bool) -> DataFrame | None:
     """(g, atom): entries that are no plain text (patterns, numbers, networks, nulls ...), tried as expressions in chunks."""
     items = [(key, value, profile, i) for (key, _, profile), (i, value) in pack.tests.items()]
     parts = []
@@ -200,7 +199,7 @@ def _tests(rows: DataFrame, pack: _Pack) -> DataFrame | None:
         flags = []
         for key, value, profile, i in items[k : k + 40]:
             name, *mods = (key or "").split("|")
-            flags.append(F.when(field_test(name or None, mods, value, profile), i))
+            flags.append(F.when(field_test(name or None, mods, value, profile, classic), i))
         parts.append(rows.select("g", F.explode(F.array_compact(F.array(*flags))).alias("atom")))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
@@ -225,8 +224,8 @@ def detect_packed(events: DataFrame, rules: list[Rule]) -> DataFrame:
     rows = prepared(events)
     if None not in channels:
         rows = rows.where(F.col("_channel").isin(sorted(channels)))
-    hits = _atom_hits(rows, pack, {_norm(f) for r in rules if any(c in (None, CLASSIC) for c, _, _ in r.targets) for f in r.fields})
-    tests = _tests(rows, pack)
+    hits = _atom_hits(rows, pack, {_norm(f) for r in rules if may_be_classic(r) for f in r.fields})
+    tests = _tests(rows, pack, any(map(may_be_classic, rules)))
     hits = hits if tests is None else hits.unionByName(tests)
     have = hits.groupBy("g").agg(F.collect_set("atom").alias("have"))
     # gates: by atom, and for the kind of event

@@ -26,6 +26,7 @@ HEADER = ("eventid", "channel", "provider_name", "eventrecordid", "computer", "c
 DERIVED = ("md5", "sha1", "sha256", "imphash", "data")
 SPECIAL = HEADER + DERIVED
 MAPPED = ("image", "parentimage", "processid", "parentprocessid", "logonid", "integritylevel", "user")
+CLASSIC = "windows powershell"
 DASHES = ("-", "/", "–", "—", "―")
 
 
@@ -63,8 +64,8 @@ def _pair(name: str) -> Column:
     return F.get("ed", F.array_position("_names", name).cast("int") - 1)["value"]
 
 
-def event_field(name: str, profile: str | None = None) -> Column:
-    """The value of a rule's field on a prepared event, null if absent."""
+def event_field(name: str, profile: str | None = None, classic: bool = True) -> Column:
+    """The value of a rule's field on a prepared event, null if absent; classic: whether lines of classic PowerShell events are fields too."""
     n = _norm(name)
     if profile == "security4688" and (mapped := process_field(n, _pair)) is not None:
         return mapped
@@ -80,7 +81,8 @@ def event_field(name: str, profile: str | None = None) -> Column:
         options.append(F.col("level").cast("string"))
     if n in ("md5", "sha1", "sha256", "imphash"):
         options.append(hash_of(n, _pair("hashes")))
-    options.append(F.when(F.col("_channel") == "windows powershell", classic_field(n)))
+    if classic:
+        options.append(F.when(F.col("_channel") == CLASSIC, classic_field(n)))
     return F.coalesce(*options)
 
 
@@ -270,22 +272,22 @@ def check_selection(spec: object) -> None:
         check_entry(None, [], spec)
 
 
-def field_test(name: str | None, mods: list[str], value: object, profile: str | None = None) -> Column:
+def field_test(name: str | None, mods: list[str], value: object, profile: str | None = None, classic: bool = True) -> Column:
     """One entry `name|mods: value(s)` of a selection; name None searches the keyword text. Never null."""
     kinds, items = check_entry(name, mods, value)
     if not items:
         return F.lit(False)
-    v = keyword_text() if name is None else event_field(name, profile)
+    v = keyword_text() if name is None else event_field(name, profile, classic)
     if "exists" in kinds:
         return v.isNotNull() if str(items[0]).lower() == "true" else v.isNull()
-    tests = [F.coalesce(_value_test(v, name, kinds, x, profile), F.lit(False)) for x in items]
+    tests = [F.coalesce(_value_test(v, name, kinds, x, profile, classic), F.lit(False)) for x in items]
     plain = not kinds and name is not None and all(isinstance(x, str) and not like_pattern(x)[1] for x in items)
     if plain and len(items) > 1:
         return F.coalesce(F.lower(v).isin([_unescape(like_pattern(x)[0]).lower() for x in items]), F.lit(False))
     return reduce(Column.__and__ if "all" in kinds else Column.__or__, tests)
 
 
-def _value_test(v: Column, name: str | None, kinds: set[str], x: object, profile: str | None) -> Column:
+def _value_test(v: Column, name: str | None, kinds: set[str], x: object, profile: str | None, classic: bool) -> Column:
     if x is None:
         return v.isNull() | (v == "")
     if op := kinds & {"gt", "gte", "lt", "lte"}:
@@ -296,7 +298,7 @@ def _value_test(v: Column, name: str | None, kinds: set[str], x: object, profile
     if "re" in kinds:
         return v.rlike(java_regex(str(x), kinds))
     if "fieldref" in kinds:
-        a, b = F.lower(v), F.lower(event_field(str(x), profile))
+        a, b = F.lower(v), F.lower(event_field(str(x), profile, classic))
         return a.contains(b) if "contains" in kinds else a.startswith(b) if "startswith" in kinds else a.endswith(b) if "endswith" in kinds else a == b
     texts = [str(x).lower() if isinstance(x, bool) else str(x)]
     if "windash" in kinds:
@@ -315,13 +317,13 @@ def _value_test(v: Column, name: str | None, kinds: set[str], x: object, profile
     return reduce(Column.__or__, tests)
 
 
-def selection(spec: object, profile: str | None = None) -> Column:
+def selection(spec: object, profile: str | None = None, classic: bool = True) -> Column:
     """A map is the AND of its entries, a list of maps their OR, anything else keywords."""
     if isinstance(spec, dict):
         order = sorted(spec.items(), key=lambda kv: _norm(kv[0].split("|")[0]) not in ("eventid", "channel"))
-        return reduce(Column.__and__, [field_test(k.split("|")[0] or None, k.split("|")[1:], v, profile) for k, v in order])
+        return reduce(Column.__and__, [field_test(k.split("|")[0] or None, k.split("|")[1:], v, profile, classic) for k, v in order])
     if isinstance(spec, list) and spec and all(isinstance(x, dict) for x in spec):
-        return reduce(Column.__or__, [selection(x, profile) for x in spec])
+        return reduce(Column.__or__, [selection(x, profile, classic) for x in spec])
     return field_test(None, [], spec)
 
 
@@ -460,4 +462,9 @@ def rule_columns(rule: Rule, profile: str | None, prefix: str = "s") -> tuple[di
     names = [k for k in detection if k != "condition"]
     conditions = detection["condition"] if isinstance(detection["condition"], list) else [detection["condition"]]
     text = " OR ".join(f"({rewritten(c, names, prefix)})" for c in conditions)
-    return {f"{prefix}{i}": selection(detection[n], profile) for i, n in enumerate(names)}, text
+    return {f"{prefix}{i}": selection(detection[n], profile, may_be_classic(rule)) for i, n in enumerate(names)}, text
+
+
+def may_be_classic(rule: Rule) -> bool:
+    """Whether the rule is tried on classic PowerShell events."""
+    return any(c in (None, CLASSIC) for c, _, _ in rule.targets)
