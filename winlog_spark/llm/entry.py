@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, dedup, kdtree, langid, mixing, neardup, packing, quality, sharding, substring
+from . import audit, ctw, dedup, kdtree, langid, mixing, neardup, packing, quality, sharding, substring, vectors
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_substring": substring.op8_substring,
     "op9_langid": langid.op9_langid,
     "op10_neardup": neardup.op10_neardup,
+    "op11_codes": vectors.op11_codes,
+    "op13_audit": audit.op13_audit,
 }
 
 #: Packing, quality, language-model scores and language ID have no SQL; tests hold them against brute force or held-out rows.
@@ -27,4 +29,6 @@ SQL = {
     "op8_passages": substring.OP8_PASSAGES_SQL,
     "op8_substring": substring.OP8_SQL,
     "op10_neardup": neardup.OP10_SQL,
+    "op11_codes": vectors.OP11_SQL,
+    "op13_audit": audit.OP13_SQL,
 }
