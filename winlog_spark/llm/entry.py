@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, ctw, dedup, kdtree, langid, mixing, neardup, packing, quality, sharding, substring, vectors
+from . import audit, ctw, dedup, kdtree, langid, mixing, neardup, packing, quality, setjoin, sharding, substring, vectors
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_langid": langid.op9_langid,
     "op10_neardup": neardup.op10_neardup,
     "op11_codes": vectors.op11_codes,
+    "op12_setjoin": setjoin.op12_setjoin,
     "op13_audit": audit.op13_audit,
 }
 
@@ -30,5 +31,6 @@ SQL = {
     "op8_substring": substring.OP8_SQL,
     "op10_neardup": neardup.OP10_SQL,
     "op11_codes": vectors.OP11_SQL,
+    "op12_setjoin": setjoin.OP12_SQL,
     "op13_audit": audit.OP13_SQL,
 }
