@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table to the shared folder of checkpoints and read again.
+
+    Like checkpointed, but Spark knows the size of what was written; a checkpoint keeps the estimate of its query, which
+    multiplies over joins and, in a loop, soon has thousands of digits.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
+    at = f"{shared}/stored-{uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def tasks_for(rows: int, each: int = 50_000) -> int:
     return max(8, -(-rows // each))
 

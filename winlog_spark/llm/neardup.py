@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpointed, documents, member_bits, mix, salt_of, tasks_for, text_hash, with_groups, with_member, without_rows, words
+from .common import blocks, checkpointed, documents, member_bits, mix, salt_of, stored, tasks_for, text_hash, with_groups, with_member, without_rows, words
 
 #: A signature has CHUNKS chunks of 4 symbols of 16 bits, a chunk to a long.
 CHUNKS, SYMBOLS, SYMBOL_BITS = 8, 4, 16
@@ -159,16 +159,16 @@ def components(links: DataFrame, tasks: int = 8, most_rounds: int = 50) -> DataF
     """(id, component): the smallest id reachable over links (a, b), for every id that has a link.
 
     Alternates hooking the larger neighbours and then the smaller ones of each id to its least neighbour; each round is
-    checkpointed, until each id hangs on one other that hangs on none. No id's neighbours meet in one task, and no link
+    written, until each id hangs on one other that hangs on none. No id's neighbours meet in one task, and no link
     reaches the driver.
     """
-    edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()).coalesce(tasks)
+    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()).coalesce(tasks)
     for _ in range(most_rounds):
         roles = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         if roles.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty():
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        edges = checkpointed(_stars(_stars(both, False, tasks), True, tasks)).coalesce(tasks)
+        edges = stored(_stars(_stars(both, False, tasks), True, tasks)).coalesce(tasks)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

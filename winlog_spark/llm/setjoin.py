@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpointed, documents, member_bits, mix, salt_of, tasks_for, text_hash, with_groups, with_member
+from .common import blocks, checkpointed, documents, member_bits, mix, salt_of, stored, tasks_for, text_hash, with_groups, with_member
 from .neardup import _PARTS, _full_sets, _set_hash, components, shingle_sets
 
 PERCENT = 80
@@ -200,16 +200,16 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
     """
     keyed = checkpointed(_keyed(docs, id, text, k, percent))
     live = keyed.where("role = 0 and n > 0 and id is not null").select("id", "text_hash", "n", "h1", "h2", "row", F.struct("id", "row").alias("_first"))
-    named = checkpointed(with_groups(live, ["h1", "h2"], {"rep": ("min", "_first")}, salt_of("row")).select("id", "text_hash", "n", "h1", "h2", "row", F.col("rep.id").alias("class_id"), (F.col("rep.row") != F.col("row")).alias("spent")))
+    named = stored(with_groups(live, ["h1", "h2"], {"rep": ("min", "_first")}, salt_of("row")).select("id", "text_hash", "n", "h1", "h2", "row", F.col("rep.id").alias("class_id"), (F.col("rep.row") != F.col("row")).alias("spent")))
     # rows that another one stands for go: a bounded bitmap shows most others to stay without a join
     spent = named.where("spent").select("row")
     marked = with_member(keyed.where("n > 0 and id is not null").withColumnRenamed("h1", "node"), F.col("row"), member_bits(spent, "row"), "in")
     reps = marked.where("not in").unionByName(marked.where("in").join(spent, "row", "left_anti"))
     each = reps.select("node", "role", F.explode("keys").alias("key"))
-    shared = checkpointed(each.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("role") == 0).alias("members")).where("all > 1 and members > 0").select("key", "members"))
+    shared = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("role") == 0).alias("members")).where("all > 1 and members > 0").select("key", "members"))
     some = with_member(each, F.col("key"), member_bits(shared, "key", KEY_BITS), "in", KEY_BITS).where("in").drop("in")
     entries = checkpointed(some.join(shared, "key"))
-    info = checkpointed(reps.select("node", "id", "role", "band", "n", "need", "spare", F.size("blank").alias("blanks")))
+    info = stored(reps.select("node", "id", "role", "band", "n", "need", "spare", F.size("blank").alias("blanks")))
     own = info.where("role = 0").select("node", "id", "n")
     rows = entries.count()
     tasks = tasks_for(rows, 500_000)
@@ -221,22 +221,22 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
     # similar sets agree on so many segments with tokens; half of that is asked for here, as a key of the pair may have another hub
     pairs = pairs.join(info.select(F.col("node").alias("b"), "role", F.col("n").alias("bn"), (F.col("spare") + 1 - F.col("blanks")).alias("least")), ["b", "role"]).where("2 * common >= least")
     pairs = pairs.join(own.select(F.col("node").alias("a"), F.col("n").alias("an")), "a").where(_sized("an", "bn", percent))
-    pairs = checkpointed(pairs.select("a", "b").distinct()).coalesce(tasks)
-    comp = checkpointed(components(_linked(docs, pairs, own, id, text, k, percent), tasks)).coalesce(tasks)
+    pairs = stored(pairs.select("a", "b").distinct()).coalesce(tasks)
+    comp = stored(components(_linked(docs, pairs, own, id, text, k, percent), tasks)).coalesce(tasks)
     # from here on only nodes of other components count
     placed = entries.coalesce(tasks).join(comp.withColumnRenamed("id", "node"), "node", "left").select("node", "role", "key", "members", F.coalesce("component", "node").alias("c"), (F.col("role") == 0).cast("int").alias("index"))
     opened = with_groups(placed, ["key"], {"lo": ("min", "c"), "hi": ("max", "c")}, salt_of("node", "role"), F.col("lo") < F.col("hi"), "inner", tasks).drop("lo", "hi")
-    opened = checkpointed(with_groups(opened, ["key", "c"], {"same": ("sum", "index")}, salt_of("node", "role"), None, "inner", tasks).withColumn("cost", F.col("members") - F.col("same")))
+    opened = stored(with_groups(opened, ["key", "c"], {"same": ("sum", "index")}, salt_of("node", "role"), None, "inner", tasks).withColumn("cost", F.col("members") - F.col("same")))
     costly = opened.where("cost > 0")
     asked = info.join(costly.groupBy("node", "role").agg(F.count(F.lit(1)).alias("_k")), ["node", "role"], "left").withColumn("costly", F.coalesce("_k", F.lit(0))).withColumn("want", F.col("costly") + F.col("blanks") - F.col("spare")).where("want > 0")
-    asked = checkpointed(asked.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component", "_k", "id")).coalesce(tasks)
+    asked = stored(asked.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component", "_k", "id")).coalesce(tasks)
     more = _candidates(docs, opened.coalesce(tasks), asked, info, comp, id, text, k, percent, tasks) if not asked.isEmpty() else pairs.limit(0)
-    more = checkpointed(more.distinct()).coalesce(tasks)
+    more = stored(more.distinct()).coalesce(tasks)
     late = _linked(docs, more, own, id, text, k, percent)
     of = comp.withColumnRenamed("component", "c")
     named_by = lambda end: of.select(F.col("id").alias(end), F.col("c").alias(f"c{end}"))
     late = late.join(named_by("a"), "a", "left").join(named_by("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    merged = checkpointed(components(late, tasks)).coalesce(tasks)
+    merged = stored(components(late, tasks)).coalesce(tasks)
     # (node, component) of all linked nodes: old components by their new names, and nodes that only the last links reach
     linked = of.join(merged.withColumnRenamed("id", "c"), "c", "left").select(F.col("id").alias("node"), F.coalesce("component", "c").alias("c"))
     linked = linked.unionByName(merged.select(F.col("id").alias("node"), F.col("component").alias("c"))).distinct()
@@ -255,13 +255,13 @@ def _sized(a: str, b: str, percent: int) -> Column:
 
 def _linked(docs: DataFrame, pairs: DataFrame, own: DataFrame, id: str, text: str, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar, checked on the full sets of the nodes they name."""
-    nodes = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(own, "node"))
+    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(own, "node"))
     size = nodes.agg(F.sum("n").alias("n")).first().n
     if not size:
         return pairs.limit(0)
     tasks = tasks_for(size, 2_000_000)
-    sets = checkpointed(_full_sets(docs, nodes.select("node", "id"), id, text, k)).coalesce(tasks)
-    return checkpointed(confirmed(pairs, sets, percent, tasks))
+    sets = stored(_full_sets(docs, nodes.select("node", "id"), id, text, k)).coalesce(tasks)
+    return stored(confirmed(pairs, sets, percent, tasks))
 
 
 def _candidates(docs: DataFrame, opened: DataFrame, asked: DataFrame, info: DataFrame, comp: DataFrame, id: str, text: str, k: int, percent: int, tasks: int) -> DataFrame:
@@ -269,10 +269,10 @@ def _candidates(docs: DataFrame, opened: DataFrame, asked: DataFrame, info: Data
     sizes = info.where("role = 0").select("node", "n")
     index = opened.where("role = 0").join(sizes, "node").select("key", "node", "c", "n", "members")
     probes = opened.where("cost > 0").join(asked.select("node", "role", "n", "want", "costly"), ["node", "role"])
-    probes = checkpointed(_cheapest(probes, [F.col("cost"), F.col("key")], F.col("want")))
+    probes = stored(_cheapest(probes, [F.col("cost"), F.col("key")], F.col("want")))
     price = probes.groupBy("node", "role").agg(F.sum("cost").alias("price"))
     dear = asked.join(price, ["node", "role"], "left").where((F.col("want") > F.col("costly")) | (F.col("price") > CHEAP * F.col("n")))
-    dear = checkpointed(dear.select("node", "role", "band", "n", "need", "spare", "blanks", "c")).coalesce(tasks)
+    dear = stored(dear.select("node", "role", "band", "n", "need", "spare", "blanks", "c")).coalesce(tasks)
     found = _met(probes.join(dear, ["node", "role"], "left_anti"), index, percent)
     if dear.isEmpty():
         return found
@@ -280,22 +280,26 @@ def _candidates(docs: DataFrame, opened: DataFrame, asked: DataFrame, info: Data
     near = with_groups(opened.join(dear.select("node", "role", F.lit(1).alias("_d")), ["node", "role"], "left"), ["key"], {"dear": ("max", "_d")}, salt_of("node", "role"), F.col("dear") == 1, "inner", tasks)
     near = near.where("role = 0").select("node").unionByName(info.where("role = 0").join(dear.where("blanks > spare").select("band").distinct(), "band").select("node")).distinct()
     where = info.where("role = 0").join(near, "node").join(comp.withColumnRenamed("id", "node"), "node", "left").select("node", "id", "role", "band", "n", F.coalesce("component", "node").alias("c"))
-    both = checkpointed(where.select("node", "id", "role", "band", "n", "c", F.lit(True).alias("index")).unionByName(dear.join(info.where("role = 0").select("node", "id"), "node").select("node", "id", "role", "band", "n", "c", F.lit(False).alias("index")))).coalesce(tasks)
-    sets = checkpointed(_full_sets(docs, both.select("node", "id").distinct(), id, text, k)).coalesce(tasks)
-    cut = checkpointed(_segments(both.select("node", "role", "band").distinct(), sets, percent)).coalesce(tasks)
+    both = stored(where.select("node", "id", "role", "band", "n", "c", F.lit(True).alias("index")).unionByName(dear.join(info.where("role = 0").select("node", "id"), "node").select("node", "id", "role", "band", "n", "c", F.lit(False).alias("index")))).coalesce(tasks)
+    sets = stored(_full_sets(docs, both.select("node", "id").distinct(), id, text, k)).coalesce(tasks)
+    cut = stored(_segments(both.select("node", "role", "band").distinct(), sets, percent)).coalesce(tasks)
     there = cut.join(both.where("index").select("node", "role", "n", "c"), ["node", "role"])
-    mine = checkpointed(cut.join(dear.select("node", "role", "n", "c", "need"), ["node", "role"])).coalesce(tasks)
-    wholes = checkpointed(with_groups(there.select("node", "n", "c", F.col("whole").alias("key")), ["key"], {"members": ("count", "node")}, salt_of("node"))).coalesce(tasks)
-    cuts = checkpointed(with_groups(there.select("node", "n", "c", F.explode("cuts").alias("key")), ["key"], {"members": ("count", "node")}, salt_of("node"))).coalesce(tasks)
+    mine = stored(cut.join(dear.select("node", "role", "n", "c", "need"), ["node", "role"])).coalesce(tasks)
+    # of the other sets' keys only those count that a dear one asks for: a bounded bitmap sorts out most before they move
+    whole_keys, cut_keys = mine.select(F.col("whole").alias("key")), mine.select(F.explode("cuts").alias("key"))
+    wholes, cuts = there.select("node", "n", "c", F.col("whole").alias("key")), there.select("node", "n", "c", F.explode("cuts").alias("key"))
+    wholes = with_member(wholes, F.col("key"), member_bits(whole_keys.unionByName(cut_keys), "key"), "_in").where("_in").drop("_in")
+    cuts = with_member(cuts, F.col("key"), member_bits(whole_keys, "key"), "_in").where("_in").drop("_in")
+    wholes, cuts = (stored(with_groups(x, ["key"], {"members": ("count", "node")}, salt_of("node"))).coalesce(tasks) for x in (wholes, cuts))
     columns = ["node", "role", "at", "n", "c"]
     whole = _cost(mine.select(*columns, "need", F.col("whole").alias("key")), wholes)
     as_cut = _cost(mine.select(*columns, F.col("whole").alias("key")), cuts)
     own_cut = _cost(mine.select(*columns, F.explode("cuts").alias("key")), wholes)
-    whole, as_cut, own_cut = checkpointed(whole), checkpointed(as_cut), checkpointed(own_cut)
+    whole, as_cut, own_cut = stored(whole), stored(as_cut), stored(own_cut)
     twice = as_cut.unionByName(own_cut).groupBy("node", "role", "at").agg(F.sum("cost").alias("extra"))
     first = whole.select("node", "role", "at", "need", F.lit(1).alias("level"), "cost")
     second = whole.join(twice, ["node", "role", "at"]).select("node", "role", "at", "need", F.lit(2).alias("level"), F.greatest("cost", "extra").alias("cost"))
-    taken = checkpointed(_cheapest(first.unionByName(second), [F.col("cost"), F.col("level"), F.col("at")], F.col("need"))).coalesce(tasks)
+    taken = stored(_cheapest(first.unionByName(second), [F.col("cost"), F.col("level"), F.col("at")], F.col("need"))).coalesce(tasks)
     one, two = (taken.where(F.col("level") == i).select("node", "role", "at") for i in (1, 2))
     of = ["node", "role", "at"]
     found = found.unionByName(_met(whole.where("cost > 0").join(one, of), wholes, percent))
@@ -314,7 +318,8 @@ def op12_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP12_SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS t FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS t FROM documents),
 s AS MATERIALIZED (SELECT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
        ELSE list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' '))) END) AS g FROM w),
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
