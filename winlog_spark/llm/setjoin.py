@@ -276,21 +276,23 @@ def _candidates(docs: DataFrame, opened: DataFrame, asked: DataFrame, info: Data
     found = _met(probes.join(dear, ["node", "role"], "left_anti"), index, percent)
     if dear.isEmpty():
         return found
-    # a similar set shares a whole segment with a dear one, unless that has more empty segments than it can spare
-    near = with_groups(opened.join(dear.select("node", "role", F.lit(1).alias("_d")), ["node", "role"], "left"), ["key"], {"dear": ("max", "_d")}, salt_of("node", "role"), F.col("dear") == 1, "inner", tasks)
-    near = near.where("role = 0").select("node").unionByName(info.where("role = 0").join(dear.where("blanks > spare").select("band").distinct(), "band").select("node")).distinct()
+    # a similar set shares one of those segments with a dear one, as it would have to if they were all that is asked for,
+    # unless the dear one has more empty segments than it can spare
+    keys = probes.join(dear.select("node", "role"), ["node", "role"], "left_semi").select("key").distinct()
+    near = index.join(keys, "key", "left_semi").select("node").unionByName(info.where("role = 0").join(dear.where("blanks > spare").select("band").distinct(), "band").select("node")).distinct()
     where = info.where("role = 0").join(near, "node").join(comp.withColumnRenamed("id", "node"), "node", "left").select("node", "id", "role", "band", "n", F.coalesce("component", "node").alias("c"))
-    both = stored(where.select("node", "id", "role", "band", "n", "c", F.lit(True).alias("index")).unionByName(dear.join(info.where("role = 0").select("node", "id"), "node").select("node", "id", "role", "band", "n", "c", F.lit(False).alias("index")))).coalesce(tasks)
-    sets = stored(_full_sets(docs, both.select("node", "id").distinct(), id, text, k)).coalesce(tasks)
-    cut = stored(_segments(both.select("node", "role", "band").distinct(), sets, percent)).coalesce(tasks)
-    there = cut.join(both.where("index").select("node", "role", "n", "c"), ["node", "role"])
-    mine = stored(cut.join(dear.select("node", "role", "n", "c", "need"), ["node", "role"])).coalesce(tasks)
+    where = stored(where).coalesce(tasks)
+    ids = where.select("node", "id").unionByName(dear.join(info.where("role = 0").select("node", "id"), "node").select("node", "id")).distinct()
+    sets = stored(_full_sets(docs, ids, id, text, k)).coalesce(tasks)
+    mine = stored(_segments(dear.select("node", "role", "band"), sets, percent).join(dear.select("node", "role", "n", "c", "need"), ["node", "role"])).coalesce(tasks)
     # of the other sets' keys only those count that a dear one asks for: a bounded bitmap sorts out most before they move
-    whole_keys, cut_keys = mine.select(F.col("whole").alias("key")), mine.select(F.explode("cuts").alias("key"))
-    wholes, cuts = there.select("node", "n", "c", F.col("whole").alias("key")), there.select("node", "n", "c", F.explode("cuts").alias("key"))
-    wholes = with_member(wholes, F.col("key"), member_bits(whole_keys.unionByName(cut_keys), "key"), "_in").where("_in").drop("_in")
-    cuts = with_member(cuts, F.col("key"), member_bits(whole_keys, "key"), "_in").where("_in").drop("_in")
-    wholes, cuts = (stored(with_groups(x, ["key"], {"members": ("count", "node")}, salt_of("node"))).coalesce(tasks) for x in (wholes, cuts))
+    named = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    wanted = mine.select(F.explode(F.concat(F.array(named(0, F.col("whole")), named(1, F.col("whole"))), F.transform("cuts", lambda c: named(0, c)))).alias("x"))
+    have = _segments(where.select("node", "role", "band"), sets, percent).select("node", F.explode(F.concat(F.array(named(0, F.col("whole"))), F.transform("cuts", lambda c: named(1, c)))).alias("x"))
+    have = with_member(have, F.xxhash64("x.kind", "x.key"), member_bits(wanted.select(F.xxhash64("x.kind", "x.key").alias("k")), "k"), "_in").where("_in").select("node", "x.kind", "x.key")
+    have = with_groups(have.join(where.select("node", "n", "c"), "node"), ["kind", "key"], {"members": ("count", "node")}, salt_of("node"))
+    have = stored(have).coalesce(tasks)
+    wholes, cuts = (have.where(F.col("kind") == i).drop("kind") for i in (0, 1))
     columns = ["node", "role", "at", "n", "c"]
     whole = _cost(mine.select(*columns, "need", F.col("whole").alias("key")), wholes)
     as_cut = _cost(mine.select(*columns, F.col("whole").alias("key")), cuts)
