@@ -103,23 +103,28 @@ def with_groups(rows: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[str,
 
 
 def member_bits(ids: DataFrame, col: str, bits: int = 23) -> DataFrame:
-    """(bucket, bitmap): 2**bits slots in which the slot of each value's hash is set, at most 2**(bits-3) bytes whatever the input.
+    """(bucket, words): 2**bits slots in which the slot of each value's hash is set, 64 to a long, at most 2**(bits-3) bytes whatever the input.
 
     It only narrows what is read further: a value that shares a slot by chance is sorted out later by an exact join.
     """
     slot = F.pmod(F.xxhash64(col), F.lit(1 << bits))
     found = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bitmap"))
-    return checkpointed(found)
+
+    def as_longs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = pa.array([np.frombuffer(x, "<i8") for x in b.column("bitmap").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("bucket"), words], names=["bucket", "words"])
+
+    return checkpointed(found.mapInArrow(as_longs, "bucket long, words array<long>"))
 
 
 def with_member(rows: DataFrame, key: Column, bitmap: DataFrame, name: str, bits: int = 23) -> DataFrame:
     """rows with a boolean column: whether the slot of the key is set in a bitmap of member_bits, which is bounded and broadcast."""
     slot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    of = bitmap.select(F.col("bucket").alias("__bucket"), F.col("bitmap").alias("__bitmap"))
+    of = bitmap.select(F.col("bucket").alias("__bucket"), F.col("words").alias("__words"))
     found = rows.withColumn("__slot", slot).join(F.broadcast(of), F.bitmap_bucket_number("__slot") == F.col("__bucket"), "left")
-    byte = F.conv(F.hex(F.expr("substring(__bitmap, CAST(bitmap_bit_position(__slot) DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
-    bit = F.expr("shiftleft(1, CAST(bitmap_bit_position(__slot) % 8 AS INT))")
-    return found.withColumn(name, F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))).drop("__slot", "__bucket", "__bitmap")
+    bit = F.expr("shiftrightunsigned(__words[CAST(bitmap_bit_position(__slot) DIV 64 AS INT)], CAST(bitmap_bit_position(__slot) % 64 AS INT)) & 1")
+    return found.withColumn(name, F.coalesce(bit != 0, F.lit(False))).drop("__slot", "__bucket", "__words")
 
 
 def without_rows(docs: DataFrame, gone: DataFrame, id: str, text: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, word_count
+from .common import WORD, documents, text_hash, word_count
 
 #: Tokens of a block, the unit that is apportioned.
 BLOCK = 64
@@ -65,20 +65,9 @@ def targets(sources: DataFrame, source: str, size: str, weights: tuple[int, ...]
     return s.drop("_r", "_at", "_cap", "_all", "_caps", "_rest", "_free", "_level")
 
 
-def mix_sources(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, seed: str = SEED) -> DataFrame:
-    """Per row: id, source, size, source_size, target, taken (words the mix takes, repeats counted).
-
-    The words of all documents make up blocks of `block` tokens. Sources get whole blocks by highest quotients of their
-    targets; a source's blocks are dealt by the same rule to groups of its shards and to the shards (hash of the id), by their sizes. In a shard the
-    documents stand in an order drawn by the seed; all are taken as often as the quota goes over the whole shard, and the
-    blocks that remain are the first in this order, so at most one document a shard is taken in part.
-
-    A shard holds a source's rows of one hash, so that a source with a third of all rows is spread like any other, and no
-    text moves. Null text has size 0, and such rows are taken 0 times; null is a source like others. Repeated rows stand
-    side by side, each with its own words. Equal quotients go to the smaller source, group or shard. A very long text
-    is counted, not moved. An empty table gives no rows; other columns of docs, whatever their names, are not read.
-    """
-    size = docs.select(F.col(id), F.col(source), word_count(F.col(text)).alias("size"))
+def _mix(docs: DataFrame, id: str, source: str, text: str, weights: tuple[int, ...], block: int, seed: str, carry: Column | None = None) -> DataFrame:
+    """Per row: id, source, text_hash, size, source_size, target, taken, and what is carried along."""
+    size = docs.select(F.col(id), F.col(source), text_hash(F.col(text)).alias("text_hash"), word_count(F.col(text)).alias("size"), *([carry.alias("_carried")] if carry is not None else []))
     k = max(1, -(-docs.count() // ROWS_PER_SHARD))
     slim = size.withColumn("_src", F.concat(F.when(F.col(source).isNull(), "1").otherwise("0"), F.coalesce(F.col(source), F.lit("")))).withColumn("_shard", F.pmod(_hash("shard", F.col(id)), F.lit(k)))
     shards = slim.groupBy("_src", "_shard").agg(F.sum("size").alias("shard_size"))
@@ -89,25 +78,54 @@ def mix_sources(docs: DataFrame, id: str = "doc_id", source: str = "source", tex
     groups = shards.groupBy("_src", "_group").agg(F.sum("shard_size").alias("_size")).join(sources, "_src")
     groups = apportion(groups, ["_src"], "_group", "_size", "_quota").select("_src", "_group", "source_size", "target", F.col("quota").alias("_quota"))
     quotas = apportion(shards.join(groups, ["_src", "_group"]), ["_src", "_group"], "_shard", "shard_size", "_quota")
-    quotas = quotas.withColumn("_take", F.least(F.col("quota") * block, F.col("shard_size") * MOST_REPEATS)).withColumn("_times", F.when(F.col("shard_size") > 0, F.floor(F.col("_take") / F.col("shard_size"))).otherwise(0))
+    quotas = quotas.withColumn("_take", F.least(F.col("quota") * block, F.col("shard_size") * MOST_REPEATS))
+    # words cut off at a shard's limit go to shards of its group with room, those with most room first
+    quotas = quotas.withColumn("_room", F.col("shard_size") * MOST_REPEATS - F.col("_take"))
+    group = Window.partitionBy("_src", "_group")
+    filled = group.orderBy(F.desc("_room"), "_shard").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("_quota") * block - F.sum("_take").over(group) - F.coalesce(F.sum("_room").over(filled), F.lit(0))
+    quotas = quotas.withColumn("_take", F.col("_take") + F.greatest(F.lit(0), F.least(F.col("_room"), left)))
+    quotas = quotas.withColumn("_times", F.when(F.col("shard_size") > 0, F.floor(F.col("_take") / F.col("shard_size"))).otherwise(0))
     quotas = quotas.withColumn("_over", F.col("_take") - F.col("_times") * F.col("shard_size")).select("_src", "_shard", "source_size", "target", "_times", "_over")
-    drawn = Window.partitionBy("_src", "_shard").orderBy(_hash(seed, F.col(id)), id, "size").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = Window.partitionBy("_src", "_shard").orderBy(_hash(seed, F.col(id)), id, "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     out = slim.join(quotas, ["_src", "_shard"]).withColumn("_before", F.coalesce(F.sum("size").over(drawn), F.lit(0)))
     taken = F.col("_times") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_over") - F.col("_before")))
-    return out.select(id, source, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select(id, source, "text_hash", "size", "source_size", "target", taken.cast("long").alias("taken"), *(["_carried"] if carry is not None else []))
+
+
+def mix_sources(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, seed: str = SEED) -> DataFrame:
+    """Per row: id, source, text_hash, size, source_size, target, taken (words the mix takes, repeats counted).
 
+    The words of all documents make up blocks of `block` tokens. Sources get whole blocks by highest quotients of their
+    targets; a source's blocks are dealt by the same rule to groups of its shards and to the shards (hash of the id), by
+    their sizes. A shard gives at most MOST_REPEATS times its words; what its blocks hold beyond that is taken from shards
+    of the group that have room. In a shard the documents stand in an order drawn by the seed; all are taken as often as
+    the quota goes over the whole shard, and the words that remain are the first in this order, so at most one document
+    a shard is taken in part.
 
-def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that the mix takes, with docs' columns: a row for each time a text is taken, and one with its first words where it is taken in part."""
-    taken = mix_sources(docs, id, text=text, **options).where("taken > 0")
-    taken = taken.groupBy(F.col(id).alias("__id"), F.col("size").alias("__size")).agg(F.max("taken").alias("__taken"))
-    each = docs.join(taken, F.col(id).eqNullSafe(F.col("__id")) & (word_count(F.col(text)) == F.col("__size")))
-    each = each.withColumn("__left", F.explode(F.sequence(F.col("__taken"), F.lit(1).cast("long"), -F.col("__size"))))
-    words = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})")), 1, F.col("__left").cast("int")), " ")
-    each = each.withColumn(text, F.when(F.col("__left") >= F.col("__size"), F.col(text)).otherwise(words))
-    if "n_chars" in docs.columns:
-        each = each.withColumn("n_chars", F.length(text).cast("long"))
-    return each.select(docs.columns)
+    A shard holds a source's rows of one hash, so that a source with a third of all rows is spread like any other, and no
+    text moves. Null text has size 0, and such rows are taken 0 times; null is a source like others. Repeated rows stand
+    side by side, each with its own words; of one id with several texts or sources each has its own too. Equal quotients
+    go to the smaller source, group or shard. A very long text is counted, not moved. Sources are ranked and filled up in
+    one task: they are to be some thousands at most, not hosts or users. An empty table gives no rows; other columns of
+    docs, whatever their names, are not read.
+    """
+    return _mix(docs, id, source, text, weights, block, seed)
+
+
+def mixed_documents(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, seed: str = SEED) -> DataFrame:
+    """The documents that the mix takes, with docs' columns: a row for each time a text is taken, and one with its first words where it is taken in part.
+
+    Each row goes along with its own take, so rows that share an id, whatever their texts and sources, and rows without one
+    come out as often as the mix takes them.
+    """
+    each = _mix(docs, id, source, text, weights, block, seed, F.struct(*[F.col(c) for c in docs.columns])).where("taken > 0")
+    each = each.select("_carried", "size", F.explode(F.sequence(F.col("taken"), F.lit(1).cast("long"), -F.col("size"))).alias("left"))
+    of = F.col("_carried")[text]
+    words = F.array_join(F.slice(F.regexp_extract_all(of, F.lit(f"({WORD})")), 1, F.col("left").cast("int")), " ")
+    made = F.when(F.col("left") >= F.col("size"), of).otherwise(words)
+    column = {text: made} | ({"n_chars": F.length(made).cast("long")} if "n_chars" in docs.columns else {})
+    return each.select(*[column.get(c, F.col("_carried")[c]).alias(c) for c in docs.columns])
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +158,9 @@ sh AS MATERIALIZED (SELECT s4.r, d.shard, s4.quota, sum(d.size)::BIGINT AS shard
 seat2 AS (SELECT r, shard, quota, row_number() OVER (PARTITION BY r ORDER BY shard_size / (2 * k - 1) DESC, shard, k) AS pos
           FROM sh, range(1, (SELECT max(quota) + 1 FROM sh)) t(k) WHERE shard_size > 0 AND k <= quota),
 won AS (SELECT r, shard, count(*) AS n FROM seat2 WHERE pos <= quota GROUP BY r, shard),
-q AS (SELECT sh.*, least(coalesce(won.n, 0) * {BLOCK}, {MOST_REPEATS} * shard_size) AS take FROM sh LEFT JOIN won USING (r, shard)),
+q0 AS (SELECT sh.*, least(coalesce(won.n, 0) * {BLOCK}, {MOST_REPEATS} * shard_size) AS first_take FROM sh LEFT JOIN won USING (r, shard)),
+q1 AS (SELECT *, {MOST_REPEATS} * shard_size - first_take AS room, quota * {BLOCK} - sum(first_take) OVER (PARTITION BY r) AS left_over FROM q0),
+q AS (SELECT *, first_take + CAST(greatest(0, least(room, left_over - coalesce(sum(room) OVER (PARTITION BY r ORDER BY room DESC, shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS take FROM q1),
 q2 AS (SELECT *, CASE WHEN shard_size > 0 THEN take // shard_size ELSE 0 END AS times FROM q),
 x AS (SELECT d.doc_id, d.size, q2.source_size, q2.target, q2.times, q2.take - q2.times * q2.shard_size AS over_,
              coalesce(sum(d.size) OVER (PARTITION BY q2.r, d.shard ORDER BY d.draw, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before

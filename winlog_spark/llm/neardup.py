@@ -104,11 +104,18 @@ def _errors(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: a.bitwiseXOR(b)), F.lit(0), lambda n, d: n + sum((symbol(d, p) for p in range(1, SYMBOLS)), symbol(d, 0)))
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """Of the pairs (a, b, ...), those whose full sets are similar enough."""
-    p = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("_x")), "a").coalesce(tasks).join(sets.select(F.col("node").alias("b"), F.col("set").alias("_y")), "b")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Of the pairs (a, b, ...), those whose full sets are similar enough; a may be the same for very many.
+
+    Each pair brings the set of its b; the set of an a comes once for each of its salts, so that a hot a is compared by
+    SALTS tasks, none of which holds all its rows, and its set is not moved along with every pair.
+    """
+    salted = pairs.withColumn("_salt", salt_of("b"))
+    right = salted.join(sets.select(F.col("node").alias("b"), F.col("set").alias("_y")), "b").coalesce(tasks)
+    left = salted.select("a", "_salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("set").alias("_x")), "a").coalesce(tasks)
     both = F.size(F.array_intersect("_x", "_y"))
-    return p.where(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select(pairs.columns).coalesce(tasks)
+    near = right.join(left, ["a", "_salt"]).where(100 * both >= percent * (F.size("_x") + F.size("_y") - both))
+    return near.select(pairs.columns).coalesce(tasks)
 
 
 def _sharing_rare(open_nodes: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
@@ -210,13 +217,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     pairs = paired.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).where("a <> b").coalesce(tasks).distinct()
     x, y = (met.select("node").join(rep, "node").select(F.col("node").alias(i), F.col("n").alias(f"{i}n"), F.col("sig").alias(f"{i}sig")).coalesce(tasks) for i in "ab")
     sized = 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
-    pairs = pairs.join(x, "a").join(y, "b").where(sized & (_errors(F.col("asig"), F.col("bsig")) <= LOOSE_ERRORS)).select("a", "b")
-    comp = checkpointed(components(_confirm(pairs, sets, percent, tasks), tasks)).coalesce(tasks)
+    # a hub's signature comes once for each of its salts
+    pairs = pairs.withColumn("_salt", salt_of("b"))
+    hubs = pairs.select("a", "_salt").distinct().join(x, "a").coalesce(tasks)
+    pairs = pairs.join(y, "b").join(hubs, ["a", "_salt"]).where(sized & (_errors(F.col("asig"), F.col("bsig")) <= LOOSE_ERRORS)).select("a", "b")
+    comp = checkpointed(components(confirmed(pairs, sets, percent, tasks), tasks)).coalesce(tasks)
     # keys that still hold several components: their members are compared across components
     placed = among.select("key", "node").coalesce(tasks).join(comp.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     open_keys = with_groups(placed, ["key"], {"lo": ("min", "c"), "hi": ("max", "c")}, salt_of("node"), F.col("lo") < F.col("hi"), "inner", tasks)
     open_nodes = checkpointed(open_keys.select("node", "c").distinct().join(met.select("node", "n"), "node")).coalesce(tasks)
-    more = _confirm(_sharing_rare(open_nodes, sets, percent, tasks), sets, percent, tasks)
+    more = confirmed(_sharing_rare(open_nodes, sets, percent, tasks), sets, percent, tasks)
     merged = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")), tasks)
     # (node, component) of all linked nodes, old components renamed, and those that only the last join has linked
     linked = comp.withColumnRenamed("component", "c").join(merged.withColumnRenamed("id", "c"), "c", "left").select(F.col("id").alias("node"), F.coalesce("component", "c").alias("c"))

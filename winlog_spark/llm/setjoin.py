@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, checkpointed, documents, member_bits, mix, salt_of, stored, tasks_for, text_hash, with_groups, with_member
-from .neardup import _PARTS, _full_sets, _set_hash, components, shingle_sets
+from .neardup import _PARTS, _full_sets, _set_hash, components, confirmed, shingle_sets
 
 PERCENT = 80
 #: A band's sizes span this much more than the ratio of similar sets, so that a set meets its own band and the next lower one at most.
@@ -135,20 +135,6 @@ def _segments(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return nodes.join(sets, "node").select("node", "role", "band", "set").mapInArrow(build, "node long, role int, band int, at int, whole long, cuts array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full sets are similar enough; a may be the same for very many.
-
-    Each pair brings the set of its b; the set of an a comes once for each of its salts, so that a hot a is compared by
-    SALTS tasks, none of which holds its rows in one.
-    """
-    salted = pairs.withColumn("_salt", salt_of("b"))
-    right = salted.join(sets.select(F.col("node").alias("b"), F.col("set").alias("_y")), "b").coalesce(tasks)
-    left = salted.select("a", "_salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("set").alias("_x")), "a")
-    both = F.size(F.array_intersect("_x", "_y"))
-    near = right.join(left, ["a", "_salt"]).where(100 * both >= percent * (F.size("_x") + F.size("_y") - both))
-    return near.select("a", "b").coalesce(tasks)
-
-
 def _cost(probes: DataFrame, index: DataFrame) -> DataFrame:
     """probes (key, c, ...) with cost, how many nodes of index (key, c, members) have the key and another component, and members, how many have it."""
     by = index.groupBy("key", "c").agg(F.count(F.lit(1)).alias("_same"))
@@ -290,6 +276,7 @@ def _candidates(docs: DataFrame, opened: DataFrame, asked: DataFrame, info: Data
     wanted = mine.select(F.explode(F.concat(F.array(named(0, F.col("whole")), named(1, F.col("whole"))), F.transform("cuts", lambda c: named(0, c)))).alias("x"))
     have = _segments(where.select("node", "role", "band"), sets, percent).select("node", F.explode(F.concat(F.array(named(0, F.col("whole"))), F.transform("cuts", lambda c: named(1, c)))).alias("x"))
     have = with_member(have, F.xxhash64("x.kind", "x.key"), member_bits(wanted.select(F.xxhash64("x.kind", "x.key").alias("k")), "k"), "_in").where("_in").select("node", "x.kind", "x.key")
+    have = stored(have).coalesce(tasks)
     have = with_groups(have.join(where.select("node", "n", "c"), "node"), ["kind", "key"], {"members": ("count", "node")}, salt_of("node"))
     have = stored(have).coalesce(tasks)
     wholes, cuts = (have.where(F.col("kind") == i).drop("kind") for i in (0, 1))

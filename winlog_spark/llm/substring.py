@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, mix, powers, salt_of, with_groups, word_spans
+from .common import blocks, documents, member_bits, mix, powers, salt_of, stored, with_groups, with_member, word_spans
 
 #: Words of the shortest unit that is compared.
 MIN_WORDS = 25
@@ -22,7 +22,7 @@ _FOLD = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
 def units(docs: DataFrame, id: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per unit of at least min_words words: id, start and length in characters of the original text, digest of the normalised unit.
+    """One row per unit of at least min_words words: id, row (a hash of id and text), start and length in characters of the original text, digest of the normalised unit.
 
     Normalised: A-Z lower-cased, runs of blanks made one, none at the ends.
     """
@@ -42,46 +42,58 @@ def units(docs: DataFrame, id: str = "doc_id", text: str = "text", unit: str = "
                         length.append(m.end() - m.start())
                         n.append(words)
                         digest.append(hashlib.blake2b(norm.encode(), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(n, pa.int32()), pa.array(digest, pa.binary())], names=["id", "start", "length", "n_words", "digest"])
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("row").take(take), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(n, pa.int32()), pa.array(digest, pa.binary())], names=["id", "row", "start", "length", "n_words", "digest"])
 
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(cut, f"id {kind}, start long, length long, n_words int, digest binary")
+    return docs.select(F.col(id).alias("id"), F.xxhash64(id, text).alias("row"), F.col(text).alias("text")).mapInArrow(cut, f"id {kind}, row long, start long, length long, n_words int, digest binary")
 
 
 def repeated_units(docs: DataFrame, id: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """The units to remove: id, start, length, n_words, first_id, first_start, copies.
+    """The units to remove: id, row, start, length, n_words, first_id, first_start, copies.
 
     Occurrences rank by (id, start); the earliest stays, all later ones are returned with their place in the original
     text. Digests are grouped over all documents; a very common unit is dealt over many tasks by a salt, and only
     digests move, not text. Null texts have no units; a null id ranks last. Repeated rows of the same id and text tie,
-    and none of them is an earlier occurrence than the others, so the unit stays in each of them.
+    and none of them is an earlier occurrence than the others, so the unit stays in each of them. Rows of one id with
+    different texts are told apart by row. A very long text is cut whole, in the task that reads it. An empty table gives
+    no rows; other columns of docs, whatever their names, are not read.
     """
     found = units(docs, id, text, unit, min_words).withColumn("_rank", F.struct(F.col("id").isNull().alias("n"), "id", "start"))
     among = with_groups(found, ["digest"], {"_first": ("min", "_rank"), "copies": ("count", "_rank")}, salt_of("id", "start"), F.col("copies") > 1, "inner")
     out = among.where(F.col("_first") < F.col("_rank"))
-    return out.select(F.col("id").alias(id), "start", "length", "n_words", F.col("_first.id").alias("first_id"), F.col("_first.start").alias("first_start"), "copies")
+    return out.select(F.col("id").alias(id), "row", "start", "length", "n_words", F.col("_first.id").alias("first_id"), F.col("_first.start").alias("first_start"), "copies")
 
 
-def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs, each text without the units of repeated_units (one line break goes with each); columns as they are."""
-    spans = repeated_units(docs, id, text, **options).select(F.col(id).alias("__id"), F.array("start", "length").alias("s")).distinct()
-    spans = spans.groupBy("__id").agg(F.array_sort(F.collect_list("s")).alias("__spans"))
+def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+    """docs, each text without its later occurrences; columns as they are. unit: line, paragraph (one line break goes with each), or passage.
+
+    What goes are the spans of repeated_units or repeated_passages, by id and text: each text of an id loses its own, and
+    rows without an id theirs; repeated rows lose the same. Texts without a span, which a bounded bitmap shows in most
+    cases, stay where they are; only the others are shuffled, once. Null and empty texts stay. The spans of one very long
+    text are a list in its row. No rows in, no rows out.
+    """
+    found = repeated_passages(docs, id, text, min_words) if unit == "passage" else repeated_units(docs, id, text, unit, min_words)
+    spans = stored(found.select(F.col("row").alias("__row"), F.array("start", "length").alias("s")).distinct())
+    lists = spans.groupBy("__row").agg(F.array_sort(F.collect_list("s")).alias("__spans"))
+    breaks = unit != "passage"
 
     @F.pandas_udf("string")
     def cut(t: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for x, todo in zip(t, spans, strict=True):
-            if x is not None and todo is not None:
-                parts, at = [], 0
-                for start, length in todo:
-                    parts.append(x[at:start])
-                    at = start + length
-                    at += at < len(x) and x[at] == "\n"
-                x = "".join([*parts, x[at:]])
-            out.append(x)
+            parts, at = [], 0
+            for start, length in todo:
+                parts.append(x[at:start])
+                at = start + length
+                at += breaks and at < len(x) and x[at] == "\n"
+            out.append("".join([*parts, x[at:]]))
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(spans, docs[id] == spans["__id"], "left")
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("__spans")))).select(docs.columns)
+    row = F.xxhash64(docs[id], docs[text])
+    marked = with_member(docs.withColumn("__row", row), F.col("__row"), member_bits(spans, "__row"), "__in")
+    joined = marked.where("__in").join(lists, "__row", "left")
+    some = joined.where("__spans is not null").withColumn(text, cut(F.col(text), F.col("__spans"))).select(docs.columns)
+    return marked.where("not __in").select(docs.columns).unionByName(joined.where("__spans is null").select(docs.columns)).unionByName(some)
 
 
 def _window_hashes(w: np.ndarray, k: int) -> np.ndarray:
@@ -121,7 +133,7 @@ def _marked(rows: pa.RecordBatch, name: str, at: np.ndarray) -> np.ndarray:
 
 
 def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The passages to remove, wherever in a text they stand: id, start and length in characters, n_words.
+    """The passages to remove, wherever in a text they stand: id, row (a hash of id and text), start and length in characters, n_words.
 
     A window of min_words words (A-Z lower-cased, whatever blanks between them) is repeated if it occurs earlier, by
     (id, place). Overlapping and adjacent repeated windows make one passage, so a passage ends where the next word is not
@@ -132,6 +144,8 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", m
     occurrences go back likewise, and what is left is repeated. Groups are only counted or reduced to their least place,
     before they are shuffled too, so no hot key meets in one task. Null texts have no windows; a null id ranks last.
     Repeated rows of the same id and text tie, and the passage stays in each of them. Windows are told apart by 63 bits.
+    A very long text is read whole by one task. An empty table gives no rows; other columns of docs, whatever their
+    names, are not read.
     """
     kind = docs.select(id).schema[0].dataType.simpleString()
     rows = docs.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.xxhash64(id, text).alias("row"), F.col(text).alias("text"))
@@ -165,7 +179,7 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", m
             char = np.append(0, np.cumsum((data & 0xC0) != 0x80))
             doc, a, z = doc[begin], x[begin], x[end] + min_words - 1
             start = char[s[a]] - char[off[doc]]
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(doc)), pa.array(start), pa.array(char[e[z]] - char[off[doc]] - start), pa.array((z - a + 1).astype(np.int32))], names=["id", "start", "length", "n_words"])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(doc)), b.column("row").take(pa.array(doc)), pa.array(start), pa.array(char[e[z]] - char[off[doc]] - start), pa.array((z - a + 1).astype(np.int32))], names=["id", "row", "start", "length", "n_words"])
 
     found = rows.select("row", "text").mapInArrow(anchors, "row long, pos int, key long")
     # where an anchor occurs once, the least row and place are its own
@@ -176,12 +190,12 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", m
     place = F.struct(F.col("id").isNull().alias("n"), "id", "row", "pos")
     least = of.groupBy("key").agg(F.min(place).alias("p")).select("p.row", "p.pos")
     first = least.groupBy("row").agg(F.collect_list("pos").alias("first"))
-    out = narrowed.join(first.hint("merge"), "row", "left").select("id", "text", "single", "first").mapInArrow(passages, f"id {kind}, start long, length long, n_words int")
+    out = narrowed.join(first.hint("merge"), "row", "left").select("id", "row", "text", "single", "first").mapInArrow(passages, f"id {kind}, row long, start long, length long, n_words int")
     return out.withColumnRenamed("id", id)
 
 
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(documents(spark, sf_dir))
+    return repeated_passages(documents(spark, sf_dir)).drop("row")
 
 
 OP8_PASSAGES_SQL = f"""
@@ -198,7 +212,7 @@ SELECT doc_id, min(start) AS start, max(stop) - min(start) AS length, (max(i) -
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_units(documents(spark, sf_dir)).withColumnRenamed("first_id", "first_doc_id")
+    return repeated_units(documents(spark, sf_dir)).drop("row").withColumnRenamed("first_id", "first_doc_id")
 
 
 OP8_SQL = f"""
