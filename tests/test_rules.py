@@ -1,5 +1,7 @@
 """Detection rules: modifiers, conditions, log sources, reasons, and both ways of running them."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from test_events import events
@@ -59,11 +61,22 @@ def test_native_process_events_answer_to_sysmon_names(spark):
     assert not hits(spark, {"s": {"Image|endswith": "x.exe"}}, row, {"category": "image_load"})
 
 
-def test_required_ids():
-    ids = lambda condition, **s: rules._condition_ids(condition, s)
-    one, two, free = {"EventID": 1}, {"EventID": [1, 2]}, {"a": "b"}
-    assert ids("a and b", a=one, b=free) == {1} and ids("a or b", a=one, b=two) == {1, 2} and ids("a or b", a=one, b=free) is None
-    assert ids("a and not b", a=two, b=one) == {1, 2} and ids("not a", a=one) is None and ids("1 of a*", a1=one, a2=two) == {1, 2} and ids("(a and b) or c", a=one, b=one, c=free) is None
+@pytest.mark.parametrize(
+    ("condition", "expected"),
+    [
+        ("a and f", {1}), ("a or b", {1, 2}), ("a or f", None), ("b and not a", {1, 2}), ("not a", None), ("1 of s_*", {1, 2, 3}), ("(a and b) or f", None), ("a and (b or c)", {1}), ("a and 1 of s_*", {1}), ("all of s_* and not f", set()),
+        ("b and (c or f)", {1, 2}), ("f and (a or c)", {1, 3}), ("all of b* and not a", {1, 2}), ("not (f or not b)", {1, 2}), ("2 of s_*", {1}), ("(a or c) and (b or c)", {1, 3}), ("not not a", {1}), ("f", None), ("1 of them and a", {1}),
+    ],
+)
+def test_required_ids(condition, expected):
+    """a asks for id 1, b for 1 or 2, c for 3, f for none; s_x for 1, s_y for 1 or 2, s_z for 3."""
+    one, two, three = {"EventID": 1}, {"EventID": [1, 2]}, {"EventID": 3, "x": "y"}
+    assert rules.possible_ids([condition], {"a": one, "b": two, "c": three, "f": {"p": "q"}, "s_x": one, "s_y": two, "s_z": three}) == expected
+
+
+def test_required_ids_of_several_conditions():
+    one, three = {"EventID": 1}, [{"EventID": 3}, {"EventID": 4}]
+    assert rules.possible_ids(["a", "c"], {"a": one, "c": three}) == {1, 3, 4} and rules.possible_ids(["a", "f"], {"a": one, "f": {"x": 1}}) is None
 
 
 def test_skipped_and_duplicates(spark):
@@ -97,6 +110,39 @@ def test_packed_conditions(spark):
     assert a == b and a
 
 
+def test_contained_texts_by_their_pieces(spark):
+    """Texts shorter than a piece, longer ones, regular expressions, ends and whole values, over values with line breaks and other alphabets."""
+    rng = random.Random(4)
+    letters = "ab\u00e9\U0001f600 \n.x"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 14))) for _ in range(120)]
+    e = events(spark, *[(1, SYSMON, [("CommandLine", t), ("Image", t[::-1])], {"channel": "Microsoft-Windows-Sysmon/Operational"}) for t in texts])
+    parts = sorted({t[i : i + n] for t in texts[:25] for n in (1, 2, 3, 4, 5, 7) for i in (0, 3) if len(t) >= i + n})
+    specs = [{"title": f"{m}{i}", "id": f"{m}{i}", "logsource": {"product": "windows"}, "detection": {"s": {f"{f}{m}": x}, "t": {"Image|contains": "a"}, "condition": c}} for i, x in enumerate(parts) for m, f, c in (("|contains", "CommandLine", "s"), ("|startswith", "Image", "s or t"), ("|endswith", "CommandLine", "s and not t"))]
+    specs += [{"title": r, "id": r, "logsource": {"product": "windows"}, "detection": {"s": {"CommandLine|re": r}, "condition": "s"}} for r in ("ab.x", "a+b", "(?i)AB", "^ab|xx", "[ab]x$", "a{2}", r"b\.?a")]
+    some = detect.compile_rules(specs)[0]
+    counts = packed.key_counts(e, some)
+    a, b, c = (sorted(map(tuple, d.collect())) for d in (packed.detect_packed(e, some), detect.detect(e, some, gated=False), packed.detect_packed(e, some, counts)))
+    assert a == b == c and len({r for r, _ in a}) > 50
+
+
+def test_measured_gates_leave_few_candidates(spark):
+    """Short texts that are rare beside long ones that every event has."""
+    e = events(spark, *[(1, SYSMON, [("CommandLine", f"c:\\windows\\system32\\common.exe --quiet q{i}z")], {"channel": "Microsoft-Windows-Sysmon/Operational"}) for i in range(200)])
+    specs = [{"title": str(i), "id": str(i), "logsource": {"product": "windows"}, "detection": {"s": {"CommandLine|contains|all": ["system32\\common.exe --quiet", f"q{i}z"]}, "condition": "s"}} for i in range(40)]
+    some = detect.compile_rules(specs)[0]
+    plain, measured = packed.compile_pack(some), packed.compile_pack(some, packed.key_counts(e, some))
+    n, m = (packed.candidates(e, p).count() for p in (plain, measured))
+    assert n == 200 * 40 and m * 10 < n
+    assert sorted(map(tuple, packed.detect_packed(e, measured).collect())) == sorted((str(i), i) for i in range(40))
+    # counts of part of the events, or of other rules, serve too
+    assert packed.detect_packed(e, packed.compile_pack(some, packed.key_counts(e.limit(5), some[:3]))).count() == 40
+
+
+@pytest.mark.parametrize(("pattern", "run"), [("abc", "abc"), ("a+bcd", "bcd"), ("ab|cd", ""), ("x(yz)w", "x"), (r"--N \d$", "--n "), ("(?i)AbC", "abc"), ("[", ""), ("(?<n>a)bc", "bc"), ("\u00e9ab", "ab")])
+def test_plain_runs_of_expressions(pattern, run):
+    assert packed._plain_run(pattern) == run
+
+
 def test_pack_files(spark, tmp_path):
     (tmp_path / "a.yml").write_text("title: one\nid: x\nlogsource: {service: security}\ndetection: {s: {EventID: 1}, condition: s}\n---\ntitle: two\ncorrelation: {}\n")
     (tmp_path / "b.yml").write_text("{broken: [")

@@ -1,13 +1,20 @@
-"""Saved searches, all counted in one pass."""
+"""Saved searches, as rows of a table that events meet."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.search import _pair_names, clauses, decoded_pairs, groups_column
+from ..functions.fields import number
+from ..plans.search import COMPARISONS, HEADER_FIELDS, MULTI_FIELDS, Clause, _pair_names, clauses, decoded_pairs, groups_column, haystack, header_text
+from .packed import bounded, chunk_of, event_keys, grams, table
+
+#: The field that free text is looked for in.
+HAYSTACK = "*"
 
 
 @dataclass(frozen=True)
@@ -127,26 +134,126 @@ def read_hunts(spark: SparkSession, path: str) -> list[Hunt]:
     return [Hunt(*[r[n] or "" for n in names]) for r in rows.collect()]
 
 
-def hunt_flags(hunts: list[Hunt]) -> list:
-    return [(h, groups_column(clauses(h.query), pairs=F.col("_pairs"))) for h in hunts]
+# --- hunts as rows ---------------------------------------------------------------
+
+
+def _atom(c: Clause) -> dict:
+    """A clause as a row: fields, kind, text, negated. Header fields are written with @, free text has the field of the haystack."""
+    name = (c.field or "").lower()
+    names = [HAYSTACK] if c.field is None else [f"@{HEADER_FIELDS[name]}"] if name in HEADER_FIELDS else MULTI_FIELDS.get(name, [name])
+    text = c.value.lower()
+    if c.field is None:
+        kind = "contains"
+    elif c.cmp:
+        kind, text = c.cmp, c.value
+    elif "*" not in text:
+        kind = "exact"
+    else:
+        inner = text.strip("*")
+        ends = (text.startswith("*"), text.endswith("*"))
+        if "*" not in inner and inner:
+            kind, text = {(True, True): "contains", (True, False): "suffix", (False, True): "prefix"}[ends], inner
+        else:
+            kind, text = "like", text.replace("!", "!!").replace("%", "!%").replace("_", "!_").replace("*", "%")
+    return {"fs": names, "k": kind, "t": text, "neg": c.negate}
+
+
+class HuntPack:
+    """Hunts turned into rows: a hunt is groups of atoms, and each group has a gate, the clause whose texts are looked up in an index."""
+
+    def __init__(self, hunts: list[Hunt]):
+        self.hunts = hunts
+        self.groups = [[[_atom(c) for c in g] for g in clauses(h.query)] for h in hunts]
+        self.names = _pair_names([g for h in hunts for g in clauses(h.query)])
+        self.fields = {f for groups in self.groups for g in groups for a in g for f in a["fs"]}
+        self.index, self.open = [], []
+        for n, groups in enumerate(self.groups):
+            gates = [min((a for a in g if self._keys(a)), key=self._cost, default=None) for g in groups]
+            if None in gates or not groups:
+                self.open.append(n)
+            else:
+                self.index += sorted({(*key, chunk if chunk != key[2] else None, n) for a in gates for key, chunk in self._keys(a)}, key=repr)
+
+    @staticmethod
+    def _keys(a: dict) -> list[tuple[tuple[str, str, str], str | None]]:
+        """A key for each field of an atom, and what the value must contain besides; none if it can't be looked up."""
+        if a["neg"]:
+            return []
+        way = {"exact": "=", "prefix": "^", "suffix": "$"}.get(a["k"])
+        if way:
+            return [((f, way, a["t"]), None) for f in a["fs"]] if a["t"] or way == "=" else []
+        chunk = chunk_of(a["k"], a["t"])
+        return [((f, "~", max(grams(chunk), key=lambda x: (len(x.strip()), x))), chunk) for f in a["fs"]] if chunk else []
+
+    @staticmethod
+    def _cost(a: dict) -> float:
+        """The smaller the rarer, as far as it can be told from the text; header fields are common."""
+        return (1000 if a["fs"][0].startswith("@") else 1) / max(1, len(a["t"]))
 
+    def specs(self, spark: SparkSession) -> DataFrame:
+        atom = pa.struct([("fs", pa.list_(pa.string())), ("k", pa.string()), ("t", pa.string()), ("neg", pa.bool_())])
+        return spark.createDataFrame(pa.table({"n": pa.array(range(len(self.hunts)), pa.int32()), "hunt_id": pa.array([h.id for h in self.hunts], pa.string()), "groups": pa.array(self.groups, pa.list_(pa.list_(atom)))}))
 
-def _prepared(events: DataFrame, hunts: list[Hunt]) -> DataFrame:
-    """events with what the predicates share: the pairs that any of them names, decoded once."""
-    return events.withColumn("_pairs", decoded_pairs(names=_pair_names([g for h in hunts for g in clauses(h.query)])))
+    def with_values(self, events: DataFrame) -> DataFrame:
+        """events with _vals: (field, v) of all that the hunts look at, values and what they mean, made once."""
+        parts = []
+        if self.names:
+            parts.append(F.flatten(F.transform(decoded_pairs(names=self.names), lambda p: F.array(F.struct(p["name"].alias("field"), p["value"].alias("v")), F.struct(p["name"].alias("field"), p["meaning"].alias("v"))))))
+        fixed = [(f, header_text(f[1:])) for f in sorted(self.fields) if f.startswith("@")] + ([(HAYSTACK, haystack())] if HAYSTACK in self.fields else [])
+        parts += [F.array(*[F.struct(F.lit(f).alias("field"), c.alias("v")) for f, c in fixed])] if fixed else []
+        made = F.filter(F.concat(*parts), lambda x: x["v"].isNotNull()) if parts else F.array().cast("array<struct<field:string,v:string>>")
+        return events.select("g", made.alias("_vals"))
 
 
-def hunt_hits(events: DataFrame, hunts: list[Hunt] = PACK) -> DataFrame:
-    """(hunt_id, g): one projection of all predicates, no shuffle."""
-    flags = hunt_flags(hunts)
-    return _prepared(events, hunts).select("g", F.explode(F.array_compact(F.array(*[F.when(p, h.id) for h, p in flags]))).alias("hunt_id")).select("hunt_id", "g")
+def _holds(a: Column, values: Column) -> Column:
+    """Whether a clause holds on an event's values."""
 
+    def test(v: Column) -> Column:
+        low, t, k = F.lower(v), a["t"], a["k"]
+        of = {"exact": low == t, "contains": low.contains(t), "prefix": low.startswith(t), "suffix": low.endswith(t), "like": F.call_function("like", low, t, F.lit("!"))}
+        of |= {op: compare(number(v), number(t)) for op, compare in COMPARISONS.items()}
+        out = F.lit(False)
+        for kind, x in reversed(of.items()):
+            out = F.when(k == kind, x).otherwise(out)
+        return F.coalesce(out, F.lit(False))
 
-def hunt_counts(events: DataFrame, hunts: list[Hunt] = PACK) -> DataFrame:
+    return F.exists(values, lambda e: F.array_contains(a["fs"], e["field"]) & test(e["v"])) != a["neg"]
+
+
+def hunt_hits(events: DataFrame, hunts: list[Hunt] | HuntPack = PACK) -> DataFrame:
+    """(hunt_id, g), one row per hunt and event that it selects.
+
+    Hunts are rows of a table, so the plan is the same whatever the pack. An event's values are taken apart into keys
+    that meet the hunts' gates by a hash join; what meets is decided from the clauses in the hunt's row. Hunts without a
+    gate (nothing but negated or numeric clauses) are decided on every event. Only hits are shuffled.
+    """
+    pack = hunts if isinstance(hunts, HuntPack) else HuntPack(hunts)
+    spark, rows = events.sparkSession, pack.with_values(events)
+    parts = []
+    if pack.index:
+        gates = bounded(table(spark, pack.index, "_f string, _way string, _text string, _chunk string, n int"), len(pack.index))
+        met = event_keys(rows, {k[:3] for k in pack.index}).join(gates, ["_f", "_way", "_text"])
+        parts.append(met.where(F.col("_chunk").isNull() | F.col("_v").contains(F.col("_chunk"))).select("g", "_vals", "n"))
+    if pack.open:
+        parts.append(rows.withColumn("n", F.explode(F.lit(pack.open))))
+    if not parts:
+        return events.select(F.lit("").alias("hunt_id"), "g").where(F.lit(False))
+    tried = reduce(DataFrame.unionByName, parts).join(bounded(pack.specs(spark), len(pack.hunts)), "n")
+    decided = (F.size("groups") == 0) | F.exists("groups", lambda g: F.forall(g, lambda a: _holds(a, F.col("_vals"))))
+    return tried.where(decided).select("hunt_id", "g").distinct()
+
+
+def hunt_counts(events: DataFrame, hunts: list[Hunt] | HuntPack = PACK) -> DataFrame:
     """(hunt_id, n) for every hunt, those without a hit too."""
-    flags = hunt_flags(hunts)
-    one = _prepared(events, hunts).agg(*[F.count_if(p).alias(h.id) for h, p in flags])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(h.id).alias("hunt_id"), F.col(f"`{h.id}`").alias("n")) for h, _ in flags])).alias("x")).select("x.*")
+    pack = hunts if isinstance(hunts, HuntPack) else HuntPack(hunts)
+    n = hunt_hits(events, pack).groupBy("hunt_id").agg(F.count(F.lit(1)).alias("n"))
+    every = pack.specs(events.sparkSession).select("hunt_id")
+    return every.join(n, "hunt_id", "left").select("hunt_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def hunt_predicates(hunts: list[Hunt]) -> list[tuple[Hunt, Column]]:
+    """Each hunt as a Column, for a filter on one hunt; rows give the same events."""
+    return [(h, groups_column(clauses(h.query))) for h in hunts]
 
 
 def hunt_table(spark: SparkSession, hunts: list[Hunt] = PACK) -> DataFrame:

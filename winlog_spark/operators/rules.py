@@ -27,6 +27,8 @@ DERIVED = ("md5", "sha1", "sha256", "imphash", "data")
 SPECIAL = HEADER + DERIVED
 MAPPED = ("image", "parentimage", "processid", "parentprocessid", "logonid", "integritylevel", "user")
 CLASSIC = "windows powershell"
+#: Conditions over more selections than this are not worked out as a table.
+MOST_TABLE = 12
 DASHES = ("-", "/", "–", "—", "―")
 
 
@@ -401,28 +403,47 @@ def _required_ids(spec: object) -> frozenset[int] | None:
     return None
 
 
-def _condition_ids(condition: str, selections: dict[str, object]) -> frozenset[int] | None:
-    """Ids that the whole condition requires, where it is one chain of and, or one of or, without not; else None (any)."""
-    words = [w for w in re.findall(r"[^\s()]+", condition)]
-    low = [w.lower() for w in words]
-    if "not" in low:
-        cut = low.index("not")
-        if "or" in low or any(w in low[cut:] for w in ("of",)) and "of" in low[:cut]:
-            return None
-        words, low = words[: max(0, cut - 1)], low[: max(0, cut - 1)]
-    if "of" in low:
-        if len(low) != 3:
-            return None
-        names, both = _names(words[2], list(selections)), low[0] == "all"
-    elif "or" in low and "and" in low:
+def truth(conditions: list[str], names: list[str]):
+    """A function from selections' truth values to the condition's: the SQL text, with its operators in lower case, is Python too.
+
+    rewritten lets nothing through but column names, and, or, not, parentheses, counts and sums of its own.
+    """
+    text = " or ".join(f"({rewritten(c, names, 'x_')})" for c in conditions)
+    text = re.sub(r"CAST\((x_\d+) AS INT\)", r"int(\1)", text)
+    code = compile(re.sub(r"\b(AND|OR|NOT)\b", lambda m: m[1].lower(), text), "condition", "eval")
+    allowed = {f"x_{i}" for i in range(len(names))} | {"int"}
+    if not set(code.co_names) <= allowed:
+        raise Unsupported("the condition holds more than selections")
+    return lambda v: bool(eval(code, {"__builtins__": {}, "int": int}, {f"x_{i}": x for i, x in enumerate(v)}))  # noqa: S307
+
+
+def possible_ids(conditions: list[str], selections: dict[str, object]) -> frozenset[int] | None:
+    """Event ids on which one of the conditions can hold, None if on any, whatever way they are nested.
+
+    On an event of some id, selections that ask for other ids are false and all others may be either. Which ids an event
+    may have is read off the truth table: an id counts if the condition can hold then, and if it can for an id that no
+    selection names, any id will do. Selections that ask for the same ids move together only where that is certain, so
+    the answer never leaves out an id on which the rule matches. More than MOST_TABLE selections give None.
+    """
+    names = list(selections)
+    asked = [_required_ids(selections[n]) for n in names]
+    if all(a is None for a in asked) or len(names) > MOST_TABLE:
         return None
-    else:
-        names, both = [w for w in words if w.lower() not in ("and", "or")], "or" not in low
-    each = [_required_ids(selections.get(n)) for n in names]
-    if both:
-        known = [e for e in each if e is not None]
-        return reduce(frozenset.__and__, known) if known else None
-    return None if None in each or not each else frozenset().union(*each)
+    holds = truth(conditions, names)
+
+    def can(event_id: int | None) -> bool:
+        free = [i for i, a in enumerate(asked) if a is None or event_id in a]
+        for values in itertools.product((True, False), repeat=len(free)):
+            row = [False] * len(names)
+            for i, v in zip(free, values, strict=True):
+                row[i] = v
+            if holds(row):
+                return True
+        return False
+
+    if can(None):
+        return None
+    return frozenset(i for i in frozenset().union(*[a for a in asked if a is not None]) if can(i))
 
 
 def compile_rule(spec: dict) -> Rule:
@@ -446,14 +467,13 @@ def compile_rule(spec: dict) -> Rule:
     if not conditions:
         raise Unsupported("missing condition")
     conditions = conditions if isinstance(conditions, list) else [conditions]
-    ids = [_condition_ids(c, selections) for c in conditions]
     fields = [k.split("|")[0] for s in selections.values() for m in (s if isinstance(s, list) else [s]) if isinstance(m, dict) for k in m]
-    rule = Rule(str(spec.get("id") or spec["title"]), spec["title"], normal_level(spec.get("level")), spec, found, None if None in ids else frozenset().union(*ids), list(dict.fromkeys(f for f in fields if f)))
     for s in selections.values():
         check_selection(s)
     for c in conditions:
         rewritten(str(c), list(selections))
-    return rule
+    ids = possible_ids([str(c) for c in conditions], selections)
+    return Rule(str(spec.get("id") or spec["title"]), spec["title"], normal_level(spec.get("level")), spec, found, ids, list(dict.fromkeys(f for f in fields if f)))
 
 
 def rule_columns(rule: Rule, profile: str | None, prefix: str = "s") -> tuple[dict[str, Column], str]:

@@ -77,7 +77,7 @@ def free_text(value: str, ed: str | Column = "ed") -> Column:
     return hit | has(decoded_text(ed)) if any(needle in label.lower() for label in LABELS) else hit
 
 
-def _header(kind: str) -> Column:
+def header_text(kind: str) -> Column:
     c = {"eventid": F.col("event_id"), "level": F.col("level"), "record": F.col("record_id")}.get(kind)
     if kind == "name":
         c = event_name(F.col("event_id"), F.col("provider"))
@@ -106,7 +106,7 @@ def clause_column(c: Clause, hay: Column | None = None, pairs: Column | None = N
     else:
         name, test = c.field.lower(), _value_test(c)
         if name in HEADER_FIELDS:
-            hit = test(_header(HEADER_FIELDS[name]))
+            hit = test(header_text(HEADER_FIELDS[name]))
         else:
             keys = MULTI_FIELDS.get(name, [name])
             named = F.filter(decoded_pairs() if pairs is None else pairs, lambda p: p["name"].isin(keys))

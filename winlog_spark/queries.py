@@ -276,7 +276,7 @@ add("o1_sort_level", lambda e: pivots.ordered(e, "level", True).limit(100).selec
 _SORTS = {"record": "record_id", "time": "ts", "eventId": "event_id", "provider": "provider", "channel": "channel", "computer": "computer", "file": "file", "level": "coalesce(level, 99)", "name": f"coalesce({EVENT_NAME}, '')"}
 for _i, (_by, _sql) in enumerate(_SORTS.items()):
     _order = f"{_sql} DESC NULLS LAST, g DESC" if _i % 2 else f"{_sql} NULLS FIRST, g"
-    add(f"o1_places_{_by.lower()}", lambda e, b=_by, d=bool(_i % 2): pivots.in_order(e, pivots.sort_keys(b, d)).select("g", "place"), f"SELECT g, row_number() OVER (ORDER BY {_order}) - 1 AS place FROM ev")
+    add(f"o1_places_{_by.lower()}", lambda e, b=_by, d=bool(_i % 2): pivots.places(e, pivots.sort_parts(b, d)), f"SELECT g, row_number() OVER (ORDER BY {_order}) - 1 AS place FROM ev")
 add("o1_sort_name", lambda e: pivots.ordered(e, "name").limit(100).select("g"), f"SELECT g FROM ev ORDER BY coalesce({EVENT_NAME}, ''), g LIMIT 100")
 
 # --- sessions and pivots ---------------------------------------------------------------
@@ -301,8 +301,13 @@ add("j7_session_events", lambda e: sessions.session_events(sessions.sessions(e),
 add("j2_bookmarked", lambda e: case.bookmarked(e, _case(e)[0]).select("g"), "SELECT g FROM ev WHERE event_id = 7045")
 add("j5_near_in_time", lambda e: pivots.near_in_time(e.where("event_id = 1102"), e.where("event_id = 4624"), 600, ("computer",)), "SELECT c.g AS centre, e.g FROM ev c JOIN ev e ON c.event_id = 1102 AND e.event_id = 4624 AND c.computer = e.computer AND abs(epoch_us(c.ts) - epoch_us(e.ts)) <= 600000000")
 _GUID = "x AS (SELECT g, event_id, lower(p.value) AS key FROM (SELECT g, event_id, unnest(ed) AS p FROM ev) WHERE lower(p.name) IN ('processguid', 'parentprocessguid', 'sourceprocessguid', 'targetprocessguid'))"
-add("j6_same_process", lambda e: pivots.same_key(e.where("event_id = 10 and g % 5 = 0"), e, "processguid"), "SELECT DISTINCT c.g AS centre, x.g FROM x c JOIN x USING (key) WHERE c.event_id = 10 AND c.g % 5 = 0", _GUID)
 add("j6_same_process_all", lambda e: pivots.same_key(e.where("event_id = 10"), e, "processguid"), "SELECT DISTINCT c.g AS centre, x.g FROM x c JOIN x USING (key) WHERE c.event_id = 10", _GUID)
+add("j6_key_members", lambda e: pivots.key_members(e.where("event_id = 10"), e, "processguid"), "SELECT key, g, centre, count(*) FILTER (centre) OVER (PARTITION BY key) AS centres, count(*) FILTER (NOT centre) OVER (PARTITION BY key) AS events FROM (SELECT DISTINCT key, g, true AS centre FROM x WHERE event_id = 10 UNION ALL SELECT DISTINCT key, g, false FROM x) QUALIFY centres > 0 AND events > 0", _GUID)
+add("j6_key_classes", lambda e: pivots.key_classes(e.where("event_id = 10"), e, "processguid"), "SELECT key, count(DISTINCT g) FILTER (event_id = 10) AS centres, count(DISTINCT g) AS events FROM x GROUP BY key HAVING centres > 0", _GUID)
+_NEAR = "FROM ev c JOIN ev e ON c.event_id = 1102 AND c.computer = e.computer AND abs(epoch_us(c.ts) - epoch_us(e.ts)) <= 600000000"
+add("j5_events_near", lambda e: pivots.events_near(e.where("event_id = 1102"), e, 600, ("computer",)).select("g", "event_id"), f"SELECT DISTINCT e.g, e.event_id {_NEAR}")
+add("j5_counts_near", lambda e: pivots.counts_near(e.where("event_id = 1102"), e, 600, ("computer",)), f"SELECT c.g AS centre, count(*) AS events {_NEAR} GROUP BY c.g")
+add("j5_time_spans", lambda e: pivots.time_spans(e.where("event_id = 1102"), 600).select(F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us")), "SELECT min(t) - 600000000 AS start_us, max(t) + 600000000 AS end_us FROM (SELECT t, sum(new) OVER (ORDER BY t, g) AS i FROM (SELECT g, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY epoch_us(ts), g) <= 1200000000 THEN 0 ELSE 1 END AS new FROM ev WHERE event_id = 1102)) GROUP BY i")
 add("j9_unknown_types", lambda e: pivots.unknown_types(e, _reference(e)), "SELECT lower(channel) AS channel, event_id, count(*) AS n FROM ev WHERE (lower(channel), event_id) NOT IN (('security', 4624), ('security', 4625), ('system', 7045)) GROUP BY ALL")
 
 # --- detection ---------------------------------------------------------------------------
@@ -375,6 +380,7 @@ _R = "r AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{lv}')" for n, lv in
 add("d01_detect", lambda e: detect.detect(e, compiled(), gated=False), "SELECT rule_id, g FROM m", _M)
 add("d01_detect_gated", lambda e: detect.detect(e, compiled(), gated=True), "SELECT rule_id, g FROM m", _M)
 add("d01_detect_packed", lambda e: packed.detect_packed(e, compiled()), "SELECT rule_id, g FROM m", _M)
+add("d01_detect_measured", lambda e: packed.detect_packed(e, compiled(), packed.key_counts(e, compiled())), "SELECT rule_id, g FROM m", _M)
 _ANY_IMG = f"lower(CASE event_id WHEN 4688 THEN {fv('NewProcessName')} ELSE {_IMG} END)"
 _LOAD = f"""CASE WHEN i % 50 = 0 THEN event_id IN (1, 4688) AND contains({_CMD}, 'net user') AND contains({_CMD}, 'user' || i % 150) AND contains({_CMD}, '/add')
  WHEN i % 50 = 10 THEN event_id IN (1, 4688) AND {_CMD} LIKE '%tool.exe --n _' || i // 50 % 10
