@@ -249,6 +249,31 @@ def test_mix_by_groups_of_shards(spark, monkeypatch):
         assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 16
 
 
+def test_mix_of_few_words_a_shard_reaches_its_target(spark, monkeypatch):
+    """A source that is taken three times, of which a shard holds a text or two, less than a block."""
+    monkeypatch.setattr(mixing, "ROWS_PER_SHARD", 3)
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "a").otherwise("b").alias("source"), F.repeat(F.lit("w "), F.when(F.col("id") % 10 == 0, 20).otherwise(60)).alias("text"))
+    out = mixing.mix_sources(d).toPandas()
+    assert (out["taken"] <= 3 * out["size"]).all()
+    for _, g in out.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= mixing.BLOCK
+
+
+def test_each_row_goes_into_the_mix_by_its_own_take(spark):
+    text = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(1, text(100, "x"), "a"), (1, text(100, "y"), "c"), (1, text(100, "y"), "c"), (None, text(90, "z"), "b"), (None, text(80, "q"), "b"), (2, text(700, "v"), "c"), (3, None, "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = Counter()
+    for r in mixing.mix_sources(d).collect():
+        taken[r.doc_id, r.source, r.size] += r.taken
+    made = Counter()
+    for r in mixing.mixed_documents(d).collect():
+        size = next(len(t.split()) for i, t, s in rows if (i, s) == (r.doc_id, r.source) and t and t.split()[0] == r.text.split()[0])
+        assert next(t for i, t, s in rows if (i, s) == (r.doc_id, r.source) and t and t.split()[0] == r.text.split()[0]).startswith(r.text)
+        made[r.doc_id, r.source, size] += len(r.text.split())
+    assert made == {k: v for k, v in taken.items() if v}
+
+
 def test_mix_on_awkward_rows(spark, docs, clash):
     out = mixing.mix_sources(clash, block=2).collect()
     assert len(out) == len(ROWS)
@@ -479,6 +504,21 @@ def test_repeated_lines(spark, clash):
     assert as_rows(substring.repeated_units(para, unit="paragraph", min_words=2).select("doc_id", "start", "n_words")) == [(2, 3, 4)]
 
 
+def test_what_repeats_goes_from_its_own_text(spark):
+    """Ids with several texts, rows without an id and repeated rows lose their own repeats and no others."""
+    line = "Alpha beta gamma delta epsilon zeta"
+    rows = [(1, line), (2, f"{line}\nkeep me here"), (2, "A totally different text of this id, nothing repeated in it"), (None, line), (None, "of no id either"), (3, f"x\n{line}\ny"), (3, f"x\n{line}\ny"), (4, None), (5, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("x")).withColumn("s", F.lit(1))
+    want = [(1, line), (2, "keep me here"), (2, rows[2][1]), (None, ""), (None, rows[4][1]), (3, "x\ny"), (3, "x\ny"), (4, None), (5, "")]
+    out = substring.without_repeats(d, min_words=5)
+    assert out.columns == d.columns and as_rows(out.select("doc_id", "text")) == sorted(want, key=repr)
+    inner = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, f"a {inner} b"), (2, f"c\n{inner.upper()} d"), (2, "e f"), (None, f"g {inner}"), (7, f"h {inner} i"), (7, f"{inner} j k")]
+    cut = substring.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), unit="passage")
+    assert as_rows(cut) == sorted([rows[0], (2, "c\n d"), (2, "e f"), (None, "g "), *[(i, t.replace(inner, "")) for i, t in rows[4:]]], key=repr)
+    assert substring.without_repeats(d.limit(0), unit="passage").count() == 0
+
+
 def plain_passages(rows, k):
     seen, out = set(), []
     for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
