@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_events import T0, events
 
-from winlog_spark.operators import hunts, pivots
+from winlog_spark.operators import facets, hunts, pivots
 from winlog_spark.schema import SECURITY, SYSMON
 
 
@@ -100,6 +100,24 @@ def test_places_do_not_write_the_pairs(some):
     assert "ed#" not in written and written.count("#") == 3
 
 
+def test_value_lists_in_order_of_first_sight(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(10**6), [(rng.choice(["A", "a", "B", "Hot", None]), rng.choice([None, "", *map(str, range(30))])) for _ in range(rng.randrange(5))] + [("Unique", str(i))]) for i in range(300)]
+    rows = list({g: p for g, p in rows}.items())
+    e = spark.createDataFrame(rows, "g long, ed array<struct<name:string,value:string>>").repartition(7)
+    for n, m in ((200, 100), (3, 4)):
+        names, values = {}, defaultdict(dict)
+        for _, p in sorted(rows):
+            for name, value in p:
+                if name is not None:
+                    names.setdefault(name)
+                    if value:
+                        values[name.lower()].setdefault(value)
+        want = {(k, v) for k in list(names)[:n] for v in list(values[k.lower()])[:m]}
+        assert {tuple(r) for r in facets.value_lists(e, n, m).collect()} == want
+    assert facets.value_lists(e.limit(0)).count() == 0
+
+
 def test_hunt_rows_equal_the_predicates(spark):
     from conftest import DATA
 

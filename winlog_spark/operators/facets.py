@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import event_name
 from ..plans.search import HEADER_FIELDS, MULTI_FIELDS
 
 # Header facets and the EventData fields that are counted by default.
@@ -92,3 +97,49 @@ def distinct_lists(events: DataFrame, limit: int = 200) -> DataFrame:
     header = events.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("provider", "channel", "computer", "file")])).alias("x")).select("x.*").where("value is not null").distinct()
     names = events.select(F.explode(F.transform("ed", lambda p: p["name"])).alias("value")).distinct().orderBy("value").limit(limit).select(F.lit("name").alias("kind"), "value")
     return header.unionByName(names)
+
+
+def _first_distinct(rows: DataFrame, n: int) -> DataFrame:
+    """(k, v): of each k the n different v that are seen first, by (g, pos); rows has k, v, g, pos.
+
+    A value among the first n of all is among the first n of the part of the rows where it is seen first. So each task
+    hands on at most n values of a key, whatever it reads; these are cut down by (k, salt) and then by k. What is
+    shuffled grows with tasks, keys and n, not with the values there are.
+    """
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for b in batches:
+            new = b.to_pandas()
+            new = new if best is None else pd.concat([best, new])
+            best = new.sort_values(["g", "pos"], kind="stable").drop_duplicates(["k", "v"]).groupby("k", sort=False).head(n)
+        if best is not None:
+            yield pa.RecordBatch.from_pandas(best, schema=schema, preserve_index=False)
+
+    schema = pa.schema([("k", pa.string()), ("v", pa.string()), ("g", pa.int64()), ("pos", pa.int32())])
+    part = rows.select("k", "v", F.col("g").cast("long"), F.col("pos").cast("int")).mapInArrow(firsts, "k string, v string, g long, pos int")
+    seen = part.groupBy("k", "v").agg(F.min(F.struct("g", "pos")).alias("at"))
+    for keys in (["k", F.pmod(F.xxhash64("v"), F.lit(64))], ["k"]):
+        seen = seen.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("at", "v"))).where(F.col("_r") <= n)
+    return seen.select("k", "v")
+
+
+def value_lists(events: DataFrame, keys: int = 200, values: int = 100) -> DataFrame:
+    """(key, value): for each of the first `keys` EventData names the first `values` different values, as suggestions for a search.
+
+    Names are taken in any case under the spelling seen first; empty and missing values are none.
+    """
+    pairs = events.select("g", F.posexplode("ed").alias("pos", "p")).select("g", "pos", F.col("p.name").alias("name"), F.col("p.value").alias("value")).where("name is not null")
+    named = _first_distinct(pairs.select(F.lit("").alias("k"), F.col("name").alias("v"), "g", "pos"), keys).select(F.col("v").alias("key"))
+    first = _first_distinct(pairs.where("value <> ''").select(F.lower("name").alias("k"), F.col("value").alias("v"), "g", "pos"), values)
+    return named.join(first, F.lower("key") == F.col("k")).select("key", F.col("v").alias("value"))
+
+
+def event_names(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(name): the different names of the events' kinds, in order; known: (channel, event_id, name) of a manifest, instead of the built-in names."""
+    kinds = events.groupBy("event_id", "provider", "channel").agg(F.count(F.lit(1)).alias("n"))
+    if known is None:
+        named = kinds.select(event_name(F.col("event_id"), F.col("provider")).alias("name"))
+    else:
+        named = kinds.select("event_id", F.lower("channel").alias("channel")).join(known.select(F.lower("channel").alias("channel"), "event_id", "name"), ["channel", "event_id"]).select("name")
+    return named.where("name is not null").distinct().orderBy("name")

@@ -15,7 +15,7 @@ from .functions import decode, describe, fields, names, times
 from .operators import detect, facets, findings, hunts, logsource, packed, pivots, sessions, timeline
 from .plans import search, timewin, tree
 from .schema import as_event_log, event_log_sql
-from .sources import case, export, logs, xml
+from .sources import case, export, logs, store, xml
 from .streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,6 +232,30 @@ _FINDINGS = f"""fnd AS (SELECT g, k AS finding_key, s AS severity FROM (SELECT *
  allf AS (SELECT finding_key, severity, g FROM fnd UNION ALL SELECT 'failed-logon-burst', 'high', g FROM failed WHERE ip IN (SELECT ip FROM src))""".replace("{values}", ", ".join(f"('{k}', '{s}', '{c}', {i})" for k, s, w in findings.PRESENCE for c, i in w))
 add("f21_view", lambda e: timewin.view(e, (START, END), [findings.stateless_findings(e)], [4, 2], search.clauses("-log:System"), {"field": "computer", "op": "notEquals", "value": "ws-1"}).select("g"), f"SELECT g FROM ev WHERE {RANGE} AND level IN (2, 4) AND channel <> 'System' AND computer <> 'WS-1' AND g IN (SELECT g FROM fnd)", _FINDINGS)
 
+def _in_store(e: DataFrame) -> str:
+    table = f"events_{uuid4().hex}"
+    store.save_events(e, table)
+    return table
+
+
+def _removed_log(e: DataFrame) -> DataFrame:
+    """A stored table after one log is removed and another replaced by its failed logons."""
+    table = _in_store(e)
+    store.remove_log(e.sparkSession, table, "log1.evtx")
+    store.save_events(e.where("file = 'log2.evtx' and event_id = 4625"), table)
+    return e.sparkSession.table(table).select("g", "event_id", "file", "channel_key", "day")
+
+
+def _text_search(e: DataFrame) -> DataFrame:
+    table = _in_store(e)
+    return store.search_texts(e.sparkSession, table, store.text_index(e.sparkSession.table(table)), "whoami")[0].select("g", "event_id")
+
+
+add("io6_removed_log", _removed_log, "SELECT g, event_id, file, lower(channel) AS channel_key, strftime(ts, '%Y-%m-%d') AS day FROM ev WHERE file = 'log0.evtx' OR file = 'log2.evtx' AND event_id = 4625")
+add("io13_stored_search", lambda e: store.search_stored(e.sparkSession, _in_store(e), "channel:security EventID:4625 OR channel:system EventID:7045", START, END).select("g", "event_id", "channel"), f"SELECT g, event_id, channel FROM ev WHERE (event_id = 4625 AND channel = 'Security' OR event_id = 7045 AND channel = 'System') AND {RANGE}")
+add("f9_text_index", _text_search, f"SELECT g, event_id FROM ev WHERE contains({FREE}, 'whoami')")
+
+
 # --- findings and hunts -----------------------------------------------------------
 
 add("x2_x5_findings", findings.stateless_findings, "SELECT finding_key, severity, g FROM fnd", _FINDINGS)
@@ -257,6 +281,9 @@ add("a3_common_values_filtered", lambda e: facets.stacked(facets.facets(e), cont
 add("a4_coverage", facets.coverage, "SELECT p.name AS name, count(*) AS n FROM (SELECT unnest(ed) AS p FROM ev) GROUP BY 1")
 add("a5_top_values", lambda e: facets.top_values(e, "logonid", n=20), "SELECT p.value AS value, count(*) AS n FROM (SELECT unnest(ed) AS p FROM ev) WHERE lower(p.name) IN ('targetlogonid', 'subjectlogonid', 'logonid') AND p.value <> '' GROUP BY 1 ORDER BY n DESC, value LIMIT 20")
 add("a5_value_lookup", lambda e: facets.top_values(e, "TargetUserName", contains="ER12", n=8), "SELECT p.value AS value, count(*) AS n FROM (SELECT unnest(ed) AS p FROM ev) WHERE p.name = 'TargetUserName' AND contains(lower(p.value), 'er12') GROUP BY 1 ORDER BY n DESC, value LIMIT 8")
+_FIRST = "p AS (SELECT g, p.name AS name, p.value AS value, pos FROM (SELECT g, unnest(ed) AS p, generate_subscripts(ed, 1) AS pos FROM ev)), f AS (SELECT lower(name) AS k, value, row_number() OVER (PARTITION BY lower(name) ORDER BY min(g * 100 + pos)) AS r FROM p WHERE value <> '' GROUP BY 1, 2)"
+add("a6_value_lists", facets.value_lists, "SELECT n.name AS key, f.value FROM (SELECT DISTINCT name FROM p) n JOIN f ON f.k = lower(n.name) AND f.r <= 100", _FIRST)
+add("a6_event_names", facets.event_names, f"SELECT DISTINCT {EVENT_NAME} AS name FROM ev WHERE {EVENT_NAME} IS NOT NULL")
 add("a6_distinct_lists", facets.distinct_lists, "SELECT DISTINCT kind, value FROM (UNPIVOT (SELECT provider, channel, computer, file FROM ev) ON provider, channel, computer, file INTO NAME kind VALUE value) UNION ALL SELECT DISTINCT 'name', p.name FROM (SELECT unnest(ed) AS p FROM ev)")
 _SIZE = "(SELECT CASE " + " ".join(f"WHEN (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000 / {s} <= 80 THEN {s}" for s in timeline.SIZES) + f" ELSE {timeline.SIZES[-1]} END FROM ev)"
 _TIER = "CASE level WHEN 1 THEN 'critical' WHEN 2 THEN 'error' WHEN 3 THEN 'warning' WHEN 4 THEN 'info' ELSE 'verbose' END"
