@@ -134,14 +134,27 @@ def test_set_join_of_small_sets(spark, monkeypatch, spare, cheap):
 
 @pytest.mark.parametrize("percent", [60, 80, 95])
 def test_every_similar_pair_meets(percent):
-    """The pigeonhole itself: sets of any two sizes that are similar differ in fewer segments than are asked for."""
+    """The pigeonhole itself: similar sets of any two sizes meet in a band whose segments are enough for what either asks for, and that is more than they can differ in."""
     low, m = setjoin.band_bounds(percent), setjoin.band_segments(percent)
     band = lambda n: int(np.searchsorted(low, n, side="right")) - 1
     for n in [*range(1, 300), 1000, 5000, 77_777]:
         for y in {n, n - 1, -(-n * percent // 100), low[band(n)], low[band(n)] - 1}:
             if 0 < y <= n and y * 100 >= percent * n:
                 assert band(y) in (band(n), band(n) - 1)
-                assert setjoin.distance(n + y, percent) + 1 + setjoin.SPARE <= m[band(y)]
+                differ = setjoin.distance(n + y, percent)
+                asks = [setjoin.distance(y + y * 100 // percent, percent) + 1, setjoin.distance(n + n * 100 // percent, percent) + 1 if band(y) == band(n) else setjoin.distance(n + int(low[band(n)]) - 1, percent) + 1]
+                assert all(differ < a <= m[band(y)] - setjoin.SPARE for a in asks)
+
+
+def test_sketches_do_not_overstate():
+    rng = np.random.default_rng(3)
+    for n, edits in ((1, 1), (50, 5), (400, 60), (400, 200)):
+        x = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[edits:], rng.integers(0, 1 << 62, edits).astype(np.uint64)]))
+        words, at = setjoin.sketches([x, y], np.array([2048, 2048]))
+        a, b = words[: at[1]], words[at[1] :]
+        differ = sum(int(v).bit_count() for v in (a ^ b).view(np.uint64).tolist())
+        assert len(a) == len(b) == 32 and differ <= len(set(x.tolist()) ^ set(y.tolist())) and (edits < 5 or differ > 0.7 * 2 * edits)
 
 
 def test_set_join_on_awkward_rows(spark, clash):

@@ -18,7 +18,9 @@ BAND = 1.2
 #: Segments beyond those that the greatest distance needs, so that few sets run short of them.
 SPARE = 6
 #: A set whose cheapest whole segments give more candidates than this for each of its shingles is tried with one-deletion neighbourhoods.
-CHEAP = 1
+CHEAP = 8
+#: Bits of a set's sketch for each shingle that its band allows.
+SKETCH_BITS = 4
 #: The bitmap that narrows segment keys before their exact join has 2**KEY_BITS bits (8 MB).
 KEY_BITS = 26
 #: A key with more members than this is dealt over several tasks.
@@ -41,7 +43,7 @@ def band_bounds(percent: int) -> np.ndarray:
 def band_segments(percent: int) -> np.ndarray:
     """Into how many segments the universe is cut for each band: enough that every set that meets it can ask for distance + 1 of them."""
     most = band_bounds(percent)[1:] - 1
-    return np.array([distance(int(m) * 100 // percent + int(m), percent) + 1 + SPARE for m in most])
+    return np.array([distance(int(m) * 100 // percent + int(m), percent) + 1 + SPARE + int(m) // 32 for m in most])
 
 
 def _segment_of(tokens: np.ndarray, segments: np.ndarray) -> np.ndarray:
@@ -68,6 +70,20 @@ def segment_keys(sets: list[np.ndarray], bands: np.ndarray, segments: np.ndarray
     return begin, _key(total, np.repeat(bands, segments), place), n > 0, (own, at, total, place)
 
 
+def sketches(sets: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set as many bits as its size says (a multiple of 64): each tells whether an odd number of its shingles falls there; and where each set's longs begin.
+
+    A shingle that one of two sets has alone turns one bit, so the sketches differ in at most as many bits as the sets
+    differ in shingles: a pair whose sketches differ in more is not similar, for certain.
+    """
+    begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    at = begin[of] + (((mix(flat ^ _PARTS[0]) >> np.uint64(32)) * sizes[of].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+    odd = (np.bincount(at, minlength=begin[-1]) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64), begin // 64
+
+
 def _lists(values: np.ndarray, keep: np.ndarray, begin: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """The kept values as one list for each span of begin."""
     ends = np.concatenate([[0], np.cumsum(keep)])[begin].astype(np.int32)
@@ -75,10 +91,11 @@ def _lists(values: np.ndarray, keep: np.ndarray, begin: np.ndarray, kind: pa.Dat
 
 
 def _keyed(docs: DataFrame, id: str, text: str, k: int, percent: int) -> DataFrame:
-    """Per row and role: id, text_hash, row, n, h1, h2, role, band, need, spare, keys (of segments with tokens), blank (segments without).
+    """Per row and role: id, text_hash, row, n, h1, h2, role, band, need, spare, keys (of segments with tokens), blank (segments without), sketch.
 
-    Role 0 is the set under its own band, as which others find it too; role 1, of sets that can be similar to one of the
-    next lower band, looks for those only. need is how many segments must be asked for.
+    Role 0 is the set under its own band, where it meets sets of that band and larger ones; role 1, of sets that can be
+    similar to one of the next lower band, is the set under that band, where it meets the sets of that band only. need is
+    how many segments must be asked for.
     """
     low, m = band_bounds(percent), band_segments(percent)
 
@@ -94,15 +111,17 @@ def _keyed(docs: DataFrame, id: str, text: str, k: int, percent: int) -> DataFra
             bands = band[pick] - role
             segments = np.where(n[pick] > 0, m[bands], 0)
             begin, keys, full, rest = segment_keys([sets[i] for i in pick], bands, segments)
-            others = np.where(role == 0, n[pick], low[band[pick]] - 1)
+            others = np.where(role == 0, n[pick] * 100 // percent, low[band[pick]] - 1)
+            bits = np.where(n[pick] > 0, -(-SKETCH_BITS * low[bands + 1] // 64) * 64, 0)
+            words, ends = sketches([sets[i] for i in pick], bits)
             need = (n[pick] + others) * (100 - percent) // (100 + percent) + 1
             take = pa.array(pick)
             columns = [rows.column("id").take(take), rows.column("text_hash").take(take), rows.column("row").take(take), pa.array(n[pick]), pa.array(_set_hash(sets)).take(take), pa.array(h2).take(take), pa.array(role), pa.array(bands.astype(np.int32))]
-            columns += [pa.array(need.astype(np.int32)), pa.array((segments - need).astype(np.int32)), _lists(keys.view(np.int64), full, begin, pa.int64()), _lists(rest[3].astype(np.int32), ~full, begin, pa.int32())]
+            columns += [pa.array(need.astype(np.int32)), pa.array((segments - need).astype(np.int32)), _lists(keys.view(np.int64), full, begin, pa.int64()), _lists(rest[3].astype(np.int32), ~full, begin, pa.int32()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.select(id).schema[0].dataType.simpleString()
-    schema = f"id {kind}, text_hash long, row long, n long, h1 long, h2 long, role int, band int, need int, spare int, keys array<long>, blank array<int>"
+    schema = f"id {kind}, text_hash long, row long, n long, h1 long, h2 long, role int, band int, need int, spare int, keys array<long>, blank array<int>, sketch array<long>"
     names = [c.strip().split()[0] for c in schema.split(",")]
     return docs.select(F.col(id).alias("id"), text_hash(F.col(text)).alias("text_hash"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text")).mapInArrow(build, schema)
 
@@ -146,15 +165,28 @@ def _cost(probes: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def _met(probes: DataFrame, index: DataFrame, percent: int) -> DataFrame:
-    """(a, b): probes (key, node, c, n, members) with the smaller nodes of index (the same columns) of other components that are large enough.
+    """(a, ra, b, rb): probes (key, node, role, c, cs, n, members) with the nodes of index (the same columns) of components of a higher rank, of a size that fits.
 
-    Members of a hot key are dealt over tasks, each of which gets a copy of the key's probes.
+    Rank is the size of a component, then its name; so of two sets that of the smaller component looks for the other, and
+    a large group is never asked from within. Two sets under a lower band than their own meet in their own. Members of a
+    hot key are dealt over tasks, each of which gets a copy of the key's probes.
     """
     k = F.floor(F.col("members") / HOT).cast("int")
-    x = probes.select("key", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.explode(F.sequence(F.lit(0), k)).alias("_s"))
-    y = index.select("key", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.pmod(F.xxhash64("node"), k + 1).cast("int").alias("_s"))
-    smaller = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
-    return x.join(y, ["key", "_s"]).where((F.col("ca") != F.col("cb")) & smaller & _sized("na", "nb", percent)).select("a", "b")
+    x = probes.select("key", F.col("node").alias("a"), F.col("role").alias("ra"), F.struct("cs", "c").alias("ca"), F.col("n").alias("na"), F.explode(F.sequence(F.lit(0), k)).alias("_s"))
+    y = index.select("key", F.col("node").alias("b"), F.col("role").alias("rb"), F.struct("cs", "c").alias("cb"), F.col("n").alias("nb"), F.pmod(F.xxhash64("node"), k + 1).cast("int").alias("_s"))
+    return x.join(y, ["key", "_s"]).where((F.col("ca") < F.col("cb")) & (F.col("ra") + F.col("rb") < 2) & _sized("na", "nb", percent)).select("a", "ra", "b", "rb")
+
+
+def _near_by_sketch(pairs: DataFrame, info: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """(a, b): the pairs (a, ra, b, rb) whose sketches do not show that they are too different."""
+    salted = pairs.withColumn("_salt", salt_of("b"))
+    end = lambda e: info.select(F.col("node").alias(e), F.col("role").alias(f"r{e}"), F.col("n").alias(f"n{e}"), F.col("sketch").alias(f"s{e}"))
+    right = salted.join(end("b"), ["b", "rb"]).coalesce(tasks)
+    left = salted.select("a", "ra", "_salt").distinct().join(end("a"), ["a", "ra"]).coalesce(tasks)
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    both = F.col("na") + F.col("nb")
+    most = both - 2 * F.ceil(both * percent / (100.0 + percent) - 1e-9)
+    return right.join(left, ["a", "ra", "_salt"]).where(differ <= most).select("a", "b").distinct()
 
 
 def _cheapest(items: DataFrame, order: list[Column], most: Column) -> DataFrame:
@@ -168,13 +200,14 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
     2. Sizes are cut into bands, and for each band shingles are dealt by hash into segments. Sets that differ in at most
        H shingles agree on all but H segments; one that asks for H + 1 of them meets every similar set. A segment may be
        asked for twice: whole, and with one-deletion neighbourhoods on both sides, by which sets that differ there in one
-       shingle meet too; that counts as two. A set looks for smaller ones, in its own band and in the next lower one.
+       shingle meet too; that counts as two. A set meets others of its own band there, and smaller ones in the next lower.
     3. What to ask for is a matter of cost, which is known beforehand: keys are counted, and a segment whose subset no
        other set has is free. Where free segments are enough, and for most sets they are, nothing is looked up.
     4. Members of a key are paired with its hub, the one whose keys have the most members, and components follow from
-       what is confirmed on full sets. From then on only sets of other components count as cost.
+       what is confirmed on full sets. From then on a set looks for sets of larger components only.
     5. Sets that still need more than their free segments take the cheapest: whole ones, or, if those have many
-       members, deletions where they have few. All candidates are confirmed on full sets.
+       members, deletions where they have few. Candidates are sifted by sketches that never overstate how much two sets
+       differ, and what is left is confirmed on full sets.
     So links that join components are found for certain, by pigeonhole, whatever the similarity of other pairs; a group of
     n copies gives about n pairs, and beyond those only candidates that agree on enough to be near the limit.
 
@@ -195,7 +228,7 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
     shared = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("role") == 0).alias("members")).where("all > 1 and members > 0").select("key", "members"))
     some = with_member(each, F.col("key"), member_bits(shared, "key", KEY_BITS), "in", KEY_BITS).where("in").drop("in")
     entries = checkpointed(some.join(shared, "key"))
-    info = stored(reps.select("node", "id", "role", "band", "n", "need", "spare", F.size("blank").alias("blanks")))
+    info = stored(reps.select("node", "id", "role", "band", "n", "need", "spare", F.size("blank").alias("blanks"), "sketch"))
     own = info.where("role = 0").select("node", "id", "n")
     rows = entries.count()
     tasks = tasks_for(rows, 500_000)
@@ -209,15 +242,19 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
     pairs = pairs.join(own.select(F.col("node").alias("a"), F.col("n").alias("an")), "a").where(_sized("an", "bn", percent))
     pairs = stored(pairs.select("a", "b").distinct()).coalesce(tasks)
     comp = stored(components(_linked(docs, pairs, own, id, text, k, percent), tasks)).coalesce(tasks)
-    # from here on only nodes of other components count
-    placed = entries.coalesce(tasks).join(comp.withColumnRenamed("id", "node"), "node", "left").select("node", "role", "key", "members", F.coalesce("component", "node").alias("c"), (F.col("role") == 0).cast("int").alias("index"))
-    opened = with_groups(placed, ["key"], {"lo": ("min", "c"), "hi": ("max", "c")}, salt_of("node", "role"), F.col("lo") < F.col("hi"), "inner", tasks).drop("lo", "hi")
-    opened = stored(with_groups(opened, ["key", "c"], {"same": ("sum", "index")}, salt_of("node", "role"), None, "inner", tasks).withColumn("cost", F.col("members") - F.col("same")))
+    # from here on only nodes of other, larger components count
+    ranked = stored(with_groups(comp, ["component"], {"cs": ("count", "id")}, salt_of("id")).withColumnRenamed("id", "node")).coalesce(tasks)
+    rank = lambda df: df.join(ranked, "node", "left").withColumns({"c": F.coalesce("component", "node"), "cs": F.coalesce("cs", F.lit(1))}).drop("component")
+    placed = rank(entries.select("node", "role", "key").coalesce(tasks)).withColumn("_rank", F.struct("cs", "c"))
+    opened = with_groups(placed, ["key"], {"lo": ("min", "_rank"), "hi": ("max", "_rank"), "members": ("count", "node")}, salt_of("node", "role"), F.col("lo") < F.col("hi"), "inner", tasks)
+    opened = with_groups(opened, ["key", "c"], {"same": ("count", "node")}, salt_of("node", "role"), None, "inner", tasks)
+    opened = stored(opened.withColumn("cost", F.when(F.col("_rank") < F.col("hi"), F.col("members") - F.col("same")).otherwise(0)).drop("_rank", "lo", "hi", "same"))
     costly = opened.where("cost > 0")
-    asked = info.join(costly.groupBy("node", "role").agg(F.count(F.lit(1)).alias("_k")), ["node", "role"], "left").withColumn("costly", F.coalesce("_k", F.lit(0))).withColumn("want", F.col("costly") + F.col("blanks") - F.col("spare")).where("want > 0")
-    asked = stored(asked.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component", "_k", "id")).coalesce(tasks)
-    more = _candidates(docs, opened.coalesce(tasks), asked, info, comp, id, text, k, percent, tasks) if not asked.isEmpty() else pairs.limit(0)
-    more = stored(more.distinct()).coalesce(tasks)
+    asked = info.drop("sketch").join(costly.groupBy("node", "role").agg(F.count(F.lit(1)).alias("_k")), ["node", "role"], "left").withColumn("costly", F.coalesce("_k", F.lit(0))).withColumn("want", F.col("costly") + F.col("blanks") - F.col("spare")).where("want > 0")
+    asked = stored(rank(asked.drop("_k", "id"))).coalesce(tasks)
+    some = _candidates(docs, opened.coalesce(tasks), asked, info.drop("sketch"), rank, id, text, k, percent, tasks) if not asked.isEmpty() else None
+    more = pairs.limit(0) if some is None else _near_by_sketch(stored(some.distinct()), info, percent, tasks)
+    more = stored(more).coalesce(tasks)
     late = _linked(docs, more, own, id, text, k, percent)
     of = comp.withColumnRenamed("component", "c")
     named_by = lambda end: of.select(F.col("id").alias(end), F.col("c").alias(f"c{end}"))
@@ -250,37 +287,35 @@ def _linked(docs: DataFrame, pairs: DataFrame, own: DataFrame, id: str, text: st
     return stored(confirmed(pairs, sets, percent, tasks))
 
 
-def _candidates(docs: DataFrame, opened: DataFrame, asked: DataFrame, info: DataFrame, comp: DataFrame, id: str, text: str, k: int, percent: int, tasks: int) -> DataFrame:
-    """(a, b): each asked set a with the smaller sets b of other components that it meets by the segments it takes."""
-    sizes = info.where("role = 0").select("node", "n")
-    index = opened.where("role = 0").join(sizes, "node").select("key", "node", "c", "n", "members")
-    probes = opened.where("cost > 0").join(asked.select("node", "role", "n", "want", "costly"), ["node", "role"])
+def _candidates(docs: DataFrame, opened: DataFrame, asked: DataFrame, info: DataFrame, rank, id: str, text: str, k: int, percent: int, tasks: int) -> DataFrame:
+    """(a, ra, b, rb): each asked set a with the sets b of larger components that it meets by the segments it takes, and the roles in which they meet."""
+    index = opened.join(info.select("node", "role", "n"), ["node", "role"])
+    probes = index.where("cost > 0").join(asked.select("node", "role", "want", "costly"), ["node", "role"])
     probes = stored(_cheapest(probes, [F.col("cost"), F.col("key")], F.col("want")))
     price = probes.groupBy("node", "role").agg(F.sum("cost").alias("price"))
     dear = asked.join(price, ["node", "role"], "left").where((F.col("want") > F.col("costly")) | (F.col("price") > CHEAP * F.col("n")))
-    dear = stored(dear.select("node", "role", "band", "n", "need", "spare", "blanks", "c")).coalesce(tasks)
+    dear = stored(dear.select("node", "role", "band", "n", "need", "spare", "blanks", "c", "cs")).coalesce(tasks)
     found = _met(probes.join(dear, ["node", "role"], "left_anti"), index, percent)
     if dear.isEmpty():
         return found
     # a similar set shares one of those segments with a dear one, as it would have to if they were all that is asked for,
     # unless the dear one has more empty segments than it can spare
     keys = probes.join(dear.select("node", "role"), ["node", "role"], "left_semi").select("key").distinct()
-    near = index.join(keys, "key", "left_semi").select("node").unionByName(info.where("role = 0").join(dear.where("blanks > spare").select("band").distinct(), "band").select("node")).distinct()
-    where = info.where("role = 0").join(near, "node").join(comp.withColumnRenamed("id", "node"), "node", "left").select("node", "id", "role", "band", "n", F.coalesce("component", "node").alias("c"))
-    where = stored(where).coalesce(tasks)
+    near = index.join(keys, "key", "left_semi").select("node", "role").unionByName(info.join(dear.where("blanks > spare").select("band").distinct(), "band").select("node", "role")).distinct()
+    where = stored(rank(info.join(near, ["node", "role"]).select("node", "id", "role", "band", "n"))).coalesce(tasks)
     ids = where.select("node", "id").unionByName(dear.join(info.where("role = 0").select("node", "id"), "node").select("node", "id")).distinct()
     sets = stored(_full_sets(docs, ids, id, text, k)).coalesce(tasks)
-    mine = stored(_segments(dear.select("node", "role", "band"), sets, percent).join(dear.select("node", "role", "n", "c", "need"), ["node", "role"])).coalesce(tasks)
+    mine = stored(_segments(dear.select("node", "role", "band"), sets, percent).join(dear.select("node", "role", "n", "c", "cs", "need"), ["node", "role"])).coalesce(tasks)
     # of the other sets' keys only those count that a dear one asks for: a bounded bitmap sorts out most before they move
     named = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
     wanted = mine.select(F.explode(F.concat(F.array(named(0, F.col("whole")), named(1, F.col("whole"))), F.transform("cuts", lambda c: named(0, c)))).alias("x"))
-    have = _segments(where.select("node", "role", "band"), sets, percent).select("node", F.explode(F.concat(F.array(named(0, F.col("whole"))), F.transform("cuts", lambda c: named(1, c)))).alias("x"))
-    have = with_member(have, F.xxhash64("x.kind", "x.key"), member_bits(wanted.select(F.xxhash64("x.kind", "x.key").alias("k")), "k"), "_in").where("_in").select("node", "x.kind", "x.key")
+    have = _segments(where.select("node", "role", "band"), sets, percent).select("node", "role", F.explode(F.concat(F.array(named(0, F.col("whole"))), F.transform("cuts", lambda c: named(1, c)))).alias("x"))
+    have = with_member(have, F.xxhash64("x.kind", "x.key"), member_bits(wanted.select(F.xxhash64("x.kind", "x.key").alias("k")), "k"), "_in").where("_in").select("node", "role", "x.kind", "x.key")
     have = stored(have).coalesce(tasks)
-    have = with_groups(have.join(where.select("node", "n", "c"), "node"), ["kind", "key"], {"members": ("count", "node")}, salt_of("node"))
+    have = with_groups(have.join(where.select("node", "role", "n", "c", "cs"), ["node", "role"]), ["kind", "key"], {"members": ("count", "node")}, salt_of("node"))
     have = stored(have).coalesce(tasks)
     wholes, cuts = (have.where(F.col("kind") == i).drop("kind") for i in (0, 1))
-    columns = ["node", "role", "at", "n", "c"]
+    columns = ["node", "role", "at", "n", "c", "cs"]
     whole = _cost(mine.select(*columns, "need", F.col("whole").alias("key")), wholes)
     as_cut = _cost(mine.select(*columns, F.col("whole").alias("key")), cuts)
     own_cut = _cost(mine.select(*columns, F.explode("cuts").alias("key")), wholes)
@@ -297,9 +332,9 @@ def _candidates(docs: DataFrame, opened: DataFrame, asked: DataFrame, info: Data
     short = dear.where("2 * (need + spare - blanks) < need")
     if short.isEmpty():
         return found
-    empty = lambda df, end: df.select(F.col("node").alias(end), "band", F.col("c").alias(f"c{end}"), F.col("n").alias(f"n{end}"))
-    low = empty(where, "b")
-    return found.unionByName(empty(short, "a").join(low, "band").where((F.col("ca") != F.col("cb")) & (F.col("nb") <= F.col("na")) & _sized("na", "nb", percent)).select("a", "b"))
+    end = lambda df, e: df.select(F.col("node").alias(e), F.col("role").alias(f"r{e}"), "band", F.struct("cs", "c").alias(f"c{e}"), F.col("n").alias(f"n{e}"))
+    same_band = end(short, "a").join(end(where, "b"), "band")
+    return found.unionByName(same_band.where((F.col("ca") < F.col("cb")) & (F.col("ra") + F.col("rb") < 2) & _sized("na", "nb", percent)).select("a", "ra", "b", "rb"))
 
 
 def op12_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
