@@ -57,7 +57,7 @@ def test_a_log_is_removed_and_replaced_alone(spark, table):
 
 
 def test_files_without_a_text_are_not_read(spark, tmp_path):
-    rows = spark.range(4000).select(F.col("id").alias("g"), F.col("id").alias("record_id"), F.lit(T0).alias("ts"), F.lit(4).cast("byte").alias("level"), F.lit(1).alias("event_id"), F.lit(SYSMON).alias("provider"), F.lit("Sysmon").alias("channel"), F.lit("h").alias("computer"), F.format_string("log%03d", F.floor(F.col("id") / 20)).alias("file"), F.array(F.struct(F.lit("CommandLine").alias("name"), F.when(F.col("id") % 977 == 5, "Needle-in-hay").otherwise(F.concat(F.lit("word "), F.col("id"))).alias("value"))).alias("ed"))
+    rows = spark.range(4000).select(F.col("id").alias("g"), F.col("id").alias("record_id"), F.lit(T0).alias("ts"), F.lit(4).cast("byte").alias("level"), F.lit(1).alias("event_id"), F.lit(SYSMON).alias("provider"), F.lit("Microsoft-Windows-Sysmon/Operational").alias("channel"), F.lit("h").alias("computer"), F.format_string("log%03d", F.floor(F.col("id") / 20)).alias("file"), F.array(F.struct(F.lit("CommandLine").alias("name"), F.when(F.col("id") % 977 == 5, "Needle-in-hay").otherwise(F.concat(F.lit("word "), F.col("id"))).alias("value"))).alias("ed"))
     name = f"texts_{uuid4().hex}"
     store.save_events(rows, name)
     index = store.text_index(spark.table(name)).cache()

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.fields import canonical_channel
+from .logsource import targets
 from .rules import LEVELS, MAPPED, SPECIAL, Rule, Unsupported, _norm, compile_rule, event_field, like_pattern, prepared, rule_columns
 
 #: Rules whose predicates share one projection; more in one make code that Spark no longer compiles well.
@@ -38,6 +40,24 @@ def skipped_table(spark: SparkSession, skipped: list[tuple[str, str]]) -> DataFr
     return spark.createDataFrame(skipped, "rule_id string, reason string")
 
 
+def skipped_reach(events: DataFrame, specs: list[dict]) -> DataFrame:
+    """(rule_id, reason_kind, events): what is not looked at because rules can't run: the events of the kinds that each skipped rule is for.
+
+    reason_kind is `log source` where the kinds themselves are not known, else `rule`. Events are counted by kind first,
+    so what meets the rules is a row for each kind of event.
+    """
+    skipped = {key for key, _ in compile_rules(specs)[1]}
+    rows = []
+    for spec in {str(s.get("id") or s.get("title")): s for s in specs if str(s.get("id") or s.get("title")) in skipped}.values():
+        found, why = targets(spec.get("logsource") or {})
+        key, kind = str(spec.get("id") or spec.get("title")), "log source" if why else "rule"
+        rows += [(key, kind, c, i) for c, ids, _ in found for i in (ids or (None,))] or [(key, kind, "", -1)]
+    kinds = events.groupBy(canonical_channel().alias("_channel"), "event_id").agg(F.count(F.lit(1)).alias("n"))
+    table = events.sparkSession.createDataFrame(rows, "rule_id string, reason_kind string, c string, i int")
+    fits = (F.col("c").isNull() | (F.col("c") == F.col("_channel"))) & (F.col("i").isNull() | (F.col("i") == F.col("event_id")))
+    return table.join(kinds, fits, "left").groupBy("rule_id", "reason_kind").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("events"))
+
+
 def buckets(rules: list[Rule]) -> dict[tuple, list[Rule]]:
     """Rules by (channel, event ids, profile) of each of their targets, narrowed to the ids that the detection requires."""
     out = defaultdict(list)

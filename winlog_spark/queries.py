@@ -101,7 +101,9 @@ add("io5_numbered", lambda e: logs.numbered(e.withColumn("record_id", F.when(F.c
 add("io6_without_file", lambda e: logs.without_file(e, "log1.evtx").groupBy("file").agg(F.count(F.lit(1)).alias("n")), "SELECT file, count(*) AS n FROM ev WHERE file <> 'log1.evtx' GROUP BY file")
 WIDE = ["CommandLine", "IpAddress", "TargetUserName"]
 add("io7_wide", lambda e: export.to_wide(e, WIDE).select(F.col("Record").alias("record"), F.col("Level").alias("level"), *WIDE), f"SELECT record_id AS record, coalesce({sql_map(decode.LEVELS)}[level::VARCHAR], 'Unknown') AS level, " + ", ".join(f"coalesce({fv(w)}, '') AS \"{w}\"" for w in WIDE) + " FROM ev")
-add("io8_json", lambda e: export.to_json_rows(e).select("g", F.get_json_object("json", "$.event_id").cast("int").alias("event_id"), F.get_json_object("json", "$.event_data.IpAddress").alias("ip")), f"SELECT g, event_id, {fv('IpAddress')} AS ip FROM ev")
+_JSON = ("record_id", "level", "event_id", "provider", "channel", "computer")
+_JSON_NAMES = ("IpAddress", "TargetUserName", "CommandLine", "LogonType", "ImagePath", "Hashes")
+add("io8_json", lambda e: export.to_json_rows(e).select("g", *[F.get_json_object("json", f"$.{c}").alias(c) for c in _JSON], F.substring(F.get_json_object("json", "$.timestamp"), 1, 19).alias("timestamp"), F.size(F.from_json(F.get_json_object("json", "$.event_data"), "map<string,string>")).alias("pairs"), *[F.get_json_object("json", f"$.event_data.{n}").alias(n) for n in _JSON_NAMES]), "SELECT g, " + ", ".join(f"{c}::VARCHAR AS {c}" for c in _JSON) + ", strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, len(ed)::INT AS pairs, " + ", ".join(f'{fv(n)} AS "{n}"' for n in _JSON_NAMES) + " FROM ev")
 add("io9_text", lambda e: export.to_text(e).select("g", F.size(F.split("text", "\n")).alias("lines"), F.col("text").contains("LogonType: ").alias("typed")), f"SELECT g, (len(ed) + 1 + CASE WHEN event_id IN (1, 10, 4104, 4624, 4625, 4634, 4672, 4688, 4769, 5140, 7045) THEN 1 ELSE 0 END)::INT AS lines, {fv('LogonType')} IS NOT NULL AS typed FROM ev")
 
 
@@ -299,12 +301,12 @@ def _strip(e: DataFrame) -> DataFrame:
 add("a9_strip_domain", _strip, "SELECT least((SELECT ts FROM r WHERE i = greatest(1, ceil(n * 0.01))), TIMESTAMP '2024-01-05') AS lo, greatest((SELECT ts FROM r WHERE i = greatest(1, ceil(n * 0.99))), TIMESTAMP '2024-01-20 12:00:00') AS hi, false AS zoomed", "r AS (SELECT ts, row_number() OVER (ORDER BY ts) AS i, count(*) OVER () AS n FROM ev)")
 add("a10_bounds", timeline.bounds, "SELECT min(ts) AS first, max(ts) AS last FROM ev")
 add("a10_outside", lambda e: timeline.counts_outside(e, START, END), "SELECT count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-05') AS earlier, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-20 12:00:00') AS later FROM ev")
-add("o1_sort_level", lambda e: pivots.ordered(e, "level", True).limit(100).select("g", F.col("level").cast("int").alias("level")), "SELECT g, level FROM ev ORDER BY coalesce(level, 99) DESC, g DESC LIMIT 100")
+add("o1_sort_level", lambda e: pivots.ordered(e, "level", True).select("g", F.col("level").cast("int").alias("level")), "SELECT g, level FROM ev")
 _SORTS = {"record": "record_id", "time": "ts", "eventId": "event_id", "provider": "provider", "channel": "channel", "computer": "computer", "file": "file", "level": "coalesce(level, 99)", "name": f"coalesce({EVENT_NAME}, '')"}
 for _i, (_by, _sql) in enumerate(_SORTS.items()):
     _order = f"{_sql} DESC NULLS LAST, g DESC" if _i % 2 else f"{_sql} NULLS FIRST, g"
     add(f"o1_places_{_by.lower()}", lambda e, b=_by, d=bool(_i % 2): pivots.places(e, pivots.sort_parts(b, d)), f"SELECT g, row_number() OVER (ORDER BY {_order}) - 1 AS place FROM ev")
-add("o1_sort_name", lambda e: pivots.ordered(e, "name").limit(100).select("g"), f"SELECT g FROM ev ORDER BY coalesce({EVENT_NAME}, ''), g LIMIT 100")
+add("o1_sort_name", lambda e: pivots.ordered(e, "name").select("g"), "SELECT g FROM ev")
 
 # --- sessions and pivots ---------------------------------------------------------------
 
@@ -322,7 +324,7 @@ s AS (SELECT computer, max(id) FILTER (WHERE r = 1) AS logon_id, coalesce(nullif
 add("s1_logon_ids", lambda e: sessions.logon_ids(e).select("g", "logon_id"), "SELECT g, id AS logon_id FROM kk", _SESS)
 add("s2_s6_halves", lambda e: sessions.halves(e).select("computer", "logon_id", "start", "user", "logon_type", "source_ip", "linked_logon_id", "admin", "end", "end_event_id", "subject_user", "first_seen", "last_seen", "events"), "SELECT computer, id AS logon_id, start, usr AS user, logon_type, source_ip, linked AS linked_logon_id, admin, end_ AS \"end\", end_event_id, subj AS subject_user, first_seen, last_seen, events FROM h", _SESS)
 add("s7_s9_sessions", lambda e: sessions.sessions(e).select("computer", "logon_id", "user", "logon_type", "source_ip", "admin", "start", "end", "first_seen", "last_seen", "events", F.size("logon_ids").cast("long").alias("halves"), "background", "duration_ms"), "SELECT computer, logon_id, usr AS user, logon_type, source_ip, admin, start, end_ AS \"end\", first_seen, last_seen, events, halves, coalesce(logon_type IN ('0', '5'), false) OR logon_id IN ('0x3e7', '0x3e5', '0x3e4') OR usr = '' OR ends_with(usr, '$') AS background, greatest(0, epoch_us(coalesce(end_, last_seen)) // 1000 - epoch_us(coalesce(start, first_seen)) // 1000) AS duration_ms FROM s", _SESS)
-add("s9_longest_sessions", lambda e: sessions.ordered(sessions.sessions(e), "duration", background=False).limit(20).select("computer", "logon_id", "duration_ms"))
+add("s9_longest_sessions", lambda e: sessions.ordered(sessions.sessions(e), "duration", background=False).select("computer", "logon_id", "duration_ms"))
 add("s10_activity", lambda e: sessions.sessions(e).select("computer", F.size(sessions.activity()).alias("kinds"), "events").groupBy("computer").agg(F.sum("kinds").alias("kinds"), F.sum("events").alias("events")), "SELECT c.computer, c.kinds, d.events FROM (SELECT computer, count(*) AS kinds FROM (SELECT DISTINCT hp.computer, hp.pair, t.event_id FROM hp JOIN kk ON kk.computer = hp.computer AND kk.id = hp.id JOIN t ON t.g = kk.g WHERE t.event_id NOT IN (4624, 4634, 4647, 4672)) GROUP BY 1) c JOIN (SELECT computer, sum(events)::BIGINT AS events FROM s GROUP BY 1) d USING (computer)", _SESS)
 add("j7_session_events", lambda e: sessions.session_events(sessions.sessions(e), e).groupBy("session").agg(F.count(F.lit(1)).alias("n")), "SELECT s.computer || '|' || s.logon_id AS session, count(DISTINCT kk.g) AS n FROM s JOIN hp ON hp.computer = s.computer AND hp.pair = (SELECT x.pair FROM hp x WHERE x.computer = s.computer AND x.id = s.logon_id) JOIN kk ON kk.computer = hp.computer AND kk.id = hp.id GROUP BY 1", _SESS)
 add("j2_bookmarked", lambda e: case.bookmarked(e, _case(e)[0]).select("g"), "SELECT g FROM ev WHERE event_id = 7045")
@@ -417,16 +419,17 @@ _LOAD = f"""CASE WHEN i % 50 = 0 THEN event_id IN (1, 4688) AND contains({_CMD},
  WHEN i % 2 = 0 THEN event_id IN (1, 4688) AND (ends_with({_ANY_IMG}, '\\tool' || i % 400 || '.exe') OR ends_with({_ANY_IMG}, '\\alt' || i || '.exe')) AND (contains({_CMD}, ' --opt' || i // 89 % 97 || ' ') OR contains({_CMD}, '-x' || i % 89) OR contains({_CMD}, '/key' || i))
  ELSE channel = 'Security' AND event_id = [4624, 4625, 4688, 7045][i % 4 + 1] AND {fv('TargetUserName')} IN ('user' || i, 'svc' || i // 89 % 97) AND NOT coalesce(starts_with({fv('IpAddress')}, '172.' || i % 89 || '.'), false) END"""
 add("d01_detect_load", lambda e: packed.detect_packed(e, load_pack()).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")), f"SELECT 'load-' || i AS rule_id, count(*) AS n FROM ev, range(0, {LOAD}) t(i) WHERE coalesce({_LOAD}, false) GROUP BY i")
-add("d24_skipped", lambda e: detect.skipped_table(e.sparkSession, detect.compile_rules(SPECS + BROKEN)[1]).join(e.agg(F.count(F.lit(1)).alias("events"))).select("rule_id", "events"), f"SELECT unnest([{', '.join(repr(b['id']) for b in BROKEN)}]) AS rule_id, (SELECT count(*) FROM ev) AS events")
+add("d24_skipped", lambda e: detect.skipped_reach(e, SPECS + BROKEN), f"SELECT x.rule_id, x.c AS reason_kind, CASE WHEN x.c = 'log source' THEN 0 ELSE (SELECT count(*) FROM ev WHERE channel = 'Security') END AS events FROM (VALUES {', '.join(f"('{b['id']}', '{'log source' if b['id'] in ('b1', 'b2') else 'rule'}')" for b in BROKEN)}) x(rule_id, c)")
 
 
 def _spec_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Rule documents made from the events, some of them broken in the ways that packs are: one for each user and kind of event."""
-    kinds = ev(spark, d).where("event_id in (4624, 4625, 4634)").select("event_id", fields.field("TargetUserName").alias("user")).distinct()
-    n = F.xxhash64("event_id", "user") % 7
+    """Rule documents made from the events, some of them broken in the ways that packs are: one for each of three kinds of event and seven forms."""
+    n = F.pmod(F.xxhash64("user"), F.lit(7))
+    kinds = ev(spark, d).where("event_id in (4624, 4625, 4634)").select("event_id", fields.field("TargetUserName").alias("user")).groupBy("event_id", n.alias("n")).agg(F.min("user").alias("user"))
+    n = F.col("n")
     condition = F.when(n == 1, "s and").when(n == 2, "(s").when(n == 3, "s s").when(n == 4, "1 of them").when(n == 5, "1 of THEM").when(n == 6, "t").otherwise("s")
     document = F.struct(F.concat_ws("/", "event_id", "user").alias("id"), F.lit("x").alias("title"), F.struct(F.lit("windows").alias("product"), F.lit("security").alias("service")).alias("logsource"), F.struct(F.struct(F.col("event_id").alias("EventID"), F.col("user").alias("TargetUserName")).alias("s"), condition.alias("condition")).alias("detection"))
-    return kinds.select("event_id", "user", condition.alias("condition"), F.to_json(document).alias("value"))
+    return kinds.select("event_id", "user", condition.alias("condition"), F.concat(F.lit("---\n"), F.to_json(document)).alias("value"))
 
 
 def rule_pack(spark: SparkSession, d: str) -> DataFrame:
@@ -457,7 +460,31 @@ def _sources(e: DataFrame) -> DataFrame:
 
 _TARGETS = "x AS (SELECT * FROM (VALUES " + ", ".join(f"('{'/'.join([*x, *x.values()])}', {repr(c) if c else 'NULL'}, {i or 'NULL'})" for x in [{"category": c} for c in (*logsource.SYSMON_CATEGORIES, *logsource.POWERSHELL_CATEGORIES)] + [{"service": s} for s in logsource.SERVICES] + [{}] for c, ids, _ in logsource.targets({"product": "windows"} | x)[0] for i in (ids or (None,))) + ") t(source, c, i))"
 add("d02_log_sources", _sources, "SELECT source, (SELECT count(*) FROM ev WHERE EXISTS (SELECT 1 FROM x WHERE x.source = s.source AND (c IS NULL OR c = lower(channel)) AND (i IS NULL OR i = event_id))) AS n FROM (SELECT DISTINCT source FROM x) s", _TARGETS)
-add("d23_required_ids", lambda e: e.join(e.sparkSession.createDataFrame([(r.id, i) for r in compiled() for i in sorted(r.event_ids or ())], "rule_id string, i int"), F.col("i") == F.col("event_id")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")), "SELECT rule_id, count(*) AS n FROM ev JOIN (VALUES ('d04_list_or', 1102), ('d04_list_or', 4625), ('d13_exists', 4625), ('d14_null', 4624), ('d15_numeric', 4624), ('d16_hex_number', 4769), ('d17_cidr_v6', 5140), ('d21_condition', 4624), ('d22_all_of_them', 4625)) t(rule_id, i) ON i = event_id GROUP BY 1")
+_NESTED_SELECTIONS = {"a": {"EventID": 4624}, "b": {"EventID": [4624, 4625]}, "c": {"EventID": 7045}, "f": {"TargetUserName|contains": "user"}, "s_x": {"EventID": 4624}, "s_y": {"EventID": [4624, 4634]}}
+#: Conditions, and the ids on which they can hold.
+_NESTED = {"a and (b or c)": (4624,), "b and not a": (4624, 4625), "f and (a or c)": (4624, 7045), "b and 1 of s_*": (4624,), "all of s_* and not f": (4624,), "not (f or not b)": (4624, 4625), "(a or c) and (b or c)": (4624, 7045), "2 of s_*": (4624,), "f or a": (), "not a": ()}
+
+
+def _nested_rules() -> list:
+    return detect.compile_rules([{"id": c, "title": c, "logsource": _SEC, "detection": _NESTED_SELECTIONS | {"condition": c}} for c in _NESTED])[0]
+
+
+add("d23_required_ids", lambda e: e.join(e.sparkSession.createDataFrame([(r.id, i) for r in [*compiled(), *_nested_rules()] for i in sorted(r.event_ids or ())], "rule_id string, i int"), F.col("i") == F.col("event_id")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")), "SELECT rule_id, count(*) AS n FROM ev JOIN (VALUES ('d04_list_or', 1102), ('d04_list_or', 4625), ('d13_exists', 4625), ('d14_null', 4624), ('d15_numeric', 4624), ('d16_hex_number', 4769), ('d17_cidr_v6', 5140), ('d21_condition', 4624), ('d22_all_of_them', 4625), " + ", ".join(f"('{c}', {i})" for c, ids in _NESTED.items() for i in ids) + ") t(rule_id, i) ON i = event_id GROUP BY 1")
+
+
+def _with_pairs(e: DataFrame, **pairs) -> DataFrame:
+    """Events with further pairs, whose values are made of their own."""
+    return e.withColumn("ed", F.concat("ed", F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in pairs.items()])))
+
+
+def _one(name: str, selection: dict) -> list:
+    return detect.compile_rules([{"id": name, "title": name, "logsource": _ANY, "detection": {"s": selection, "condition": "s"}}])[0]
+
+
+add("d17_networks_v6", lambda e: detect.detect(_with_pairs(e, Address=F.concat(F.lit("2001:DB8:"), F.conv(F.col("g") % 16, 10, 16), F.lit("::"), F.col("event_id"))), _one("v6", {"Address|cidr": ["2001:db8:4::/46", "2001:db8:000a::/48"]})), "SELECT 'v6' AS rule_id, g FROM ev WHERE list_contains([4, 5, 6, 7, 10], g % 16)")
+add("d18_fields_equal", lambda e: detect.detect(_with_pairs(e, Seen=F.when(F.col("g") % 3 == 0, fields.field("TargetUserName")).otherwise(F.upper(F.col("computer")))), _one("same", {"Seen|fieldref": "TargetUserName"})), f"SELECT 'same' AS rule_id, g FROM ev WHERE lower(CASE WHEN g % 3 = 0 THEN {fv('TargetUserName')} ELSE computer END) = lower({fv('TargetUserName')})")
+add("d18_field_ends", lambda e: detect.detect(_with_pairs(e, Host=F.concat(F.lit("x."), F.upper("computer"))), _one("ends", {"Host|endswith|fieldref": "WorkstationName"})), f"SELECT 'ends' AS rule_id, g FROM ev WHERE ends_with(lower(computer), lower({fv('WorkstationName')}))")
+add("d22_all_selections", lambda e: detect.detect(e, detect.compile_rules([{"id": "all", "title": "all", "logsource": _SEC, "detection": {"a": {"EventID": [4624, 4625]}, "b": {"LogonType": ["3", "10"]}, "c": {"IpAddress|startswith": "10.0.1."}, "condition": "all of them"}}])[0]), f"SELECT 'all' AS rule_id, g FROM ev WHERE event_id IN (4624, 4625) AND {fv('LogonType')} IN ('3', '10') AND starts_with({fv('IpAddress')}, '10.0.1.')")
 
 
 def _run(e: DataFrame) -> tuple[DataFrame, DataFrame]:

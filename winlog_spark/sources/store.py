@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,25 +58,12 @@ def partitions_of(spark: SparkSession, table: str, log: str) -> list[dict[str, s
 def remove_log(spark: SparkSession, table: str, log: str) -> int:
     """Drops the partitions of one log, with their files; how many there were."""
     found = partitions_of(spark, table, log)
-    specs = [", ".join(f"PARTITION ({', '.join(f'{k} = {_quoted(_unescaped(v))}' for k, v in p.items())})" for p in found[i : i + 500]) for i in range(0, len(found), 500)]
+    specs = [", ".join(f"PARTITION ({', '.join(f'{k} = {_quoted(unquote(v))}' for k, v in p.items())})" for p in found[i : i + 500]) for i in range(0, len(found), 500)]
     for spec in specs:
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {spec}")
     return len(found)
 
 
-def _unescaped(text: str) -> str:
-    """A partition value as it was before it was made fit for a path."""
-    out, i = [], 0
-    while i < len(text):
-        if text[i] == "%" and i + 2 < len(text):
-            out.append(chr(int(text[i + 1 : i + 3], 16)))
-            i += 3
-        else:
-            out.append(text[i])
-            i += 1
-    return "".join(out)
-
-
 def stored(spark: SparkSession, table: str) -> DataFrame:
     """The events of a table, with the partition columns."""
     return spark.table(table)
@@ -166,5 +154,5 @@ def search_texts(spark: SparkSession, table: str, index: DataFrame, text: str) -
     elif not names:
         rows, n = stored(spark, table).where(F.lit(False)), 0
     else:
-        rows, n = spark.read.schema(EVENTS).parquet(*names), len(names)
+        rows, n = spark.read.schema(EVENTS).parquet(*map(unquote, names)), len(names)
     return search(rows.select(*EVENTS.names), [[Clause(text)]]), n
