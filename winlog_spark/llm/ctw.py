@@ -226,7 +226,8 @@ def lm_scores(docs: DataFrame, train: DataFrame, id: str = "doc_id", text: str =
     distinct gram of docs gets its score. Only scores of grams that hold node_share of the bytes of docs and counts of
     words that hold word_share of the training tokens are sent to all tasks; rarer ones are joined, with the same result.
     Null text counts as empty: one end token, one end byte. With no training rows every bit has probability 1/2 and every
-    count is 0. Words are told apart by 63 bits of hash. Repeated rows are scored each for itself.
+    count is 0. Words are told apart by 63 bits of hash. Repeated rows are scored each for itself, and so are rows of one id or of none.
+    Very long texts are read whole. docs without rows gives no rows; other columns, whatever their names, are not read.
     """
     counts = checkpointed(train_counts(train, text))
     size = {r.kind: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different")).collect()}

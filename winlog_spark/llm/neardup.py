@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     million. Documents without words have the empty set, are linked with nothing and are kept; so are very short ones,
     whose whole word sequence is one shingle, unless it is equal. A null id takes no part in links (component null,
     kept). Rows that repeat an id and its text share class and component; rows of one id with different texts are told
-    apart by text_hash. An empty table gives no rows; other columns of docs, whatever their names, are not read. Nodes
+    apart by text_hash. Very long texts are read whole; a task holds about 1 MB of text or one text. An empty table gives no rows; other columns of docs, whatever their names, are not read. Nodes
     are told apart by 64 bits.
     """
     signed = checkpointed(_signed(docs, id, text, k))

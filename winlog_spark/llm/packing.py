@@ -62,7 +62,8 @@ def best_fit_pack(docs: DataFrame, size: str, key: list[str], lengths: tuple[int
     docs has a column `size` (long) and key columns that name a document. A document longer than the greatest length is
     cut into full pieces, which fill a bin each, and one remainder; pieces are dealt by hash into shards of about
     rows_per_shard documents, and each shard is packed by itself, so a task holds a bounded number of sizes and no text. Documents of size 0 (null counts as 0) give one row with bin null. Equal sizes are taken in order of
-    key, so a rerun gives the same bins; repeated rows are packed once each.
+    key, so a rerun gives the same bins; repeated rows are packed once each, and a null key is a document like others. A very
+    long document is its size only. An empty table gives no rows; other columns of docs, whatever their names, are not read.
     """
     most = max(lengths)
     shards = max(1, -(-docs.count() // rows_per_shard))
@@ -88,7 +89,10 @@ def best_fit_pack(docs: DataFrame, size: str, key: list[str], lengths: tuple[int
 def sequences(docs: DataFrame, packed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The packed sequences themselves: bin, bin_length, n_words, text (pieces in order, words joined by one blank).
 
-    A bin holds at most bin_length words, so collecting its pieces is bounded.
+    A bin holds at most bin_length words, so collecting its pieces is bounded. key must name one document: rows without
+    it have no sequence, and an id with several texts would give pieces of each. Documents without words are in no bin. A
+    very long text stands in several bins. Pieces of a bin come by offset, which are all different. Without rows there are
+    no sequences; other columns, whatever their names, are not read.
     """
     cut = packed.where("bin is not null").join(docs.select(F.col(key), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({WORD})")).alias("_w")), key)
     cut = cut.select("bin", "bin_length", "size", F.struct("bin_offset", F.array_join(F.slice("_w", (F.col("start") + 1).cast("int"), F.col("size").cast("int")), " ").alias("t")).alias("p"))

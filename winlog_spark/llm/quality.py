@@ -121,7 +121,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", label: s
 
 
 def score_quality(docs: DataFrame, model: FactorisationMachine, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: id, score (0 to 1), predicted. Null text is scored as the empty one."""
+    """Per row: id, score (0 to 1), predicted.
+
+    Null text is scored as the empty one. Each row is scored for itself, so repeated rows and ids with several texts have
+    a row each, equal texts equal scores; a null id is kept. A score at the threshold counts as 1. Very long texts are
+    read whole, one at a time. A model of no labelled rows scores all alike. An empty table gives no rows; other columns
+    of docs, whatever their names, are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,9 +69,14 @@ def extendible_shards(docs: DataFrame, id: str = "doc_id", text: str = "text", l
 
 
 def write_shards(docs: DataFrame, path: str, id: str = "doc_id", **options) -> None:
-    """docs as one folder of Parquet files for each shard."""
+    """docs as one folder of Parquet files for each shard, the shard's rows brought together first: they fit its byte limit.
+
+    Rows of one id, and rows without an id, stay together in one shard, each written once. Very long texts are written
+    whole. Without rows an empty folder is written; a column of docs named shard is replaced.
+    """
     shard = extendible_shards(docs, id, **options).select(id, "shard").dropDuplicates([id])
-    docs.join(shard, docs[id].eqNullSafe(shard[id])).drop(shard[id]).write.partitionBy("shard").parquet(path)
+    docs = docs.drop("shard")
+    docs.join(shard, docs[id].eqNullSafe(shard[id])).drop(shard[id]).repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
