@@ -43,8 +43,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes: a document may go, be cut at a block's end, or come again, up to three times.
 
-    Documents without words are not taken. A null source is a source like others, the last. Rows that repeat an id and
-    size are taken alike. Equal quotients go to the smaller source or shard. Very long texts are sources of blocks like
+    Documents without words are not taken. A null source is a source like others, the last. Each row goes by its own
+    take, whatever other rows share its id. Equal quotients go to the smaller source or shard. Very long texts are sources of blocks like
     others. No rows in, no rows out; further columns go along.
     """
     return mixing.mixed_documents(docs)
