@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from test_events import T0, events
 
 from winlog_spark.operators import facets, hunts, pivots
+from winlog_spark.plans import search
 from winlog_spark.schema import SECURITY, SYSMON
 
 
@@ -131,3 +132,42 @@ def test_hunt_rows_equal_the_predicates(spark):
         got = Counter(r.hunt_id for r in hunts.hunt_hits(e, pack).collect())
         assert {r.hunt_id: r.n for r in hunts.hunt_counts(e, pack).collect()} == {h.id: got[h.id] for h in pack}
     assert hunts.hunt_hits(e, []).count() == 0
+
+
+def test_each_hunt_selects_its_events_and_no_others(spark):
+    """For each alternative of a hunt an event that has all it asks for, and for each of its clauses one that has all others but not that."""
+    made, wanted = [], []
+
+    def fill(c):
+        return str(int(c.value) + 1) if c.cmp == ">" else c.value.replace("*", "x")
+
+    for h in hunts.PACK:
+        for group in search.clauses(h.query):
+            must = [c for c in group if not c.negate]
+            for left_out in [None, *group]:
+                head, pairs = {"provider": None, "level": None}, defaultdict(list)
+                event_id = 0
+                for c in must:
+                    kind = search.HEADER_FIELDS.get(c.field.lower())
+                    value = fill(c) if c is not left_out else "0" if kind == "eventid" else "~"
+                    if kind == "eventid":
+                        event_id = int(value)
+                    elif kind:
+                        head[kind] = value
+                    else:
+                        pairs[search.MULTI_FIELDS.get(c.field.lower(), [c.field])[0]].append(value)
+                if left_out is not None and left_out.negate:
+                    pairs[left_out.field].append(fill(left_out))
+                provider = head.pop("provider")
+                # clauses on one field are met by one value, which holds them all
+                ed = [(n, " ".join(v)) for n, v in pairs.items()] if h.id not in AMBIGUOUS else [(n, x) for n, v in pairs.items() for x in v]
+                made.append((event_id, provider, ed, head))
+                wanted.append((h.id, left_out is None))
+    e = events(spark, *made)
+    got = {(r.hunt_id, r.g) for r in hunts.hunt_hits(e).collect()}
+    for g, (hunt, hit) in enumerate(wanted):
+        assert ((hunt, g) in got) == hit, (hunt, hit, made[g])
+
+
+#: Hunts with two clauses on one field, met by two values in this test.
+AMBIGUOUS = {h.id for h in hunts.PACK for g in search.clauses(h.query) if len({c.field for c in g}) < len(g)}

@@ -28,103 +28,102 @@ class Hunt:
 
 #: Our own pack; a user's pack is any list of Hunt, such as read_hunts gives.
 PACK = [
-    Hunt("failed-logons", "credential", "T1110", "EventID:4625", "Failed logons"),
-    Hunt("failed-wrong-password", "credential", "T1110.001", 'EventID:4625 SubStatus:"Wrong password"', "Failed logons, wrong password"),
-    Hunt("spray-unknown-user", "credential", "T1110.003", "EventID:4625 SubStatus:*0064", "Failed logons, unknown user"),
-    Hunt("rc4-tickets", "credential", "T1558.003", "EventID:4769 TicketEncryptionType:0x17", "RC4 service tickets"),
-    Hunt("asrep", "credential", "T1558.004", "EventID:4768 PreAuthType:0", "TGT without pre-authentication"),
+    Hunt("failed-logons", "credential", "T1110", "EventID:4625 Provider:*Security-Auditing", "Failed logons"),
+    Hunt("failed-wrong-password", "credential", "T1110.001", 'EventID:4625 Provider:*Security-Auditing SubStatus:"Wrong password"', "Failed logons, wrong password"),
+    Hunt("spray-unknown-user", "credential", "T1110.003", "EventID:4625 Provider:*Security-Auditing SubStatus:*0064", "Failed logons, unknown user"),
+    Hunt("rc4-tickets", "credential", "T1558.003", "EventID:4769 Provider:*Security-Auditing TicketEncryptionType:0x17", "RC4 service tickets"),
+    Hunt("asrep", "credential", "T1558.004", "EventID:4768 Provider:*Security-Auditing PreAuthType:0", "TGT without pre-authentication"),
     Hunt("lsass-handle", "credential", "T1003.001", "EventID:10 Provider:*Sysmon TargetImage:*\\lsass.exe", "Handle to LSASS"),
-    Hunt("rdp-logons", "lateral", "T1021.001", "EventID:4624 LogonType:10", "Remote desktop logons"),
-    Hunt("network-logons", "lateral", "T1021.002", "EventID:4624 LogonType:3 -TargetUserName:*$", "Network logons of users"),
-    Hunt("explicit-credentials", "lateral", "T1078", "EventID:4648", "Logon with explicit credentials"),
-    Hunt("share-access", "lateral", "T1021.002", "EventID:5140 OR EventID:5145", "Share access"),
-    Hunt("psexec-service", "lateral", "T1569.002", "EventID:7045 ImagePath:*psexesvc*", "PsExec service"),
-    Hunt("new-services", "persistence", "T1543.003", "EventID:7045 OR EventID:4697", "New services"),
-    Hunt("new-tasks", "persistence", "T1053.005", "EventID:4698", "New scheduled tasks"),
-    Hunt("new-accounts", "persistence", "T1136", "EventID:4720", "New accounts"),
+    Hunt("rdp-logons", "lateral", "T1021.001", "EventID:4624 Provider:*Security-Auditing LogonType:10", "Remote desktop logons"),
+    Hunt("network-logons", "lateral", "T1021.002", "EventID:4624 Provider:*Security-Auditing LogonType:3 -TargetUserName:*$", "Network logons of users"),
+    Hunt("explicit-credentials", "lateral", "T1078", "EventID:4648 Provider:*Security-Auditing", "Logon with explicit credentials"),
+    Hunt("share-access", "lateral", "T1021.002", "EventID:5140 Provider:*Security-Auditing OR EventID:5145 Provider:*Security-Auditing", "Share access"),
+    Hunt("psexec-service", "lateral", "T1569.002", 'EventID:7045 Provider:"Service Control Manager" ImagePath:*psexesvc*', "PsExec service"),
+    Hunt("new-services", "persistence", "T1543.003", 'EventID:7045 Provider:"Service Control Manager" OR EventID:4697 Provider:*Security-Auditing', "New services"),
+    Hunt("new-tasks", "persistence", "T1053.005", "EventID:4698 Provider:*Security-Auditing", "New scheduled tasks"),
+    Hunt("new-accounts", "persistence", "T1136", "EventID:4720 Provider:*Security-Auditing", "New accounts"),
     Hunt("net-user-add", "persistence", "T1136.001", 'CommandLine:*net*user*/add*', "Account added on the command line"),
     Hunt("encoded-command", "execution", "T1059.001", "process:* CommandLine:*-enc*", "Encoded command line"),
-    Hunt("script-base64", "execution", "T1059.001", "EventID:4104 ScriptBlockText:*FromBase64String*", "Base64 in script blocks"),
+    Hunt("script-base64", "execution", "T1059.001", "EventID:4104 Provider:*PowerShell ScriptBlockText:*FromBase64String*", "Base64 in script blocks"),
     Hunt("office-child", "execution", "T1204.002", "parent:*winword.exe OR parent:*excel.exe", "Process under Office"),
     Hunt("temp-process", "execution", "T1204", "process:*\\Temp\\*", "Process from a temp folder"),
-    Hunt("log-cleared", "evasion", "T1070.001", "EventID:1102 OR EventID:104", "Event log cleared"),
-    Hunt("audit-change", "evasion", "T1562.002", "EventID:4719", "Audit policy changed"),
+    Hunt("log-cleared", "evasion", "T1070.001", "EventID:1102 Provider:*Eventlog OR EventID:104 Provider:*Eventlog", "Event log cleared"),
+    Hunt("audit-change", "evasion", "T1562.002", "EventID:4719 Provider:*Security-Auditing", "Audit policy changed"),
     Hunt("rundll32", "evasion", "T1218.011", "process:*\\rundll32.exe", "Rundll32"),
     Hunt("whoami", "discovery", "T1033", "CommandLine:*whoami*", "Whoami"),
-    Hunt("special-privileges", "initial", "T1078", "EventID:4672 -SubjectUserName:system", "Special privileges"),
-    Hunt("high-port", "c2", "T1571", "EventID:3 DestinationPort:>49151", "Connection to a high port"),
-    Hunt("locked-accounts", "credential", "T1110.002", "EventID:4740", "Accounts locked out"),
-    Hunt("failed-admin", "credential", "T1110", "EventID:4625 TargetUserName:admin*", "Failed logons of administrators"),
-    Hunt("failed-disabled", "credential", "T1110", 'EventID:4625 SubStatus:"Account disabled"', "Failed logons, disabled account"),
-    Hunt("failed-from-net", "credential", "T1110.003", "EventID:4625 LogonType:3", "Failed network logons"),
-    Hunt("failed-rdp", "credential", "T1110.001", "EventID:4625 LogonType:10", "Failed remote desktop logons"),
-    Hunt("preauth-failed", "credential", "T1558", "EventID:4771", "Kerberos pre-authentication failed"),
+    Hunt("special-privileges", "initial", "T1078", "EventID:4672 Provider:*Security-Auditing -SubjectUserName:system", "Special privileges"),
+    Hunt("high-port", "c2", "T1571", "EventID:3 Provider:*Sysmon DestinationPort:>49151", "Connection to a high port"),
+    Hunt("locked-accounts", "credential", "T1110.002", "EventID:4740 Provider:*Security-Auditing", "Accounts locked out"),
+    Hunt("failed-admin", "credential", "T1110", "EventID:4625 Provider:*Security-Auditing TargetUserName:admin*", "Failed logons of administrators"),
+    Hunt("failed-disabled", "credential", "T1110", 'EventID:4625 Provider:*Security-Auditing SubStatus:"Account disabled"', "Failed logons, disabled account"),
+    Hunt("failed-from-net", "credential", "T1110.003", "EventID:4625 Provider:*Security-Auditing LogonType:3", "Failed network logons"),
+    Hunt("failed-rdp", "credential", "T1110.001", "EventID:4625 Provider:*Security-Auditing LogonType:10", "Failed remote desktop logons"),
+    Hunt("preauth-failed", "credential", "T1558", "EventID:4771 Provider:*Security-Auditing", "Kerberos pre-authentication failed"),
     Hunt("sam-save", "credential", "T1003.002", "CommandLine:*reg*save*sam*", "SAM hive saved on the command line"),
     Hunt("ntds-copy", "credential", "T1003.003", "CommandLine:*ntds.dit* OR CommandLine:*ntdsutil*", "NTDS database copied"),
     Hunt("minidump", "credential", "T1003.001", "CommandLine:*comsvcs*minidump*", "Memory dump by comsvcs"),
     Hunt("vault-list", "credential", "T1555", "CommandLine:*vaultcmd*list* OR CommandLine:*cmdkey*list*", "Stored credentials listed"),
     Hunt("password-search", "credential", "T1552.001", "CommandLine:*findstr*password*", "Search for passwords in files"),
-    Hunt("run-keys", "persistence", "T1547.001", "EventID:13 TargetObject:*\\CurrentVersion\\Run*", "Run keys written"),
-    Hunt("wmi-subscription", "persistence", "T1546.003", "EventID:5861 OR EventID:19 OR EventID:20 OR EventID:21", "WMI subscriptions"),
-    Hunt("group-member", "persistence", "T1098", "EventID:4728 OR EventID:4732 OR EventID:4756", "Members added to groups"),
-    Hunt("password-reset", "persistence", "T1098", "EventID:4724", "Passwords reset by others"),
-    Hunt("account-enabled", "persistence", "T1098", "EventID:4722", "Accounts enabled"),
-    Hunt("account-changed", "persistence", "T1098", "EventID:4738", "Accounts changed"),
-    Hunt("task-changed", "persistence", "T1053.005", "EventID:4702", "Scheduled tasks changed"),
+    Hunt("run-keys", "persistence", "T1547.001", "EventID:13 Provider:*Sysmon TargetObject:*\\CurrentVersion\\Run*", "Run keys written"),
+    Hunt("wmi-subscription", "persistence", "T1546.003", "EventID:5861 Provider:*WMI-Activity OR EventID:19 Provider:*Sysmon OR EventID:20 Provider:*Sysmon OR EventID:21 Provider:*Sysmon", "WMI subscriptions"),
+    Hunt("group-member", "persistence", "T1098", "EventID:4728 Provider:*Security-Auditing OR EventID:4732 Provider:*Security-Auditing OR EventID:4756 Provider:*Security-Auditing", "Members added to groups"),
+    Hunt("password-reset", "persistence", "T1098", "EventID:4724 Provider:*Security-Auditing", "Passwords reset by others"),
+    Hunt("account-enabled", "persistence", "T1098", "EventID:4722 Provider:*Security-Auditing", "Accounts enabled"),
+    Hunt("account-changed", "persistence", "T1098", "EventID:4738 Provider:*Security-Auditing", "Accounts changed"),
+    Hunt("task-changed", "persistence", "T1053.005", "EventID:4702 Provider:*Security-Auditing", "Scheduled tasks changed"),
     Hunt("schtasks-create", "persistence", "T1053.005", "process:*\\schtasks.exe CommandLine:*/create*", "Task created on the command line"),
     Hunt("sc-create", "persistence", "T1543.003", "process:*\\sc.exe CommandLine:*create*", "Service created on the command line"),
-    Hunt("service-in-temp", "persistence", "T1543.003", "EventID:7045 ImagePath:*\\temp\\*", "Service from a temp folder"),
-    Hunt("service-by-shell", "persistence", "T1543.003", "EventID:7045 ImagePath:*cmd* OR EventID:7045 ImagePath:*powershell*", "Service that starts a shell"),
+    Hunt("service-in-temp", "persistence", "T1543.003", 'EventID:7045 Provider:"Service Control Manager" ImagePath:*\\temp\\*', "Service from a temp folder"),
+    Hunt("service-by-shell", "persistence", "T1543.003", 'EventID:7045 Provider:"Service Control Manager" ImagePath:*cmd* OR EventID:7045 Provider:"Service Control Manager" ImagePath:*powershell*', "Service that starts a shell"),
     Hunt("web-shell", "persistence", "T1505.003", "parent:*\\w3wp.exe", "Process under the web server"),
-    Hunt("office-addin", "persistence", "T1137", "EventID:11 TargetFilename:*\\STARTUP\\*", "File in a startup folder"),
-    Hunt("accessibility", "persistence", "T1546.008", "EventID:13 TargetObject:*sethc.exe* OR EventID:13 TargetObject:*utilman.exe*", "Accessibility programs replaced"),
+    Hunt("office-addin", "persistence", "T1137", "EventID:11 Provider:*Sysmon TargetFilename:*\\STARTUP\\*", "File in a startup folder"),
+    Hunt("accessibility", "persistence", "T1546.008", "EventID:13 Provider:*Sysmon TargetObject:*sethc.exe* OR EventID:13 Provider:*Sysmon TargetObject:*utilman.exe*", "Accessibility programs replaced"),
     Hunt("bits-job", "persistence", "T1197", "CommandLine:*bitsadmin*transfer*", "BITS transfer"),
-    Hunt("computer-account", "persistence", "T1136.002", "EventID:4741", "New computer accounts"),
-    Hunt("defender-off", "evasion", "T1562.001", "EventID:5001 OR EventID:5010", "Defender switched off"),
+    Hunt("computer-account", "persistence", "T1136.002", "EventID:4741 Provider:*Security-Auditing", "New computer accounts"),
+    Hunt("defender-off", "evasion", "T1562.001", "EventID:5001 Provider:*Defender OR EventID:5010 Provider:*Defender", "Defender switched off"),
     Hunt("defender-exclusion", "evasion", "T1562.001", "CommandLine:*Add-MpPreference*Exclusion*", "Defender exclusion added"),
     Hunt("firewall-off", "evasion", "T1562.004", "CommandLine:*netsh*firewall*off*", "Firewall switched off"),
     Hunt("wevtutil", "evasion", "T1070.001", "CommandLine:*wevtutil*cl*", "Log cleared on the command line"),
-    Hunt("clock-moved", "evasion", "T1070.006", "EventID:4616", "Clock moved"),
-    Hunt("self-delete", "evasion", "T1070.004", "CommandLine:*ping*del*", "Delayed deletion"),
+    Hunt("clock-moved", "evasion", "T1070.006", "EventID:4616 Provider:*Security-Auditing", "Clock moved"),
+    Hunt("self-delete", "evasion", "T1070.004", 'process:*\\cmd.exe CommandLine:*ping* CommandLine:"*del *"', "Delayed deletion"),
     Hunt("mshta", "evasion", "T1218.005", "process:*\\mshta.exe", "Mshta"),
     Hunt("regsvr32", "evasion", "T1218.010", "process:*\\regsvr32.exe", "Regsvr32"),
     Hunt("msiexec-url", "evasion", "T1218.007", "process:*\\msiexec.exe CommandLine:*http*", "Msiexec from the web"),
     Hunt("certutil", "evasion", "T1140", "CommandLine:*certutil*decode* OR CommandLine:*certutil*urlcache*", "Certutil decodes or fetches"),
-    Hunt("remote-thread", "evasion", "T1055", "EventID:8", "Threads in other processes"),
+    Hunt("remote-thread", "evasion", "T1055", "EventID:8 Provider:*Sysmon", "Threads in other processes"),
     Hunt("caret-command", "evasion", "T1027", "CommandLine:*^*^*^*", "Command line full of carets"),
     Hunt("hidden-files", "evasion", "T1564.001", "CommandLine:*attrib*+h*", "Files hidden"),
-    Hunt("unsigned-load", "evasion", "T1574.002", "EventID:7 Signed:false", "Unsigned libraries loaded"),
+    Hunt("unsigned-load", "evasion", "T1574.002", "EventID:7 Provider:*Sysmon Signed:false", "Unsigned libraries loaded"),
     Hunt("winrm-host", "lateral", "T1021.006", "parent:*\\wsmprovhost.exe", "Process under WinRM"),
     Hunt("wmi-process", "lateral", "T1047", "parent:*\\wmiprvse.exe", "Process under WMI"),
     Hunt("wmic-node", "lateral", "T1047", "CommandLine:*wmic*/node:*", "Wmic on another host"),
     Hunt("admin-share", "lateral", "T1021.002", "ShareName:*ADMIN$ OR ShareName:*C$", "Administrative shares"),
-    Hunt("rdp-reconnect", "lateral", "T1021.001", "EventID:4778 OR EventID:25", "Remote desktop sessions resumed"),
-    Hunt("new-credentials", "lateral", "T1550.002", "EventID:4624 LogonType:9", "Logons with new credentials"),
-    Hunt("ntlm-logon", "lateral", "T1550", "EventID:4624 AuthenticationPackageName:NTLM LogonType:3", "NTLM logons over the network"),
+    Hunt("rdp-reconnect", "lateral", "T1021.001", "EventID:4778 Provider:*Security-Auditing OR EventID:25 Provider:*TerminalServices-LocalSessionManager", "Remote desktop sessions resumed"),
+    Hunt("new-credentials", "lateral", "T1550.002", "EventID:4624 Provider:*Security-Auditing LogonType:9", "Logons with new credentials"),
+    Hunt("ntlm-logon", "lateral", "T1550", "EventID:4624 Provider:*Security-Auditing AuthenticationPackageName:NTLM LogonType:3", "NTLM logons over the network"),
     Hunt("psexec-run", "lateral", "T1570", "process:*psexec* OR CommandLine:*psexec*", "PsExec run"),
     Hunt("cmd-run", "execution", "T1059.003", "process:*\\cmd.exe", "Command shell"),
     Hunt("script-host", "execution", "T1059.005", "process:*\\wscript.exe OR process:*\\cscript.exe", "Script hosts"),
     Hunt("download-cradle", "execution", "T1059.001", "CommandLine:*DownloadString* OR ScriptBlockText:*DownloadString*", "Download in PowerShell"),
     Hunt("hidden-window", "execution", "T1059.001", "CommandLine:*-w*hidden*", "Hidden PowerShell window"),
     Hunt("web-fetch", "c2", "T1105", "CommandLine:*curl*http* OR CommandLine:*wget*http*", "Fetch from the web"),
-    Hunt("long-dns", "c2", "T1071.004", "EventID:22 QueryName:*.onion*", "Lookups of hidden services"),
+    Hunt("onion-lookups", "c2", "T1071.004", "EventID:22 Provider:*Sysmon QueryName:*.onion*", "Lookups of hidden services"),
     Hunt("tunnel", "c2", "T1572", "CommandLine:*plink*-R* OR CommandLine:*ssh*-R*", "Reverse tunnels"),
     Hunt("remote-tools", "c2", "T1219", "process:*anydesk* OR process:*teamviewer*", "Remote control tools"),
     Hunt("net-user", "discovery", "T1087", "CommandLine:*net*user* -CommandLine:*/add*", "Accounts listed"),
     Hunt("nltest", "discovery", "T1482", "process:*\\nltest.exe", "Domain trusts listed"),
     Hunt("systeminfo", "discovery", "T1082", "CommandLine:*systeminfo*", "System information"),
-    Hunt("group-listing", "discovery", "T1069", "EventID:4798 OR EventID:4799", "Group members listed"),
+    Hunt("group-listing", "discovery", "T1069", "EventID:4798 Provider:*Security-Auditing OR EventID:4799 Provider:*Security-Auditing", "Group members listed"),
     Hunt("netstat", "discovery", "T1049", "CommandLine:*netstat* OR CommandLine:*net*session*", "Connections listed"),
     Hunt("office-script", "initial", "T1566.001", "parent:*winword.exe process:*powershell* OR parent:*winword.exe CommandLine:*powershell*", "PowerShell under Office"),
     Hunt("web-server-child", "initial", "T1190", "parent:*\\httpd.exe OR parent:*\\tomcat*", "Process under a web server"),
-    Hunt("rdp-from-outside", "initial", "T1133", "EventID:4624 LogonType:10 -IpAddress:10.* -IpAddress:192.168.*", "Remote desktop from outside"),
+    Hunt("rdp-from-outside", "initial", "T1133", "EventID:4624 Provider:*Security-Auditing LogonType:10 -IpAddress:10.* -IpAddress:192.168.*", "Remote desktop from outside"),
     Hunt("shadow-delete", "impact", "T1490", "CommandLine:*vssadmin*delete* OR CommandLine:*wmic*shadowcopy*delete*", "Shadow copies deleted"),
     Hunt("recovery-off", "impact", "T1490", "CommandLine:*bcdedit*recoveryenabled*no*", "Recovery switched off"),
-    Hunt("accounts-deleted", "impact", "T1485", "EventID:4726", "Accounts deleted"),
-    Hunt("service-stop", "impact", "T1489", "CommandLine:*net*stop* OR CommandLine:*sc*stop*", "Services stopped"),
-    Hunt("shutdown", "impact", "T1529", "EventID:1074 OR CommandLine:*shutdown*/s*", "Shutdowns"),
-    Hunt("ransom-note", "impact", "T1486", "EventID:11 TargetFilename:*readme*decrypt*", "Ransom notes"),
-]
+    Hunt("accounts-deleted", "impact", "T1485", "EventID:4726 Provider:*Security-Auditing", "Accounts deleted"),
+    Hunt("service-stop", "impact", "T1489", 'process:*\\net.exe CommandLine:"* stop *" OR process:*\\net1.exe CommandLine:"* stop *" OR process:*\\sc.exe CommandLine:"* stop *"', "Services stopped"),
+    Hunt("shutdown", "impact", "T1529", "EventID:1074 Provider:User32 OR CommandLine:*shutdown*/s*", "Shutdowns"),
+    Hunt("ransom-note", "impact", "T1486", "EventID:11 Provider:*Sysmon TargetFilename:*readme*decrypt*", "Ransom notes"),]
 
 
 def read_hunts(spark: SparkSession, path: str) -> list[Hunt]:
