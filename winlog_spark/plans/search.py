@@ -77,10 +77,11 @@ def free_text(value: str, ed: str | Column = "ed") -> Column:
     return hit | has(decoded_text(ed)) if any(needle in label.lower() for label in LABELS) else hit
 
 
-def header_text(kind: str) -> Column:
+def header_text(kind: str, name: Column | None = None) -> Column:
+    """A header field as text; name: a column with the events' names, instead of the built-in ones."""
     c = {"eventid": F.col("event_id"), "level": F.col("level"), "record": F.col("record_id")}.get(kind)
     if kind == "name":
-        c = event_name(F.col("event_id"), F.col("provider"))
+        c = event_name(F.col("event_id"), F.col("provider")) if name is None else name
     return F.coalesce((F.col(kind) if c is None else c).cast("string"), F.lit(""))
 
 
@@ -99,14 +100,14 @@ def decoded_pairs(ed: str | Column = "ed", names: list[str] | None = None) -> Co
     return F.transform(some, lambda p: F.struct(F.lower(p["name"]).alias("name"), p["value"].alias("value"), decode_value(p["name"], p["value"]).alias("meaning")))
 
 
-def clause_column(c: Clause, hay: Column | None = None, pairs: Column | None = None) -> Column:
+def clause_column(c: Clause, hay: Column | None = None, pairs: Column | None = None, names: Column | None = None) -> Column:
     """True or false for every event, never null: an absent field doesn't match, so a negated clause on it does."""
     if c.field is None:
         hit = free_text(c.value) if hay is None else hay.contains(c.value.lower())
     else:
         name, test = c.field.lower(), _value_test(c)
         if name in HEADER_FIELDS:
-            hit = test(header_text(HEADER_FIELDS[name]))
+            hit = test(header_text(HEADER_FIELDS[name], names))
         else:
             keys = MULTI_FIELDS.get(name, [name])
             named = F.filter(decoded_pairs() if pairs is None else pairs, lambda p: p["name"].isin(keys))
@@ -115,12 +116,12 @@ def clause_column(c: Clause, hay: Column | None = None, pairs: Column | None = N
     return ~hit if c.negate else hit
 
 
-def groups_column(groups: list[list[Clause]], hay: Column | None = None, pairs: Column | None = None) -> Column:
+def groups_column(groups: list[list[Clause]], hay: Column | None = None, pairs: Column | None = None, names: Column | None = None) -> Column:
     """OR of ANDs; no groups select everything. Clauses on header fields come first in a group, as they are cheap and reach the scan."""
     if not groups:
         return F.lit(True)
     cheap = lambda c: c.field is None or c.field.lower() not in HEADER_FIELDS
-    return reduce(Column.__or__, [reduce(Column.__and__, [clause_column(c, hay, pairs) for c in sorted(g, key=cheap)], F.lit(True)) for g in groups])
+    return reduce(Column.__or__, [reduce(Column.__and__, [clause_column(c, hay, pairs, names) for c in sorted(g, key=cheap)], F.lit(True)) for g in groups])
 
 
 _TERM = re.compile(r'(?P<neg>-)?(?:(?P<field>[A-Za-z_][\w.]*):)?(?P<cmp>>=|<=|>|<)?(?:"(?P<quoted>(?:[^"\\]|\\.)*)"|(?P<bare>\S+))')
@@ -149,17 +150,19 @@ def search(events: DataFrame, groups: list[list[Clause]] | str) -> DataFrame:
     """The events that a search selects.
 
     What the clauses on header fields leave is filtered first, at the scan where it can be. The other clauses look at the
-    pairs that they name, which are decoded once for all of them.
+    pairs that they name, which are decoded once for all of them. Where events have a column event_name, clauses on the
+    name look at it.
     """
+    own = F.col("event_name") if "event_name" in events.columns else None
     groups = clauses(groups) if isinstance(groups, str) else groups
     head = [[c for c in g if c.field and c.field.lower() in HEADER_FIELDS] for g in groups]
-    out = events.where(groups_column(head)) if all(head) else events
+    out = events.where(groups_column(head, names=own)) if all(head) else events
     if head == groups:
         return out
     names = _pair_names(groups)
     with_pairs = out.withColumn("_pairs", decoded_pairs(names=names)) if names else out
     # as a generator, which keeps the pairs from being put into the predicate once for each clause
-    kept = F.explode(F.filter(F.array(F.lit(True)), lambda _: groups_column(groups, pairs=F.col("_pairs"))))
+    kept = F.explode(F.filter(F.array(F.lit(True)), lambda _: groups_column(groups, pairs=F.col("_pairs"), names=own)))
     return with_pairs.withColumn("_kept", kept).select(events.columns)
 
 

@@ -15,7 +15,7 @@ from .functions import decode, describe, fields, names, times
 from .operators import detect, facets, findings, hunts, logsource, packed, pivots, sessions, timeline
 from .plans import search, timewin, tree
 from .schema import as_event_log, event_log_sql
-from .sources import case, export, logs, store, xml
+from .sources import case, export, logs, manifest, store, xml
 from .streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,6 +258,30 @@ add("io13_stored_search", lambda e: store.search_stored(e.sparkSession, _in_stor
 add("f9_text_index", _text_search, f"SELECT g, event_id FROM ev WHERE contains({FREE}, 'whoami')")
 
 
+def _manifests(e: DataFrame) -> DataFrame:
+    """A manifest for each provider of the events, with an entry for each of its kinds but one, in the XML that providers come with."""
+    kinds = e.where("event_id <> 4634").select("provider", "channel", "event_id", F.explode("ed.name").alias("n")).groupBy("provider", "channel", "event_id").agg(F.array_sort(F.collect_set("n")).alias("ns"))
+    data = F.array_join(F.transform("ns", lambda n: F.concat(F.lit("<data name='"), n, F.lit("' inType='win:UnicodeString'/>"))), "")
+    i = F.col("event_id").cast("string")
+    template = F.concat(F.lit("<template tid='t"), i, F.lit("'>"), data, F.lit("</template>"))
+    event = F.concat(F.lit("<event value='"), i, F.lit("' version='1' channel='c"), i, F.lit("' template='t"), i, F.lit("' message='$(string.m"), i, F.lit(")'/><event value='"), i, F.lit("' version='0' symbol='OLD'/>"))
+    channel = F.concat(F.lit("<channel chid='c"), i, F.lit("' name='"), F.col("channel"), F.lit("'/>"))
+    said = F.concat(F.lit("<string id='m"), i, F.lit("' value='Kind "), i, F.lit(" was seen.%n%nMore of it'/>"))
+    parts = [F.array_join(F.array_sort(F.collect_list(c)), "") for c in (channel, template, event, said)]
+    doc = kinds.groupBy("provider").agg(*[p.alias(f"p{k}") for k, p in enumerate(parts)])
+    return doc.select(F.concat(F.lit("<instrumentationManifest xmlns='urn:m'><instrumentation><events><provider name='"), "provider", F.lit("'><channels>"), "p0", F.lit("</channels><templates>"), "p1", F.lit("</templates><events>"), "p2", F.lit("</events></provider></events></instrumentation><localization><resources culture='en-US'><stringTable>"), "p3", F.lit("</stringTable></resources></localization></instrumentationManifest>")).alias("value"))
+
+
+def _described(e: DataFrame) -> DataFrame:
+    return manifest.with_manifest(e, manifest.read_manifests(_manifests(e)))
+
+
+add("p2_manifest_names", lambda e: _described(e).select("g", "event_name", F.size("event_fields").alias("fields")), "SELECT g, CASE WHEN event_id <> 4634 THEN 'Kind ' || event_id || ' was seen' END AS event_name, n.fields FROM ev LEFT JOIN (SELECT event_id AS i, count(DISTINCT p.name)::INT AS fields FROM (SELECT event_id, unnest(ed) AS p FROM ev) WHERE event_id <> 4634 GROUP BY 1) n ON n.i = event_id")
+add("p2_search_by_manifest_name", lambda e: search.search(_described(e), 'name:"kind 4625 was seen" OR name:*7045* computer:WS-1').select("g"), "SELECT g FROM ev WHERE event_id = 4625 OR event_id = 7045 AND computer = 'WS-1'")
+add("p3_manifest_summary", lambda e: _described(e).select("g", manifest.manifest_summary(3).alias("summary")), "SELECT g, array_to_string(list_transform((CASE WHEN event_id = 4634 THEN f ELSE list_sort(f) END)[1:3], lambda p: p.name || '=' || p.value), ' | ') AS summary FROM (SELECT g, event_id, list_filter(ed, lambda p: p.value <> '') AS f FROM ev)")
+add("p17_manifest_reference", lambda e: pivots.unknown_types(e, manifest.reference(manifest.read_manifests(_manifests(e)))), "SELECT lower(channel) AS channel, event_id, count(*) AS n FROM ev WHERE event_id = 4634 GROUP BY ALL")
+
+
 # --- findings and hunts -----------------------------------------------------------
 
 add("x2_x5_findings", findings.stateless_findings, "SELECT finding_key, severity, g FROM fnd", _FINDINGS)
