@@ -154,7 +154,7 @@ def test_each_hunt_selects_its_events_and_no_others(spark):
                         event_id = int(value)
                     elif kind:
                         head[kind] = value
-                    else:
+                    elif c is not left_out:
                         pairs[search.MULTI_FIELDS.get(c.field.lower(), [c.field])[0]].append(value)
                 if left_out is not None and left_out.negate:
                     pairs[left_out.field].append(fill(left_out))

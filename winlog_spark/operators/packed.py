@@ -289,7 +289,7 @@ def event_keys(rows: DataFrame, keys: set[Key]) -> DataFrame:
     """rows once for each key (_f, _way, _text) of its values, of the ways and lengths that the given keys have; _v is the value in lower case."""
     spark = rows.sparkSession
     ways = sorted({(f, way, len(text) if way != "=" else 0) for f, way, text in keys})
-    cuts = F.broadcast(table(spark, ways, "_f string, _way string, _n int"))
+    cuts = bounded(table(spark, ways, "_f string, _way string, _n int"), len(ways))
     n, v = F.col("_n"), F.col("_v")
     piece = F.array()
     for size in sorted({k for _, way, k in ways if way == "~"}):
