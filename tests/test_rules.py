@@ -4,10 +4,11 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from conftest import DATA
 from test_events import events
 
 from winlog_spark.operators import detect, packed, rules
-from winlog_spark.queries import BROKEN, RULES, SPECS, ev
+from winlog_spark.queries import BROKEN, RULES, SPECS, compiled, dealt_ev, ev
 from winlog_spark.schema import SECURITY, SYSMON
 from winlog_spark.sources import logs
 
@@ -185,3 +186,17 @@ def test_classic_lines_in_both_ways(spark):
     e = events(spark, (400, "PowerShell", [("Data1", "HostName=ConsoleHost\nEngine Version=2.0")], {"channel": "Windows PowerShell"}), (400, "PowerShell", [("Data1", "EngineVersion=5.1")], {"channel": "Windows PowerShell"}))
     some = [rules.compile_rule({"title": "t", "id": "t", "logsource": {"product": "windows", "category": "ps_classic_start"}, "detection": {"s": {"EngineVersion|startswith": "2."}, "condition": "s"}})]
     assert [list(map(tuple, d.collect())) for d in (packed.detect_packed(e, some), detect.detect(e, some))] == [[("t", 0)]] * 2
+
+
+def test_events_are_taken_apart_once(spark):
+    # Spark puts a filter on an array's size below an inner explode and makes the array, and all it is made of, once more there
+    e = ev(spark, str(DATA))
+    some = compiled()[:3]
+    keys = packed.event_keys(packed._with_values(e, packed.Pack(some)), {k[:3] for k in packed.Pack(some).index})
+    for rows in (keys, detect.detect(e, some, gated=False)):
+        assert "size(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_files_are_dealt_over_all_cores(spark):
+    assert dealt_ev(spark, str(DATA)).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert dealt_ev(spark, str(DATA)).exceptAll(ev(spark, str(DATA))).count() == 0
