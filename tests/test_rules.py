@@ -197,6 +197,13 @@ def test_events_are_taken_apart_once(spark):
         assert "size(" not in rows._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_gated_plan_stays_small(spark):
+    # a test of a value that is pushed down to the scan writes out all that the value is made of
+    e = ev(spark, str(DATA))
+    for r in compiled()[:6]:
+        assert len(detect.detect(e, [r], gated=True)._jdf.queryExecution().optimizedPlan().toString()) < 2 * len(detect.detect(e, [r], gated=False)._jdf.queryExecution().optimizedPlan().toString()) + 20_000
+
+
 def test_few_files_are_dealt_over_all_cores(spark):
     assert dealt_ev(spark, str(DATA)).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
     assert dealt_ev(spark, str(DATA)).exceptAll(ev(spark, str(DATA))).count() == 0
