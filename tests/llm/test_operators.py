@@ -10,6 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from winlog_spark.llm import common, ctw, dedup, kdtree, langid, mixing, neardup, packing, quality, sharding, substring
@@ -645,3 +646,9 @@ def test_near_duplicates_on_awkward_rows(spark, clash):
     assert {(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (8, 1, 8, True), (9, 1, 8, False), (None, 1, None, True), (6, 1, 6, True)} <= set(out)
     assert neardup.near_duplicates(clash.limit(0)).count() == 0
     assert neardup.drop_near_duplicates(clash).columns == clash.columns
+
+
+def test_op5_is_nowhere_far_below_its_base(spark):
+    out = ctw.op5_lm(spark, str(DATA)).toPandas()
+    assert np.isfinite(out.score).all() and (out.score >= out.base_score - 0.302).all() and (out.score >= out.tree_score - 0.302).all()
+    assert (out.score < 0).all() and (out.tree_score < out.base_score - 1)[out.held_out].any()

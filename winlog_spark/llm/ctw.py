@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Tally, blocks, checkpointed, counted, crc_bucket, documents, words
@@ -292,8 +292,19 @@ def lm_scores(docs: DataFrame, train: DataFrame, id: str = "doc_id", text: str =
     return out.select(F.col("id").alias(id), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
 
 
+def mixed(base: Column, tree: Column) -> Column:
+    """log10 of half the base's probability and half the trees', so never more than log10(2) below either.
+
+    The base tells unknown words from known ones only, while the trees spell them. Both give at most the probability of the
+    text as a sequence of V words and the one class of unknown words, and so does their mean.
+    """
+    high, low = F.greatest(base, tree), F.least(base, tree)
+    return high + F.log10(1 + F.pow(F.lit(10.0), low - high)) - F.log10(F.lit(2.0))
+
+
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = lm_scores(docs, docs.where(crc_bucket(F.col("doc_id"), 7) != 2))
     held = (crc_bucket(F.col("doc_id"), 7) == 2).alias("held_out")
-    return out.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    score = mixed(F.col("base_score"), F.col("score"))
+    return out.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", score.alias("score"), "bits_per_byte", F.col("score").alias("tree_score"))
