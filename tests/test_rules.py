@@ -8,7 +8,7 @@ from conftest import DATA
 from test_events import events
 
 from winlog_spark.operators import detect, packed, rules
-from winlog_spark.queries import BROKEN, RULES, SPECS, compiled, dealt_ev, ev
+from winlog_spark.queries import BROKEN, QUERIES, RULES, SPECS, compiled, dealt_ev, ev
 from winlog_spark.schema import SECURITY, SYSMON
 from winlog_spark.sources import logs
 
@@ -207,3 +207,8 @@ def test_gated_plan_stays_small(spark):
 def test_few_files_are_dealt_over_all_cores(spark):
     assert dealt_ev(spark, str(DATA)).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
     assert dealt_ev(spark, str(DATA)).exceptAll(ev(spark, str(DATA))).count() == 0
+
+
+def test_xml_is_parsed_once(spark):
+    plan = QUERIES["io3_event_data"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("from_xml(") + plan.lower().count("xmltostructs(") == 1 and "size(" not in plan.split("Generate")[0]
