@@ -67,3 +67,9 @@ def test_files_without_a_text_are_not_read(spark, tmp_path):
         out, n = store.search_texts(spark, name, index, text)
         assert as_set(out) == as_set(search.search(spark.table(name), [[search.Clause(text)]])), text
         assert (n is None) == (most is None) and (n is None or n <= most * total)
+
+
+def test_text_index_makes_each_text_once(spark, tmp_path):
+    events(spark, (1, SECURITY, [("CommandLine", "whoami")])).write.parquet(str(tmp_path / "e"))
+    index = store.text_index(spark.read.parquet(str(tmp_path / "e")))
+    assert "size(" not in index._jdf.queryExecution().optimizedPlan().toString() and index.count() > 0
