@@ -621,6 +621,35 @@ def test_near_copies_around_the_limit(spark):
     assert got == want and len({c for _, _, c in want}) > 20
 
 
+def near_group(seed, n=300, length=120):
+    """Copies of a text with a few words of their own each, up to well beyond the limit, the text itself last."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(length)]
+    out = []
+    for i in range(n):
+        copy = base[:]
+        for j in rng.sample(range(length), 1 + i % 8):
+            copy[j] = f"z{rng.randrange(10**9)}"
+        out.append(" ".join(copy))
+    return list(enumerate([*out, " ".join(base)]))
+
+
+def test_near_copies_hang_on_their_original(spark, monkeypatch):
+    """The hub of a group is the text it stems from, though copies of smaller ids have its signature: few pairs are left for the last join."""
+    left = []
+    first = neardup._sharing_rare
+
+    def counted(*args):
+        left.append(first(*args).count())
+        return first(*args)
+
+    monkeypatch.setattr(neardup, "_sharing_rare", counted)
+    rows = near_group(1)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows, 5, 80)
+    assert left[0] < len(rows)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_components(spark, seed):
     rng = random.Random(seed)

@@ -118,6 +118,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, tasks: int) -> Da
     return near.select(pairs.columns).coalesce(tasks)
 
 
+def _central(nodes: DataFrame, sets: DataFrame, tasks: int) -> DataFrame:
+    """(node, id, w) of nodes(node, id, n): how near a set is to the sum of all sets it shares shingles with, as the cosine of both but for a common factor.
+
+    Of a group of copies the text they stem from has the greatest: each change puts rare shingles in the place of common ones.
+    """
+    each = sets.select("node", F.explode("set").alias("shingle"))
+    df = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1").coalesce(tasks)
+    met = each.join(df, "shingle").groupBy("node").agg(F.sum("df").alias("met"))
+    return nodes.join(met.coalesce(tasks), "node", "left").select("node", "id", (F.coalesce("met", F.lit(0)) / F.sqrt("n")).alias("w"))
+
+
 def _sharing_rare(open_nodes: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
     """Pairs (a, b, ca, cb) of open_nodes(node, c, n) with different c that can be similar enough; n is the size of a node's set.
 
@@ -186,7 +197,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
 
     1. Rows of one shingle set form a class, a node, named by the set's hash.
     2. Each node gives 32 keys: each chunk of its signature with each symbol left open. By pigeonhole, signatures within
-       MOST_ERRORS share a key. Members of a key are paired with its hub, the member whose keys have the most members
+       MOST_ERRORS share a key. Members of a key are paired with its hub, the member nearest to the sum of all sets met
        (of the smallest id, if several); in a group of copies that is the text they stem from or one close to it. Pairs beyond LOOSE_ERRORS go, all others
        are confirmed on full sets, and components follow.
     3. Of keys that still hold several components, all members of different components are joined on rare shingles by
@@ -208,31 +219,32 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     entries = with_member(rep.select("node", keys), F.col("key"), member_bits(shared, "key", KEY_BITS), "in", KEY_BITS).where("in").select("node", "key")
     among = checkpointed(with_groups(entries, ["key"], {"size": ("count", "node")}, salt_of("node"), F.col("size") > 1, "inner"))
     # the nodes met and their shingles are what the rest of the work grows with
-    met = checkpointed(among.groupBy("node").agg(F.sum("size").alias("w")).join(rep.select("node", "id", "n"), "node"))
+    met = stored(among.select("node").distinct().join(rep.select("node", "id", "n"), "node"))
     size = met.agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles")).first()
     tasks = max(tasks_for(size.nodes, 10_000), tasks_for(size.shingles or 0, 2_000_000))
     sets = checkpointed(_full_sets(docs, met.select("node", "id"), id, text, k)).coalesce(tasks)
-    ranked = among.coalesce(tasks).join(met.select("node", "id", "w"), "node").select("key", "node", F.struct(-F.col("w"), "id", "node").alias("_first"))
+    ranked = among.select("key", "node").coalesce(tasks).join(stored(_central(met, sets, tasks)), "node").select("key", "node", F.struct(-F.col("w"), "id", "node").alias("_first"))
     paired = with_groups(ranked, ["key"], {"hub": ("min", "_first")}, salt_of("node"), None, "inner", tasks)
-    pairs = paired.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).where("a <> b").coalesce(tasks).distinct()
+    # what a next step reads several times is written first: plans that hold each other multiply, and the driver keeps them
+    pairs = stored(paired.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).where("a <> b").coalesce(tasks).distinct()).coalesce(tasks)
     x, y = (met.select("node").join(rep, "node").select(F.col("node").alias(i), F.col("n").alias(f"{i}n"), F.col("sig").alias(f"{i}sig")).coalesce(tasks) for i in "ab")
     sized = 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
     # a hub's signature comes once for each of its salts
     pairs = pairs.withColumn("_salt", salt_of("b"))
     hubs = pairs.select("a", "_salt").distinct().join(x, "a").coalesce(tasks)
-    pairs = pairs.join(y, "b").join(hubs, ["a", "_salt"]).where(sized & (_errors(F.col("asig"), F.col("bsig")) <= LOOSE_ERRORS)).select("a", "b")
-    comp = checkpointed(components(confirmed(pairs, sets, percent, tasks), tasks)).coalesce(tasks)
+    pairs = stored(pairs.join(y, "b").join(hubs, ["a", "_salt"]).where(sized & (_errors(F.col("asig"), F.col("bsig")) <= LOOSE_ERRORS)).select("a", "b")).coalesce(tasks)
+    comp = stored(components(confirmed(pairs, sets, percent, tasks), tasks)).coalesce(tasks)
     # keys that still hold several components: their members are compared across components
     placed = among.select("key", "node").coalesce(tasks).join(comp.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     open_keys = with_groups(placed, ["key"], {"lo": ("min", "c"), "hi": ("max", "c")}, salt_of("node"), F.col("lo") < F.col("hi"), "inner", tasks)
-    open_nodes = checkpointed(open_keys.select("node", "c").distinct().join(met.select("node", "n"), "node")).coalesce(tasks)
-    more = confirmed(_sharing_rare(open_nodes, sets, percent, tasks), sets, percent, tasks)
-    merged = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")), tasks)
+    open_nodes = stored(open_keys.select("node", "c").distinct().join(met.select("node", "n"), "node")).coalesce(tasks)
+    more = confirmed(stored(_sharing_rare(open_nodes, sets, percent, tasks)).coalesce(tasks), sets, percent, tasks)
+    merged = stored(components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")), tasks)).coalesce(tasks)
     # (node, component) of all linked nodes, old components renamed, and those that only the last join has linked
     linked = comp.withColumnRenamed("component", "c").join(merged.withColumnRenamed("id", "c"), "c", "left").select(F.col("id").alias("node"), F.coalesce("component", "c").alias("c"))
-    linked = linked.unionByName(merged.select(F.col("id").alias("node"), F.col("component").alias("c"))).distinct()
+    linked = stored(linked.unionByName(merged.select(F.col("id").alias("node"), F.col("component").alias("c"))).distinct()).coalesce(tasks)
     named = with_groups(linked.join(met.select("node", "id"), "node"), ["c"], {"component_id": ("min", "id")}, salt_of("node"), None, "inner", tasks)
-    classes = rep.select("h1", "h2", "node", F.col("id").alias("class_id")).join(named.select("node", "component_id"), "node", "left").select("h1", "h2", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    classes = rep.select("h1", "h2", "node", F.col("id").alias("class_id")).join(stored(named.select("node", "component_id")), "node", "left").select("h1", "h2", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
     salted = live.select("id", "text_hash", "n", "h1", "h2", salt_of("id", "text_hash").alias("_salt"))
     where = salted.select("h1", "h2", "_salt").distinct().join(classes, ["h1", "h2"])
     done = salted.join(where, ["h1", "h2", "_salt"]).select("id", "text_hash", "n", "class_id", "component_id")
