@@ -9,7 +9,7 @@ from itertools import permutations
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_operators import EXTRA, ROWS, SCHEMA, WORD, as_rows, brute_components
+from test_operators import EXTRA, ROWS, SCHEMA, WORD, as_rows, brute_components, near_group
 
 from winlog_spark.llm import audit, setjoin, vectors
 
@@ -121,6 +121,18 @@ def test_set_join_around_the_limit(spark, monkeypatch, cheap, hot):
     assert got == want and len({c for _, _, c in want}) > 20
 
 
+def test_set_join_does_not_try_a_group_against_itself(spark, monkeypatch):
+    """Copies beyond the limit don't meet every member of their group."""
+    met = []
+    for name in ("_met", "_sharing_rare"):
+        if first := getattr(setjoin, name, None):
+            monkeypatch.setattr(setjoin, name, lambda *args, first=first: (met.append(first(*args).count()), first(*args))[1])
+    rows = near_group(2)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in setjoin.similar_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows, 5, 80)
+    assert sum(met) < 10 * len(rows)
+
+
 @pytest.mark.parametrize(("spare", "cheap"), [(6, 1), (0, 0)])
 def test_set_join_of_small_sets(spark, monkeypatch, spare, cheap):
     """Sets of a few shingles of a small vocabulary, of which many share segments; without spare segments many have too few."""

@@ -10,15 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, checkpointed, documents, member_bits, mix, salt_of, stored, tasks_for, text_hash, with_groups, with_member
-from .neardup import _PARTS, _full_sets, _set_hash, components, confirmed, shingle_sets
+from .neardup import _PARTS, _full_sets, _set_hash, _sharing_rare, components, confirmed, shingle_sets
 
 PERCENT = 80
 #: A band's sizes span this much more than the ratio of similar sets, so that a set meets its own band and the next lower one at most.
 BAND = 1.2
 #: Segments beyond those that the greatest distance needs, so that few sets run short of them.
 SPARE = 6
-#: A set whose cheapest whole segments give more candidates than this for each of its shingles is tried with one-deletion neighbourhoods.
-CHEAP = 8
+#: A set whose cheapest segments give more candidates than this for each of its shingles is tried by its rare shingles.
+CHEAP = 1
 #: Bits of a set's sketch for each shingle that its band allows.
 SKETCH_BITS = 4
 #: The bitmap that narrows segment keys before their exact join has 2**KEY_BITS bits (8 MB).
@@ -126,44 +126,6 @@ def _keyed(docs: DataFrame, id: str, text: str, k: int, percent: int) -> DataFra
     return docs.select(F.col(id).alias("id"), text_hash(F.col(text)).alias("text_hash"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text")).mapInArrow(build, schema)
 
 
-def _segments(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, role, band, at, whole, cuts) of nodes(node, role, band): the key of each segment with tokens, and the keys without one of its tokens."""
-    m = band_segments(percent)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, len(b), 256):
-                part = b.slice(i, 256)
-                if not len(part):
-                    continue
-                items, ends = part.column(3), None
-                ends = items.offsets.to_numpy() - items.offsets[0].as_py()
-                flat = items.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                sets_ = [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
-                bands = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-                begin, keys, full, (own, at, total, place) = segment_keys(sets_, bands, m[bands])
-                by = np.argsort(at, kind="stable")
-                cut = _key(total[at] - own, np.repeat(bands, m[bands])[at], place[at])[by]
-                count = np.bincount(at, minlength=len(keys))
-                span = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-                of = np.repeat(np.arange(len(part)), m[bands])
-                lists = pa.ListArray.from_arrays(pa.array(span), pa.array(cut.view(np.int64)))
-                rows = pa.array(of[full])
-                yield pa.RecordBatch.from_arrays([*[part.column(c).take(rows) for c in range(3)], pa.array(place[full].astype(np.int32)), pa.array(keys[full].view(np.int64)), lists.filter(pa.array(full))], names=["node", "role", "band", "at", "whole", "cuts"])
-
-    return nodes.join(sets, "node").select("node", "role", "band", "set").mapInArrow(build, "node long, role int, band int, at int, whole long, cuts array<long>")
-
-
-def _cost(probes: DataFrame, index: DataFrame) -> DataFrame:
-    """probes (key, c, ...) with cost, how many nodes of index (key, c, members) have the key and another component, and members, how many have it."""
-    by = index.groupBy("key", "c").agg(F.count(F.lit(1)).alias("_same"))
-    total = by.groupBy("key").agg(F.sum("_same").alias("members"))
-    salted = probes.withColumn("_salt", salt_of("node"))
-    back = salted.select("key", "c", "_salt").distinct().join(total, "key").join(by, ["key", "c"], "left")
-    cost = F.coalesce("members", F.lit(0)) - F.coalesce("_same", F.lit(0))
-    return salted.join(back, ["key", "c", "_salt"], "left").withColumn("cost", cost).drop("_salt", "_same")
-
-
 def _met(probes: DataFrame, index: DataFrame, percent: int) -> DataFrame:
     """(a, ra, b, rb): probes (key, node, role, c, cs, n, members) with the nodes of index (the same columns) of components of a higher rank, of a size that fits.
 
@@ -198,16 +160,16 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
 
     1. Rows of one shingle set form a class, a node; one row stands for it.
     2. Sizes are cut into bands, and for each band shingles are dealt by hash into segments. Sets that differ in at most
-       H shingles agree on all but H segments; one that asks for H + 1 of them meets every similar set. A segment may be
-       asked for twice: whole, and with one-deletion neighbourhoods on both sides, by which sets that differ there in one
-       shingle meet too; that counts as two. A set meets others of its own band there, and smaller ones in the next lower.
+       H shingles agree on all but H segments; one that asks for H + 1 of them meets every similar set. A set meets others
+       of its own band there, and smaller ones in the next lower.
     3. What to ask for is a matter of cost, which is known beforehand: keys are counted, and a segment whose subset no
        other set has is free. Where free segments are enough, and for most sets they are, nothing is looked up.
     4. Members of a key are paired with its hub, the one whose keys have the most members, and components follow from
        what is confirmed on full sets. From then on a set looks for sets of larger components only.
-    5. Sets that still need more than their free segments take the cheapest: whole ones, or, if those have many
-       members, deletions where they have few. Candidates are sifted by sketches that never overstate how much two sets
-       differ, and what is left is confirmed on full sets.
+    5. Sets that still need more than their free segments take the cheapest. What meets by few members is sifted by
+       sketches that never overstate how much two sets differ. Where the segments have many members, these only say which
+       sets can be similar at all, and sets of different components meet by their rarest shingles and sizes instead: a
+       copy whose own changes exceed the limit meets none. What is left is confirmed on full sets.
     So links that join components are found for certain, by pigeonhole, whatever the similarity of other pairs; a group of
     n copies gives about n pairs, and beyond those only candidates that agree on enough to be near the limit.
 
@@ -252,8 +214,11 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
     costly = opened.where("cost > 0")
     asked = info.drop("sketch").join(costly.groupBy("node", "role").agg(F.count(F.lit(1)).alias("_k")), ["node", "role"], "left").withColumn("costly", F.coalesce("_k", F.lit(0))).withColumn("want", F.col("costly") + F.col("blanks") - F.col("spare")).where("want > 0")
     asked = stored(rank(asked.drop("_k", "id"))).coalesce(tasks)
-    some = _candidates(docs, opened.coalesce(tasks), asked, info.drop("sketch"), rank, id, text, k, percent, tasks) if not asked.isEmpty() else None
-    more = pairs.limit(0) if some is None else _near_by_sketch(stored(some.distinct()), info, percent, tasks)
+    more = pairs.limit(0)
+    if not asked.isEmpty():
+        few, many = _candidates(docs, opened.coalesce(tasks), asked, info.drop("sketch"), rank, id, text, k, percent, tasks)
+        more = _near_by_sketch(stored(few.distinct()), info, percent, tasks)
+        more = more if many is None else more.unionByName(many).distinct()
     more = stored(more).coalesce(tasks)
     late = _linked(docs, more, own, id, text, k, percent)
     of = comp.withColumnRenamed("component", "c")
@@ -287,54 +252,24 @@ def _linked(docs: DataFrame, pairs: DataFrame, own: DataFrame, id: str, text: st
     return stored(confirmed(pairs, sets, percent, tasks))
 
 
-def _candidates(docs: DataFrame, opened: DataFrame, asked: DataFrame, info: DataFrame, rank, id: str, text: str, k: int, percent: int, tasks: int) -> DataFrame:
-    """(a, ra, b, rb): each asked set a with the sets b of larger components that it meets by the segments it takes, and the roles in which they meet."""
+def _candidates(docs: DataFrame, opened: DataFrame, asked: DataFrame, info: DataFrame, rank, id: str, text: str, k: int, percent: int, tasks: int) -> tuple[DataFrame, DataFrame | None]:
+    """(a, ra, b, rb): asked sets a with the sets b of larger components that they meet by the segments they take, and the roles in which they meet; and (a, b) of the sets that would meet too many that way."""
     index = opened.join(info.select("node", "role", "n"), ["node", "role"])
     probes = index.where("cost > 0").join(asked.select("node", "role", "want", "costly"), ["node", "role"])
     probes = stored(_cheapest(probes, [F.col("cost"), F.col("key")], F.col("want")))
     price = probes.groupBy("node", "role").agg(F.sum("cost").alias("price"))
     dear = asked.join(price, ["node", "role"], "left").where((F.col("want") > F.col("costly")) | (F.col("price") > CHEAP * F.col("n")))
-    dear = stored(dear.select("node", "role", "band", "n", "need", "spare", "blanks", "c", "cs")).coalesce(tasks)
-    found = _met(probes.join(dear, ["node", "role"], "left_anti"), index, percent)
+    dear = stored(dear.select("node", "role", "band", "spare", "blanks")).coalesce(tasks)
+    few = _met(probes.join(dear, ["node", "role"], "left_anti"), index, percent)
     if dear.isEmpty():
-        return found
-    # a similar set shares one of those segments with a dear one, as it would have to if they were all that is asked for,
-    # unless the dear one has more empty segments than it can spare
+        return few, None
+    # a similar set has one of the taken segments too, unless the dear one has more empty segments than it can spare
     keys = probes.join(dear.select("node", "role"), ["node", "role"], "left_semi").select("key").distinct()
-    near = index.join(keys, "key", "left_semi").select("node", "role").unionByName(info.join(dear.where("blanks > spare").select("band").distinct(), "band").select("node", "role")).distinct()
-    where = stored(rank(info.join(near, ["node", "role"]).select("node", "id", "role", "band", "n"))).coalesce(tasks)
-    ids = where.select("node", "id").unionByName(dear.join(info.where("role = 0").select("node", "id"), "node").select("node", "id")).distinct()
-    sets = stored(_full_sets(docs, ids, id, text, k)).coalesce(tasks)
-    mine = stored(_segments(dear.select("node", "role", "band"), sets, percent).join(dear.select("node", "role", "n", "c", "cs", "need"), ["node", "role"])).coalesce(tasks)
-    # of the other sets' keys only those count that a dear one asks for: a bounded bitmap sorts out most before they move
-    named = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
-    wanted = mine.select(F.explode(F.concat(F.array(named(0, F.col("whole")), named(1, F.col("whole"))), F.transform("cuts", lambda c: named(0, c)))).alias("x"))
-    have = _segments(where.select("node", "role", "band"), sets, percent).select("node", "role", F.explode(F.concat(F.array(named(0, F.col("whole"))), F.transform("cuts", lambda c: named(1, c)))).alias("x"))
-    have = with_member(have, F.xxhash64("x.kind", "x.key"), member_bits(wanted.select(F.xxhash64("x.kind", "x.key").alias("k")), "k"), "_in").where("_in").select("node", "role", "x.kind", "x.key")
-    have = stored(have).coalesce(tasks)
-    have = with_groups(have.join(where.select("node", "role", "n", "c", "cs"), ["node", "role"]), ["kind", "key"], {"members": ("count", "node")}, salt_of("node"))
-    have = stored(have).coalesce(tasks)
-    wholes, cuts = (have.where(F.col("kind") == i).drop("kind") for i in (0, 1))
-    columns = ["node", "role", "at", "n", "c", "cs"]
-    whole = _cost(mine.select(*columns, "need", F.col("whole").alias("key")), wholes)
-    as_cut = _cost(mine.select(*columns, F.col("whole").alias("key")), cuts)
-    own_cut = _cost(mine.select(*columns, F.explode("cuts").alias("key")), wholes)
-    whole, as_cut, own_cut = stored(whole), stored(as_cut), stored(own_cut)
-    twice = as_cut.unionByName(own_cut).groupBy("node", "role", "at").agg(F.sum("cost").alias("extra"))
-    first = whole.select("node", "role", "at", "need", F.lit(1).alias("level"), "cost")
-    second = whole.join(twice, ["node", "role", "at"]).select("node", "role", "at", "need", F.lit(2).alias("level"), F.greatest("cost", "extra").alias("cost"))
-    taken = stored(_cheapest(first.unionByName(second), [F.col("cost"), F.col("level"), F.col("at")], F.col("need"))).coalesce(tasks)
-    one, two = (taken.where(F.col("level") == i).select("node", "role", "at") for i in (1, 2))
-    of = ["node", "role", "at"]
-    found = found.unionByName(_met(whole.where("cost > 0").join(one, of), wholes, percent))
-    found = found.unionByName(_met(as_cut.where("cost > 0").join(two, of), cuts, percent)).unionByName(_met(own_cut.where("cost > 0").join(two, of), wholes, percent))
-    # a set whose tokens lie in so few segments that even twice of each is not enough asks for empty ones too
-    short = dear.where("2 * (need + spare - blanks) < need")
-    if short.isEmpty():
-        return found
-    end = lambda df, e: df.select(F.col("node").alias(e), F.col("role").alias(f"r{e}"), "band", F.struct("cs", "c").alias(f"c{e}"), F.col("n").alias(f"n{e}"))
-    same_band = end(short, "a").join(end(where, "b"), "band")
-    return found.unionByName(same_band.where((F.col("ca") < F.col("cb")) & (F.col("ra") + F.col("rb") < 2) & _sized("na", "nb", percent)).select("a", "ra", "b", "rb"))
+    near = index.join(keys, "key", "left_semi").select("node").unionByName(dear.select("node"))
+    near = near.unionByName(info.join(dear.where("blanks > spare").select("band").distinct(), "band").select("node")).distinct()
+    near = stored(rank(info.where("role = 0").select("node", "id", "n").join(near, "node")).select("node", "id", "n", "c")).coalesce(tasks)
+    sets = stored(_full_sets(docs, near.select("node", "id"), id, text, k)).coalesce(tasks)
+    return few, _sharing_rare(near.drop("id"), sets, percent, tasks).select("a", "b")
 
 
 def op12_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
