@@ -212,3 +212,14 @@ def test_few_files_are_dealt_over_all_cores(spark):
 def test_xml_is_parsed_once(spark):
     plan = QUERIES["io3_event_data"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("from_xml(") + plan.lower().count("xmltostructs(") == 1 and "size(" not in plan.split("Generate")[0]
+
+
+def test_key_fields_move_named_values_once(spark):
+    """One join on events, of their values that rules name only; the first of a repeated name counts, in any case."""
+    e = events(spark, (4624, SECURITY, [("X", "x" * 50), ("target user name", "A"), ("TargetUserName", "B"), ("LogonType", None), ("logontype", "3")]), (4624, SECURITY, [("TargetUserName", "C"), ("LogonType", "2")]), (4624, SECURITY, [("TargetUserName", "")]))
+    spec = {"id": "r", "title": "r", "logsource": {"service": "security"}, "detection": {"s": {"EventID": 4624}, "t": {"TargetUserName": "A", "LogonType": "3"}, "condition": "s or t"}}
+    some = [rules.compile_rule(spec)]
+    out = detect.key_fields(detect.detect(e, some), e, some)
+    assert [r.key_fields for r in out.orderBy("g").collect()] == ["EventID=4624 | TargetUserName=A", "EventID=4624 | TargetUserName=C | LogonType=2", "EventID=4624"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and plan.count("Join ") == 2
