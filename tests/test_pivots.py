@@ -170,4 +170,10 @@ def test_each_hunt_selects_its_events_and_no_others(spark):
 
 
 #: Hunts with two clauses on one field, met by two values in this test.
+def test_hunts_are_looked_up_by_the_id_of_an_event_before_its_provider():
+    pack = hunts.HuntPack([hunts.Hunt("a", "c", "t", "EventID:4625 Provider:*Security-Auditing", "a"), hunts.Hunt("b", "c", "t", "EventID:1 CommandLine:*whoami*", "b"), hunts.Hunt("c", "c", "t", "-EventID:1 CommandLine:whoami", "c")])
+    assert [(k[:3], k[4:]) for k in pack.index if k[4] == 0] == [((hunts.EVENT_ID, "=", "4625"), (0, "4625"))]
+    assert {k[4:] for k in pack.index} == {(0, "4625"), (1, "1"), (2, None)}
+
+
 AMBIGUOUS = {h.id for h in hunts.PACK for g in search.clauses(h.query) if len({c.field for c in g}) < len(g)}

@@ -139,6 +139,21 @@ def test_measured_gates_leave_few_candidates(spark):
     assert packed.detect_packed(e, packed.compile_pack(some, packed.key_counts(e.limit(5), some[:3]))).count() == 40
 
 
+def test_gates_sift_by_the_rest_of_the_value(spark):
+    """What a value must contain or end with besides the gate is tried before a rule is decided."""
+    e = events(spark, *[(1, SYSMON, [("CommandLine", f"tool.exe --n q{i:02}zz /add {i % 10}")], {"channel": "Microsoft-Windows-Sysmon/Operational"}) for i in range(20)])
+    of = lambda n, s: {"title": n, "id": n, "logsource": {"product": "windows"}, "detection": {"s": s, "condition": "s"}}
+    specs = [of(f"all{i}", {"CommandLine|contains|all": ["tool.exe --n ", f"q{i:02}zz", "/add"]}) for i in range(20)]
+    specs += [of(f"like{i}", {"CommandLine": f"*tool.exe --n *?{i}"}) for i in range(10)]
+    # one atom under two alternatives, only one of which wants more of the value
+    specs += [of("either", [{"CommandLine|contains|all": ["tool.exe --n ", "nothing"]}, {"CommandLine|contains": "tool.exe --n "}])]
+    some = detect.compile_rules(specs)[0]
+    met = packed.candidates(e, packed.compile_pack(some))
+    assert met.count() == 20 * 31 and met.where("_may").count() == 20 + 20 + 20
+    a, b = (sorted(map(tuple, d.collect())) for d in (packed.detect_packed(e, some), detect.detect(e, some)))
+    assert a == b and len(a) == 60
+
+
 @pytest.mark.parametrize(("pattern", "run"), [("abc", "abc"), ("a+bcd", "bcd"), ("ab|cd", ""), ("x(yz)w", "x"), (r"--N \d$", "--n "), ("(?i)AbC", "abc"), ("[", ""), ("(?<n>a)bc", "bc"), ("\u00e9ab", "ab")])
 def test_plain_runs_of_expressions(pattern, run):
     assert packed._plain_run(pattern) == run
