@@ -216,3 +216,14 @@ def test_audit_equals_running_every_order(spark, clash):
     assert audit.audit(audit.failure_masks(docs.limit(0), table)).count() == 0
     out = audit.audit(audit.failure_masks(clash, table.limit(0)))
     assert out.count() == 600 * 4 and out.where("good_lost + toxic_lost > 0").count() == 0
+
+
+def test_segment_keys_are_written_short(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n"), (2, "x y"), (3, "")], "doc_id long, text string")
+    keyed = setjoin._keyed(docs, "doc_id", "text", 5, 80)
+    keys = {r.key for r in setjoin._each_key(keyed.withColumnRenamed("h1", "node")).collect()}
+    sets = list(setjoin.shingle_sets(*(lambda t: (np.frombuffer(t, np.uint8), np.array([0, len(t)])))(b"a b c d e f g h i j k l m n"), 5))
+    band = int(np.searchsorted(setjoin.band_bounds(80), len(sets[0]), side="right")) - 1
+    m = setjoin.band_segments(80)[[band]]
+    _, full_keys, full, _ = setjoin.segment_keys(sets, np.array([band]), m)
+    assert {int(k) >> 24 for k in full_keys[full]} <= keys and all(0 <= k < 1 << 40 for k in keys)

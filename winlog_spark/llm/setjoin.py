@@ -23,6 +23,8 @@ CHEAP = 1
 SKETCH_BITS = 4
 #: The bitmap that narrows segment keys before their exact join has 2**KEY_BITS bits (8 MB).
 KEY_BITS = 26
+#: A segment's key is written in this many bits, in two parts, as keys make up most of what is written and moved; a collision adds a candidate.
+SHORT_KEY = 40
 #: A key with more members than this is dealt over several tasks.
 HOT = 1_000
 
@@ -91,7 +93,7 @@ def _lists(values: np.ndarray, keep: np.ndarray, begin: np.ndarray, kind: pa.Dat
 
 
 def _keyed(docs: DataFrame, id: str, text: str, k: int, percent: int) -> DataFrame:
-    """Per row and role: id, text_hash, row, n, h1, h2, role, band, need, spare, keys (of segments with tokens), blank (segments without), sketch.
+    """Per row and role: id, text_hash, row, n, h1, h2, role, band, need, spare, keys and tops (lower and upper part of the keys of segments with tokens), blank (segments without), sketch.
 
     Role 0 is the set under its own band, where it meets sets of that band and larger ones; role 1, of sets that can be
     similar to one of the next lower band, is the set under that band, where it meets the sets of that band only. need is
@@ -117,15 +119,24 @@ def _keyed(docs: DataFrame, id: str, text: str, k: int, percent: int) -> DataFra
             need = (n[pick] + others) * (100 - percent) // (100 + percent) + 1
             take = pa.array(pick)
             columns = [rows.column("id").take(take), rows.column("text_hash").take(take), rows.column("row").take(take), pa.array(n[pick]), pa.array(_set_hash(sets)).take(take), pa.array(h2).take(take), pa.array(role), pa.array(bands.astype(np.int32))]
-            columns += [pa.array(need.astype(np.int32)), pa.array((segments - need).astype(np.int32)), _lists(keys.view(np.int64), full, begin, pa.int64()), _lists(rest[3].astype(np.int32), ~full, begin, pa.int32()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words))]
+            keys = keys >> np.uint64(64 - SHORT_KEY)
+            lower, upper = keys.astype(np.uint32).view(np.int32), (keys >> np.uint64(32)).astype(np.uint8).view(np.int8)
+            columns += [pa.array(need.astype(np.int32)), pa.array((segments - need).astype(np.int32)), _lists(lower, full, begin, pa.int32()), _lists(upper, full, begin, pa.int8()), _lists(rest[3].astype(np.int32), ~full, begin, pa.int32()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.select(id).schema[0].dataType.simpleString()
-    schema = f"id {kind}, text_hash long, row long, n long, h1 long, h2 long, role int, band int, need int, spare int, keys array<long>, blank array<int>, sketch array<long>"
+    schema = f"id {kind}, text_hash long, row long, n long, h1 long, h2 long, role int, band int, need int, spare int, keys array<int>, tops array<tinyint>, blank array<int>, sketch array<long>"
     names = [c.strip().split()[0] for c in schema.split(",")]
     return docs.select(F.col(id).alias("id"), text_hash(F.col(text)).alias("text_hash"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text")).mapInArrow(build, schema)
 
 
+def _each_key(sets: DataFrame) -> DataFrame:
+    """(node, role, key) of all segments with tokens."""
+    part = sets.select("node", "role", "tops", F.posexplode("keys").alias("_p", "_low"))
+    top = F.get("tops", F.col("_p")).cast("long").bitwiseAND(F.lit(255))
+    return part.select("node", "role", F.shiftleft(top, 32).bitwiseOR(F.col("_low").cast("long").bitwiseAND(F.lit((1 << 32) - 1))).alias("key"))
+
+
 def _met(probes: DataFrame, index: DataFrame, percent: int) -> DataFrame:
     """(a, ra, b, rb): probes (key, node, role, c, cs, n, members) with the nodes of index (the same columns) of components of a higher rank, of a size that fits.
 
@@ -177,7 +188,7 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
     id takes no part in links (class and component null). Rows that repeat an id and text share class and component; rows
     of one id with different texts are told apart by text_hash. Very long texts are read whole, a task holds about 1 MB
     of text or one text. Equal costs go by key. An empty table gives no rows; other columns of docs, whatever their
-    names, are not read. Shingles and segments are told apart by 64 bits; a collision of segments only adds a candidate.
+    names, are not read. Shingles are told apart by 64 bits and segments by 40; a collision of segments only adds a candidate.
     """
     keyed = checkpointed(_keyed(docs, id, text, k, percent))
     live = keyed.where("role = 0 and n > 0 and id is not null").select("id", "text_hash", "n", "h1", "h2", "row", F.struct("id", "row").alias("_first"))
@@ -186,7 +197,7 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
     spent = named.where("spent").select("row")
     marked = with_member(keyed.where("n > 0 and id is not null").withColumnRenamed("h1", "node"), F.col("row"), member_bits(spent, "row"), "in")
     reps = marked.where("not in").unionByName(marked.where("in").join(spent, "row", "left_anti"))
-    each = reps.select("node", "role", F.explode("keys").alias("key"))
+    each = _each_key(reps)
     shared = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("role") == 0).alias("members")).where("all > 1 and members > 0").select("key", "members"))
     some = with_member(each, F.col("key"), member_bits(shared, "key", KEY_BITS), "in", KEY_BITS).where("in").drop("in")
     entries = checkpointed(some.join(shared, "key"))
