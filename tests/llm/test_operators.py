@@ -421,6 +421,42 @@ def test_lm_counts_rare_contexts(spark, share):
         assert out[i] == pytest.approx(plain_ctw(train, t or "", ctw.DEPTH), rel=1e-4)
 
 
+@pytest.mark.parametrize("share", [0.0, 0.3])
+def test_lm_takes_each_text_apart_once_for_counts(spark, share):
+    d = spark.createDataFrame([(i if i % 7 else None, f"common w{i % 5} u{i}" * (i % 4)) for i in range(40)], "doc_id long, text string")
+    learnt = F.col("doc_id") % 3 != 0  # null: not learnt from
+    cols = ["doc_id", "n_tokens", "n_known", "train_tokens", *(F.round(c, 9) for c in ("base_score", "score"))]
+    once, twice = (as_rows(ctw.lm_scores(d, t, node_share=share, word_share=share).select(*cols)) for t in (learnt, d.where(learnt)))
+    assert once == twice
+    plan = ctw.train_counts(d, learnt)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Union" not in plan
+
+
+def test_grams_know_nothing_of_other_texts():
+    texts = [b"", b"a", b"abcdefgh", b"", b"abcde", b"xy\xff", b""]
+    codes, begin = ctw.grams(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    padded = [b"\0" * ctw.DEPTH + t + b"\0" for t in texts]
+    assert codes.tolist() == [int.from_bytes(t[i : i + ctw.DEPTH + 1], "big") for t in padded for i in range(len(t) - ctw.DEPTH)]
+    assert begin.tolist() == np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]).tolist()
+
+
+@pytest.mark.parametrize("size", [0, 1, 5000])
+def test_known_finds_values_by_hash(size):
+    rng = np.random.default_rng(size)
+    keys = np.unique(rng.integers(-(1 << 63), ctw.DOCS, size))
+    values = rng.random(len(keys))
+    asked = np.concatenate([keys, rng.integers(-(1 << 63), ctw.DOCS, 3000), [0, -1, -ctw.DOCS]])
+    there = dict(zip(keys.tolist(), values.tolist(), strict=True))
+    value, met = ctw.Known(keys, values).find(asked)
+    assert met.tolist() == [k in there for k in asked.tolist()] and value.tolist() == [there.get(k, 0.0) for k in asked.tolist()]
+    # a slot with many keys
+    known = ctw.Known(keys, values)
+    known.slots = lambda x: np.zeros(len(x), np.int64)
+    known.first = np.array([0, len(keys)], np.int32)
+    value, met = known.find(asked)
+    assert met.tolist() == [k in there for k in asked.tolist()]
+
+
 def test_whole_groups_part_no_group(monkeypatch):
     monkeypatch.setattr(ctw, "CHUNK", 4)
     x = np.repeat(np.arange(9), [1, 2, 9, 1, 1, 3, 2, 5, 1])

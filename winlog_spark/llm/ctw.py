@@ -22,42 +22,108 @@ GRAM_SHARE = 2.5e-7
 CHUNK = 1 << 17
 #: Words that hold this share of the training tokens are sent to all tasks, at most 1 / WORD_SHARE of them; others are joined.
 WORD_SHARE = 5e-7
-WORD, GRAM, DOCS = 0, 1, 2
+WORD, GRAM = 0, 1
+#: Grams have keys from 0 below DOCS, words negative ones; DOCS itself counts the texts.
+DOCS = 1 << 8 * (DEPTH + 1)
+TRAIN, SCORED = 1, 2
 _BITS = np.uint64((1 << 63) - 1)
 
 
 def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of each byte with the DEPTH bytes before it, a zero byte ending each text and zeros before it; and where texts begin."""
     n, size = len(off) - 1, np.diff(off)
-    ext = np.zeros(len(data) + n * (DEPTH + 1), np.int64)
-    shift = np.repeat(np.arange(n) * (DEPTH + 1) + DEPTH, size)
-    ext[np.arange(len(data)) + shift] = data
-    code = np.zeros(len(ext) - DEPTH if len(ext) else 0, np.int64)
-    for i in range(DEPTH + 1):
-        code = code << 8 | ext[i : i + len(code)]
-    begin = off[:-1] + np.arange(n)  # of each text among the wanted codes
-    return code[np.arange(len(data) + n) + np.repeat(np.arange(n) * DEPTH, size + 1)] if n else code, begin
-
-
-def train_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, key, n): how often each word, and each gram of DEPTH + 1 bytes, occurs in docs; kind DOCS counts the texts."""
+    begin = off[:-1] + np.arange(n)  # of each text among its codes
+    inner = np.ones(len(data) + n, bool)
+    inner[off[1:] + np.arange(n)] = False
+    one = np.zeros(DEPTH + len(inner), np.uint8)
+    one[DEPTH:][inner] = data
+    code = np.zeros(len(inner), np.int64)
+    for i in range(0, DEPTH + 1, 2):  # two bytes at a time
+        two = one[i : i + len(code)].astype(np.uint16) << 8 | one[i + 1 : i + 1 + len(code)] if i < DEPTH else one[i : i + len(code)]
+        code <<= 16 if i < DEPTH else 8
+        code |= two
+    for i in range(DEPTH):  # what precedes a text is another's
+        code[begin[size >= i] + i] &= (1 << 8 * (i + 1)) - 1
+    return code, begin
+
+
+def word_keys(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As common.words, with keys that no gram has."""
+    w, at = words(data, off)
+    return ~(w & _BITS).view(np.int64), at
+
+
+def train_counts(docs: DataFrame, train: DataFrame | Column, text: str = "text") -> DataFrame:
+    """(key, n, times): how often each word, and each gram of DEPTH + 1 bytes, occurs in the training texts; times: each gram in docs.
+
+    train: other rows, or the condition on docs that training rows fulfil, by which each text is taken apart once for both.
+    """
+    if isinstance(train, Column):
+        some = docs.select(F.col(text).alias("text"), F.when(train, TRAIN | SCORED).otherwise(SCORED).alias("role"))
+    else:
+        some = docs.select(F.col(text).alias("text"), F.lit(SCORED).alias("role")).unionByName(train.select(F.col(text).alias("text"), F.lit(TRAIN).alias("role")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(kind, keys, n):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+            """Grams come with their text's role in the lowest bits."""
+            if kind == WORD:
+                return rows_out(keys, n, np.zeros(len(keys), np.int64))
+            code, role = keys >> 2, keys & 3
+            at = np.flatnonzero(np.concatenate([np.ones(min(1, len(code)), bool), code[1:] != code[:-1]]))
+            return rows_out(code[at], *(np.add.reduceat(np.where(role & of, n, 0), at) if len(at) else n for of in (TRAIN, SCORED)))
+
+        def rows_out(*columns):
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["key", "n", "times"])
 
         tallies, docs_seen = {WORD: Tally(), GRAM: Tally()}, 0
         for rows, data, off in blocks(batches):
-            docs_seen += rows.num_rows
-            for kind, keys in ((WORD, (words(data, off)[0] & _BITS).view(np.int64)), (GRAM, grams(data, off)[0])):
+            role = rows.column("role").to_numpy().astype(np.int64)
+            learnt = (role & TRAIN) > 0
+            docs_seen += int(learnt.sum())
+            w, at = word_keys(data, off)
+            codes = grams(data, off)[0] << 2 | np.repeat(role, np.diff(off) + 1)
+            for kind, keys in ((WORD, w[np.repeat(learnt, np.diff(at))]), (GRAM, codes)):
                 for full in tallies[kind].add(*counted(keys)):
                     yield batch(kind, *full)
         for kind, tally in tallies.items():
             yield batch(kind, *tally.merged())
-        yield batch(DOCS, np.zeros(1, np.int64), np.array([docs_seen]))
+        yield rows_out(np.array([DOCS]), np.array([docs_seen]), np.zeros(1))
+
+    parts = some.mapInArrow(count, "key long, n long, times long")
+    return parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
+
+
+def is_gram(key: Column) -> Column:
+    return (key >= 0) & (key < DOCS)
+
+
+class Known:
+    """Values of integer keys, none of them DOCS, found by a hash of the key."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - len(keys).bit_length() - 1)
+        slot = self.slots(keys)
+        order = np.argsort(slot)
+        self.first = np.searchsorted(slot[order], np.arange((1 << 64 - int(self.shift)) + 1)).astype(np.int32)
+        self.keys, self.values = np.append(keys[order], DOCS), np.append(values[order], np.zeros(1, values.dtype))
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
 
-    some = docs.select(F.col(text).alias("text")).mapInArrow(count, "kind int, key long, n long")
-    return some.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Value of each key, 0 if it isn't known, and whether it is."""
+        slot = self.slots(keys)
+        at = self.first[slot]  # of an empty slot, another's first key, which is not the one sought
+        met = self.keys[at] == keys
+        value = np.where(met, self.values[at], 0)
+        left = np.flatnonzero(~met)
+        at, end = at[left] + 1, self.first[slot[left] + 1]
+        while len(left := left[more := at < end]):
+            at, end = at[more], end[more]
+            hit = self.keys[at] == keys[left]
+            value[left[hit]], met[left[hit]] = self.values[at[hit]], True
+            left, at, end = left[~hit], at[~hit] + 1, end[~hit]
+        return value, met
 
 
 def node_key(depth: int, context: np.ndarray, prefix: np.ndarray) -> np.ndarray:
@@ -180,11 +246,9 @@ class ContextTrees:
         return out
 
 
-def gram_scores(counts: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(key, times, value): each different gram of docs, how often it occurs there, and log10 of its last byte given those before it, by the train_counts of the training texts."""
-    of_train = counts.where(F.col("kind") == GRAM).select("key", "n", F.lit(0).cast("long").alias("times"))
-    of_docs = train_counts(docs, text).where(F.col("kind") == GRAM).select("key", F.lit(0).cast("long").alias("n"), F.col("n").alias("times"))
-    both = of_train.unionByName(of_docs).groupBy("key").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
+def gram_scores(counts: DataFrame) -> DataFrame:
+    """(key, times, value): each different gram of the texts to score, how often it occurs there, and log10 of its last byte given those before it, by the train_counts of the training texts."""
+    both = counts.where(is_gram(F.col("key")))
     ends = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1)).alias("ends")
     grouped = checkpointed(both.select("key", "n", "times", ends).repartition("ends").sortWithinPartitions("ends"))
 
@@ -206,7 +270,7 @@ def gram_scores(counts: DataFrame, docs: DataFrame, text: str = "text") -> DataF
         z.append(np.bincount(inv, z[-1], len(key)))
         o.append(np.bincount(inv, o[-1], len(key)))
         p.append(np.zeros(len(key)))
-    upper = docs.sparkSession.sparkContext.broadcast(ContextTrees(*map(np.concatenate, (keys, z, o)), bottom=TOP, total=np.concatenate(p)))
+    upper = counts.sparkSession.sparkContext.broadcast(ContextTrees(*map(np.concatenate, (keys, z, o)), bottom=TOP, total=np.concatenate(p)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "ends"):
@@ -217,9 +281,10 @@ def gram_scores(counts: DataFrame, docs: DataFrame, text: str = "text") -> DataF
     return checkpointed(grouped.mapInArrow(score, "key long, times long, value double"))
 
 
-def lm_scores(docs: DataFrame, train: DataFrame, id: str = "doc_id", text: str = "text", node_share: float = GRAM_SHARE, word_share: float = WORD_SHARE) -> DataFrame:
+def lm_scores(docs: DataFrame, train: DataFrame | Column, id: str = "doc_id", text: str = "text", node_share: float = GRAM_SHARE, word_share: float = WORD_SHARE) -> DataFrame:
     """Per row: id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
+    train: the training texts, or the condition that they fulfil among docs, which are then read once less.
     Tasks count words and grams of the training texts and of docs, Spark adds them up; these tables grow with the corpus
     and stay distributed. Every node of the context trees counts. Nodes whose contexts end in the same TOP bytes are
     weighted by one task, which returns those of TOP bytes; from these come the few nodes above, and with them each
@@ -229,64 +294,61 @@ def lm_scores(docs: DataFrame, train: DataFrame, id: str = "doc_id", text: str =
     count is 0. Words are told apart by 63 bits of hash. Repeated rows are scored each for itself, and so are rows of one id or of none.
     Very long texts are read whole. docs without rows gives no rows; other columns, whatever their names, are not read.
     """
-    counts = checkpointed(train_counts(train, text))
-    size = {r.kind: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different")).collect()}
-    n_docs = size[DOCS].n if DOCS in size else 0
-    n_train = (size[WORD].n if WORD in size else 0) + n_docs
-    vocabulary = (size[WORD].different if WORD in size else 0) + (n_docs > 0)
-    grams_of = gram_scores(counts, docs, text)
-    n_bytes = grams_of.agg(F.sum("times")).first()[0] or 0
-    often = grams_of.where(F.col("times") >= node_share * n_bytes).select("key", "value").toArrow().sort_by("key")
+    counts = checkpointed(train_counts(docs, train, text))
+    key = F.col("key")
+    size = counts.agg(F.sum(F.when(key == DOCS, F.col("n"))), F.sum(F.when(key < 0, F.col("n"))), F.count(F.when(key < 0, 1)), F.sum("times")).first()
+    n_docs, n_words, different, n_bytes = (x or 0 for x in size)
+    n_train = n_words + n_docs
+    vocabulary = different + (n_docs > 0)
+    grams_of = gram_scores(counts)
+    often = grams_of.where(F.col("times") >= node_share * n_bytes).select("key", "value").toArrow()
     floor = max(1, word_share * n_train)
-    frequent = counts.where((F.col("kind") == WORD) & (F.col("n") >= floor)).select("key", "n").toArrow().sort_by("key")
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(t.column(c).to_numpy() for t, c in ((often, "key"), (often, "value"), (frequent, "key"), (frequent, "n"))))
+    frequent = counts.where((key < 0) & (F.col("n") >= floor)).select("key", "n").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast([Known(t.column("key").to_numpy(), t.column(c).to_numpy()) for t, c in ((often, "value"), (frequent, "n"))])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes_known, values_known, keys, n = shared.value
+        often, frequent = shared.value
 
-        def rows_out(row, ids, kind, size, key, times, tokens, known, base, value):
-            kinds = np.full(len(row), kind, np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(row), ids, *[pa.array(x) for x in (kinds, size, key, times, tokens, known, base, value)]], names=["row", "id", "kind", "bytes", "key", "times", "tokens", "known", "base", "score"])
+        def rows_out(row, ids, key, times, own):
+            return pa.RecordBatch.from_arrays([pa.array(row), ids, pa.array(key), pa.array(times), own], names=["row", "id", "key", "times", "own"])
 
-        def joined_later(kind, rows, row, doc, key, rare):
+        def joined_later(rows, row, doc, keys):
             """A row for each text and rare key."""
-            pair, times = np.unique(doc[rare] * len(key[0]) + key[1][rare], return_counts=True) if rare.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            d, k = np.divmod(pair, max(1, len(key[0])))
-            zero = np.zeros(len(pair), np.int64)
-            return rows_out(row[d], pa.nulls(len(zero), rows.column("id").type), kind, zero, key[0][k], times.astype(np.int64), zero, zero, zero.astype(np.float64), zero.astype(np.float64))
+            order = np.lexsort((doc, keys))
+            doc, keys = doc[order], keys[order]
+            at = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])]))
+            return rows_out(row[doc[at]], pa.nulls(len(at), rows.column("id").type), keys[at], np.diff(at, append=len(keys)), pa.nulls(len(at), pa.list_(pa.float64())))
 
         for rows, data, off in blocks(batches):
             row = rows.column("row").to_numpy()
             codes, begin = grams(data, off)
-            u, inv = np.unique(codes, return_inverse=True)
-            place = np.minimum(np.searchsorted(codes_known, u), max(0, len(codes_known) - 1))
-            met = codes_known[place] == u if len(codes_known) else np.zeros(len(u), bool)
-            value = np.add.reduceat((np.where(met, values_known[place], 0.0) if len(codes_known) else np.zeros(len(u)))[inv], begin)
-            yield joined_later(GRAM, rows, row, np.repeat(np.arange(len(row)), np.diff(off) + 1), (u, inv), ~met[inv])
-            w, at = words(data, off)
-            w = (w & _BITS).view(np.int64)
+            value, met = often.find(codes)
+            value = np.add.reduceat(value, begin)
+            rare = np.flatnonzero(~met)
+            yield joined_later(rows, row, np.searchsorted(begin, rare, "right") - 1, codes[rare])
+            w, at = word_keys(data, off)
             doc = np.repeat(np.arange(len(row)), np.diff(at))
-            uw, iw = np.unique(w, return_inverse=True)
-            place = np.minimum(np.searchsorted(keys, uw), max(0, len(keys) - 1))
-            hit = keys[place] == uw if len(keys) else np.zeros(len(uw), bool)
-            c = np.where(hit, n[place], 0)[iw] if len(keys) else np.zeros(len(w), np.int64)
+            c, hit = frequent.find(w)
             base = np.bincount(doc, np.log10(c + 1.0), len(row)) + np.log10(n_docs + 1.0)
-            known = np.bincount(doc, c > 0, len(row)).astype(np.int64) + (n_docs > 0)
-            # a row's own sums go along under a negative key, which no word has
-            yield rows_out(row, rows.column("id"), DOCS, np.diff(off), ~row, np.ones(len(row), np.int64), np.diff(at) + 1, known, base, value)
-            yield joined_later(WORD, rows, row, doc, (uw, iw), ~hit[iw])
+            known = np.bincount(doc[hit], minlength=len(row)) + (n_docs > 0)
+            # a row's own sums go along under a key that no gram or word has
+            own = np.stack([np.diff(off), np.diff(at) + 1, known, base, value], axis=1).astype(np.float64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * own.shape[1]), pa.array(own.ravel()))
+            yield rows_out(row, rows.column("id"), DOCS + row, np.zeros(len(row), np.int64), lists)
+            yield joined_later(rows, row, doc[~hit], w[~hit])
 
     kind = docs.select(id).schema[0].dataType.simpleString()
     numbered = docs.select(F.col(id).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    parts = numbered.mapInArrow(score, f"row long, id {kind}, kind int, bytes long, key long, times long, tokens long, known long, base double, score double")
-    rare = counts.where((F.col("kind") == WORD) & (F.col("n") < floor)).select("kind", "key", F.col("n").alias("c"), F.lit(0.0).alias("v"))
-    rare = rare.unionByName(grams_of.where(F.col("times") < node_share * n_bytes).select(F.lit(GRAM).alias("kind"), "key", F.lit(None).cast("long").alias("c"), F.col("value").alias("v")))
-    joined = parts.join(rare, ["kind", "key"], "left")
-    found = F.col("c").isNotNull()
+    parts = numbered.mapInArrow(score, f"row long, id {kind}, key long, times long, own array<double>")
+    rare = counts.where((key < 0) & (F.col("n") < floor)).select("key", F.log10(F.col("n") + 1).alias("v"))
+    rare = rare.unionByName(grams_of.where(F.col("times") < node_share * n_bytes).select("key", F.col("value").alias("v")))
+    joined = parts.join(rare, "key", "left")
+    n_bytes_of, n_tokens, known, base_of, value_of = (F.coalesce(F.col("own")[i], F.lit(0.0)) for i in range(5))
+    word, gain = F.col("v").isNotNull() & (key < 0), F.coalesce(F.col("times") * F.col("v"), F.lit(0.0))
     out = joined.groupBy("row").agg(
-        F.max("id").alias("id"), F.max("bytes").alias("bytes"),
-        F.sum("tokens").alias("n_tokens"), F.sum(F.col("known") + F.when(found, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(found, F.col("times") * F.log10(F.col("c") + 1)).otherwise(0.0)).alias("base"), F.sum(F.col("score") + F.coalesce(F.col("times") * F.col("v"), F.lit(0.0))).alias("score"))
+        F.max("id").alias("id"), F.sum(n_bytes_of).alias("bytes"),
+        F.sum(n_tokens).cast("long").alias("n_tokens"), F.sum(known + F.when(word, F.col("times")).otherwise(0)).cast("long").alias("n_known"),
+        F.sum(base_of + F.when(word, gain).otherwise(0.0)).alias("base"), F.sum(value_of + F.when(word, 0.0).otherwise(gain)).alias("score"))
     base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(n_train + vocabulary + 1)))
     bits = -F.col("score") / F.lit(float(np.log10(2))) / (F.col("bytes") + 1)
     return out.select(F.col("id").alias(id), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
@@ -304,7 +366,7 @@ def mixed(base: Column, tree: Column) -> Column:
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    out = lm_scores(docs, docs.where(crc_bucket(F.col("doc_id"), 7) != 2))
+    out = lm_scores(docs, crc_bucket(F.col("doc_id"), 7) != 2)
     held = (crc_bucket(F.col("doc_id"), 7) == 2).alias("held_out")
     score = mixed(F.col("base_score"), F.col("score"))
     return out.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", score.alias("score"), "bits_per_byte", F.col("score").alias("tree_score"))
